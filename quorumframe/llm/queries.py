@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quorumframe.llm.common import table
 from quorumframe.llm.decontaminate import contamination
+from quorumframe.llm.secrets import secrets
 from quorumframe.llm.simhash import near_duplicates
 
 
@@ -19,9 +20,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash": op2_simhash,
+    "op3_secrets": op3_secrets,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
