@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quorumframe.llm.common import table
 from quorumframe.llm.decontaminate import contamination
+from quorumframe.llm.packing import pack
+from quorumframe.llm.records import read_digests, write_records
 from quorumframe.llm.secrets import secrets
 from quorumframe.llm.simhash import near_duplicates
+from quorumframe.llm.toxicity import toxicity
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +28,25 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_digests(*write_records(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash": op2_simhash,
     "op3_secrets": op3_secrets,
+    "op5_toxicity": op5_toxicity,
+    "op6_records": op6_records,
+    "op9_packing": op9_packing,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
