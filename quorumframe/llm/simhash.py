@@ -1,13 +1,19 @@
-"""SimHash near-duplicates, searched with a vantage-point tree over the shards.
+"""SimHash near-duplicates, searched with vantage-point trees over the shards.
 
 Equal fingerprints meet first, in one aggregation. Distinct fingerprints are then
-dealt to the leaves of a vantage-point tree: at a node, those within the radius
-of the vantage point go left, the others right. By the triangle inequality a
-partner within r of x lies on the far side only if x is within r of the
-boundary, so x visits just those leaves as a query. Inside a leaf the same
-rule is applied again to ever smaller groups until they are small enough to
-compare in full. Only a spanning forest of the links leaves a leaf, so a large
-group of near copies yields as many edges as it has members, not all its pairs.
+dealt to the leaves of a few vantage-point trees, one for each segment of their
+bits: at a node, those within the radius of the vantage point go left, the others
+right. Two fingerprints that differ in at most r bits differ in at most
+r // segments bits of some segment. By the triangle inequality a partner lies on
+the far side of a node of that segment's tree only if x is within this margin of
+the boundary, and x visits those leaves as well. With more segments than r the
+margin is zero, no shards overlap, and what is dealt out grows in proportion to
+the input; with one segment there is one tree with the full margin.
+
+Inside a leaf the same rule, over all bits and with the full margin r, is applied
+again to ever smaller groups until they are small enough to compare in full. Only
+a spanning forest of the links leaves a leaf, so a large group of near copies
+yields as many edges as it has members, not all its pairs.
 """
 
 from __future__ import annotations
@@ -110,15 +116,23 @@ def _deal(tree: tuple | None, points: np.ndarray, reach: int) -> tuple[np.ndarra
     return homes, visits
 
 
-def _shards(tree, reach: int):
+def _segment(points: np.ndarray, k: int, segments: int) -> np.ndarray:
+    """Bits of segment k, the others zero."""
+    low, high = 64 * k // segments, 64 * (k + 1) // segments
+    return points & np.uint64((1 << high) - (1 << low))
+
+
+def _shards(trees, margin: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = batch["fp"].to_numpy().view(np.uint64)
-            homes, visits = _deal(tree.value, points, reach)
-            leaf = np.concatenate([homes, *(np.full(len(g), k, np.int32) for k, g in visits)])
-            fp = np.concatenate([points, *(points[g] for _, g in visits)])
-            home = np.arange(len(leaf)) < len(points)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(fp.view(np.int64)), pa.array(home)], ["leaf", "fp", "home"])
+            for k, tree in enumerate(trees.value):
+                homes, visits = _deal(tree, _segment(points, k, len(trees.value)), margin)
+                leaf = np.concatenate([homes, *(np.full(len(g), at, np.int32) for at, g in visits)])
+                fp = np.concatenate([points, *(points[g] for _, g in visits)])
+                home = np.arange(len(leaf)) < len(points)
+                columns = [pa.array(np.full(len(leaf), k, np.int32)), pa.array(leaf, pa.int32()), pa.array(fp.view(np.int64)), pa.array(home)]
+                yield pa.RecordBatch.from_arrays(columns, ["tree", "leaf", "fp", "home"])
 
     return run
 
@@ -186,10 +200,10 @@ def _edges(reach: int):
     return run
 
 
-def near_links(distinct: DataFrame, *, reach: int = 3, leaf_points: int = 3000, sample_points: int = 20_000) -> DataFrame:
+def near_links(distinct: DataFrame, *, reach: int = 3, segments: int = 4, leaf_points: int = 3000, sample_points: int = 20_000) -> DataFrame:
     """Edges (u, v) of a forest that spans all links between distinct fingerprints fp.
 
-    The tree is fitted on a bounded sample (sample_points, by hash order); every
+    The trees are fitted on a bounded sample (sample_points, by hash order); every
     fingerprint is dealt and searched. Leaves are few enough to hold about
     leaf_points each.
     """
@@ -199,9 +213,11 @@ def near_links(distinct: DataFrame, *, reach: int = 3, leaf_points: int = 3000,
     share = min(1.0, 2 * sample_points / max(1, total))
     drawn = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else distinct
     rows = drawn.orderBy(F.xxhash64("fp")).limit(sample_points).collect() if depth else []
-    tree = vantage_tree(np.array([r["fp"] for r in rows], np.int64).view(np.uint64), depth) if depth else None
-    sharded = distinct.mapInArrow(_shards(spark.sparkContext.broadcast(tree), reach), "leaf int, fp long, home boolean")
-    return sharded.groupBy("leaf").applyInArrow(_edges(reach), "u long, v long").distinct()
+    sample = np.array([r["fp"] for r in rows], np.int64).view(np.uint64)
+    trees = [vantage_tree(_segment(sample, k, segments), depth) for k in range(segments)] if depth else [None]
+    margin = reach // len(trees)
+    sharded = distinct.mapInArrow(_shards(spark.sparkContext.broadcast(trees), margin), "tree int, leaf int, fp long, home boolean")
+    return sharded.groupBy("tree", "leaf").applyInArrow(_edges(reach), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, reach: int = 3) -> DataFrame:
