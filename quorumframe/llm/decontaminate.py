@@ -146,9 +146,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, shingl
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    owned = items.select(F.col("item_id").cast("long"), "text").where("item_id is not null").mapInArrow(_windows(window), "item_id long, window string")
-    blocks = max(1, -(-owned.count() // block_windows))
-    owned = owned.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
+    owned, blocks = _blocks(items, window, block_windows)
     keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     parts = []
     for block in range(blocks):
@@ -165,6 +163,30 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, shingl
     return found.mapInArrow(_measure, _RESULT)
 
 
+def _clean(index):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not _search(words_of(raw), index.value)[0] for raw in _binary(batch["text"])], pa.bool_()))
+
+    return run
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, *, window: int = 10, shingle: int = 2, block_windows: int = 100_000) -> DataFrame:
+    """The rows of docs in which no window of an item occurs, all columns as they are; see contamination."""
+    owned, blocks = _blocks(items, window, block_windows)
+    kept = docs
+    for block in range(blocks):
+        kept = kept.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(_index(docs, owned.where(F.col("block") == block), shingle))), docs.schema)
+    return kept
+
+
+def _blocks(items: DataFrame, window: int, block_windows: int) -> tuple[DataFrame, int]:
+    """The windows of all items with a block number, and how many blocks there are."""
+    owned = items.select(F.col("item_id").cast("long"), "text").where("item_id is not null").mapInArrow(_windows(window), "item_id long, window string")
+    blocks = max(1, -(-owned.count() // block_windows))
+    return owned.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks))), blocks
+
+
 def _index(docs: DataFrame, owned: DataFrame, shingle: int) -> dict[int, dict]:
     """Windows of one block by their rarest shingle; shingle size -> shingle -> (offset, words, item ids)."""
     owners = defaultdict(list)

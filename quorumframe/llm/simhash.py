@@ -56,18 +56,19 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _fingerprints(shingle: int):
+def _marking(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws = batch["text"].cast(pa.large_binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([_signed(fingerprint(r, shingle)) for r in raws], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([_signed(fingerprint(r, shingle)) for r in raws], pa.int64()), batch["text_hash"]], ["doc_id", "fp", "text_hash"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long), one row per row of docs."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    """doc_id, fp (the 64 bits as a signed long) and text_hash, one row per row of docs."""
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(_marking(shingle), "doc_id long, fp long, text_hash long")
 
 
 def _distance(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
@@ -220,6 +221,16 @@ def near_links(distinct: DataFrame, *, reach: int = 3, segments: int = 4, leaf_p
     return sharded.groupBy("tree", "leaf").applyInArrow(_edges(reach), "u long, v long").distinct()
 
 
+def _named(marked: DataFrame, reach: int) -> DataFrame:
+    """fp, component (a fingerprint) and component_id of each distinct fingerprint of marked (doc_id, fp)."""
+    distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    linked = components(near_links(distinct.select("fp"), reach=reach))
+    grouped = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    # a large component is one key here, but of distinct fingerprints only
+    return grouped.join(least, "component").select("fp", "component", "component_id")
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, reach: int = 3) -> DataFrame:
     """The component of near-duplicates of each document.
 
@@ -230,11 +241,29 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, reach: int = 3) -> Dat
     component's smallest id unless the component has no other. Only doc_id and
     text are read; an empty table gives no rows.
     """
-    marked = materialise(fingerprints(docs, shingle), "fingerprints")
-    distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    linked = components(near_links(distinct.select("fp"), reach=reach))
-    grouped = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    # a large component is one key here, but of distinct fingerprints only
-    named = grouped.join(least, "component").select("fp", "component_id")
+    marked = materialise(fingerprints(docs, shingle).drop("text_hash"), "fingerprints")
+    named = _named(marked, reach).select("fp", "component_id")
     return marked.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, *, shingle: int = 3, reach: int = 3) -> DataFrame:
+    """The row with the smallest doc_id of each component, all columns as they are.
+
+    Of rows that share this doc_id the one whose text hashes smallest stays; a
+    component without any doc_id keeps one row likewise.
+    """
+    marked = materialise(fingerprints(docs, shingle), "fingerprints")
+    named = _named(marked, reach)
+    # the least (doc_id, hash) of a fingerprint, then of a component: both are combined before the shuffle
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("least")
+    first = marked.groupBy("fp").agg(least).join(named, "fp").groupBy("component").agg(F.min("least").alias("least"))
+    kept = first.select(F.col("least.doc_id").alias("_id"), F.col("least.text_hash").alias("_hash"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    found = docs.join(kept.hint("shuffle_hash"), same, "left_semi")
+    repeated = marked.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    repeated = materialise(repeated, "repeated")
+    if repeated.isEmpty():  # no id has a text twice, so found has no repeated rows
+        return found
+    others = [c for c in docs.columns if c != "doc_id"]
+    once = found.join(repeated, same, "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(*(F.any_value(c).alias(c) for c in others))
+    return found.join(repeated, same, "left_anti").unionByName(once.select(docs.columns))

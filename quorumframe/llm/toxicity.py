@@ -241,13 +241,16 @@ def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = 20_000, least_
     return Model(*known, mean.tolist(), scale.tolist(), _logistic((x - mean) / scale, y).tolist())
 
 
+def _scores(batch: pa.RecordBatch, model: Model, lexicon: _Lexicon) -> np.ndarray:
+    raws = batch["text"].cast(pa.large_binary()).to_pylist()
+    return _score(np.array([_features(raw, lexicon) for raw in raws]).reshape(len(raws), 3 + len(PATTERNS)), model)
+
+
 def _scoring(model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = _Lexicon(model.value.words, model.value.openings)
         for batch in batches:
-            ids = batch["doc_id"].to_pylist()
-            rows = np.array([_features(raw, lexicon) for raw in batch["text"].cast(pa.large_binary()).to_pylist()]).reshape(len(ids), 3 + len(PATTERNS))
-            scores = _score(rows, model.value)
+            ids, scores = batch["doc_id"].to_pylist(), _scores(batch, model.value, lexicon)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([held_out(i) for i in ids], pa.bool_()), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return run
@@ -266,3 +269,18 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame
 def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3) -> DataFrame:
     """Train on the labelled documents and score them all; see train and score."""
     return score(docs, train(docs, labels), threshold=threshold)
+
+
+def _passing(model, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = _Lexicon(model.value.words, model.value.openings)
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch, model.value, lexicon) < threshold))
+
+    return run
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that score below the threshold, all columns as they are."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    return docs.mapInArrow(_passing(model, threshold), docs.schema)
