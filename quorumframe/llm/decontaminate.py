@@ -158,8 +158,8 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, shingl
         hits = parts[0].where("size(items) > 0")
         for part in parts[1:]:
             hits = hits.unionByName(part.where("size(items) > 0"))
-        hits = hits.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-        found = counted.join(hits, ["doc_id", "text_key"], "left")
+        hits = hits.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+        found = counted.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left").drop("_id", "_key")
     return found.mapInArrow(_measure, _RESULT)
 
 

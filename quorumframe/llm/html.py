@@ -138,7 +138,9 @@ class TreeModel:
                 for name in node.features:
                     seen[name][turn] += 1
         pair = {k: [[math.log((c[a, b] + 0.1) / (c[a, 0] + c[a, 1] + 0.2)) for b in (0, 1)] for a in (0, 1)] for k, c in pairs.items()}
-        feature = {f: [[math.log((c[a, b] + 0.1) / (turns[a, b] + 0.2)) for b in (0, 1)] for a in (0, 1)] for f, c in seen.items()}
+        # what is missing in one turn is smoothed towards its share in all, so rare words still speak
+        share = {f: c.total() / turns.total() for f, c in seen.items()}
+        feature = {f: [[math.log((c[a, b] + share[f]) / (turns[a, b] + 1)) for b in (0, 1)] for a in (0, 1)] for f, c in seen.items()}
         return cls(pair, feature)
 
     def _potential(self, node: Node) -> list[list[float]]:

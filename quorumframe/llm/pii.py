@@ -11,8 +11,9 @@ passing over both kinds of links gives each node's marginals, so a phone number
 written without its prefix takes the label of its full form.
 
 Potentials of shapes and of neighbours are counted over the whole corpus with the
-base rules' labels, in logarithms and within a bound, so that a shape alone never
-outweighs a link; skip links favour equal labels by a stated parameter.
+base rules' labels, in logarithms and within bounds: a shape that no rule accepts
+always speaks against, more or less, and a link with a match outweighs it. Skip
+links favour equal labels by a stated parameter.
 """
 
 from __future__ import annotations
@@ -171,7 +172,7 @@ class Field:
         own = np.zeros((len(flat), len(LABELS)))
         for k, node in enumerate(flat):
             seen = np.sum([self.unary[f] for f in node.features if f in self.unary] or [np.zeros(len(LABELS))], axis=0)
-            own[k] = np.clip(seen - seen[0], -self.bound, self.bound)
+            own[k, 1:] = np.clip(seen[1:] - seen[0], -self.bound, -self.bound / 2)
             own[k, node.base] += 20.0 if node.base else 0.0
         ends, pairs = self._links(documents)
         if len(ends):
@@ -254,7 +255,7 @@ def counted_field(found: DataFrame, *, agree: float = 6.0, bound: float = 3.0, n
     for r in turns.collect():
         pair[r["a"], r["b"]] += r["n"]
     alone = pair.sum(axis=1, keepdims=True) * pair.sum(axis=0, keepdims=True) / pair.sum()
-    return Field(unary, np.clip(np.log(pair / alone), -1.0, 1.0).tolist(), agree, bound, near)
+    return Field(unary, np.clip(np.log(pair / alone), -0.5, 0.5).tolist(), agree, bound, near)
 
 
 def _spans(nodes: list[Node], belief: np.ndarray) -> list[tuple[int, int, str]]:
