@@ -11,7 +11,7 @@ import numpy as np
 _SPACE_BEFORE_SPACE = re.compile(r"[\s\x85\x1c-\x1f] ")
 #: Distinct chunks of text that one worker keeps ids of.
 MOST_CHUNKS = 1_500_000
-_GROUP = 256
+_GROUP = 64
 
 
 class ChunkTokenizer:
@@ -37,7 +37,7 @@ class ChunkTokenizer:
         self.kept: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
 
     def chunks(self, text: str) -> list[str] | None:
         if self.mark[:2] in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):  # a special token's text, or what only Python takes for space
@@ -53,7 +53,7 @@ class ChunkTokenizer:
             self.kept.clear()
         for at in range(0, len(new), _GROUP):
             part = new[at : at + _GROUP]
-            ids = np.array(self.tokenizer.encode(self.mark.join(part), add_special_tokens=False).ids, self.dtype)
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, self.dtype)  # without offsets
             cuts = np.flatnonzero(ids == self.mark_id).tolist()
             flat, start, wide = ids.tobytes(), 0, self.dtype.itemsize
             for chunk, cut in zip(part, [*cuts, len(ids)], strict=True):
