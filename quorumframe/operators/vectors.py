@@ -37,7 +37,7 @@ def _scanning(block, k: int, at_most: float | None):
         kept: list[list[tuple[float, int]]] = [[] for _ in ids]
         for batch in batches:
             data, at = _matrix(batch["embedding"])
-            if not len(at):
+            if not len(at) or data.shape[1] != queries.shape[1]:  # no query has this length
                 continue
             own = batch["vec_id"].to_numpy(zero_copy_only=False)[at]
             distances = 1.0 - queries @ data.T

@@ -1,0 +1,157 @@
+import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from quorumframe.functions.chunks import chunks, cut, joined
+from quorumframe.operators import groups, joins, windows
+from quorumframe.operators.closure import transitive_closure
+from quorumframe.operators.vectors import assign_prototypes, cosine, nearest
+from quorumframe.plans import quality, retrieval
+from quorumframe.plans.facts import star_schema_facts
+from quorumframe.plans.spec import FORMS, NotExpressible, QuerySpec, compiled
+from quorumframe.sources import files
+from quorumframe.streaming import events as streams
+
+
+def test_even_samples_hold_first_and_last(spark):
+    for n, k, ranks in ((10, 4, [0, 3, 6, 9]), (6, 3, [0, 2, 5]), (3, 5, [0, 1, 2]), (1, 1, [0]), (9, 2, [0, 8])):
+        df = spark.createDataFrame([("g", i) for i in range(n)], "g string, i int")
+        assert sorted(r.i for r in windows.even_sample(df, ["g"], ["i"], k).collect()) == ranks
+
+
+def test_islands_and_diversity(spark):
+    runs = spark.createDataFrame([(1, i, w) for i, w in ((2, 1), (3, 1), (9, 5), (10, 5), (11, 5))], "g int, i int, w int")
+    assert sorted(r.i for r in windows.longest_island(runs, ["g"], "i", F.col("w")).collect()) == [9, 10, 11]
+    years = spark.createDataFrame([(2020, 100.0, "a"), (2020, 95.0, "b"), (2020, 80.0, "c"), (2021, 50.0, "d")], "y int, s double, t string")
+    assert [r.t for r in windows.temporal_diversity(years, "y", "s", "t").collect()] == ["a", "b", "d"]
+    few = spark.createDataFrame([(k, k < 2) for k in range(5)], "k int, p boolean")
+    assert windows.filter_unless_few(few, F.col("p"), 3).count() == 5 and windows.filter_unless_few(few, F.col("p"), 2).count() == 2
+
+
+def test_common_cap_is_the_largest_that_fits(spark):
+    draw = random.Random(1)
+    rows = [(g, draw.randrange(0, 60)) for g in range(20) for _ in range(draw.randrange(1, 12))]
+    got = {r.g: r.cap for r in windows.common_cap(spark.createDataFrame(rows, "g int, n int"), ["g"], "n", 150, 5, 50).collect()}
+    for g in {g for g, _ in rows}:
+        sizes = [n for k, n in rows if k == g]
+        assert got[g] == max((c for c in range(5, 51) if c == 5 or sum(min(n, c) for n in sizes) <= 150))
+
+
+def test_closure_has_no_end_in_cycles_and_is_idempotent(spark):
+    links = [(1, 2), (2, 3), (3, 1), (4, 4), (5, 6), (6, 7), (7, 8), (8, 9), (9, 10), (None, 1)]
+    once = transitive_closure(spark.createDataFrame(links, "child int, parent int"))
+    pairs = {(r.child, r.parent) for r in once.collect()}
+    assert {(5, 10), (1, 3), (3, 2)} <= pairs and all(a != b for a, b in pairs) and len(pairs) == 6 + 15
+    assert {(r.child, r.parent) for r in transitive_closure(once).collect()} == pairs
+
+
+def test_joins_on_time(spark):
+    d = lambda s: dt.date.fromisoformat(s)
+    terms = spark.createDataFrame([(1, d("2019-06-15"), d("2023-06-17")), (2, d("2023-06-17"), d("2027-06-15"))], "t int, a date, b date")
+    days = spark.createDataFrame([(d("2023-06-16"),), (d("2023-06-17"),), (d("2000-01-01"),), (None,)], "day date")
+    half = {str(r.day): r.t for r in joins.interval_join(days, terms, "day", "a", "b", closed=False, how="left").collect()}
+    assert half == {"2023-06-16": 1, "2023-06-17": 2, "2000-01-01": None, "None": None}
+    assert joins.interval_join(days, terms, "day", "a", "b", bucket_days=7).count() == 3
+    left, right = spark.createDataFrame([("k", 1, 5), ("k", 2, 1), ("j", 3, 9)], "k string, id int, at int"), spark.createDataFrame([("k", 2, "x"), ("k", 5, "y"), ("k", 6, "z")], "k string, at int, v string")
+    assert {r.id: r.v for r in joins.asof_join(left, right, ["k"], "at", ["v"]).collect()} == {1: "y", 2: None, 3: None}
+    named = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("b", 2)], "s string, p int")
+    assert {r.s: r.p for r in joins.unambiguous(named, ["s"], "p").collect()} == {"a": 1, "b": None}
+
+
+def test_majorities(spark):
+    votes = spark.createDataFrame([("x", v) for v in "fffc"] + [("y", v) for v in "ffc"] + [("z", None)], "g string, v string")
+    assert {(r.g, r.v) for r in groups.majority(votes, ["g"], "v").collect()} == {("x", "f")}
+
+
+def test_specs_refuse_what_they_cannot_honour(spark):
+    facts = star_schema_facts(spark, "/root/testdata/sf0.001")
+    with pytest.raises(NotExpressible):
+        compiled(QuerySpec("sessions", groups=("BUILDING",)), facts)
+    with pytest.raises(NotExpressible):
+        compiled(QuerySpec("no such form"), facts)
+    with pytest.raises(NotExpressible):
+        compiled(QuerySpec("count", subject=True), facts)
+    part = compiled(QuerySpec("ratio", subset=("F",)), facts).first()
+    assert 0 < part.part < part.total and len(FORMS) > 25
+    assert compiled(QuerySpec("list", limit=3), facts).count() == 3 and compiled(QuerySpec("last"), facts).count() == 5
+
+
+def test_vectors(spark):
+    rows = [(k, [float(k % 7) - 3, float(k % 5) - 2, 1.0]) for k in range(200)] + [(500, [0.0, 0.0, 0.0]), (501, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = nearest(df, df.where("vec_id in (3, 10)"), k=4, block_queries=1)
+    own = df.alias("q").join(df.alias("v")).where("q.vec_id in (3, 10)").select(F.col("q.vec_id").alias("q"), F.col("v.vec_id").alias("v"), (1 - cosine("q.embedding", "v.embedding")).alias("d")).where("d is not null").collect()
+    for q in (3, 10):
+        exact = sorted((round(r.d, 9), r.v) for r in own if r.q == q)[:4]
+        assert [(round(abs(r.distance), 9), r.vec_id) for r in got.where(f"query_id = {q}").orderBy("rank").collect()] == [(abs(d), v) for d, v in exact]
+    prototypes = spark.createDataFrame([("up", [0.0, 0.0, 1.0])], "name string, embedding array<double>")
+    marked = {r.vec_id: r.prototype for r in assign_prototypes(df, prototypes).collect()}
+    assert marked[500] is None and marked[501] is None and marked[17] == "up" and len(marked) == len(rows)
+
+
+def test_retrieval_gates(spark):
+    ranked = spark.createDataFrame([(1, "semantic", 0.005, False), (2, "keyword", 0.02, True)], "frag_id long, channel string, score double, is_filler boolean")
+    assert retrieval.relevant(ranked).count() == 0 and retrieval.relevant(ranked.withColumn("score", F.col("score") * 10)).count() == 2
+    candidates = spark.createDataFrame([(1, "semantic"), (2, "keyword"), (3, "semantic")], "frag_id long, channel string")
+    scored = spark.createDataFrame([(1, 0.4)], "frag_id long, score double")
+    assert {(r.frag_id, r.score) for r in retrieval.with_fillers(scored, candidates).collect()} == {(1, 0.4), (2, 0.02)}
+    topics = spark.createDataFrame([("a", 2020, 30.0), ("b", 2020, 8.0), ("c", 2021, 12.0), ("d", 2021, 3.0)], "topic string, year int, score double")
+    assert {r.topic for r in retrieval.topics(topics).collect()} == {"a", "c"}
+
+
+def test_chunks(spark):
+    text = "".join(random.Random(3).choices(["word ", "longer sentence. ", "x\n", "para\n\n", "y" * 50], k=800))
+    pieces = list(cut(text, 300, 40))
+    assert all(len(c) <= 300 and text[s : s + len(c)] == c for s, c in pieces) and pieces[-1][0] + len(pieces[-1][1]) == len(text)
+    rebuilt = pieces[0][1]
+    for s, c in pieces[1:]:
+        rebuilt += c[len(rebuilt) - s :]
+    assert rebuilt == text
+    assert joined(["the quick brown fox jumps over", "quick brown fox jumps over it", "new"]) == "the quick brown fox jumps over itnew"
+    assert chunks(spark.createDataFrame([(1, None), (2, ""), (3, "a")], "k long, t string"), "k", "t").count() == 1
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "in" / "2020").mkdir(parents=True)
+    (tmp_path / "in" / "2020" / "01-02-2020_x.txt").write_text("page one\fpage two\n")
+    (tmp_path / "in" / "empty.txt").write_text("  \f \n")
+    pages = files.pages_of(files.read_texts(spark, str(tmp_path / "in")))
+    assert pages.count() == 4 and [r.file for r in files.without_text(pages).collect()] == ["empty.txt"]
+    better = spark.createDataFrame([("empty.txt", 2, "read")], "file string, page int, text string")
+    assert {r.text for r in files.with_recognised(pages, better).where("file = 'empty.txt'").collect()} == {"  ", "read"}
+    assert files.list_files(spark, str(tmp_path / "in"), "*.txt").count() == 2
+    table, source = str(tmp_path / "table"), spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    assert files.append_new(source, table, "k") == 2 and files.append_new(source.union(spark.createDataFrame([(3, "c")], source.schema)), table, "k") == 1
+    files.replace_years(spark.createDataFrame([(1, 2020), (2, 2021)], "k int, y int"), str(tmp_path / "years"), F.col("y"))
+    files.replace_years(spark.createDataFrame([(9, 2021)], "k int, y int"), str(tmp_path / "years"), F.col("y"))
+    assert {(r.k, r.year) for r in spark.read.parquet(str(tmp_path / "years")).collect()} == {(1, 2020), (9, 2021)}
+    (tmp_path / "lines.json").write_text('{"k": 1}\nnot json\n')
+    rows = files.read_json_lines(spark, str(tmp_path / "lines.json"), spark.createDataFrame([], "k long").schema).collect()
+    assert {(r.k, r._corrupt_record) for r in rows} == {(1, None), (None, "not json")}
+    lines = [r.value for r in files.triples(spark.createDataFrame([(1, 'a "b"', None)], "id int, label string, x date"), "id", "Point", "http://example.org/").collect()]
+    assert lines[1] == '<http://example.org/Point/1> <http://example.org/label> "a \\"b\\"" .' and len(lines) == 2
+    assert [r.v for r in spark.createDataFrame([('a/b: "c"?.pdf',)], "n string").select(files.safe_name("n").alias("v")).collect()] == ["ab c.pdf"]
+
+
+def test_quality(spark):
+    df = spark.createDataFrame([(1, 5), (2, None), (3, -1)], "k int, v int")
+    assert [(r.key, r.rule) for r in quality.violations(df, "k", {"positive": F.col("v") > 0}).collect()] == [("3", "positive")]
+    assert quality.dangling(df, "v", df, "k").count() == 2 and quality.repeated(df.union(df), ["k"]).count() == 3
+
+
+def test_streams_equal_batches(spark, tmp_path):
+    source = "/root/testdata/sf0.001/events.parquet"
+    batch = spark.read.parquet(source)
+    (tmp_path / "in").mkdir()
+    batch.repartition(3).write.parquet(str(tmp_path / "in" / "a"))
+    stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in" / "*"))
+    once = streams.deduplicated(stream, "event_id", late="40 days")
+    for k in range(2):
+        streams.append_incrementally(once, str(tmp_path / "out"), "event_id", str(tmp_path / f"checkpoint{k}")).awaitTermination()  # the second run sees the same events again
+    assert spark.read.parquet(str(tmp_path / "out")).count() == batch.count()
+    query = streams.windowed(stream, late="40 days").writeStream.format("memory").queryName("hours").outputMode("complete").start()
+    query.processAllAvailable()
+    query.stop()
+    assert {tuple(r) for r in spark.table("hours").select("start", "event_type", "n").collect()} == {tuple(r) for r in streams.windowed(batch).select("start", "event_type", "n").collect()}
