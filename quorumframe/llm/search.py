@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from quorumframe.llm.common import materialise
 
 _SEGMENTS, _WIDTH = 4, 16
+#: Parts that a code which very many vectors share is dealt to first.
+_SALTS = 128
 _FLIPS = [np.array([sum(1 << b for b in bits) for bits in combinations(range(_WIDTH), r)], np.uint16) for r in range(_WIDTH + 1)]
 
 
@@ -103,6 +105,10 @@ def _searching(block, k: int, chunk: int):
     return run
 
 
+def _smallest(codes: DataFrame, k: int, *keys: str) -> DataFrame:
+    return codes.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("vec_id"))).where(F.col("n") <= k).drop("n")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, chunk_codes: int = 500_000, block_queries: int = 20_000) -> DataFrame:
     """The k vectors nearest to each query by the Hamming distance of their codes.
 
@@ -112,7 +118,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, chunk_codes: i
     """
     spark = vectors.sparkSession
     codes = materialise(binary_codes(vectors), "codes")
-    few = codes.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("vec_id"))).where(F.col("n") <= k)
+    few = _smallest(_smallest(codes.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(_SALTS))), k, "code", "salt"), k, "code")
     index = materialise(few.groupBy("code").agg(F.sort_array(F.collect_list("vec_id")).alias("members")), "index")
     asked = materialise(binary_codes(queries).withColumnRenamed("vec_id", "query_id"), "queries")
     wanted = materialise(asked.select("code").distinct(), "wanted")
