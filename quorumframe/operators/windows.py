@@ -38,10 +38,27 @@ def first_seen(df: DataFrame, key: Keys, order: Keys) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_rank = 1").drop("_rank")
 
 
-def even_sample(df: DataFrame, partition: Keys, order: Keys, k: int) -> DataFrame:
-    """k rows spread evenly from first to last of each partition: rank round(i * (n - 1) / (k - 1)), halves to even."""
-    ordered = Window.partitionBy(*partition).orderBy(*order)
-    df = df.withColumn("_rank", F.row_number().over(ordered) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*partition)))
+def even_sample(df: DataFrame, partition: Keys, order: Keys, k: int, *, coarse: str | None = None) -> DataFrame:
+    """k rows spread evenly from first to last of each partition: rank round(i * (n - 1) / (k - 1)), halves to even.
+
+    A partition that is too large for one task is ranked by way of coarse, a column of
+    few values that comes first in the order, such as a date: rows are ranked within
+    its values, and only their counts are added up.
+    """
+    if coarse is None:
+        ordered = Window.partitionBy(*partition).orderBy(*order)
+        df = df.withColumn("_rank", F.row_number().over(ordered) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*partition)))
+    else:
+        keys = [*partition, coarse]
+        by_value = Window.partitionBy(*(f"_{c}" for c in partition)).orderBy(f"_{coarse}")
+        counts = df.groupBy(*(F.col(c).alias(f"_{c}") for c in keys)).agg(F.count("*").alias("_m"))
+        counts = counts.withColumn("_before", F.sum("_m").over(by_value.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m")).withColumn("_n", F.sum("_m").over(Window.partitionBy(*(f"_{c}" for c in partition))))
+        same = F.lit(True)
+        for c in keys:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        within = Window.partitionBy(*keys).orderBy(*order)
+        columns = df.columns
+        df = df.join(counts, same).withColumn("_rank", F.col("_before") + F.row_number().over(within) - 1).select(*columns, "_rank", "_n")
     if k == 1:
         return df.where("_rank = 0").drop("_rank", "_n")
     steps = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(k - 1)).cast("int"))
@@ -61,8 +78,9 @@ def round_robin(df: DataFrame, lists: str, order: Sequence[Column | str], k: int
 
 def temporal_diversity(df: DataFrame, period: str, score: str, tie: str, *, share: float = 0.9, limit: int = 15) -> DataFrame:
     """The best of each period, and others that reach share of it; the best of all of these."""
-    best = F.first(score).over(Window.partitionBy(period).orderBy(F.desc(score), tie))
-    return df.withColumn("_best", best).where(F.col(score) >= share * F.col("_best")).drop("_best").orderBy(F.desc(score), tie).limit(limit)
+    best = df.groupBy(F.col(period).alias("_period")).agg(F.max(score).alias("_best"))
+    met = df.join(best, F.col(period).eqNullSafe(F.col("_period"))).where(F.col(score) >= share * F.col("_best"))
+    return met.drop("_period", "_best").orderBy(F.desc(score), tie).limit(limit)
 
 
 def relative_threshold(df: DataFrame, score: str, *, share: float = 0.4, least: float = 4.0, override: Column | None = None) -> DataFrame:

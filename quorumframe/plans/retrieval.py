@@ -36,8 +36,8 @@ def keyword_channel(fragments: DataFrame, phrases: list[str], *, rarest: int = 3
 
 def thematic_channel(fragments: DataFrame, theme: Column, *, k: int = 40) -> DataFrame:
     """frag_id, rank: fragments of a theme, spread evenly over time."""
-    held = fragments.where(theme).select("frag_id", "date", F.lit(0).alias("_all"))
-    spread = even_sample(held, ["_all"], ["date", "frag_id"], k) if k else held
+    held = fragments.where(theme).select("frag_id", "date", F.lit(0).alias("all"))
+    spread = even_sample(held, ["all"], ["date", "frag_id"], k, coarse="date")
     return spread.select("frag_id", F.row_number().over(Window.orderBy("date", "frag_id")).alias("rank"))  # k rows
 
 

@@ -21,6 +21,15 @@ def test_even_samples_hold_first_and_last(spark):
         assert sorted(r.i for r in windows.even_sample(df, ["g"], ["i"], k).collect()) == ranks
 
 
+def test_even_samples_by_way_of_a_coarse_column(spark):
+    draw = random.Random(6)
+    rows = [(draw.choice("ab"), draw.choice([None, 1, 2, 3, 4]), k) for k in range(300)] + [("c", 1, 0)]
+    df = spark.createDataFrame(rows, "g string, d int, i int")
+    for k in (1, 2, 7, 500):
+        plain = windows.even_sample(df, ["g"], ["d", "i"], k).collect()
+        assert sorted(map(str, windows.even_sample(df, ["g"], ["d", "i"], k, coarse="d").collect())) == sorted(map(str, plain))
+
+
 def test_islands_and_diversity(spark):
     runs = spark.createDataFrame([(1, i, w) for i, w in ((2, 1), (3, 1), (9, 5), (10, 5), (11, 5))], "g int, i int, w int")
     assert sorted(r.i for r in windows.longest_island(runs, ["g"], "i", F.col("w")).collect()) == [9, 10, 11]
