@@ -21,6 +21,7 @@ class Facts:
     point: point_id, session_date, year, month, title, point_type, group_id, person_id, place_id, result, amount
     point_theme: point_id, theme_id;  theme: theme_id, label, parent_id (null: a root)
     group_vote: point_id, group_id, direction;  vote: point_id, ord, group_id, direction, is_decisive
+    person_vote: point_id, person_id, direction;  signer: point_id, person_id
     amendment: amendment_id, point_id, group_id, result
     speech: speech_id, point_id, ord, speaker, group_id, summary
     place: place_id, label, district_id;  district: district_id, label
@@ -32,6 +33,8 @@ class Facts:
     point_theme: DataFrame | None = None
     group_vote: DataFrame | None = None
     vote: DataFrame | None = None
+    person_vote: DataFrame | None = None
+    signer: DataFrame | None = None
     amendment: DataFrame | None = None
     speech: DataFrame | None = None
     place: DataFrame | None = None
@@ -76,6 +79,8 @@ def star_schema_facts(spark: SparkSession, folder: str) -> Facts:
         point_theme=line.select(F.col("l_orderkey").alias("point_id"), F.col("s_nationkey").alias("theme_id")).distinct(),
         group_vote=vote.select("point_id", "group_id", "direction").distinct(),
         vote=vote,
+        person_vote=line.select(F.col("l_orderkey").alias("point_id"), F.col("l_suppkey").alias("person_id"), F.col("l_returnflag").alias("direction")).distinct(),
+        signer=line.where("l_linenumber = 1").select(F.col("l_orderkey").alias("point_id"), F.col("l_suppkey").alias("person_id")).distinct(),
         amendment=line.where("l_linestatus = 'F'").select(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("amendment_id"), F.col("l_orderkey").alias("point_id"), F.col("s_nationkey").alias("group_id"), F.col("l_returnflag").alias("result")),
         speech=said.select((F.col("conv_id") * 1000 + F.col("turn")).alias("speech_id"), F.col("conv_id").alias("point_id"), F.col("turn").alias("ord"), F.col("role").alias("speaker"), F.when(F.col("role") != "system", F.col("role")).alias("group_id"), F.col("text").alias("summary")),
         place=nation.select(F.col("n_nationkey").alias("place_id"), F.col("n_name").alias("label"), F.col("n_regionkey").alias("district_id")),

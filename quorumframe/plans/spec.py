@@ -280,6 +280,24 @@ def _(spec, facts, hits):
     return ranked(cast, "group_id", "direction")
 
 
+@form("person_votes", "voters", "direction", limit=20)
+def _(spec, facts, hits):
+    """How often each person voted in each direction; voters are persons here."""
+    votes = facts.person_vote.where(F.col("direction") == spec.direction) if spec.direction else facts.person_vote
+    votes = votes.where(F.col("person_id").isin(*spec.voters)) if spec.voters else votes
+    return ranked(votes.join(selected(spec, facts, hits).select("point_id"), "point_id", "left_semi"), "person_id", "direction")
+
+
+@form("rank_signers", limit=15)
+def _(spec, facts, hits):
+    return ranked(facts.signer.join(selected(spec, facts, hits).select("point_id"), "point_id", "left_semi"), "person_id")
+
+
+@form("group_year")
+def _(spec, facts, hits):
+    return counted(selected(spec, facts, hits).where("group_id is not null"), "group_id", "year").orderBy("group_id", "year")
+
+
 @form("coauthors")
 def _(spec, facts, hits):
     """Pairs of groups that amend the same point, by the number of such points."""

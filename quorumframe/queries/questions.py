@@ -79,6 +79,9 @@ _register(
     """SELECT s_nationkey AS group_id, l_returnflag AS direction, count(DISTINCT l_orderkey) AS n FROM line
 WHERE s_nationkey IN (1, 2, 3) AND l_orderkey IN (SELECT point_id FROM point WHERE EXISTS (SELECT 1 FROM line AS t JOIN nation ON t.s_nationkey = n_nationkey WHERE t.l_orderkey = point_id AND n_regionkey = 1)) GROUP BY 1, 2""",
 )
+_register("person_votes", QuerySpec("person_votes", direction="R", years=(1997, 1999)), "SELECT l_suppkey AS person_id, l_returnflag AS direction, count(DISTINCT l_orderkey) AS n FROM line JOIN point ON l_orderkey = point_id WHERE l_returnflag = 'R' AND year BETWEEN 1997 AND 1999 GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 20")
+_register("rank_signers", QuerySpec("rank_signers", groups=("MACHINERY",)), "SELECT l_suppkey AS person_id, count(DISTINCT l_orderkey) AS n FROM line JOIN point ON l_orderkey = point_id WHERE l_linenumber = 1 AND group_id = 'MACHINERY' GROUP BY 1 ORDER BY n DESC, 1 LIMIT 15")
+_register("group_year", QuerySpec("group_year", results=("F",)), "SELECT group_id, year, count(DISTINCT point_id) AS n FROM point WHERE result = 'F' GROUP BY 1, 2")
 _AMENDED = ", own AS (SELECT DISTINCT l_orderkey AS point_id, s_nationkey AS group_id FROM line WHERE l_linestatus = 'F' AND l_orderkey IN (SELECT point_id FROM point))"
 _register("coauthorship", QuerySpec("coauthors"), _AMENDED + " SELECT a.group_id AS one, b.group_id AS other, count(DISTINCT point_id) AS n FROM own AS a JOIN own AS b USING (point_id) WHERE a.group_id < b.group_id GROUP BY 1, 2")
 _DISTINCT_LINES = "(SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, s_nationkey FROM line WHERE l_linestatus = 'F')"
