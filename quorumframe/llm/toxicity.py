@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorumframe.llm.common import materialise
 from quorumframe.llm.decontaminate import words_of
 
 # Function words of the four languages.
@@ -215,7 +216,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30
     return weights
 
 
-def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = 20_000, least_docs: int = 4, least_weight: float = 2.0, most_terms: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = 20_000, least_docs: int = 4, least_weight: float = 2.0, most_terms: int = 20_000, sample_files: int = 32) -> Model:
     """Learn from at most most_rows labelled documents, drawn by hash, none of them held out.
 
     Without labelled documents of both kinds the model knows no terms and gives
@@ -225,6 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = 20_000, least_
     ids = labels.where("doc_id is not null and toxic is not null").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2)
     ids = ids.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")  # bounded by most_rows
+    rows = materialise(rows.repartition(sample_files), "labelled")  # so the corpus is read once, not for every figure below
     totals = {r["toxic"] == 1: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(True, 0), totals.get(False, 0)
     width = 3 + len(PATTERNS)
