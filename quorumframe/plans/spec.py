@@ -13,6 +13,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorumframe.operators.joins import interval_join
 from quorumframe.plans.facts import Facts
 
 #: Results that count as approved.
@@ -153,8 +154,7 @@ def _(spec, facts, hits):
 
 @form("rank_term", limit=6)
 def _(spec, facts, hits):
-    points = selected(spec, facts, hits)
-    return ranked(points.join(facts.term, (points["session_date"] >= facts.term["start"]) & (points["session_date"] < facts.term["end"])), "term_id")
+    return ranked(interval_join(selected(spec, facts, hits), facts.term, "session_date", "start", "end", closed=False), "term_id")
 
 
 @form("rank_year", limit=10)
