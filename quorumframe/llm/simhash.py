@@ -253,7 +253,11 @@ def one_of_each(docs: DataFrame, *, shingle: int = 3, reach: int = 3) -> DataFra
     component without any doc_id keeps one row likewise.
     """
     marked = materialise(fingerprints(docs, shingle), "fingerprints")
-    named = _named(marked, reach)
+    return first_of_each(docs, marked, _named(marked, reach))
+
+
+def first_of_each(docs: DataFrame, marked: DataFrame, named: DataFrame) -> DataFrame:
+    """One row of docs for each component: marked has doc_id, fp and text_hash of each row, named the component of each fp."""
     # the least (doc_id, hash) of a fingerprint, then of a component: both are combined before the shuffle
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("least")
     first = marked.groupBy("fp").agg(least).join(named, "fp").groupBy("component").agg(F.min("least").alias("least"))
