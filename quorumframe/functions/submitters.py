@@ -5,63 +5,85 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quorumframe.functions.minutes import UNKNOWN, known_group
-from quorumframe.functions.text import col, folded
+from quorumframe.functions.decisions import any_of
+from quorumframe.functions.minutes import UNKNOWN, group_mark, group_name, known_group, title_letters, title_phrase
+from quorumframe.functions.text import col, folded, without_spaces
 
 EXECUTIVE = "EQUIPO DE GOBIERNO"
 
-
-def _torn(word: str) -> str:
-    """A pattern for a word that a scan may have torn apart."""
+#: Words after which a text names the group that submits it, folded, without spaces.
+CUES = ("presentaelgrupo", "presentanlosgrupos", "formulaelgrupo", "formulanlosgrupos", "presentadaporelgrupo", "presentadoporelgrupo", "presentadaporlosgrupos", "delgrupo", "delosgrupos")
+#: Words before which it does.
+CUES_AFTER = ("udaltalde",)
+#: Names that mean a group wherever they stand, as words of folded text.
+NAMES = ("eh bildu", "euskal herria bildu", "herri batasuna", "elkarrekin", "goazen", "ezker batua", "izquierda unida", "pse ee", "partido socialista", "sozialista abertzaleak", "grupo socialista", "eaj pnv", "partido nacionalista vasco", "partido popular", "grupo popular", "p p", "pp", "udalberri", "aralar", "vox", "equipo de gobierno", "gobierno municipal", "gorbernu taldea", "grupo mixto")
+#: Names that are common words unless they are written with capitals, and what stands before them then.
+CAPITAL_NAMES = {"ELKARREKIN BILBAO": r"\bBilbao en Com[uú]n\b", "CIUDADANOS": r"(?<=[\p{Ll},] )Ciudadanos\b|\bCIUDADANOS\b(?=.*\p{Ll})"}
+#: Openings of titles that the executive submits, folded, without spaces.
+EXECUTIVE_OPENINGS = ("propuesta", "proposamen", "laalcald", "medianteacuerdo", "mediantedecreto", "elareade", "elplenodelacorporacion", "elexcmoayuntamientopleno", "elexcelentisimoayuntamientopleno", "lajuntadegobierno", "elarticulo", "daciondecuenta")
+#: Types of points, as title_phrase tells them, that nobody in the council submits.
+NOBODYS = ("tramite", "proposicion_ciudadana", "informe_iniciativa", "enmienda_articulado")
+
+
+def torn_pattern(word: str) -> str:
+    """A pattern for a word that a scan may have torn apart anywhere."""
     return r"\s?".join(word)
 
 
-# How a title names the group that submits it, in the order in which it is
-# looked for, with how far into the text; matched against folded text.
-GROUP_PHRASES: tuple[tuple[str, int], ...] = (
-    (rf"(?:{_torn('que')} (?:{_torn('presenta')}|{_torn('formula')})n? (?:{_torn('el')}|{_torn('los')})|{_torn('presenta')}d[ao] por (?:{_torn('el')}|{_torn('los')})|del|de la|de los) {_torn('grupo')}s? (?:politicos? )?(?:municipal(?:es)? )?(.{{3,60}}?)(?: ?,|\.|cuya|presenta|\bque\b|$)", 600),
-    (r"^(.{3,60}?) udal talde(?:ak|ek)? aurkezten", 600),
-    (r"proposizioa[,:]? (.{3,60}?) udal tald", 600),
-    (r"\b(eh[ -]?bildu|herri batasuna|euskal herria bildu|elkarrekin|goazen|ezker batua|izquierda unida|pse[- ]?ee|partido socialista|sozialista abertzaleak|grupo socialista|eaj[- ]?pnv|partido nacionalista vasco|partido popular|grupo popular|p\.?p\.?|udalberri|aralar|vox|equipo de gobierno|gobierno municipal|gorbernu taldea|grupo mixto)\b", 900),
-)
-#: Titles that no group submits, and those of the executive.
-NO_GROUP = r"aprobar.{0,90}actas? de l ?a ?s? sesion|toma de posesion|toma de conocimiento.{0,60}renuncia|se da lectura.{0,60}renuncia|(declaracion|ratificacion) de (la )?u ?r ?g ?e ?n ?c ?i ?a|proposicion vecinal|proposicion.{0,80}presentad[ao] (por )?(don|dona)\b|proposicion.{0,80}de la asociacion|proposicion.{0,80}presentad[ao].{0,60}asociacion|^\d+[.-]? ?proposicion d ?e fecha|resultado de las? .{0,20}elecciones municipales|premiazko"
-REPORTED = r"^-? ?\d+[.-]? ?se da cuenta"
-EXECUTIVE_TITLES = r"^el articulo \d|^el exc(m|elentisim)o\.? ayuntamiento pleno|^la junta de gobierno|^\d*[.-]? ?(la alcald|mediante acuerdo|el area de|dacion de cuenta|el pleno de la corporacion)"
-
-
-def submitting_group(title: Column | str, text: Column | str) -> Column:
-    """The canonical group that submits a point, by its title first, then by the beginning of its text; unknown if nobody is named."""
-    said, body = folded(F.coalesce(col(title), F.lit(""))), folded(F.coalesce(col(text), F.lit("")))
-    tight = F.upper(F.replace(F.concat(said, F.substring(body, 1, 300)), F.lit(" "), F.lit("")))
-    named = []
-    for pattern, upto in GROUP_PHRASES:
-        for source in (said, F.substring(body, 1, upto)):
-            group = known_group(F.regexp_replace(F.regexp_extract(source, pattern, 1), r" ?[,y] (eh|pp|pse|eaj|elk|goa|uda).*$", ""))
-            named.append(F.when(group != UNKNOWN, group))
-    proposal = said.rlike(r"^[.-]? ?\d*[.-]* ?(propuesta|proposamena)\b") & ~said.rlike(r"(propuesta|proposamena) ?[,:]? de enmienda\b|(enmienda|modificaci ?on) n ?u ?mero")
-    executive = F.when(proposal | said.rlike(EXECUTIVE_TITLES), EXECUTIVE)
-    reported = F.when(tight.rlike("ALCALD|GOBIERN|GORBERNU|DELEGA|ORDENFORAL"), EXECUTIVE).otherwise(UNKNOWN)
-    return F.when(said.rlike(NO_GROUP), UNKNOWN).when(said.rlike(REPORTED), reported).otherwise(F.coalesce(*named, executive, F.lit(UNKNOWN)))
-
-
-_CAPITAL = "A-ZÁÉÍÓÚÑ"
-_UPTO = r"(?:\s*,|\.|\s+mediante|\s+para\s+(?:pedir|solicitar)|\s+en\s+la\s+que|\s+relativa\s+a|\s+denominada|\s+en\s+representaci[oó]n|\s+correspondiente|$)"
-_ORGANISATION = rf"((?:(?i:asociaci[oó]n|ampa)\s+[{_CAPITAL}0-9]|(?i:comunidad\s+de\s+propietarios)\s+(?:de\s+)?[{_CAPITAL}0-9]).{{1,68}}?){_UPTO}"
-_PERSON = rf"(?i:don|do[ñn]a)\s+([{_CAPITAL}][\wáéíóúñÁÉÍÓÚÑ.'-]+(?:\s+[{_CAPITAL}][\wáéíóúñÁÉÍÓÚÑ.'-]+){{0,4}}?){_UPTO}"
+def _named(c: Column) -> Column:
+    """The group that a text names after or before a cue, else by a name that means no other thing, else by one with its capitals."""
+    tight = without_spaces(F.regexp_replace(c, r"(?i)\bp\.\s?p\.?", "PP "))
+    after = F.regexp_extract(tight, any_of(CUES) + r"(?:politicos?)?(?:municipal(?:es)?)?([^,;.]{2,60})", 2)
+    before = F.regexp_extract(tight, rf"([^;.]{{3,60}}?){any_of(CUES_AFTER)}", 1)
+    line = F.concat(F.lit(" "), F.regexp_replace(folded(c), "[^a-z0-9]+", " "), F.lit(" "))
+    name = F.regexp_substr(line, F.lit(f" {any_of(NAMES)} "))
+    capital = [F.when(c.rlike(pattern), group) for group, pattern in CAPITAL_NAMES.items()]
+    found = [F.when(known_group(x) != UNKNOWN, known_group(x)) for x in (after, before)]
+    return F.coalesce(*found, F.when(name.isNotNull(), known_group(F.trim(name))), *capital)
+
+
+def submitting_group(title: Column | str, text: Column | str, *, upto: int = 900) -> Column:
+    """The canonical group that submits a point, by its title first, then by the beginning of its text; unknown if nobody is named.
+
+    Formalities and what citizens submit belong to no group, what is reported only to
+    the executive if the report is its own.
+    """
+    title, body = F.coalesce(col(title), F.lit("")), F.substring(F.coalesce(col(text), F.lit("")), 1, upto)
+    told, letters = title_phrase(title), title_letters(title)
+    by_executive = F.regexp_replace(letters, "[^a-z]", "").rlike("^" + any_of(EXECUTIVE_OPENINGS))
+    reported = F.when(group_mark(F.concat(title, F.lit(" "), body)).isin("ALCALD", "GOBIERNO", "EQUIPODEGOBIERNO", "GORBERNU") | letters.rlike("delega|ordenforal"), EXECUTIVE)
+    return (
+        F.when(told.isin("tramite", "informe_iniciativa") | ((told == "proposicion_ciudadana") & _named(title).isNull()), UNKNOWN)
+        .when(told == "dacion_cuenta", F.coalesce(reported, F.lit(UNKNOWN)))
+        .otherwise(F.coalesce(_named(title), _named(body), F.when(by_executive & ~F.coalesce(told.isin(*NOBODYS), F.lit(False)), EXECUTIVE), F.lit(UNKNOWN)))
+    )
+
+
+#: Words that a private submitter's name begins with or follows, and words that end it.
+ORGANISATIONS = ("asociación", "asociacion", "ampa", "comunidad de propietarios", "plataforma", "federación", "federacion", "coordinadora", "fundación", "fundacion")
+PERSONS = ("don", "doña", "dona")
+NAME_ENDS = (",", r"\.", " mediante ", " para pedir ", " para solicitar ", " en la que ", " relativa a ", " denominada ", " en representación ", " en representacion ", " correspondiente ")
+_CAPITAL_WORDS = r"^\p{Lu}[\p{L}.'-]+(?: \p{Lu}[\p{L}.'-]+){0,4}"
 
 
 def private_submitter(title: Column | str) -> Column:
-    """name and kind (organizacion or persona) of a private submitter; null if none is named or the name was blackened with #."""
-    title = F.coalesce(col(title), F.lit(""))
-    each = [(F.btrim(F.regexp_extract(title, pattern, 1)), kind) for pattern, kind in ((_ORGANISATION, "organizacion"), (_PERSON, "persona"))]
-    return F.coalesce(*(F.when((name != "") & ~name.contains("#"), F.struct(name.alias("name"), F.lit(kind).alias("kind"))) for name, kind in each))
+    """name and kind (organizacion or persona) of a private submitter; null if none is named or the name was blackened with #.
+
+    An organisation's name goes from its kind to the next words that end it; a person's
+    is made of the capitalised words after the title of courtesy.
+    """
+    flat = F.regexp_replace(F.coalesce(col(title), F.lit("")), r"\s+", " ")
+    cut = lambda c: F.btrim(F.element_at(F.split(c, "|".join(NAME_ENDS), 2), 1))
+    organisation = cut(F.regexp_extract(flat, rf"((?i:\b{any_of(ORGANISATIONS)} (?:de )?)[\p{{Lu}}0-9].*)", 1))
+    person = F.regexp_extract(cut(F.regexp_extract(flat, rf"(?i:\b{any_of(PERSONS)} )(\p{{Lu}}.*)", 2)), _CAPITAL_WORDS, 0)
+    each = [(organisation, "organizacion"), (person, "persona")]
+    return F.coalesce(*(F.when((name != "") & (F.length(name) <= 90) & ~name.contains("#"), F.struct(name.alias("name"), F.lit(kind).alias("kind"))) for name, kind in each))
 
 
 def group_in_disguise(name: Column | str) -> Column:
-    """Whether an entity's name is mostly that of a group: its match covers over two fifths of it."""
-    found = F.regexp_substr(folded(name), F.lit(GROUP_PHRASES[-1][0]))
-    return F.coalesce(F.length(found) / F.length(folded(name)) > 0.4, F.lit(False))
+    """Whether an entity's name is mostly that of a group: the word that names it covers over two fifths of it."""
+    covered = F.length(group_mark(name)) / F.length(without_spaces(name))
+    return F.coalesce((covered > 0.4) & (group_name(name) != UNKNOWN), F.lit(False))
 
 
 def surname_variants(name: Column | str) -> Column:

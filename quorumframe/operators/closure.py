@@ -2,28 +2,65 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorumframe.storage import materialise
+
+
+def transitive_closure(links: DataFrame, *, small_links: int = 500) -> DataFrame:
+    """All (child, parent) reachable over links (child, parent), each once; cycles end by themselves.
+
+    Null ends and loops to itself are left out. There is no bound on the depth. At
+    most small_links links, as in a taxonomy, are walked in the driver, whose result
+    is bounded by the square of that; more are joined in rounds on the executors.
+    """
+    links = links.where("child is not null and parent is not null and child <> parent").select("child", "parent").distinct()
+    few = links.limit(small_links + 1).collect()
+    if len(few) > small_links:
+        return _closure_by_rounds(links)
+    return links.sparkSession.createDataFrame(_reached([(r["child"], r["parent"]) for r in few]), links.schema)
+
 
-def transitive_closure(links: DataFrame, max_depth: int = 32) -> DataFrame:
-    """All (child, parent) reachable over links (child, parent); cycles end by themselves.
+def _reached(links: list[tuple]) -> list[tuple]:
+    above = defaultdict(set)
+    for child, parent in links:
+        above[child].add(parent)
+    pairs = []
+    for child in list(above):
+        seen, open_ends = {child}, [child]
+        while open_ends:
+            new = above.get(open_ends.pop(), set()) - seen
+            seen |= new
+            open_ends += new
+        pairs += [(child, parent) for parent in seen - {child}]
+    return pairs
 
-    The reach doubles with each round: known pairs are joined with themselves, so a
-    hierarchy of depth d takes about log2(d) rounds. Loops to itself are left out.
+
+def _closure_by_rounds(links: DataFrame) -> DataFrame:
+    """Round k knows all pairs less than 2^k links apart and those exactly 2^k apart.
+
+    A pair at a distance between them is one of the latter followed by one of the
+    former, so each is met a few times at most and depth d takes log2(d) rounds. Each
+    round is written down, so none is planned or computed again. Without a new pair in
+    a round there is none further away.
     """
-    known = links.where("child is not null and parent is not null and child <> parent").select("child", "parent").distinct()
-    size, depth = known.count(), 1
-    while depth < max_depth:
-        further = known.alias("a").join(known.alias("b"), F.col("a.parent") == F.col("b.child")).select(F.col("a.child").alias("child"), F.col("b.parent").alias("parent")).where("child <> parent")
-        known = known.unionByName(further).distinct()
-        grown = known.count()
-        if grown == size:
-            break
-        size, depth = grown, depth * 2
+    known, size = materialise(links, "closure"), 0
+    step = _composed(known, known)
+    while (grown := known.count()) > size:
+        size, step = grown, materialise(step, "closure-step")
+        known = materialise(known.unionByName(step).unionByName(_composed(step, known)).distinct(), "closure")
+        step = _composed(step, step)
     return known
 
 
+def _composed(first: DataFrame, second: DataFrame) -> DataFrame:
+    joined = first.alias("a").join(second.alias("b"), F.col("a.parent") == F.col("b.child"))
+    return joined.select(F.col("a.child").alias("child"), F.col("b.parent").alias("parent")).where("child <> parent").distinct()
+
+
 def chained(first: DataFrame, second: DataFrame, by: str) -> DataFrame:
     """The composition of two relations (a, by) and (by, c), each pair once."""
     return first.join(second, by).drop(by).distinct()
@@ -34,3 +71,10 @@ def typed(instances: DataFrame, subclasses: DataFrame) -> DataFrame:
     above = transitive_closure(subclasses)
     lifted = instances.join(above, F.col("class") == F.col("child")).select("id", F.col("parent").alias("class"))
     return instances.select("id", "class").unionByName(lifted).distinct()
+
+
+def typed_by_relation(relation: DataFrame, subject: str, object_: str, domain: str | None, range_: str | None) -> DataFrame:
+    """id and class that a relation's domain and range give to its two ends, each once; null ends have none."""
+    ends = [relation.select(F.col(c).alias("id"), F.lit(kind).alias("class")) for c, kind in ((subject, domain), (object_, range_)) if kind is not None]
+    found = ends[0] if len(ends) == 1 else ends[0].unionByName(ends[1])
+    return found.where("id is not null").distinct()

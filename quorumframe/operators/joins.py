@@ -56,6 +56,39 @@ def unambiguous(matches: DataFrame, key: Sequence[str], candidate: str) -> DataF
     return one.select(*key, F.when(F.col("_n") == 1, F.col("_one")).alias(candidate))
 
 
+def active_counts(dates: DataFrame, intervals: DataFrame, at: str, start: str, end: str) -> DataFrame:
+    """Each distinct date of dates with n, how many closed intervals hold it; n is never zero, other dates go.
+
+    Intervals that began by a date less those that ended before it: both are counted by
+    day first, so no pair of a date and an interval is ever made.
+    """
+    begun = intervals.where(F.col(start) <= F.col(end)).groupBy(F.col(start).alias("_d")).agg(F.count("*").alias("_n"))
+    ended = intervals.where(F.col(start) <= F.col(end)).groupBy(F.date_add(end, 1).alias("_d")).agg((-F.count("*")).alias("_n"))
+    asked = dates.select(F.col(at).alias("_d"), F.lit(0).cast("long").alias("_n")).where("_d is not null").distinct().withColumn("_asked", F.lit(True))
+    steps = begun.unionByName(ended).withColumn("_asked", F.lit(False)).unionByName(asked)
+    by_day = Window.orderBy("_d").rangeBetween(Window.unboundedPreceding, 0)  # three rows a day of the calendar at most
+    return steps.withColumn("n", F.sum("_n").over(by_day)).where("_asked and n > 0").select(F.col("_d").alias(at), "n")
+
+
+def named_at(asked: DataFrame, people: DataFrame, name: str, at: str, person: str, start: str, end: str, *, hint: str | None = None) -> DataFrame:
+    """asked, distinct, with the one person a name means at a date, and null where it is not one.
+
+    People of that name who are active then come before those who are not; where nobody
+    is active all of that name are meant. With hint, a column of both tables, people
+    whose hint agrees come before the others within that choice, and where none agrees
+    or the hint is null it says nothing. Names that nobody has go.
+    """
+    keys = [name, at, *([hint] if hint else [])]
+    own = people.select(F.col(name), F.col(person).alias("_person"), F.col(start).alias("_start"), F.col(end).alias("_end"), *([F.col(hint).alias("_hint")] if hint else []))
+    met = asked.select(*keys).distinct().join(own, name)
+    level = F.col(at).between(F.col("_start"), F.col("_end")).cast("int") * 2
+    level = F.coalesce(level, F.lit(0)) + (F.coalesce((F.col(hint) == F.col("_hint")).cast("int"), F.lit(0)) if hint else F.lit(0))
+    # for each level how many different people reach it, and one of them
+    by_level = met.groupBy(*keys, level.alias("_level")).agg(F.count_distinct("_person").alias("_n"), F.min("_person").alias("_one"))
+    best = by_level.groupBy(*keys).agg(F.max_by(F.struct("_n", "_one"), "_level").alias("_best"))
+    return best.select(*keys, F.when(F.col("_best._n") == 1, F.col("_best._one")).alias(person))
+
+
 def resume(source: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows of source that are not done yet; null keys were never done."""
     return source.join(done.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")

@@ -61,8 +61,8 @@ def even_sample(df: DataFrame, partition: Keys, order: Keys, k: int, *, coarse:
         df = df.join(counts, same).withColumn("_rank", F.col("_before") + F.row_number().over(within) - 1).select(*columns, "_rank", "_n")
     if k == 1:
         return df.where("_rank = 0").drop("_rank", "_n")
-    steps = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(k - 1)).cast("int"))
-    return df.where((F.col("_n") <= k) | F.array_contains(steps, F.col("_rank").cast("int"))).drop("_rank", "_n")
+    steps = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(k - 1)).cast("long"))
+    return df.where((F.col("_n") <= k) | F.array_contains(steps, F.col("_rank").cast("long"))).drop("_rank", "_n")
 
 
 def newest(df: DataFrame, partition: Keys, order: Sequence[Column | str], k: int) -> DataFrame:

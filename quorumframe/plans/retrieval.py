@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorumframe.functions.text import folded, literal_pattern
+from quorumframe.functions.text import literal_pattern, searchable
 from quorumframe.operators.windows import char_budget, even_sample, first_seen, newest
 
 #: How many candidates of each channel take part, in this order.
@@ -24,7 +24,7 @@ def keyword_channel(fragments: DataFrame, phrases: list[str], *, rarest: int = 3
 
     All phrases are counted in one pass; counts above cap are equal.
     """
-    text = folded("text")
+    text = searchable("text")
     hits = fragments.select(*(F.count_if(text.rlike(literal_pattern(p))).alias(str(k)) for k, p in enumerate(phrases))).first()
     chosen = sorted((k for k in range(len(phrases)) if hits[k]), key=lambda k: (min(hits[k], cap), -len(phrases[k]), phrases[k].lower()))[:rarest]
     found = fragments.select("frag_id", "date", F.explode(F.array_compact(F.array(*(F.when(text.rlike(literal_pattern(phrases[k])), F.lit(i)) for i, k in enumerate(chosen))) if chosen else F.array().cast("array<int>"))).alias("list"))

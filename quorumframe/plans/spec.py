@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass, fields
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,20 +51,41 @@ class QuerySpec:
 
 
 _POINT_CONDITIONS = {"themes", "groups", "opposition_to", "years", "dates", "on", "months", "results", "point_type", "unanimous", "subject"}
-FORMS: dict[str, tuple[Callable, set[str], int | None]] = {}
 
 
-def form(name: str, *more: str, limit: int | None = None, points: bool = True):
+class Form(NamedTuple):
+    build: Callable
+    honoured: set[str]
+    limit: int | None
+    limits_points: bool
+
+
+FORMS: dict[str, Form] = {}
+
+
+def form(name: str, *more: str, limit: int | None = None, points: bool = True, limits_points: bool = False):
+    """Registers a form: the conditions it honours beside those on points, and its usual limit of rows.
+
+    With limits_points the form itself applies the limit, to points, and what is joined to them stays whole.
+    """
+
     def register(build):
-        FORMS[name] = (build, (_POINT_CONDITIONS if points else set()) | set(more), limit)
+        FORMS[name] = Form(build, (_POINT_CONDITIONS if points else set()) | set(more), limit, limits_points)
         return build
 
     return register
 
 
-def selected(spec: QuerySpec, facts: Facts, hits: DataFrame | None = None) -> DataFrame:
-    """The propositions that meet the conditions; with hits (point_id, relation) also the relation."""
-    points = facts.propositions
+#: The column of a point that a condition needs, where it is not of the same name.
+_COLUMN_OF = {"groups": "group_id", "opposition_to": "group_id"}
+
+
+def selected(spec: QuerySpec, facts: Facts, *columns: str, hits: DataFrame | None = None) -> DataFrame:
+    """The propositions that meet the conditions, with the columns asked for; with hits (point_id, relation) also the relation.
+
+    A point without a group is in no opposition: nobody is known to have submitted it.
+    """
+    points = facts.propositions({*columns, *(_COLUMN_OF.get(c, c) for c in spec.conditions())})
     simple: list[tuple[object, Column]] = [
         (spec.groups, F.col("group_id").isin(*spec.groups)),
         (spec.opposition_to, ~F.col("group_id").isin(*spec.opposition_to)),
@@ -78,7 +100,7 @@ def selected(spec: QuerySpec, facts: Facts, hits: DataFrame | None = None) -> Da
         if wanted:
             points = points.where(condition)
     if spec.themes:
-        points = points.join(facts.point_theme_closure.where(F.col("theme_id").isin(*spec.themes)), "point_id", "left_semi")
+        points = points.join(facts.treating(spec.themes), "point_id", "left_semi")
     if spec.unanimous:
         points = points.join(unanimous(facts.group_vote, *spec.unanimous), "point_id", "left_semi")
     if spec.subject:
@@ -97,12 +119,12 @@ def unanimous(group_vote: DataFrame, favour: str, against: str, abstain: str) ->
 def compiled(spec: QuerySpec, facts: Facts, hits: DataFrame | None = None) -> DataFrame:
     if spec.form not in FORMS:
         raise NotExpressible(f"no form {spec.form}")
-    build, honoured, limit = FORMS[spec.form]
-    if rest := spec.conditions() - honoured:
+    found = FORMS[spec.form]
+    if rest := spec.conditions() - found.honoured:
         raise NotExpressible(f"{spec.form} cannot honour {', '.join(sorted(rest))}")
-    out = build(spec, facts, hits)
-    limit = spec.limit if spec.limit is not None else limit
-    if limit is not None:
+    out = found.build(spec, facts, hits)
+    limit = spec.limit if spec.limit is not None else found.limit
+    if limit is not None and not found.limits_points:
         out = out.limit(limit)
     return out.withColumn("criterion", F.lit(spec.criterion)) if spec.criterion else out
 
@@ -118,59 +140,59 @@ def ranked(df: DataFrame, *keys: str, of: str = "point_id") -> DataFrame:
 
 @form("count")
 def _(spec, facts, hits):
-    return selected(spec, facts, hits).agg(F.count_distinct("point_id").alias("n"))
+    return selected(spec, facts, hits=hits).agg(F.count_distinct("point_id").alias("n"))
 
 
 @form("rank_group", limit=20)
 def _(spec, facts, hits):
-    return ranked(selected(spec, facts, hits).where("group_id is not null"), "group_id")
+    return ranked(selected(spec, facts, "group_id", hits=hits).where("group_id is not null"), "group_id")
 
 
 @form("breakdown_group")
 def _(spec, facts, hits):
-    return ranked(selected(spec, facts, hits).where("group_id is not null"), "group_id")
+    return ranked(selected(spec, facts, "group_id", hits=hits).where("group_id is not null"), "group_id")
 
 
 @form("rank_person", limit=15)
 def _(spec, facts, hits):
-    return ranked(selected(spec, facts, hits).where("person_id is not null"), "person_id")
+    return ranked(selected(spec, facts, "person_id", hits=hits).where("person_id is not null"), "person_id")
 
 
 @form("rank_place", limit=15)
 def _(spec, facts, hits):
-    return ranked(selected(spec, facts, hits).join(facts.place, "place_id"), "label")
+    return ranked(selected(spec, facts, "place_id", hits=hits).join(facts.place, "place_id"), "label")
 
 
 @form("rank_district", limit=15)
 def _(spec, facts, hits):
-    placed = selected(spec, facts, hits).join(facts.place.select("place_id", "district_id"), "place_id")
+    placed = selected(spec, facts, "place_id", hits=hits).join(facts.place.select("place_id", "district_id"), "place_id")
     return ranked(placed.join(facts.district, "district_id"), "label")
 
 
 @form("rank_session", limit=5)
 def _(spec, facts, hits):
-    return ranked(selected(spec, facts, hits).join(facts.session, "session_date"), "session_date", "type")
+    return ranked(selected(spec, facts, hits=hits).join(facts.session, "session_date"), "session_date", "type")
 
 
 @form("rank_term", limit=6)
 def _(spec, facts, hits):
-    return ranked(interval_join(selected(spec, facts, hits), facts.term, "session_date", "start", "end", closed=False), "term_id")
+    return ranked(interval_join(selected(spec, facts, hits=hits), facts.term, "session_date", "start", "end", closed=False), "term_id")
 
 
 @form("rank_year", limit=10)
 def _(spec, facts, hits):
-    return ranked(selected(spec, facts, hits), "year")
+    return ranked(selected(spec, facts, hits=hits), "year")
 
 
 @form("trend_year")
 def _(spec, facts, hits):
-    return counted(selected(spec, facts, hits), "year").orderBy("year")
+    return counted(selected(spec, facts, hits=hits), "year").orderBy("year")
 
 
 @form("theme_extreme", "direction", limit=1)
 def _(spec, facts, hits):
     """The theme treated most, or least if direction is least."""
-    by = counted(selected(spec, facts, hits).join(facts.point_theme, "point_id"), "theme_id")
+    by = counted(selected(spec, facts, hits=hits).join(facts.point_theme, "point_id"), "theme_id")
     return by.orderBy(F.asc("n") if spec.direction == "least" else F.desc("n"), "theme_id")
 
 
@@ -181,18 +203,18 @@ def listed(points: DataFrame) -> DataFrame:
 
 @form("list", limit=40)
 def _(spec, facts, hits):
-    return listed(selected(spec, facts, hits))
+    return listed(selected(spec, facts, "group_id", hits=hits))
 
 
 @form("exists", limit=10)
 def _(spec, facts, hits):
-    return listed(selected(spec, facts, hits))
+    return listed(selected(spec, facts, "group_id", hits=hits))
 
 
 @form("last", limit=6)
 def _(spec, facts, hits):
     """With a subject the three newest that treat it and the three that mention it; else the newest five."""
-    points = selected(spec, facts, hits)
+    points = selected(spec, facts, "group_id", hits=hits)
     if not spec.subject:
         return listed(points).limit(5)
     newest = [listed(points.where(F.col("relation") == r)).limit(3) for r in ("treats", "mentions")]
@@ -201,13 +223,13 @@ def _(spec, facts, hits):
 
 @form("amounts", limit=25)
 def _(spec, facts, hits):
-    return selected(spec, facts, hits).where("amount is not null").select("point_id", "session_date", "title", "amount", "person_id", "result").orderBy(F.desc("amount"), "point_id")
+    return selected(spec, facts, hits=hits).where("amount is not null").select("point_id", "session_date", "title", "amount", "person_id", "result").orderBy(F.desc("amount"), "point_id")
 
 
-@form("votes", "voters", "decisive")
+@form("votes", "voters", "decisive", limit=5, limits_points=True)
 def _(spec, facts, hits):
-    """The five newest points first, then all their votes; points without any stay."""
-    newest = listed(selected(spec, facts, hits)).limit(5 if spec.limit is None else spec.limit)
+    """The newest points first, then all their votes; points without any stay."""
+    newest = listed(selected(spec, facts, "group_id", hits=hits)).limit(FORMS["votes"].limit if spec.limit is None else spec.limit)
     votes = facts.vote.where("is_decisive") if spec.decisive else facts.vote
     votes = votes.select("point_id", F.col("ord"), F.col("group_id").alias("voter"), "direction")
     if spec.voters:
@@ -217,7 +239,7 @@ def _(spec, facts, hits):
 
 @form("contents", limit=60)
 def _(spec, facts, hits):
-    newest = listed(selected(spec, facts, hits)).limit(8)
+    newest = listed(selected(spec, facts, "group_id", hits=hits)).limit(8)
     said = facts.speech.select("point_id", "ord", "speaker", "summary")
     return newest.join(said, "point_id", "left").orderBy(F.desc("session_date"), "point_id", "ord")
 
@@ -246,12 +268,12 @@ def _(spec, facts, hits):
 
 @form("ratio", "subset")
 def _(spec, facts, hits):
-    return _with_share(selected(spec, facts, hits), spec, [])
+    return _with_share(selected(spec, facts, hits=hits), spec, [])
 
 
 @form("ratio_groups", "subset")
 def _(spec, facts, hits):
-    return _with_share(selected(spec, facts, hits), spec, ["group_id"]).orderBy(*(["group_id"]))
+    return _with_share(selected(spec, facts, "group_id", hits=hits), spec, ["group_id"]).orderBy(*(["group_id"]))
 
 
 def _with_share(points: DataFrame, spec: QuerySpec, keys: list[str]) -> DataFrame:
@@ -263,20 +285,20 @@ def _with_share(points: DataFrame, spec: QuerySpec, keys: list[str]) -> DataFram
 
 @form("rank_amendments", limit=10)
 def _(spec, facts, hits):
-    return ranked(selected(spec, facts, hits).select("point_id").join(facts.amendment, "point_id"), "group_id", of="amendment_id")
+    return ranked(selected(spec, facts, hits=hits).select("point_id").join(facts.amendment, "point_id"), "group_id", of="amendment_id")
 
 
 @form("count_amendments", "voters")
 def _(spec, facts, hits):
     own = facts.amendment.where(F.col("group_id").isin(*spec.voters)) if spec.voters else facts.amendment
-    return selected(spec, facts, hits).select("point_id").join(own, "point_id").agg(F.count_distinct("amendment_id").alias("n"))
+    return selected(spec, facts, hits=hits).select("point_id").join(own, "point_id").agg(F.count_distinct("amendment_id").alias("n"))
 
 
 @form("group_votes", "voters", "direction")
 def _(spec, facts, hits):
     votes = facts.group_vote.where(F.col("direction") == spec.direction) if spec.direction else facts.group_vote
     votes = votes.where(F.col("group_id").isin(*spec.voters)) if spec.voters else votes
-    cast = votes.join(selected(spec, facts, hits).select("point_id"), "point_id", "left_semi")
+    cast = votes.join(selected(spec, facts, hits=hits).select("point_id"), "point_id", "left_semi")
     return ranked(cast, "group_id", "direction")
 
 
@@ -285,23 +307,23 @@ def _(spec, facts, hits):
     """How often each person voted in each direction; voters are persons here."""
     votes = facts.person_vote.where(F.col("direction") == spec.direction) if spec.direction else facts.person_vote
     votes = votes.where(F.col("person_id").isin(*spec.voters)) if spec.voters else votes
-    return ranked(votes.join(selected(spec, facts, hits).select("point_id"), "point_id", "left_semi"), "person_id", "direction")
+    return ranked(votes.join(selected(spec, facts, hits=hits).select("point_id"), "point_id", "left_semi"), "person_id", "direction")
 
 
 @form("rank_signers", limit=15)
 def _(spec, facts, hits):
-    return ranked(facts.signer.join(selected(spec, facts, hits).select("point_id"), "point_id", "left_semi"), "person_id")
+    return ranked(facts.signer.join(selected(spec, facts, hits=hits).select("point_id"), "point_id", "left_semi"), "person_id")
 
 
 @form("group_year")
 def _(spec, facts, hits):
-    return counted(selected(spec, facts, hits).where("group_id is not null"), "group_id", "year").orderBy("group_id", "year")
+    return counted(selected(spec, facts, "group_id", hits=hits).where("group_id is not null"), "group_id", "year").orderBy("group_id", "year")
 
 
 @form("coauthors")
 def _(spec, facts, hits):
     """Pairs of groups that amend the same point, by the number of such points."""
-    own = facts.amendment.join(selected(spec, facts, hits).select("point_id"), "point_id", "left_semi").select("point_id", "group_id").distinct()
+    own = facts.amendment.join(selected(spec, facts, hits=hits).select("point_id"), "point_id", "left_semi").select("point_id", "group_id").distinct()
     pairs = own.alias("a").join(own.alias("b"), "point_id").where("a.group_id < b.group_id").select("point_id", F.col("a.group_id").alias("one"), F.col("b.group_id").alias("other"))
     return ranked(pairs, "one", "other")
 

@@ -70,6 +70,11 @@ _register(
     """, newest AS (SELECT DISTINCT point_id, session_date, group_id, result FROM point WHERE result = 'F' ORDER BY session_date DESC, point_id LIMIT 5)
 SELECT newest.*, l_linenumber AS ord, s_nationkey AS voter, l_returnflag AS direction FROM newest LEFT JOIN line ON l_orderkey = point_id""",
 )
+_register(
+    "votes_limited", QuerySpec("votes", results=("P",), limit=3),
+    """, newest AS (SELECT DISTINCT point_id, session_date, group_id, result FROM point WHERE result = 'P' ORDER BY session_date DESC, point_id LIMIT 3)
+SELECT newest.*, l_linenumber AS ord, s_nationkey AS voter, l_returnflag AS direction FROM newest LEFT JOIN line ON l_orderkey = point_id""",
+)
 _register(
     "unanimous", QuerySpec("count", unanimous=("A", "N", "R")),
     "SELECT count(DISTINCT point_id) AS n FROM point WHERE EXISTS (SELECT 1 FROM line WHERE l_orderkey = point_id AND l_returnflag = 'A') AND NOT EXISTS (SELECT 1 FROM line WHERE l_orderkey = point_id AND l_returnflag IN ('N', 'R'))",
@@ -115,7 +120,7 @@ SELECT point_id, session_date, group_id, result, relation FROM ranked WHERE k <=
 )
 def last_time(spark, folder):
     facts = star_schema_facts(spark, folder)
-    hits = facts.point.where("amount > 400000").select("point_id", F.when(F.col("group_id") == "BUILDING", "treats").otherwise("mentions").alias("relation"))
+    hits = facts.points({"group_id"}).where("amount > 400000").select("point_id", F.when(F.col("group_id") == "BUILDING", "treats").otherwise("mentions").alias("relation"))
     return compiled(QuerySpec("last", subject=True), facts, hits)
 
 
@@ -132,5 +137,5 @@ def unanimous_points(spark, folder):
     _POINT + "SELECT group_id, year, count(DISTINCT point_id) AS total, count(DISTINCT CASE WHEN result = 'F' THEN point_id END) AS approved FROM point WHERE year BETWEEN 1996 AND 1999 GROUP BY 1, 2",
 )
 def approved_group_year(spark, folder):
-    points = selected(QuerySpec("count", years=(1996, 1999)), star_schema_facts(spark, folder))
+    points = selected(QuerySpec("count", years=(1996, 1999)), star_schema_facts(spark, folder), "group_id")
     return points.groupBy("group_id", "year").agg(F.count_distinct("point_id").alias("total"), F.count_distinct(F.when(F.col("result") == "F", F.col("point_id"))).alias("approved"))

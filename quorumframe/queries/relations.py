@@ -73,33 +73,52 @@ def active_interval(spark, folder):
 
 @query(
     "active_at_session",
-    f"""WITH {_PERSON}, s AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE day(o_orderdate) = 1)
+    f"""WITH {_PERSON}, s AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)
 SELECT d AS session_date, count(*) AS n FROM s JOIN person ON first <= d AND d <= last GROUP BY 1""",
 )
 def active_at_session(spark, folder):
     orders = read(spark, folder, "orders").select("o_custkey", F.to_date("o_orderdate").alias("session_date"))
     people = orders.groupBy("o_custkey").agg(F.min("session_date").alias("first"), F.max("session_date").alias("last"))
-    sessions = orders.where(F.dayofmonth("session_date") == 1).select("session_date").distinct()
-    return joins.interval_join(sessions, people, "session_date", "first", "last").groupBy("session_date").agg(F.count("*").alias("n"))
+    return joins.active_counts(orders, people, "session_date", "first", "last")
+
+
+_NAMED = f"""WITH {_PERSON}, named AS (SELECT person_id % 997 AS surname, c_mktsegment AS party, person.* FROM person JOIN customer ON person_id = c_custkey)"""
 
 
 @query(
     "ambiguous_surname",
-    f"""WITH {_PERSON}, named AS (SELECT person_id % 97 AS surname, * FROM person),
-asked AS (SELECT DISTINCT o_custkey % 97 AS surname, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderdate < TIMESTAMP '1995-03-01'),
+    f"""{_NAMED}, asked AS (SELECT DISTINCT o_custkey % 997 AS surname, CAST(o_orderdate AS DATE) AS d FROM orders),
 m AS (SELECT surname, d, person_id, coalesce(first <= d AND d <= last, false) AS active FROM asked JOIN named USING (surname)),
 k AS (SELECT * FROM m QUALIFY active OR NOT bool_or(active) OVER (PARTITION BY surname, d))
 SELECT surname, d, CASE WHEN count(DISTINCT person_id) = 1 THEN min(person_id) END AS person_id FROM k GROUP BY 1, 2""",
 )
 def ambiguous_surname(spark, folder):
     """A surname at a date names the one person active then, or the only one of that name; else nobody."""
-    orders = read(spark, folder, "orders").select(F.col("o_custkey").alias("person_id"), F.to_date("o_orderdate").alias("d"))
-    people = orders.groupBy("person_id").agg(F.min("d").alias("first"), F.max("d").alias("last")).withColumn("surname", F.col("person_id") % 97)
-    asked = orders.where("d < date '1995-03-01'").select((F.col("person_id") % 97).alias("surname"), "d").distinct()
-    met = asked.join(people, "surname").withColumn("active", F.col("d").between(F.col("first"), F.col("last")))
-    any_active = met.groupBy("surname", "d").agg(F.bool_or("active").alias("any_active"))
-    kept = met.join(any_active, ["surname", "d"]).where("active or not any_active")
-    return joins.unambiguous(kept, ["surname", "d"], "person_id")
+    asked, people = _surnames(spark, folder)
+    return joins.named_at(asked, people, "surname", "d", "person_id", "first", "last")
+
+
+@query(
+    "hinted_surname",
+    f"""{_NAMED}, asked AS (SELECT DISTINCT o_custkey % 997 AS surname, CAST(o_orderdate AS DATE) AS d, CASE o_orderpriority WHEN '1-URGENT' THEN 'BUILDING' WHEN '2-HIGH' THEN 'MACHINERY' END AS party FROM orders),
+m AS (SELECT a.surname, a.d, a.party, person_id, CASE WHEN first <= a.d AND a.d <= last THEN 2 ELSE 0 END + CASE WHEN a.party = named.party THEN 1 ELSE 0 END AS level FROM asked AS a JOIN named USING (surname)),
+k AS (SELECT * FROM m QUALIFY level = max(level) OVER (PARTITION BY surname, d, party))
+SELECT surname, d, party, CASE WHEN count(DISTINCT person_id) = 1 THEN min(person_id) END AS person_id FROM k GROUP BY 1, 2, 3""",
+)
+def hinted_surname(spark, folder):
+    """The same with the party that the text names beside the surname."""
+    asked, people = _surnames(spark, folder)
+    return joins.named_at(asked, people, "surname", "d", "person_id", "first", "last", hint="party")
+
+
+def _surnames(spark, folder):
+    orders = read(spark, folder, "orders")
+    said = F.when(F.col("o_orderpriority") == "1-URGENT", "BUILDING").when(F.col("o_orderpriority") == "2-HIGH", "MACHINERY")
+    placed = orders.select(F.col("o_custkey").alias("person_id"), F.to_date("o_orderdate").alias("d"), said.alias("party"))
+    party = read(spark, folder, "customer").select(F.col("c_custkey").alias("person_id"), F.col("c_mktsegment").alias("party"))
+    people = placed.groupBy("person_id").agg(F.min("d").alias("first"), F.max("d").alias("last")).join(party, "person_id")
+    surname = (F.col("person_id") % 997).alias("surname")
+    return placed.select(surname, "d", "party"), people.select("*", surname)
 
 
 @query(

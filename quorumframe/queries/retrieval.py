@@ -33,14 +33,14 @@ def knn_threshold(spark, folder):
 
 @query(
     "rerank_cosine",
-    """WITH c AS (SELECT vec_id, embedding FROM embeddings WHERE label = 3 ORDER BY vec_id LIMIT 100), q AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
+    """WITH c AS (SELECT vec_id, embedding FROM embeddings WHERE label = 3), q AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
 s AS (SELECT vec_id, list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM c, q)
 SELECT vec_id, round(score, 6) AS score FROM s ORDER BY score DESC, vec_id LIMIT 20""",
 )
 def rerank_cosine(spark, folder):
     every = read(spark, folder, "embeddings")
     question = [float(x) for x in every.where("vec_id = 0").first()["embedding"]]
-    candidates = every.where("label = 3").select("vec_id", "embedding").orderBy("vec_id").limit(100)
+    candidates = every.where("label = 3").select("vec_id", "embedding")
     scored = candidates.select("vec_id", vectors.cosine("embedding", F.array(*map(F.lit, question))).alias("score"))
     return scored.orderBy(F.desc("score"), "vec_id").limit(20).withColumn("score", F.round("score", 6))
 

@@ -72,13 +72,19 @@ def keyword_rarity(spark, folder):
     return newest(asked.join(hits, "w").select("item_id", "w", "hits"), ["item_id"], ["hits", F.desc(F.length("w")), "w"], 3)
 
 
-_FOLD = f"trim(regexp_replace(lower(translate(text, '{T.MARKED}', '{T.PLAIN}')), '\\s+', ' ', 'g'))"
-_PHRASES = ("licensed under", "versión", "público")
+_PHRASES = ("licensed under", "versión", "público", "año")
 
 
-@query("literal_hits", "SELECT lang, " + ", ".join(f"count(CASE WHEN regexp_matches({_FOLD}, '{T.literal_pattern(p)}') THEN 1 END) AS hits_{k}" for k, p in enumerate(_PHRASES)) + " FROM documents GROUP BY 1")
+@query(
+    "literal_hits",
+    r"""WITH d AS (SELECT lang, translate(lower(text), 'áàâäãåçéèêëíìîïóòôöõúùûüýÿ', 'aaaaaaceeeeiiiiooooouuuuyy') AS t FROM documents)
+SELECT lang, count(CASE WHEN regexp_matches(t, '(^|[^\pL\pN_])licensed\s+under(s|es)?($|[^\pL\pN_])') THEN 1 END) AS hits_0,
+       count(CASE WHEN regexp_matches(t, '(^|[^\pL\pN_])version(s|es)?($|[^\pL\pN_])') THEN 1 END) AS hits_1,
+       count(CASE WHEN regexp_matches(t, '(^|[^\pL\pN_])publico(s|es)?($|[^\pL\pN_])') THEN 1 END) AS hits_2,
+       count(CASE WHEN regexp_matches(t, '(^|[^\pL\pN_])a(n|ñ)o(s|es)?($|[^\pL\pN_])') THEN 1 END) AS hits_3 FROM d GROUP BY 1""",
+)
 def literal_hits(spark, folder):
-    docs = read(spark, folder, "documents").select("lang", T.folded("text").alias("text"))
+    docs = read(spark, folder, "documents").select("lang", T.searchable("text").alias("text"))
     return docs.groupBy("lang").agg(*(F.count_if(F.col("text").rlike(T.literal_pattern(p))).alias(f"hits_{k}") for k, p in enumerate(_PHRASES)))
 
 

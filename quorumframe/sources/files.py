@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, StringType
 
 from quorumframe.operators.joins import resume
+from quorumframe.storage import materialise
 
 
 def read_texts(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
@@ -43,33 +46,65 @@ def read_json_lines(spark: SparkSession, path: str, schema: StructType) -> DataF
     return spark.read.schema(kept).option("mode", "PERMISSIVE").json(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The file system of a path, and what makes a path of its own type."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    system, make = _file_system(spark, path)
+    return system.exists(make(path))
+
+
+def replace_with(spark: SparkSession, path: str, write) -> None:
+    """What stands at path is replaced once write(new path) has written all; until then it stays whole.
+
+    The new folder is written beside the old one and both are renamed, so a write that
+    breaks off leaves the old one, and at any time one of the two is there in full.
+    """
+    system, make = _file_system(spark, path)
+    new, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    write(new)
+    had = system.exists(make(path))
+    if had and not system.rename(make(path), make(old)) or not system.rename(make(new), make(path)):
+        raise OSError(f"could not put {new} in the place of {path}")
+    if had:
+        system.delete(make(old), True)
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
-    """Replaces what is there once all is written."""
-    df.write.mode("overwrite").json(path)
+    """Replaces what is there once all is written; see replace_with."""
+    replace_with(df.sparkSession, path, lambda new: df.write.json(new))
+
+
+def write_table(df: DataFrame, path: str, form: str = "csv") -> None:
+    """A table of results as CSV with a header, or as JSON lines, replaced once all is written."""
+    replace_with(df.sparkSession, path, lambda new: df.write.format(form).option("header", "true").save(new))
 
 
-def append_new(source: DataFrame, path: str, key: str, enrich=lambda df: df) -> int:
+def append_new(source: DataFrame, path: str, key: str, enrich=lambda df: df, form: str = "parquet") -> int:
     """Rows of source whose key is not in the table at path yet, enriched and appended; how many.
 
-    Work that was broken off goes on where it stopped: only committed rows count.
+    Work that was broken off goes on where it stopped: only committed rows count. What
+    cannot be read at path is an error, not an empty table.
     """
     spark = source.sparkSession
     before = 0
     if _exists(spark, path):
-        done = spark.read.parquet(path)
+        done = spark.read.format(form).option("header", "true").load(path)
         before, source = done.count(), resume(source, done, key)
-    enrich(source).write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    enrich(source).write.format(form).option("header", "true").mode("append").save(path)
+    return spark.read.format(form).option("header", "true").load(path).count() - before
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    from pyspark.errors import AnalysisException
-
-    try:
-        spark.read.parquet(path)
-    except AnalysisException:
-        return False
-    return True
+def missing_files(wanted: DataFrame, folder: str, name: str = "file") -> DataFrame:
+    """Rows of wanted whose file, by its safe name, is not under the folder yet."""
+    spark = wanted.sparkSession
+    if not _exists(spark, folder):
+        return wanted
+    held = list_files(spark, folder, "*").select(F.col("file").alias("_held")).distinct()
+    return wanted.join(held, safe_name(name) == F.col("_held"), "left_anti")
 
 
 def replace_years(df: DataFrame, path: str, year: Column) -> None:
@@ -77,6 +112,21 @@ def replace_years(df: DataFrame, path: str, year: Column) -> None:
     df.withColumn("year", year).write.mode("overwrite").partitionBy("year").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+def replace_dates(df: DataFrame, path: str, date: str) -> None:
+    """Replaces the rows of the dates that df has in a table in folders by year; other dates stay.
+
+    Only the years of these dates are read and written again, and only after all their
+    rows, old and new, stand in the shared folder.
+    """
+    spark = df.sparkSession
+    rows = df.withColumn("year", F.year(date))
+    if _exists(spark, path):
+        years, dates = rows.select("year").distinct(), rows.select(date).distinct()
+        kept = spark.read.parquet(path).join(years, "year", "left_semi").join(dates, date, "left_anti")
+        rows = materialise(rows.unionByName(kept, allowMissingColumns=True), "rebuilt")
+    replace_years(rows.drop("year"), path, F.year(date))
+
+
 def safe_name(c: Column | str) -> Column:
     """A file name without the characters that file systems refuse."""
     return F.btrim(F.regexp_replace(F.col(c) if isinstance(c, str) else c, r'[\\/*?:"<>|]+', ""))
@@ -96,3 +146,39 @@ def triples(table: DataFrame, subject: str, kind: str, base: str) -> DataFrame:
     lines = [F.concat(uri(subject), F.lit(f" <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <{base}{kind}> ."))]
     lines += [F.when(F.col(f.name).isNotNull(), F.concat(uri(subject), F.lit(f" <{base}{f.name}> "), literal(f), F.lit(" ."))) for f in table.schema if f.name != subject]
     return table.select(F.explode(F.array_compact(F.array(*lines))).alias("value"))
+
+
+_TRIPLE = r"""^\s*<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z-]+)|\^\^<([^>]*)>)?)\s*\.\s*$"""
+
+
+def read_triples(spark: SparkSession, path: str) -> DataFrame:
+    """subject, predicate, object (a URI) or literal with lang and type, one row per line of N-Triples; comments and blank lines go.
+
+    A line that is no triple is kept whole in malformed.
+    """
+    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#|$)"))
+    part = lambda k: F.regexp_extract("value", _TRIPLE, k)
+    given = lambda k: F.when(part(k) != "", part(k))
+    raw = F.replace(F.replace(F.replace(F.replace(F.replace(part(4), F.lit("\\\\"), F.lit("\0")), F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")), F.lit("\0"), F.lit("\\"))
+    fits = F.col("value").rlike(_TRIPLE)
+    return lines.select(given(1).alias("subject"), given(2).alias("predicate"), given(3).alias("object"), F.when(fits & (part(3) == ""), raw).alias("literal"), given(5).alias("lang"), given(6).alias("type"), F.when(~fits, F.col("value")).alias("malformed"))
+
+
+def read_taxonomy(triples_: DataFrame) -> DataFrame:
+    """theme_id, label, parent_id and alternatives of the concepts of a SKOS vocabulary; a concept with several broader ones has a row for each.
+
+    The preferred label is the one in Spanish, else the smallest; all others, with the
+    alternative ones, are alternatives.
+    """
+    # Names of SKOS.
+    skos = "http://www.w3.org/2004/02/skos/core#"
+    concept = F.col("subject").alias("theme_id")
+    preferred = F.struct(F.coalesce(F.col("lang") == "es", F.lit(False)).cast("int").alias("es"), F.col("literal").alias("label"))
+    named = triples_.where(F.col("predicate").isin(skos + "prefLabel", skos + "altLabel")).groupBy(concept).agg(
+        F.min_by("literal", F.struct(-preferred["es"], preferred["label"])).alias("_any"),
+        F.min_by(F.when(F.col("predicate") == skos + "prefLabel", F.col("literal")), F.when(F.col("predicate") == skos + "prefLabel", F.struct(-preferred["es"], preferred["label"]))).alias("label"),
+        F.array_sort(F.collect_set("literal")).alias("_all"),
+    )
+    above = triples_.where(F.col("predicate") == skos + "broader").select(concept, F.col("object").alias("parent_id")).distinct()
+    label = F.coalesce("label", "_any")
+    return named.join(above, "theme_id", "left").select("theme_id", label.alias("label"), "parent_id", F.filter("_all", lambda x: x != label).alias("alternatives"))

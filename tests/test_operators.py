@@ -56,6 +56,35 @@ def test_closure_has_no_end_in_cycles_and_is_idempotent(spark):
     assert {(r.child, r.parent) for r in transitive_closure(once).collect()} == pairs
 
 
+@pytest.mark.parametrize("small", [0, 5000])
+def test_closure_is_complete_at_any_depth(spark, small):
+    chain = [(k, k + 1) for k in range(300 if small else 1000)]
+    got = transitive_closure(spark.createDataFrame(chain, "child int, parent int"), small_links=small)
+    assert got.count() == got.distinct().count() == len(chain) * (len(chain) + 1) // 2
+    draw = random.Random(8)
+    links = [(draw.randrange(40), draw.randrange(40)) for _ in range(60)]
+    above = {k: {k} for k in range(40)}
+    for _ in range(40):
+        for a, b in links:
+            above[a] |= above[b]
+    rounds = transitive_closure(spark.createDataFrame(links, "child int, parent int"), small_links=small)
+    assert {tuple(r) for r in rounds.collect()} == {(a, b) for a in above for b in above[a] if a != b}
+    assert transitive_closure(spark.createDataFrame([], "child int, parent int"), small_links=small).count() == 0
+
+
+def test_active_counts_and_named_people(spark):
+    d = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=n)
+    draw = random.Random(9)
+    spans = [(d(a), d(a + draw.randrange(-1, 30))) for a in (draw.randrange(100) for _ in range(50))] + [(None, d(3)), (d(3), None)]
+    days = [d(k) for k in range(-5, 140, 3)] + [None, d(1), d(1)]
+    got = {r.day: r.n for r in joins.active_counts(spark.createDataFrame([(x,) for x in days], "day date"), spark.createDataFrame(spans, "a date, b date"), "day", "a", "b").collect()}
+    assert got == {x: n for x in set(days) - {None} if (n := sum(a is not None and b is not None and a <= x <= b for a, b in spans))}
+    people = spark.createDataFrame([("ruiz", 1, d(0), d(9), "x"), ("ruiz", 2, d(5), d(20), "y"), ("gil", 3, d(0), d(1), None), ("ruiz", 2, d(30), d(40), "y")], "s string, p int, a date, b date, g string")
+    asked = spark.createDataFrame([("ruiz", d(2), None), ("ruiz", d(7), None), ("ruiz", d(7), "y"), ("gil", d(50), "z"), ("ruiz", d(99), None), ("none", d(2), None), ("ruiz", d(2), "y"), ("gil", None, None)], "s string, d date, g string")
+    got = {(r.s, r.d, r.g): r.p for r in joins.named_at(asked, people, "s", "d", "p", "a", "b", hint="g").collect()}
+    assert got == {("ruiz", d(2), None): 1, ("ruiz", d(7), None): None, ("ruiz", d(7), "y"): 2, ("gil", d(50), "z"): 3, ("ruiz", d(99), None): None, ("ruiz", d(2), "y"): 1, ("gil", None, None): 3}
+
+
 def test_joins_on_time(spark):
     d = lambda s: dt.date.fromisoformat(s)
     terms = spark.createDataFrame([(1, d("2019-06-15"), d("2023-06-17")), (2, d("2023-06-17"), d("2027-06-15"))], "t int, a date, b date")
@@ -82,6 +111,8 @@ def test_specs_refuse_what_they_cannot_honour(spark):
         compiled(QuerySpec("no such form"), facts)
     with pytest.raises(NotExpressible):
         compiled(QuerySpec("count", subject=True), facts)
+    votes = compiled(QuerySpec("votes", limit=5), facts).collect()
+    assert len({r.point_id for r in votes}) == 5 and len(votes) == compiled(QuerySpec("votes"), facts).count() > 5
     part = compiled(QuerySpec("ratio", subset=("F",)), facts).first()
     assert 0 < part.part < part.total and len(FORMS) > 25
     assert compiled(QuerySpec("list", limit=3), facts).count() == 3 and compiled(QuerySpec("last"), facts).count() == 5
@@ -141,6 +172,27 @@ def test_files(spark, tmp_path):
     assert {(r.k, r._corrupt_record) for r in rows} == {(1, None), (None, "not json")}
     lines = [r.value for r in files.triples(spark.createDataFrame([(1, 'a "b"', None)], "id int, label string, x date"), "id", "Point", "http://example.org/").collect()]
     assert lines[1] == '<http://example.org/Point/1> <http://example.org/label> "a \\"b\\"" .' and len(lines) == 2
+    assert [r.malformed for r in files.read_triples(spark, str(tmp_path / "lines.json")).collect()] == ['{"k": 1}', "not json"]
+    skos = "http://www.w3.org/2004/02/skos/core#"
+    (tmp_path / "t.nt").write_text(f'# themes\n<a> <{skos}prefLabel> "Etxe"@eu .\n<a> <{skos}prefLabel> "Casa \\"x\\""@es .\n<a> <{skos}altLabel> "Hogar"@es .\n<a> <{skos}broader> <b> .\n<b> <{skos}prefLabel> "Todo" .\n')
+    themes = {r.theme_id: r for r in files.read_taxonomy(files.read_triples(spark, str(tmp_path / "t.nt"))).collect()}
+    assert (themes["a"].label, themes["a"].parent_id, themes["a"].alternatives) == ('Casa "x"', "b", ["Etxe", "Hogar"]) and themes["b"].parent_id is None
+    out = str(tmp_path / "out")
+    files.write_json_lines(source, out)
+    with pytest.raises(Exception):  # a write that breaks off leaves what was there
+        files.write_json_lines(source.select(F.raise_error(F.lit("no")).alias("v")), out)
+    assert spark.read.json(out).count() == 2
+    files.write_json_lines(spark.read.json(out).limit(1), out)  # even from what is replaced
+    assert spark.read.json(out).count() == 1
+    files.write_table(source, str(tmp_path / "csv"))
+    assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).count() == 2
+    d = lambda s: dt.date.fromisoformat(s)
+    dated = spark.createDataFrame([(1, d("2020-01-01")), (2, d("2020-05-05")), (3, d("2021-01-01"))], "k int, d date")
+    files.replace_dates(dated, str(tmp_path / "dates"), "d")
+    files.replace_dates(spark.createDataFrame([(9, d("2020-05-05"))], "k int, d date"), str(tmp_path / "dates"), "d")
+    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "dates")).collect()) == [1, 3, 9]
+    wanted = spark.createDataFrame([("em?pty.txt",), ("new.txt",)], "file string")
+    assert [r.file for r in files.missing_files(wanted, str(tmp_path / "in")).collect()] == ["new.txt"]
     assert [r.v for r in spark.createDataFrame([('a/b: "c"?.pdf',)], "n string").select(files.safe_name("n").alias("v")).collect()] == ["ab c.pdf"]
 
 

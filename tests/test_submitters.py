@@ -21,6 +21,8 @@ def test_submitting_groups(value):
     )
     got = value(lambda x: S.submitting_group(x, F.lit(None).cast("string")), *titles)
     assert got == ["EH BILDU", "PP", "Desconocido", "EQUIPO DE GOBIERNO", "Desconocido", "EQUIPO DE GOBIERNO", "Desconocido", "EAJ-PNV", "VOX", "Desconocido", "Desconocido"]
+    more = ("Moción de Ciudadanos sobre el empleo", "Proposición de Bilbao en Común para pedir", "Proposición del Grupo Municipal de Ezkerrak, a", "Bilbao en común y con ciudadanos", "Aprobación del acta")
+    assert value(lambda x: S.submitting_group(x, F.lit("")), *more) == ["CIUDADANOS", "ELKARREKIN BILBAO", "Desconocido", "Desconocido", "Desconocido"]
     assert value(lambda x: S.submitting_group(F.lit("Proposición"), x), "que presenta el Grupo Municipal Socialista, x") == ["PSE-EE"]
 
 
