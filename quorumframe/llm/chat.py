@@ -1,7 +1,8 @@
 """Chat formatting with mappings chosen by the fingerprint of a record's schema.
 
-Records come as JSON in unlike layouts. The sorted paths of their nested fields
-are hashed, and the hash selects a declarative mapping to canonical turns. Turns
+Records come as JSON in unlike layouts. The sorted paths of those of their nested
+fields that any layout knows are hashed, and the hash selects a declarative mapping to
+canonical turns; fields that no layout knows, such as an id, say nothing. Turns
 are rendered one by one with a template that escapes control strings reversibly
 and says where loss is taken; what is read back comes from the rendered text alone.
 """
@@ -13,6 +14,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +38,11 @@ def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
+def _text(value) -> str:
+    """A field's text: nothing for null, JSON for what is no text."""
+    return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+
+
 @dataclass(frozen=True)
 class Layout:
     """How records of one layout become turns: single fields by role, a list of messages, or both."""
@@ -54,12 +61,12 @@ class Layout:
 
     def turns(self, record: dict) -> list[tuple[str, str]]:
         if self.turn:
-            return [(record[self.turn[0]] or "", record[self.turn[1]] or "")]
-        out = [(role, "\n\n".join(t for t in (record[n] for n in names) if t)) for role, names in self.fields]
+            return [(_text(record[self.turn[0]]), _text(record[self.turn[1]]))]
+        out = [(role, "\n\n".join(t for t in (_text(record[n]) for n in names) if t)) for role, names in self.fields]
         out = [t for t in out if t[1] or t[0] != "system"]
         if self.messages:
             items, role, text = self.messages
-            out += [(ROLES.get(m[role] or "", m[role] or ""), m[text] or "") for m in record[items]]
+            out += [(ROLES.get(_text(m.get(role)), _text(m.get(role))), _text(m.get(text))) for m in record[items] if isinstance(m, dict)]
         return out
 
 
@@ -78,6 +85,14 @@ LAYOUTS = (
     Layout("conversations", messages=("conversations", "from", "value")),
 )
 BY_FINGERPRINT = {fingerprint(layout.paths()): layout for layout in LAYOUTS}
+_KNOWN = frozenset().union(*(layout.paths() for layout in LAYOUTS))
+
+
+@lru_cache(maxsize=10_000)
+def layout_of(paths: frozenset[str]) -> Layout | None:
+    """The layout whose fingerprint the known fields have, else the one with the most fields that all are there, and the first of several."""
+    found = BY_FINGERPRINT.get(fingerprint(paths & _KNOWN))
+    return found or max((own for own in LAYOUTS if own.paths() <= paths), key=lambda own: len(own.paths()), default=None)
 
 
 def escape(text: str) -> str:
@@ -110,7 +125,7 @@ def _rendering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for conv, place, payload in zip(*(batch[c].to_pylist() for c in ("conv_id", "place", "payload"))):
             record = json.loads(payload) if payload else None
-            layout = BY_FINGERPRINT.get(fingerprint(field_paths(record))) if isinstance(record, dict) else None
+            layout = layout_of(frozenset(field_paths(record))) if isinstance(record, dict) else None
             turns = layout.turns(record) if layout else []
             rows += [(conv, place, k, layout.name, *render(*turn)) for k, turn in enumerate(turns)]
             if not turns:
@@ -168,13 +183,25 @@ def read_back(turns: DataFrame) -> DataFrame:
 
     Turns stream through in order, one at a time, so memory does not grow with a
     conversation; a digest of it is by its nature a sequence in one task. Turns of one
-    place go by their text. Rows without a conv_id form a conversation of their own.
+    place and step go by their escaped text, then by their role. Rows without a conv_id form a conversation of their own.
     """
-    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "place", "step", "formatted")
+    said = F.substring_index(F.substring_index("formatted", CLOSE, 1), OPEN, -1)  # neither stands inside a text
+    body = F.expr("substring(_said, locate('\n', _said) + 1)")
+    ordered = turns.withColumn("_said", said).withColumn("_body", body).repartition("conv_id").sortWithinPartitions("conv_id", "place", "step", "_body", "formatted").drop("_said", "_body")
     return ordered.mapInArrow(_digesting, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def turn_records(conversations: DataFrame) -> DataFrame:
-    """Records of the layout turn from a table of conv_id, turn, role and text; nulls become empty."""
-    payload = F.to_json(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
-    return conversations.select("conv_id", F.col("turn").alias("place"), payload.alias("payload"))
+    """A record for each row of a table of conv_id, turn, role and text; nulls become empty.
+
+    Conversations come in three layouts by their id, as from several sources: single
+    turns, lists of messages with an id, and lists with other names for roles. Roles
+    that these names do not cover are written as single turns.
+    """
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    plain = F.to_json(F.struct(role.alias("role"), text.alias("text")))
+    messages = F.to_json(F.struct(F.concat_ws("-", "conv_id", "turn").alias("id"), F.array(F.struct(role.alias("role"), text.alias("content"))).alias("messages")))
+    other = F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    shared = F.to_json(F.struct(F.array(F.struct(other.alias("from"), text.alias("value"))).alias("conversations"), F.lit("shared").alias("source")))
+    kind = F.when(role.isin("user", "assistant", "system"), F.pmod("conv_id", F.lit(3)))
+    return conversations.select("conv_id", F.col("turn").alias("place"), F.when(kind == 1, messages).when(kind == 2, shared).otherwise(plain).alias("payload"))

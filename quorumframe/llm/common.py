@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorumframe.storage import materialise, new_path, shared_dir
+
+__all__ = ["hot_join", "materialise", "new_path", "session", "shared_dir", "spans_text", "table"]
+
 #: Bounds one Arrow batch of texts, whatever the length of its rows.
 BATCH_BYTES = "8m"
+#: A key is hot if this share of all rows has it; so at most its inverse are.
+HOT_SHARE = 0.001
 
 
 def session(spark: SparkSession) -> SparkSession:
@@ -18,34 +21,6 @@ def session(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the one in ``spark.checkpoint.dir``; only where that is unset, as in
-    tests on one machine, a temporary folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quorumframe-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read again.
-
-    This cuts the lineage: a lost executor costs no recomputation, and two
-    consumers do not compute df twice.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,3 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spans_text(spans: Column) -> Column:
     """kind:start:end of an array of structs, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+    """rows with the facts of their key, where single keys may hold a third of all rows.
+
+    facts has each key once and in n how many rows have it. Keys of more than
+    HOT_SHARE of all rows are at most 1 / HOT_SHARE many, so their facts are
+    broadcast and their rows stay where they are; only rows of other keys are shuffled.
+    rows and facts are read twice: write them down first.
+    """
+    total = facts.agg(F.sum(n)).first()[0] or 0
+    hot = facts.where(F.col(n) > max(10_000, int(HOT_SHARE * total)))
+    if hot.isEmpty():
+        return rows.join(facts.drop(n), key, how)
+    at_once = rows.join(F.broadcast(hot.drop(n)), key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.where(F.col(n) <= max(10_000, int(HOT_SHARE * total))).drop(n), key, how)
+    return at_once.unionByName(others)

@@ -1,31 +1,36 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
 An item of the benchmark is cut into windows of consecutive words. A window is
-contained in a document where its words stand there in order. As containment
-has to be complete, the necessary prefix of a window is its single rarest
-shingle: a document without that shingle cannot hold the window. So
+contained in a document where its words stand there in order. As containment has to
+be complete, the necessary prefix of a window is its single rarest shingle: a document
+without that shingle cannot hold the window. So
 
-1. shingles of all windows are ordered by their document frequency in the
-   corpus, counted in one distributed pass over whole texts;
+1. shingles of all windows are ordered by their document frequency in the corpus,
+   counted in one pass over whole texts, which a Bloom filter of the benchmark's
+   shingles thins;
 2. each window is indexed by its rarest shingle alone;
-3. a document looks up its own shingles in that index; the place of the shingle
-   in the window bounds where the window would start and end (positional and
-   length bound), and only then are the words compared.
-
-Windows go to the executors in blocks of a stated size. A larger benchmark
-makes more blocks and more passes, not larger ones.
+3. a second pass, thinned by a Bloom filter of those, gives for each of them its place
+   in a document and the words around it, and meets the index in a join; the place of
+   the shingle in the window and the words there are on either side bound where the
+   window would start and end (positional and length bound), and only then are the
+   words compared.
+
+Both passes are there once, whatever the size of the benchmark. Nothing of it is
+broadcast but two filters of a bounded size.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorumframe.llm.common import materialise
+
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
@@ -40,6 +45,63 @@ def _binary(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+class _Hashes(dict):
+    """Hashes of words, kept up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1_000_000:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)  # an odd number with mixed bits
+
+
+def shingle_hashes(words: list[bytes], size: int, hashes: _Hashes) -> np.ndarray:
+    """A hash of each shingle of so many words, in order; other sizes have other hashes."""
+    if len(words) < size:
+        return np.zeros(0, np.uint64)
+    own = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    total = np.full(len(words) - size + 1, size, np.uint64)
+    for k in range(size):
+        total = (total ^ own[k : k + len(total)]) * _MIX
+        total ^= total >> np.uint64(29)
+    return total
+
+
+def _places(values: np.ndarray, bits: int) -> np.ndarray:
+    """Three places of each value in a filter of so many bits (a power of two), a row each."""
+    mask = np.uint64(bits - 1)
+    return np.stack([(values >> np.uint64(s)) & mask if s else values & mask for s in (0, 17, 34)])
+
+
+class Bloom:
+    """A filter of hashes that is never wrong about what it lacks."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words, self.bits = words, len(words) * 64
+
+    @classmethod
+    def of(cls, spark: SparkSession, values: DataFrame, count: int, most_bytes: int) -> Bloom:
+        """The filter of a table's column shingle, some 16 bits a value, up to most_bytes; the executors set its bits."""
+        bits = 64
+        while bits < 16 * count and bits < 8 * most_bytes:
+            bits *= 2
+        places = values.select(F.explode(F.array(*(F.shiftrightunsigned("shingle", s).bitwiseAND(F.lit(bits - 1)) for s in (0, 17, 34)))).alias("place"))
+        set_ = places.groupBy((F.col("place") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("set")).collect()
+        words = np.zeros(bits // 64, np.uint64)
+        for row in set_:
+            words[row["word"]] = np.int64(row["set"]).view(np.uint64)
+        return cls(words)
+
+    def holds(self, values: np.ndarray) -> np.ndarray:
+        held = np.ones(len(values), bool)
+        for places in _places(values, self.bits):
+            held &= (self.words[(places >> np.uint64(6)).astype(np.int64)] >> (places & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return held
+
+
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,161 +116,149 @@ def _windows(window: int):
     return run
 
 
-def _shingles(words: list[bytes], size: int) -> list[bytes] | list[tuple[bytes, bytes]]:
-    return words if size == 1 else list(zip(*(words[i:] for i in range(size))))
+def _cut(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            texts = _binary(batch["window"])
+            sizes = [min(shingle, t.count(b" ") + 1) for t in texts]
+            values = [shingle_hashes(t.split(), n, hashes).view(np.int64) for t, n in zip(texts, sizes)]
+            yield pa.RecordBatch.from_arrays([batch["window"], pa.array(sizes, pa.int32()), pa.array(values, pa.list_(pa.int64()))], ["window", "size", "shingles"])
 
+    return run
 
-def _frequencies(vocabulary, sizes: tuple[int, ...]):
-    """Documents that hold each shingle of the vocabulary, summed over a partition before anything is shuffled."""
+
+def _frequencies(bloom, sizes: tuple[int, ...]):
+    """How many documents of a batch hold each shingle that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, wanted = Counter(), vocabulary.value
+        hashes = _Hashes()
         for batch in batches:
+            met = [np.zeros(0, np.uint64)]
             for raw in _binary(batch["text"]):
                 words = words_of(raw)
                 for size in sizes:
-                    counts.update(wanted[size].keys() & set(_shingles(words, size)))
-        ids = [wanted[1 if isinstance(s, bytes) else len(s)][s] for s in counts]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts.values(), pa.int64())], ["shingle", "df"])
+                    values = shingle_hashes(words, size, hashes)
+                    met.append(np.unique(values[bloom.value.holds(values)]))
+            values, counts = np.unique(np.concatenate(met), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], ["shingle", "df"])
 
     return run
 
 
-def _covered(spans: set[tuple[int, int]]) -> int:
-    total, upto = 0, 0
-    for start, end in sorted(spans):
-        total += max(0, end - max(start, upto))
-        upto = max(upto, end)
-    return total
-
+_MET_ARROW = pa.list_(pa.struct([("shingle", pa.int64()), ("at", pa.int32()), ("first", pa.int32()), ("around", pa.string())]))
+_MET = "array<struct<shingle:long,at:int,first:int,around:string>>"
 
-def _search(words: list[bytes], index: dict[int, dict]) -> tuple[set[tuple[int, int]], set[int]]:
-    spans: set[tuple[int, int]] = set()
-    items: set[int] = set()
-    for size, by_shingle in index.items():
-        shingles = _shingles(words, size)
-        if by_shingle.keys().isdisjoint(shingles):
-            continue
-        for at, shingle in enumerate(shingles):
-            for offset, window, owners in by_shingle.get(shingle, ()):
-                start, end = at - offset, at - offset + len(window)
-                if start >= 0 and end <= len(words) and words[start:end] == window:
-                    spans.add((start, end))
-                    items.update(owners)
-    return spans, items
 
+def _met(words: list[bytes], bloom: Bloom, sizes: tuple[int, ...], window: int, hashes: _Hashes) -> list[dict]:
+    """Each shingle that the filter lets through: where it stands, and the words that a window with it can reach, from the word first on."""
+    out = []
+    for size in sizes:
+        values = shingle_hashes(words, size, hashes)
+        for at in np.flatnonzero(bloom.holds(values)).tolist():
+            first = max(0, at - window + 1)
+            out.append({"shingle": int(values[at].view(np.int64)), "at": at, "first": first, "around": b" ".join(words[first : at + window]).decode()})
+    return out
 
-_ITEM_FIELDS = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
-
-def _scan(index):
+def _meeting(bloom, sizes: tuple[int, ...], window: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
         for batch in batches:
-            counts, spans, items = [], [], []
-            for raw in _binary(batch["text"]):
-                words = words_of(raw)
-                found, owners = _search(words, index.value) if index.value else (set(), set())
-                counts.append(len(words))
-                spans.append([{"start": s, "end": e} for s, e in sorted(found)])
-                items.append(sorted(owners))
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["text_key"], pa.array(counts, pa.int64()), pa.array(spans, pa.list_(_ITEM_FIELDS)), pa.array(items, pa.list_(pa.int64()))],
-                ["doc_id", "text_key", "n_words", "spans", "items"],
-            )
+            cut = [words_of(raw) for raw in _binary(batch["text"])]
+            met = pa.array([_met(words, bloom.value, sizes, window, hashes) if bloom.value else [] for words in cut], _MET_ARROW)
+            more = [pa.array([len(words) for words in cut], pa.int64()), met]
+            own = batch.columns if keep else [batch["doc_id"]]
+            yield pa.RecordBatch.from_arrays([*own, *more], [*(batch.schema.names if keep else ["doc_id"]), "_n_words", "_met"])
 
     return run
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hits = [_covered({(s["start"], s["end"]) for s in spans or ()}) for spans in batch["spans"].to_pylist()]
-        items = [sorted({str(i) for i in ids or ()}) for ids in batch["items"].to_pylist()]
-        digests = [hashlib.sha256(",".join(ids).encode()).hexdigest() for ids in items]
-        yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], batch["n_words"], pa.array(hits, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array(digests, pa.string()), pa.array([h > 0 for h in hits], pa.bool_())],
-            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-        )
-
-
-_FOUND = "doc_id long, text_key long, n_words long, spans array<struct<start:int,end:int>>, items array<long>"
-_RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-
-
-def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, shingle: int = 2, block_windows: int = 100_000) -> DataFrame:
+def _indexed(docs: DataFrame, items: DataFrame, window: int, shingle: int, filter_bytes: int) -> tuple[DataFrame | None, DataFrame | None, tuple[int, ...], object]:
+    """Windows by their rarest shingle, the items that own them, the sizes of shingles there are, and the filter of the rarest."""
+    spark = docs.sparkSession
+    owned = materialise(items.select(F.col("item_id").cast("long"), "text").mapInArrow(_windows(window), "item_id long, window string").distinct(), "windows")
+    cut = materialise(owned.select("window").distinct().mapInArrow(_cut(shingle), "window string, size int, shingles array<long>"), "cut")
+    each = cut.select("window", "size", F.posexplode("shingles").alias("offset", "shingle"))
+    wanted = each.select("shingle").distinct()
+    sizes = tuple(sorted(r["size"] for r in cut.select("size").distinct().collect()))
+    if not sizes:
+        return None, None, (), spark.sparkContext.broadcast(None)
+    bloom = spark.sparkContext.broadcast(Bloom.of(spark, wanted, wanted.count(), filter_bytes))
+    counted = docs.select("text").mapInArrow(_frequencies(bloom, sizes), "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df"))
+    rarest = each.join(counted, "shingle", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle", "offset")).alias("r"))
+    index = materialise(rarest.where("r.df > 0").select("window", F.col("r.shingle").alias("shingle"), F.col("r.offset").alias("offset")), "index")
+    few = index.select("shingle").distinct()
+    return owned, index, sizes, spark.sparkContext.broadcast(Bloom.of(spark, few, few.count(), filter_bytes))
+
+
+#: Parts that the windows of a shingle are copied to, so that one that very many documents hold meets them in as many tasks.
+_SALTS = 16
+
+
+def _hits(marked: DataFrame, index: DataFrame) -> DataFrame:
+    """_row, window, start and end (in words) of each occurrence, from the places where shingles of the index stand."""
+    met = marked.where(F.size("_met") > 0).select("_row", F.explode("_met").alias("m"))
+    met = met.select("_row", "m.*", F.pmod(F.xxhash64("_row", "m.at"), F.lit(_SALTS)).cast("int").alias("salt"))
+    copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    start = F.col("at") - F.col("offset")
+    words = F.split("around", " ")
+    size = F.size(F.split("window", " "))
+    fits = (start >= F.col("first")) & (start - F.col("first") + size <= F.size(words))
+    there = F.array_join(F.slice(words, F.greatest(start - F.col("first") + 1, F.lit(1)), size), " ")
+    return met.join(copies, ["shingle", "salt"]).where(fits & (there == F.col("window"))).select("_row", "window", start.alias("start"), (start + size).alias("end")).distinct()
+
+
+def _covered(spans: Column) -> Column:
+    """Words inside any of the spans (start, end), which are sorted: each counts from where those before it end."""
+    return F.aggregate(
+        spans,
+        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("upto")),
+        lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], acc["upto"]))).alias("n"), F.greatest(acc["upto"], s["end"]).alias("upto")),
+        lambda acc: acc["n"],
+    )
+
+
+def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, shingle: int = 2, filter_bytes: int = 16 << 20) -> DataFrame:
     """How much of each document stands in a benchmark item.
 
     One row per row of docs: doc_id, n_words, n_hit (words inside any occurrence
     of a window), n_items (items with such a window), items_sha256 and
     contaminated. A null or empty text has no words and no hits. Repeated rows of
-    docs give repeated rows; items with equal texts all count; an item without
-    words has no window; with no items nothing is contaminated. Null ids stay
-    null. Columns other than doc_id, item_id and text are not read.
+    docs give repeated rows. Items with equal texts all count; those without an id are
+    one item, whose words are hit and which the digest does not name. An item without
+    words has no window; with no items nothing is contaminated. Null doc_ids stay
+    null. Columns other than doc_id, item_id and text are not read. filter_bytes
+    bounds what is broadcast; a benchmark too large for it only lets more places
+    through to the join.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    owned, blocks = _blocks(items, window, block_windows)
-    keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    parts = []
-    for block in range(blocks):
-        index = spark.sparkContext.broadcast(_index(docs, owned.where(F.col("block") == block), shingle))
-        parts.append(keyed.mapInArrow(_scan(index), _FOUND))
-    found = parts[0]
-    if blocks > 1:  # each further pass adds its hits to the documents that have any
-        counted = keyed.mapInArrow(_scan(spark.sparkContext.broadcast({})), _FOUND).drop("spans", "items")
-        hits = parts[0].where("size(items) > 0")
-        for part in parts[1:]:
-            hits = hits.unionByName(part.where("size(items) > 0"))
-        hits = hits.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-        found = counted.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left").drop("_id", "_key")
-    return found.mapInArrow(_measure, _RESULT)
-
-
-def _clean(index):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([not _search(words_of(raw), index.value)[0] for raw in _binary(batch["text"])], pa.bool_()))
-
-    return run
-
-
-def without_contaminated(docs: DataFrame, items: DataFrame, *, window: int = 10, shingle: int = 2, block_windows: int = 100_000) -> DataFrame:
-    """The rows of docs in which no window of an item occurs, all columns as they are; see contamination."""
-    owned, blocks = _blocks(items, window, block_windows)
-    kept = docs
-    for block in range(blocks):
-        kept = kept.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(_index(docs, owned.where(F.col("block") == block), shingle))), docs.schema)
-    return kept
-
-
-def _blocks(items: DataFrame, window: int, block_windows: int) -> tuple[DataFrame, int]:
-    """The windows of all items with a block number, and how many blocks there are."""
-    owned = items.select(F.col("item_id").cast("long"), "text").where("item_id is not null").mapInArrow(_windows(window), "item_id long, window string")
-    blocks = max(1, -(-owned.count() // block_windows))
-    return owned.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks))), blocks
-
-
-def _index(docs: DataFrame, owned: DataFrame, shingle: int) -> dict[int, dict]:
-    """Windows of one block by their rarest shingle; shingle size -> shingle -> (offset, words, item ids)."""
-    owners = defaultdict(list)
-    for row in owned.collect():
-        owners[row["window"]].append(row["item_id"])
-    wanted: dict[int, dict] = defaultdict(dict)
-    cut = []
-    for text, ids in owners.items():
-        words = text.encode().split()
-        size = min(shingle, len(words))
-        shingles = _shingles(words, size)
-        for s in shingles:
-            wanted[size].setdefault(s, len(wanted[size]) * (shingle + 1) + size)
-        cut.append((words, size, shingles, ids))
-    if not cut:
-        return {}
-    vocabulary = docs.sparkSession.sparkContext.broadcast(dict(wanted))
-    rows = docs.select("text").mapInArrow(_frequencies(vocabulary, tuple(wanted)), "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df")).collect()
-    df = {row["shingle"]: row["df"] for row in rows}
-    index: dict[int, dict] = defaultdict(lambda: defaultdict(list))
-    for words, size, shingles, ids in cut:
-        at = min(range(len(shingles)), key=lambda i: (df.get(wanted[size][shingles[i]], 0), shingles[i], i))
-        if df.get(wanted[size][shingles[at]]):
-            index[size][shingles[at]].append((at, words, ids))
-    return {size: dict(by) for size, by in index.items()}
+    owned, index, sizes, bloom = _indexed(docs, items, window, shingle, filter_bytes)
+    marked = docs.mapInArrow(_meeting(bloom, sizes, window, False), f"doc_id long, _n_words long, _met {_MET}")
+    marked = materialise(marked.withColumn("_row", F.monotonically_increasing_id()), "met")
+    plain = marked.select("doc_id", F.col("_n_words").alias("n_words"), "_row")
+    if index is None:
+        return plain.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"))
+    hits = materialise(_hits(marked, index), "hits")
+    spans = hits.groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    held = hits.select("_row", "window").distinct().join(owned, "window").select("_row", "item_id").distinct()
+    named = held.groupBy("_row").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list(F.col("item_id").cast("string"))), ",").alias("items"))
+    found = plain.join(spans.select("_row", _covered(F.col("spans")).alias("n_hit")), "_row", "left").join(named, "_row", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return found.select("doc_id", "n_words", zero("n_hit").alias("n_hit"), zero("n_items").alias("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (zero("n_hit") > 0).alias("contaminated"))
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, *, window: int = 10, shingle: int = 2, filter_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of docs in which no window of an item occurs, all columns as they are; see contamination.
+
+    Documents in which the filter finds nothing go straight through; only the others are shuffled.
+    """
+    _, index, sizes, bloom = _indexed(docs, items, window, shingle, filter_bytes)
+    if index is None:
+        return docs
+    schema = docs.select("*", F.lit(None).cast("long").alias("_n_words"), F.lit(None).cast(_MET).alias("_met")).schema
+    marked = materialise(docs.mapInArrow(_meeting(bloom, sizes, window, True), schema).withColumn("_row", F.monotonically_increasing_id()), "met")
+    clear = marked.where(F.size("_met") == 0)
+    suspects = marked.where(F.size("_met") > 0)
+    hit = _hits(marked, index).select("_row").distinct()
+    return clear.select(docs.columns).unionByName(suspects.join(hit, "_row", "left_anti").select(docs.columns))

@@ -116,9 +116,9 @@ WITH c AS (
 ), e AS (
   SELECT *, replace(replace(text, '\', '\\'), '<|', '<\|') AS body, replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n') AS head FROM c
 )
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, body)) AS turns_sha256,
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, body, head)) AS turns_sha256,
        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
-       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, body)) AS loss_sha256,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, body, head)) AS loss_sha256,
        CAST(sum(12 + length(head) + 1 + length(body) + 10 + 1) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """,

@@ -2,7 +2,8 @@
 
 A record is: length of the payload (8 bytes), masked checksum of those bytes (4),
 payload, masked checksum of the payload (4), all little-endian. The payload is the
-doc_id (8 bytes), the width of an id in bytes (1), and the ids. A masked checksum
+doc_id (8 bytes), the width of an id in bytes (1, with the highest bit set where the
+document has no doc_id), and the ids. A masked checksum
 is the CRC-32 rotated right by 15 bits plus a constant, so that checksums of data
 that hold checksums stay sound. The index has a row for each record: file, offset
 and length; any order or subset of it can be read.
@@ -28,6 +29,7 @@ from quorumframe.llm.tokens import grouped, tokenizer
 
 _MASK_ADDED = 0xA282EAD8
 _HEAD, _TAIL, _ID = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<qB")
+_NO_ID = 0x80
 _READ_BYTES = 8 << 20
 
 
@@ -36,20 +38,20 @@ def masked(data: bytes) -> int:
     return ((crc >> 15 | crc << 17) + _MASK_ADDED) & 0xFFFFFFFF
 
 
-def frame(doc_id: int, ids: bytes, width: int) -> bytes:
-    payload = _ID.pack(doc_id, width) + ids
+def frame(doc_id: int | None, ids: bytes, width: int) -> bytes:
+    payload = (_ID.pack(0, width | _NO_ID) if doc_id is None else _ID.pack(doc_id, width)) + ids
     length = struct.pack("<Q", len(payload))
     return length + _TAIL.pack(masked(length)) + payload + _TAIL.pack(masked(payload))
 
 
-def unframe(record: bytes) -> tuple[int, np.ndarray]:
-    """doc_id and ids of one whole record; raises ValueError if it is damaged."""
+def unframe(record: bytes) -> tuple[int | None, np.ndarray]:
+    """doc_id (None if it has none) and ids of one whole record; raises ValueError if it is damaged."""
     length, check = _HEAD.unpack_from(record)
     payload = record[_HEAD.size : _HEAD.size + length]
     if masked(record[:8]) != check or len(record) != _HEAD.size + length + _TAIL.size or _TAIL.unpack_from(record, _HEAD.size + length)[0] != masked(payload):
         raise ValueError("damaged record")
     doc_id, width = _ID.unpack_from(payload)
-    return doc_id, np.frombuffer(payload, f"<u{width}", offset=_ID.size)
+    return None if width & _NO_ID else doc_id, np.frombuffer(payload, f"<u{width & ~_NO_ID}", offset=_ID.size)
 
 
 _INDEX = "part int, file string, offset long, length int, doc_id long, before long, n_tokens long"
@@ -87,12 +89,13 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str | None = Non
 
     Files follow one another by part, records within by offset. A null text is
     empty: its record holds end_id alone. Documents of one doc_id follow one another
-    in the order of their texts' hashes; rows without a doc_id are not written. The
-    file names are new in every attempt, and the index names those that count.
+    in the order of their texts' hashes; those without a doc_id come after all others,
+    so no other document's place depends on them. The file names are new in every attempt, and the index names those that count.
     """
     folder = folder or new_path(docs.sparkSession, "records")
-    docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").withColumn("tie", F.xxhash64("text"))
-    ordered = docs.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    docs = docs.select(F.col("doc_id").cast("long"), "text").withColumn("tie", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_last(), "tie"]
+    ordered = docs.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
     return folder, materialise(ordered.mapInArrow(_writing(folder, tokenizer_path, end_id), _INDEX), "offsets")
 
 

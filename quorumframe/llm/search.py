@@ -1,7 +1,7 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
 A code's bits are cut into segments, and an index keeps one table for each
-segment. Codes within distance m * (r + 1) - 1 of a query differ from it by at
+segment. Codes as wide as the vectors are. Codes within distance m * (r + 1) - 1 of a query differ from it by at
 most r bits in at least one of the m segments, so after the tables have been
 probed with all values within r bits, everything up to that distance has been
 verified. A query's radius grows until its k-th verified distance is covered.
@@ -23,35 +23,51 @@ from pyspark.sql import functions as F
 
 from quorumframe.llm.common import materialise
 
-_SEGMENTS, _WIDTH = 4, 16
+_WIDTH = 16
 #: Parts that a code which very many vectors share is dealt to first.
 _SALTS = 128
 _FLIPS = [np.array([sum(1 << b for b in bits) for bits in combinations(range(_WIDTH), r)], np.uint16) for r in range(_WIDTH + 1)]
 
 
-def _coding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        codes = []
-        for vector in batch["embedding"].to_pylist():
-            bits = np.array([x is not None and x > 0 for x in vector][:64], np.uint8)
-            codes.append(int.from_bytes(np.packbits(np.pad(bits, (0, 64 - len(bits)))).tobytes(), "big", signed=True))
-        yield pa.RecordBatch.from_arrays([batch["vec_id"], pa.array(codes, pa.int64())], ["vec_id", "code"])
+def _coding(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = []
+            for vector in batch["embedding"].to_pylist():
+                own = np.zeros(bits, np.uint8)
+                own[: len(vector)] = [x is not None and x > 0 for x in vector]
+                codes.append(np.packbits(own).tobytes())
+            yield pa.RecordBatch.from_arrays([batch["vec_id"], pa.array(codes, pa.binary())], ["vec_id", "code"])
+
+    return run
+
+
+def code_bits(*tables: DataFrame) -> int:
+    """Bits of a code that holds every number of the longest vector, in whole words of 64."""
+    longest = [t.agg(F.max(F.size("embedding"))).first()[0] or 0 for t in tables]
+    return max(64, -(-max(longest) // 64) * 64)
+
+
+def binary_codes(vectors: DataFrame, bits: int) -> DataFrame:
+    """vec_id, code: the signs of all numbers; missing, NaN or null numbers count as not positive."""
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>")).where("vec_id is not null and embedding is not null")
+    return rows.mapInArrow(_coding(bits), "vec_id long, code binary")
 
 
-def binary_codes(vectors: DataFrame) -> DataFrame:
-    """vec_id, code: the signs of the first 64 numbers; missing, NaN or null numbers count as not positive."""
-    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>")).where("vec_id is not null and embedding is not null").mapInArrow(_coding, "vec_id long, code long")
+def _words(codes: list[bytes]) -> np.ndarray:
+    """A row of 64-bit words for each code."""
+    return np.frombuffer(b"".join(codes), np.uint64).reshape(len(codes), -1)
 
 
 class MultiIndex:
     """Tables of one chunk of distinct codes, each with the ids that have it."""
 
     def __init__(self, codes: np.ndarray, members: list[list[int]]) -> None:
-        self.codes, self.members = codes, members
+        self.codes, self.members, self.segments = codes, members, codes.shape[1] * 64 // _WIDTH
         self.sizes = np.array([len(m) for m in members])
-        self.parts = codes.view("<u2").reshape(-1, _SEGMENTS)
-        self.order = [np.argsort(self.parts[:, s], kind="stable") for s in range(_SEGMENTS)]
-        self.starts = [np.concatenate([[0], np.cumsum(np.bincount(self.parts[:, s], minlength=1 << _WIDTH))]) for s in range(_SEGMENTS)]
+        self.parts = np.ascontiguousarray(codes).view(np.uint16)
+        self.order = [np.argsort(self.parts[:, s], kind="stable") for s in range(self.segments)]
+        self.starts = [np.concatenate([[0], np.cumsum(np.bincount(self.parts[:, s], minlength=1 << _WIDTH))]) for s in range(self.segments)]
 
     def _probe(self, segment: int, value: int, radius: int) -> np.ndarray:
         values = _FLIPS[radius] ^ np.uint16(value)
@@ -60,23 +76,23 @@ class MultiIndex:
         at = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
         return self.order[segment][at]
 
-    def top(self, code: np.uint64, k: int) -> list[tuple[int, int]]:
+    def top(self, code: np.ndarray, k: int) -> list[tuple[int, int]]:
         """The k nearest (distance, id)."""
-        own = np.array([code], np.uint64).view("<u2")
+        own = np.ascontiguousarray(code).view(np.uint16)
         met = np.zeros(len(self.codes), bool)
-        found, distances, reach = np.zeros(0, np.int64), np.zeros(0, np.int64), 64
+        found, distances, reach = np.zeros(0, np.int64), np.zeros(0, np.int64), self.codes.shape[1] * 64
         for radius in range(_WIDTH + 1):
-            for s in range(_SEGMENTS):
+            for s in range(self.segments):
                 new = self._probe(s, int(own[s]), radius)
                 new = new[~met[new]]
                 met[new] = True
                 found = np.concatenate([found, new])
-            distances = np.bitwise_count(self.codes[found] ^ code).astype(np.int64)
+            distances = np.bitwise_count(self.codes[found] ^ code).sum(axis=1, dtype=np.int64)
             order = np.argsort(distances, kind="stable")
             counted = np.cumsum(self.sizes[found[order]])
             if len(counted) and counted[-1] >= k:
                 reach = int(distances[order[np.searchsorted(counted, k)]])
-                if reach <= _SEGMENTS * (radius + 1) - 1:
+                if reach <= self.segments * (radius + 1) - 1:
                     break
         near = np.flatnonzero(distances <= reach)
         return sorted((int(distances[i]), m) for i in near for m in self.members[found[i]])[:k]
@@ -85,12 +101,11 @@ class MultiIndex:
 def _searching(block, k: int, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def answer(codes, members):
-            index = MultiIndex(np.array(codes, np.int64).view(np.uint64), members)
-            queries = block.value
-            tops = [index.top(q, k) for q in queries.view(np.uint64)]
-            flat = [(int(q), d, i) for q, top in zip(queries, tops) for d, i in top]
+            index = MultiIndex(_words(codes), members)
+            tops = [index.top(q, k) for q in _words(block.value)]
+            flat = [(q, d, i) for q, top in zip(block.value, tops) for d, i in top]
             columns = list(zip(*flat)) if flat else [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()))], ["code", "distance", "vec_id"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int64()))], ["code", "distance", "vec_id"])
 
         codes, members = [], []
         for batch in batches:
@@ -115,19 +130,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, chunk_codes: i
     Rows: query_id, rank (from 1), vec_id, distance; ties go by vec_id. The vector
     itself is among its neighbours. With fewer than k vectors all are returned.
     Rows without an id or vector take no part; repeated ids are separate vectors.
+    Codes are as wide as the longest vector; what a shorter one lacks is not positive.
     """
     spark = vectors.sparkSession
-    codes = materialise(binary_codes(vectors), "codes")
+    bits = code_bits(vectors, queries)
+    codes = materialise(binary_codes(vectors, bits), "codes")
     few = _smallest(_smallest(codes.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(_SALTS))), k, "code", "salt"), k, "code")
     index = materialise(few.groupBy("code").agg(F.sort_array(F.collect_list("vec_id")).alias("members")), "index")
-    asked = materialise(binary_codes(queries).withColumnRenamed("vec_id", "query_id"), "queries")
+    asked = materialise(binary_codes(queries, bits).withColumnRenamed("vec_id", "query_id"), "queries")
     wanted = materialise(asked.select("code").distinct(), "wanted")
     blocks = max(1, -(-wanted.count() // block_queries))
     parts = None
     for b in range(blocks):
         rows = wanted.where(F.pmod(F.xxhash64("code"), F.lit(blocks)) == b).collect()  # about block_queries of the stated queries
-        block = spark.sparkContext.broadcast(np.array([r["code"] for r in rows], np.int64))
-        found = index.mapInArrow(_searching(block, k, chunk_codes), "code long, distance int, vec_id long")
+        block = spark.sparkContext.broadcast([bytes(r["code"]) for r in rows])
+        found = index.mapInArrow(_searching(block, k, chunk_codes), "code binary, distance int, vec_id long")
         parts = found if parts is None else parts.unionByName(found)
     best = parts.withColumn("rank", F.row_number().over(Window.partitionBy("code").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
     return asked.join(best, "code").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "distance")

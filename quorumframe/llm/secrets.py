@@ -9,10 +9,12 @@ has looks live. Live-looking values of the wider net are added as spans.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumframe.llm.common import materialise, spans_text
+from quorumframe.llm.common import hot_join, materialise, spans_text
 
 #: Kind, pattern, the group that holds the value.
 BASE = (
@@ -26,30 +28,54 @@ _LEAST_ASSIGNED = 6
 _SPAN = "array<struct<start:int,ord:int,end:int,kind:string,value:string>>"
 
 
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """What combine makes of all values so far, at each place of an array; for combine such as a sum or a maximum.
+
+    Each round combines what is a power of two apart, so n values take log2(n) rounds
+    over the array and no array grows element by element.
+    """
+    steps = F.filter(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.pow(F.lit(2), k).cast("int")), lambda step: step < F.size(values))
+
+    def doubled(so_far: Column, step: Column) -> Column:
+        earlier = F.concat(F.array_repeat(F.lit(None).cast("int"), step), F.slice(so_far, F.lit(1), F.size(so_far) - step))
+        return F.zip_with(so_far, earlier, lambda own, before: F.when(before.isNull(), own).otherwise(combine(own, before)))
+
+    return F.aggregate(steps, values, doubled)
+
+
 def _with_spans(df: DataFrame, order: int, kind: str, pattern: str, group: int) -> DataFrame:
     """df with the column kind: spans of the leftmost matches that do not overlap, in code points."""
-    pieces, found, starts, values = (f"_{x}" for x in ("pieces", "found", "starts", "values"))
+    pieces, found, ends, values = (f"_{x}" for x in ("pieces", "found", "ends", "values"))
     none = F.array().cast("array<string>")
     hit = F.col("text").rlike(pattern)
     df = df.withColumn(found, F.when(hit, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none))
     df = df.withColumn(pieces, F.when(F.size(found) > 0, F.split("text", pattern, -1)).otherwise(none))
     value = F.regexp_extract_all("text", F.lit(pattern), F.lit(group)) if group else F.col(found)
     df = df.withColumn(values, F.when(F.size(found) > 0, value).otherwise(none))
-    steps = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), F.col(found), lambda p, m: F.struct(F.char_length(p).alias("gap"), F.char_length(m).alias("long")))
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, x: F.struct((acc["at"] + x["gap"] + x["long"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + x["gap"])).alias("starts")),
-        lambda acc: acc["starts"],
-    )
-    df = df.withColumn(starts, F.when(F.size(found) > 0, walked).otherwise(F.array().cast("array<int>")))
+    steps = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), F.col(found), lambda p, m: F.char_length(p) + F.char_length(m))
+    df = df.withColumn(ends, F.when(F.size(found) > 0, steps).otherwise(F.array().cast("array<int>")))
+    df = df.withColumn(ends, F.when(F.size(found) > 1, running(F.col(ends), lambda a, b: a + b)).otherwise(F.col(ends)))
     spans = F.transform(
-        F.arrays_zip(F.col(starts).alias("s"), F.col(found).alias("m"), F.col(values).alias("v")),
-        lambda x: F.struct(x["s"].alias("start"), F.lit(order).alias("ord"), (x["s"] + F.char_length(x["m"])).alias("end"), F.lit(kind).alias("kind"), x["v"].alias("value")),
+        F.arrays_zip(F.col(ends).alias("e"), F.col(found).alias("m"), F.col(values).alias("v")),
+        lambda x: F.struct((x["e"] - F.char_length(x["m"])).alias("start"), F.lit(order).alias("ord"), x["e"].alias("end"), F.lit(kind).alias("kind"), x["v"].alias("value")),
     )
     if kind == "assign":
         spans = F.filter(spans, lambda s: F.char_length(s["value"]) >= _LEAST_ASSIGNED)
-    return df.withColumn(kind, F.when(F.size(found) > 0, spans).otherwise(F.array().cast(_SPAN))).drop(pieces, found, starts, values)
+    return df.withColumn(kind, F.when(F.size(found) > 0, spans).otherwise(F.array().cast(_SPAN))).drop(pieces, found, ends, values)
+
+
+def _with_apart(df: DataFrame) -> DataFrame:
+    """df with the column apart: the live spans that no base span overlaps, by one sweep over both.
+
+    At the end of a live span, the base spans that began before it must all have ended
+    by its start; so the furthest end so far decides.
+    """
+    begun = F.transform("base", lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("is_base"), s["end"].alias("end"), s.alias("span")))
+    asked = F.transform("live", lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("is_base"), F.lit(0).alias("end"), s.alias("span")))
+    df = df.withColumn("_sweep", F.when((F.size("live") > 0) & (F.size("base") > 0), F.array_sort(F.concat(begun, asked))))
+    furthest = running(F.transform("_sweep", lambda e: e["end"]), F.greatest)
+    kept = F.filter(F.arrays_zip(F.col("_sweep").alias("e"), furthest.alias("upto")), lambda x: (x["e"]["is_base"] == 0) & (x["upto"] <= x["e"]["span"]["start"]))
+    return df.withColumn("apart", F.when(F.col("_sweep").isNull(), F.col("live")).otherwise(F.transform(kept, lambda x: x["e"]["span"]))).drop("_sweep")
 
 
 def _hashed(spans: Column) -> Column:
@@ -70,13 +96,14 @@ def secrets(docs: DataFrame, *, owner: str = "source", repository: tuple[str, ..
     for order, rule in enumerate((*BASE, WIDER)):
         df = _with_spans(df, order, *rule)
     df = df.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
-    apart = F.filter("live", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    df = df.select("doc_id", "owner", "repository", *(F.size(kind).cast("long").alias(f"n_{kind}") for kind, _, _ in BASE), F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), _hashed(F.concat("base", apart)).alias("candidates"), F.monotonically_increasing_id().alias("row"))
+    df = _with_apart(df).select("doc_id", "owner", "repository", *(F.size(kind).cast("long").alias(f"n_{kind}") for kind, _, _ in BASE), F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), _hashed(F.concat("base", "apart")).alias("candidates"), F.monotonically_increasing_id().alias("row"))
     found = materialise(df, "secrets")
     candidates = found.where(F.size("candidates") > 0).select("row", "owner", "repository", F.explode("candidates").alias("c"))
-    held = candidates.select(F.col("c.hash").alias("hash"), "owner", "repository").distinct()
-    owned = held.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
-    judged = candidates.withColumn("hash", F.col("c.hash")).join(owned, "hash").withColumn("example", F.col("n_owners") >= example_owners)
+    held = candidates.select(F.col("c.hash").alias("hash"), "owner", "repository").groupBy("hash", "owner", "repository").agg(F.count("*").alias("rows"))
+    owned = held.groupBy("hash", "owner").agg(F.count("*").alias("n"), F.sum("rows").alias("rows")).groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"), F.sum("rows").alias("rows"))
+    owned = materialise(owned, "owned")
+    # a value that was copied everywhere is the very case of this method: its facts go to its rows
+    judged = hot_join(candidates.withColumn("hash", F.col("c.hash")), owned, "hash", "rows").withColumn("example", F.col("n_owners") >= example_owners)
     kept = judged.where((F.col("c.kind") != "live") | (~F.col("example") & (F.col("c.letters") >= least_letters)))
     span = F.struct(*(F.col(f"c.{k}").alias(k) for k in ("start", "ord", "end", "kind")))
     marks = kept.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("all"), F.count_if(~F.col("example")).alias("n_live"), F.count_if("example").alias("n_example"))

@@ -17,6 +17,7 @@ def test_layouts_meet_in_the_same_turns(spark):
     records = [
         {"prompt": "Q", "response": "A"}, {"prompt": "Q", "completion": "A"}, {"instruction": "Q", "output": "A"}, {"instruction": "Q", "input": "", "output": "A"}, {"question": "Q", "answer": "A"},
         {"messages": [{"role": "user", "content": "Q"}, {"role": "assistant", "content": "A"}]}, {"conversations": [{"from": "human", "value": "Q"}, {"from": "gpt", "value": "A"}]},
+        {"id": 7, "prompt": "Q", "response": "A"}, {"messages": [{"role": "user", "content": "Q", "name": "x"}, {"role": "assistant", "content": "A", "tool": None}], "source": {"url": "u"}}, {"prompt": "Q", "response": "A", "text": "of another layout"},
     ]
     rows = [(k, 0, json.dumps(r)) for k, r in enumerate(records)] + [(99, 0, '{"unknown": 1}'), (98, 0, None)]
     turns = formatted_turns(spark.createDataFrame(rows, "conv_id long, place long, payload string"))
@@ -26,6 +27,14 @@ def test_layouts_meet_in_the_same_turns(spark):
     assert len({layout.name for layout in LAYOUTS}) == len(LAYOUTS)
 
 
+def test_ties_of_a_turn_go_by_text(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "assistant", "c"), (1, 0, "system", "a b"), (1, 0, "user", "a"), (1, 0, "assistant", "a"), (1, 0, "human", "a\nz")]
+    for conv in (1, 2, 3):
+        got = read_back(formatted_turns(turn_records(spark.createDataFrame([(conv, *r[1:]) for r in rows], "conv_id long, turn long, role string, text string")))).first()
+        said = sorted(rows, key=lambda r: (r[3].encode(), r[2].encode()))
+        assert got.turns_sha256 == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in said).encode()).hexdigest() and got.loss_sha256 == hashlib.sha256(b"ac").hexdigest()
+
+
 def test_conversations(spark):
     rows = [(1, 1, "assistant", "two<|im_end|>"), (1, 0, "user", None), (1, 2, "assistant", "é😀"), (2, 0, None, "x"), (None, 0, "user", "y"), (3, 0, "user", "long " * 100_000)]
     table = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, place int")

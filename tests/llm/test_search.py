@@ -1,16 +1,18 @@
 import random
 
-from quorumframe.llm.search import binary_codes, top_k
+import pytest
 
+from quorumframe.llm.search import top_k
 
-def test_search_equals_brute_force(spark):
+
+@pytest.mark.parametrize("width", [64, 20, 130])
+def test_search_equals_brute_force(spark, width):
     draw = random.Random(2)
-    base = [[draw.gauss(0, 1) for _ in range(64)] for _ in range(40)]
+    base = [[draw.gauss(0, 1) for _ in range(width)] for _ in range(40)]
     rows = [(k, [x + draw.gauss(0, 0.4) for x in base[k % 40]]) for k in range(1500)]
-    rows += [(2000 + k, base[0]) for k in range(50)] + [(3000, None), (None, base[1]), (3001, []), (3002, [float("nan")] * 64)]
+    rows += [(2000 + k, base[0]) for k in range(50)] + [(3000, None), (None, base[1]), (3001, []), (3002, [float("nan")] * width), (3003, base[0][: width // 2] + [-x for x in base[0][width // 2 :]]), (3100, base[2][:7])]
     vectors = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, code int")
-    codes = {r.vec_id: r.code % (1 << 64) for r in binary_codes(vectors).collect()}
-    assert len(codes) == len(rows) - 2
+    codes = {k: sum(1 << at for at, x in enumerate(v) if x > 0) for k, v in rows if k is not None and v is not None}
     for chunk, block in ((10_000, 1000), (100, 4)):
         got = {}
         for r in top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, chunk_codes=chunk, block_queries=block).collect():
