@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,7 +28,8 @@ _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
 # How HTML names its elements.
-RAW = frozenset("script style textarea noscript template svg iframe select option button".split())
+RAW = frozenset("script style".split())
+ASIDE = frozenset("textarea noscript template svg iframe select option button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html head body title article section main nav aside header footer div p ul ol li dl dt dd table thead tbody tfoot tr td th h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption form fieldset details summary address hgroup dialog menu center".split()
@@ -49,13 +51,36 @@ class Node:
     label: int | None = None
 
 
+class _Tags:
+    """Where the tags of a name open and end in a page, looked up once for each name."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.known = page, {}
+
+    def ended(self, name: str, at: int) -> int | None:
+        """Where an element that opened before at has ended, if it did before another of its name opened."""
+        if name not in self.known:
+            found = list(re.finditer(rf"<(/?){name}(?=[\s/>])[^>]*>", self.page, re.I))
+            self.known[name] = [m.start() for m in found], found
+        starts, found = self.known[name]
+        k = bisect_left(starts, at)
+        return found[k].end() if k < len(found) and found[k][1] else None
+
+
 def parse(page: str) -> list[Node]:
-    """Nodes in page order, parents first; inline markup leaves no node."""
+    """Nodes in page order, parents first; inline markup leaves no node.
+
+    Elements that are no text (ASIDE) go with all they hold where they end before
+    another of their name opens. Where the end is missing, as authors and standards
+    allow, only the tag goes, and of a button, option or text area what stands before
+    the next block.
+    """
     nodes, open_at, links, run = [Node("root", -1)], [ROOT], 0, None
+    tags, muted = _Tags(page), False
 
     def text(piece: str) -> None:
         nonlocal run
-        if not piece:
+        if not piece or muted:
             return
         if run is None:
             if piece.isspace():
@@ -94,15 +119,23 @@ def parse(page: str) -> list[Node]:
         elif tag in RAW and not ending:
             found = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = found.end() if found else len(page)
+        elif tag in ASIDE:
+            muted = False
+            if not ending and not rest.endswith("/"):
+                after = tags.ended(tag, at)
+                muted = after is None and tag in ("option", "button", "textarea")
+                at = after or at
         elif tag == "br" or tag in VOID:
             text(" " if run is not None else "")
         elif tag in BLOCK and ending:
+            muted = False
             for depth in range(len(open_at) - 1, 0, -1):
                 if nodes[open_at[depth]].kind == tag:
                     close(depth)
                     break
             run = None
         elif tag in BLOCK:
+            muted = False
             closed_by(tag)
             run = None
             words = {w for m in _ATTRIBUTE.finditer(rest) for w in _WORD.findall(m[2].lower())}

@@ -10,18 +10,21 @@ apart they stand, each with its next occurrence. Loopy sum-product message
 passing over both kinds of links gives each node's marginals, so a phone number
 written without its prefix takes the label of its full form.
 
-Potentials of shapes and of neighbours are counted over the whole corpus with the
-base rules' labels, in logarithms and within bounds: a shape that no rule accepts
-always speaks against, more or less, and a link with a match outweighs it. Skip
-links favour equal labels by a stated parameter.
+The potentials are fitted by pseudo-likelihood: each node's label given its features
+and the labels of its neighbours, over a bounded sample of nodes. The base rules' labels
+are the truth there, with the marks that decide them hidden: a phone number counts
+without its plus sign and country code, an address by its local part. So a shape or the
+word before it can speak for a label where no rule accepts it. Nodes without a match
+that are linked to one are unknown and take no part. With little to learn from, weights
+stay near their priors: links favour equal labels, and most tokens are nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
-from collections import defaultdict
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -93,21 +96,40 @@ class Node:
     keys: tuple[str, ...]
 
 
+_COUNTRY = re.compile(r"\+(?:[0-9]{1,3}(?=[\x20(.-]))?[\x20.-]*")
+_DIGITS = re.compile(r"[0-9]+")
+_BEFORE = re.compile(r"([A-Za-z]{2,15})[^A-Za-z0-9]{0,3}\Z")
+
+
 def _described(token: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
-    """Features of a token's shape, and the keys that link it with tokens that repeat or resemble it."""
+    """Features of a token's shape without the marks that decide a label, and the keys that link it with tokens that repeat or resemble it."""
     if "@" in token:
         local = token.partition("@")[0].lower()
-        return ("at", f"dots {min(3, token.count('.'))}"), (f"w {token.lower()}", *([f"l {local}"] if len(local) >= 4 else []))
+        return _word_shape(local), (f"w {token.lower()}", *([f"l {local}"] if len(local) >= 4 else []))
     digits = _NO_DIGIT.sub("", token)
-    if len(digits) >= 7:
-        parts = token.split(".")
-        dotted = len(parts) == 4 and all(p.isdigit() for p in parts)
-        shape = (f"digits {min(20, len(digits))}", f"sum {luhn(digits)}", f"dotted {dotted}", f"grouped {len(digits) < len(token)}", f"plus {token[0] == '+'}")
-        return shape, (f"n {digits if dotted or len(digits) > 13 else digits[-7:]}",)
     parts = token.split(".")
-    if len(parts) == 4 and all(p.isdigit() for p in parts):
-        return (f"digits {len(digits)}", "dotted True"), (f"n {digits}",)
-    return ("word",), (f"l {token.lower()}",)
+    dotted = len(parts) == 4 and all(p.isdigit() for p in parts)
+    if len(digits) >= 7 or dotted:
+        hidden = _COUNTRY.sub("", token)
+        groups = _DIGITS.findall(hidden)
+        shape = (f"digits {min(20, sum(map(len, groups)))}", "groups " + "-".join(str(min(9, len(g))) for g in groups[:6]), f"dotted {dotted}", f"bracket {'(' in hidden}")
+        return shape, (f"n {digits if dotted or len(digits) > 13 else digits[-7:]}",)
+    return _word_shape(token), (f"l {token.lower()}",)
+
+
+def _word_shape(word: str) -> tuple[str, ...]:
+    return "word", f"dots {min(3, word.count('.'))}", f"mixed {bool(_DIGIT.search(word))}"
+
+
+def _before(text: str, start: int) -> tuple[str, ...]:
+    """The word that stands right before."""
+    found = _BEFORE.search(text, max(0, start - 20), start)
+    return (f"before {found[1].lower()}",) if found else ()
+
+
+def _node(text: str, start: int, end: int, base: int) -> Node:
+    shape, keys = _described(text[start:end])
+    return Node(start, end, base, shape + _before(text, start), keys)
 
 
 def nodes_of(text: str) -> list[Node]:
@@ -120,7 +142,7 @@ def nodes_of(text: str) -> list[Node]:
         elif end > upto:
             taken[-1] = (taken[-1][0], end)
         upto = max(upto, end)
-    out = [Node(s, e, LABELS.index(kind), *_described(text[s:e])) for s, e, kind in base]
+    out = [_node(text, s, e, LABELS.index(kind)) for s, e, kind in base]
     locals_ = {k[2:] for n in out for k in n.keys if k[0] == "l"}
 
     def others(at: int, to: int) -> Iterator[tuple[int, int]]:
@@ -136,7 +158,7 @@ def nodes_of(text: str) -> list[Node]:
             free = at
             for s, e in sorted(others(at, start)):
                 if s >= free:
-                    out.append(Node(s, e, 0, *_described(text[s:e])))
+                    out.append(_node(text, s, e, 0))
                     free = e
             at = end
     return sorted(out, key=lambda n: (n.start, n.base))
@@ -154,71 +176,74 @@ def _at_words(text: str, at: int, to: int):
         sign = text.find("@", max(free, sign + 1), to)
 
 
+def links_of(nodes: list[Node], near: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Links between neighbours, and between a token and the next that repeats or resembles it."""
+    chain, skip, last = [], [], {}
+    for k, node in enumerate(nodes):
+        if k and node.start - nodes[k - 1].end <= near:
+            chain.append((k - 1, k))
+        for key in node.keys:
+            if key in last:
+                skip.append((last[key], k))
+            last[key] = k
+    return chain, list(dict.fromkeys(skip))
+
+
 @dataclass
 class Field:
-    """unary: feature -> bounded log-potential of each label. pair: of neighbouring labels."""
+    """unary: feature -> log-potential of each label. bias: of each label. chain, skip: of the labels that a link joins, symmetric."""
 
     unary: dict[str, list[float]]
-    pair: list[list[float]]
-    agree: float
-    bound: float
+    bias: list[float]
+    chain: list[list[float]]
+    skip: list[list[float]]
     near: int
 
-    def marginals(self, documents: list[list[Node]], rounds: int = 20) -> list[np.ndarray]:
-        """P(label) of the nodes of each document, by loopy sum-product over all of them at once."""
+    def marginals(self, documents: list[list[Node]], rounds: int = 30) -> list[np.ndarray]:
+        """P(label) of the nodes of each document, by loopy sum-product; each document settles by itself."""
         flat = [n for nodes in documents for n in nodes]
         if not flat:
             return [np.zeros((0, len(LABELS))) for _ in documents]
-        own = np.zeros((len(flat), len(LABELS)))
-        for k, node in enumerate(flat):
-            seen = np.sum([self.unary[f] for f in node.features if f in self.unary] or [np.zeros(len(LABELS))], axis=0)
-            own[k, 1:] = np.clip(seen[1:] - seen[0], -self.bound, -self.bound / 2)
-            own[k, node.base] += 20.0 if node.base else 0.0
-        ends, pairs = self._links(documents)
-        if len(ends):
-            own = _sum_product(own, ends, pairs, rounds)
+        none = [0.0] * len(LABELS)
+        own = np.array([np.sum([self.bias, *(self.unary.get(f, none) for f in node.features)], axis=0) for node in flat])
+        own[np.arange(len(flat)), [n.base for n in flat]] += [20.0 if n.base else 0.0 for n in flat]
+        ends, pairs, first = [], [], 0
+        for nodes in documents:
+            for kind, links in zip((self.chain, self.skip), links_of(nodes, self.near)):
+                ends += [(first + a, first + b) for a, b in links]
+                pairs += [kind] * len(links)
+            first += len(nodes)
+        owner = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
+        if ends:
+            own = _sum_product(own, np.array(ends, np.int64), np.array(pairs), owner, rounds)
         belief = np.exp(own - own.max(axis=1, keepdims=True))
         belief /= belief.sum(axis=1, keepdims=True)
         return np.split(belief, np.cumsum([len(d) for d in documents])[:-1])
 
-    def _links(self, documents: list[list[Node]]) -> tuple[np.ndarray, np.ndarray]:
-        chain, skip, first = [], [], 0
-        for nodes in documents:
-            last: dict[str, int] = {}
-            for k, node in enumerate(nodes, first):
-                if k > first and node.start - nodes[k - first - 1].end <= self.near:
-                    chain.append((k - 1, k))
-                for key in node.keys:
-                    if key in last:
-                        skip.append((last[key], k))
-                    last[key] = k
-            first += len(nodes)
-        skip = list(dict.fromkeys(skip))
-        alike = self.agree * np.eye(len(LABELS))
-        pairs = np.concatenate([np.broadcast_to(np.array(self.pair), (len(chain), *alike.shape)), np.broadcast_to(alike, (len(skip), *alike.shape))])
-        return np.array(chain + skip, np.int64).reshape(-1, 2), pairs
-
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
-def _sum_product(own: np.ndarray, ends: np.ndarray, pairs: np.ndarray, rounds: int) -> np.ndarray:
-    """Log-beliefs after damped rounds of messages both ways along the links."""
+def _sum_product(own: np.ndarray, ends: np.ndarray, pairs: np.ndarray, owner: np.ndarray, rounds: int) -> np.ndarray:
+    """Log-beliefs after damped rounds of messages both ways along the links; the messages of an owner that has settled stay as they are."""
     source, target = np.concatenate([ends[:, 0], ends[:, 1]]), np.concatenate([ends[:, 1], ends[:, 0]])
     both = np.concatenate([pairs, pairs.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(len(ends)) + len(ends), np.arange(len(ends))])
-    sent = np.zeros((len(source), own.shape[1]))
-    belief = own
+    sent, whose = np.zeros((len(source), own.shape[1])), owner[source]
+    belief, live = own, np.ones(len(source), bool)
     for _ in range(rounds):
-        out = _log_sum((belief[source] - sent[back])[:, :, None] + both, axis=1)
+        out = _log_sum((belief[source[live]] - sent[back[live]])[:, :, None] + both[live], axis=1)
         out -= out.max(axis=1, keepdims=True)
-        moved = np.abs(out - sent).max()
-        sent = (sent + out) / 2 if moved > 1e-3 else out
+        moved = np.zeros(owner[-1] + 1)
+        np.maximum.at(moved, whose[live], np.abs(out - sent[live]).max(axis=1))
+        settled = moved <= 1e-4
+        sent[live] = np.where(settled[whose[live]][:, None], out, (sent[live] + out) / 2)
         belief = own.copy()
         np.add.at(belief, target, sent)
-        if moved <= 1e-3:
+        live &= ~settled[whose]
+        if not live.any():
             break
     return belief
 
@@ -238,24 +263,78 @@ def found_nodes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_finding, f"doc_id long, nodes array<{_NODE}>")
 
 
-def counted_field(found: DataFrame, *, agree: float = 6.0, bound: float = 3.0, near: int = 40) -> Field:
-    """Potentials counted over all nodes; what goes to the driver is one row for each label and shape."""
-    node = found.select(F.explode("nodes").alias("n"))
-    seen = node.select("n.base", F.explode("n.features").alias("feature")).groupBy("base", "feature").agg(F.count("*").alias("n"))
-    next_ = F.zip_with(F.expr("slice(nodes, 1, greatest(size(nodes) - 1, 0))"), F.expr("slice(nodes, 2, size(nodes))"), lambda a, b: F.struct(a["base"].alias("a"), b["base"].alias("b"), (b["start"] - a["end"]).alias("gap")))
-    turns = found.where(F.size("nodes") > 1).select(F.explode(next_).alias("t")).where(F.col("t.gap") <= near).groupBy("t.a", "t.b").agg(F.count("*").alias("n"))
-    size = len(LABELS)
-    by_feature: dict[str, list[int]] = defaultdict(lambda: [0] * size)
-    totals = [0] * size
-    for r in seen.collect():
-        by_feature[r["feature"]][r["base"]] += r["n"]
-        totals[r["base"]] += r["n"]
-    unary = {f: [math.log((c + 0.5) / (t + 1.0)) for c, t in zip(counts, totals)] for f, counts in by_feature.items()}
-    pair = np.full((size, size), 0.5)
-    for r in turns.collect():
-        pair[r["a"], r["b"]] += r["n"]
-    alone = pair.sum(axis=1, keepdims=True) * pair.sum(axis=0, keepdims=True) / pair.sum()
-    return Field(unary, np.clip(np.log(pair / alone), -0.5, 0.5).tolist(), agree, bound, near)
+_TRAINING = "place long, features array<string>, label int, chain array<int>, skip array<int>"
+
+
+def known_labels(nodes: list[Node]) -> list[int | None]:
+    """The labels that can be learned from: those of the base rules; none where nothing links a node to a match; unknown otherwise."""
+    matched = {key for n in nodes if n.base for key in n.keys}
+    return [n.base if n.base else None if matched.intersection(n.keys) else 0 for n in nodes]
+
+
+def _examples(near: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.list_(pa.string()), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        for batch in batches:
+            rows = []
+            for doc_id, raw in zip(batch["doc_id"].to_pylist(), batch["nodes"].to_pylist()):
+                nodes = _nodes(raw)
+                known, beside = known_labels(nodes), [np.zeros((2, len(LABELS)), int) for _ in nodes]
+                for kind, links in enumerate(links_of(nodes, near)):
+                    for a, b in links:
+                        for one, other in ((a, b), (b, a)):
+                            if known[other] is not None:
+                                beside[one][kind, known[other]] += 1
+                rows += [(zlib.crc32(f"{doc_id} {n.start}".encode()), n.features, label, *map(np.ndarray.tolist, by)) for n, label, by in zip(nodes, known, beside) if label is not None]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["place", "features", "label", "chain", "skip"])
+
+    return run
+
+
+def _nodes(raw: list[dict]) -> list[Node]:
+    return [Node(n["start"], n["end"], n["base"], tuple(n["features"]), tuple(n["keys"])) for n in raw]
+
+
+def fitted_field(found: DataFrame, *, sample_nodes: int = 30_000, most_features: int = 500, least_nodes: int = 3, near: int = 40, seldom: float = 2.0, agree: float = 6.0) -> Field:
+    """The field fitted by pseudo-likelihood on at most sample_nodes nodes, drawn by hash.
+
+    seldom and agree are the priors: how much less likely each kind is than none, and how
+    much likelier equal labels are on a skip link. Features that fewer than least_nodes
+    nodes have are not learned.
+    """
+    rows = found.where(F.size("nodes") > 0).mapInArrow(_examples(near), _TRAINING).orderBy("place", F.xxhash64("features", "label")).limit(sample_nodes).collect()
+    seen = Counter((tuple(r["features"]), r["label"], tuple(r["chain"]), tuple(r["skip"])) for r in rows)
+    often = Counter(f for r in rows for f in r["features"])
+    names = [f for f, n in sorted(often.items(), key=lambda i: (-i[1], i[0])) if n >= least_nodes][:most_features]
+    size, at = len(LABELS), {f: k for k, f in enumerate(names)}
+    x = np.zeros((len(seen), len(names) + 1 + 2 * size))
+    y, n = np.zeros(len(seen), np.int64), np.zeros(len(seen))
+    for k, ((features, label, chain, skip), count) in enumerate(sorted(seen.items())):
+        x[k, [at[f] for f in features if f in at]] = 1
+        x[k, len(names) :] = (1, *chain, *skip)
+        y[k], n[k] = label, count
+    prior = np.zeros((x.shape[1], size))
+    prior[len(names), 1:] = -seldom
+    prior[len(names) + 1 + size :] = agree * np.eye(size)
+    weights = _softmax(x, y, n, prior)
+    links = weights[len(names) + 1 :].reshape(2, size, size)
+    chain, skip = ((m + m.T) / 2 for m in links)
+    return Field({f: weights[k].tolist() for f, k in at.items()}, weights[len(names)].tolist(), chain.tolist(), skip.tolist(), near)
+
+
+def _softmax(x: np.ndarray, y: np.ndarray, n: np.ndarray, prior: np.ndarray, ridge: float = 1.0, rounds: int = 400, pace: float = 0.1) -> np.ndarray:
+    """Weights of a softmax model near their prior, by steps of adaptive length."""
+    weights, mean, spread = prior.copy(), np.zeros_like(prior), np.zeros_like(prior)
+    if not len(x):
+        return weights
+    truth = np.eye(prior.shape[1])[y]
+    for k in range(1, rounds + 1):
+        logits = x @ weights
+        p = np.exp(logits - _log_sum(logits, 1)[:, None])
+        slope = x.T @ ((p - truth) * n[:, None]) + ridge * (weights - prior)
+        mean, spread = 0.9 * mean + 0.1 * slope, 0.999 * spread + 0.001 * slope**2
+        weights -= pace * (1 - k / (rounds + 1)) * (mean / (1 - 0.9**k)) / (np.sqrt(spread / (1 - 0.999**k)) + 1e-8)
+    return weights
 
 
 def _spans(nodes: list[Node], belief: np.ndarray) -> list[tuple[int, int, str]]:
@@ -275,7 +354,7 @@ _RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base
 def _labelling(field):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            documents = [[Node(n["start"], n["end"], n["base"], tuple(n["features"]), tuple(n["keys"])) for n in nodes] for nodes in batch["nodes"].to_pylist()]
+            documents = [_nodes(nodes) for nodes in batch["nodes"].to_pylist()]
             counts, sums, spans = [], [], []
             for nodes, belief in zip(documents, field.value.marginals(documents)):
                 base = [(n.start, n.end, LABELS[n.base]) for n in nodes if n.base]
@@ -297,7 +376,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     doc_id keeps its row. Only doc_id and text are read; an empty table gives no rows.
     """
     found = materialise(found_nodes(docs), "pii-nodes")
-    field = docs.sparkSession.sparkContext.broadcast(counted_field(found))  # a row for each shape
+    field = docs.sparkSession.sparkContext.broadcast(fitted_field(found))  # most_features rows
     return found.mapInArrow(_labelling(field), _RESULT)
 
 
@@ -321,5 +400,5 @@ def _masking(field):
 
 def masked(docs: DataFrame) -> DataFrame:
     """docs with every span of its texts replaced by its kind in brackets; all columns stay as they are but text."""
-    field = docs.sparkSession.sparkContext.broadcast(counted_field(materialise(found_nodes(docs), "pii-nodes")))
+    field = docs.sparkSession.sparkContext.broadcast(fitted_field(materialise(found_nodes(docs), "pii-nodes")))
     return docs.mapInArrow(_masking(field), docs.schema)

@@ -6,9 +6,14 @@ bits: at a node, those within the radius of the vantage point go left, the other
 right. Two fingerprints that differ in at most r bits differ in at most
 r // segments bits of some segment. By the triangle inequality a partner lies on
 the far side of a node of that segment's tree only if x is within this margin of
-the boundary, and x visits those leaves as well. With more segments than r the
-margin is zero, no shards overlap, and what is dealt out grows in proportion to
-the input; with one segment there is one tree with the full margin.
+the boundary, and x visits those leaves as well. By default there are two segments
+of 32 bits and the margin is one bit.
+
+The trees are fitted on a bounded sample. A leaf that is home to too many points is cut
+again, in rounds that all such leaves take together: a vantage point and a radius for
+each by aggregation, then home and visiting points go to its two sides by the same
+rule. So no leaf exceeds its bound, however many points there are. Points that share a
+whole segment are cut by all 64 bits, with the full margin.
 
 Inside a leaf the same rule, over all bits and with the full margin r, is applied
 again to ever smaller groups until they are small enough to compare in full. Only
@@ -23,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorumframe.llm.common import materialise
+from quorumframe.llm.common import hot_join, materialise
 from quorumframe.llm.components import components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -132,7 +137,7 @@ def _shards(trees, margin: int):
                 leaf = np.concatenate([homes, *(np.full(len(g), at, np.int32) for at, g in visits)])
                 fp = np.concatenate([points, *(points[g] for _, g in visits)])
                 home = np.arange(len(leaf)) < len(points)
-                columns = [pa.array(np.full(len(leaf), k, np.int32)), pa.array(leaf, pa.int32()), pa.array(fp.view(np.int64)), pa.array(home)]
+                columns = [pa.array(np.full(len(leaf), k, np.int32)), pa.array(leaf.astype(np.int64)), pa.array(fp.view(np.int64)), pa.array(home)]
                 yield pa.RecordBatch.from_arrays(columns, ["tree", "leaf", "fp", "home"])
 
     return run
@@ -201,12 +206,87 @@ def _edges(reach: int):
     return run
 
 
-def near_links(distinct: DataFrame, *, reach: int = 3, segments: int = 4, leaf_points: int = 3000, sample_points: int = 20_000) -> DataFrame:
+#: Leaves whose facts are broadcast; those of more are copied to so many parts that no leaf gathers in one task.
+_FEW_LEAVES, _SALTS = 50_000, 16
+
+
+def _told(points: DataFrame, leaves: DataFrame) -> DataFrame:
+    """points with what is said of their leaf; null where nothing is."""
+    if leaves.count() <= _FEW_LEAVES:
+        return points.join(F.broadcast(leaves), ["tree", "leaf"], "left")
+    copies = leaves.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return points.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(_SALTS)).cast("int")).join(copies, ["tree", "leaf", "salt"], "left").drop("salt")
+
+
+def split_leaves(dealt: DataFrame, *, reach: int, segments: int, most: int) -> DataFrame:
+    """dealt (tree, leaf, fp, home), its leaves cut until none is home to more than most points.
+
+    The vantage point of a leaf is the home point with the least hash, the radius that
+    of the distances that halves the home points best. As a vantage point lies at
+    distance zero and no other point does over all bits, each cut there leaves both
+    sides smaller.
+    """
+    masks = F.array(*(F.lit(_signed((1 << 64 * (k + 1) // segments) - (1 << 64 * k // segments))) for k in range(segments)))
+    mask = F.when(F.col("wide"), F.lit(-1).cast("long")).otherwise(masks[F.col("tree")])
+    margin = F.when(F.col("wide"), F.lit(reach)).otherwise(F.lit(reach // segments))
+    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage")).bitwiseAND(mask))
+    rest, done, depth = dealt.withColumn("wide", F.lit(False)), [], 0
+    while True:
+        home = F.when(F.col("home"), F.xxhash64("fp", F.lit(depth)))
+        leaves = rest.groupBy("tree", "leaf").agg(F.count_if("home").alias("homes"), F.min_by("fp", home).alias("vantage"))
+        large = materialise(leaves.where(F.col("homes") > most).drop("homes"), "large")
+        if large.isEmpty():
+            parts = [*done, rest.select("tree", "leaf", "fp", "home")]
+            return parts[0] if len(parts) == 1 else _union(parts)
+        told = materialise(_told(rest, large), "told")
+        done.append(told.where("vantage is null").select("tree", "leaf", "fp", "home"))
+        cut = told.where("vantage is not null").withColumn("d", distance)
+        by_leaf = Window.partitionBy("tree", "leaf")
+        counts = cut.groupBy("tree", "leaf", "d").agg(F.count_if("home").alias("n"))  # 65 rows a leaf at most
+        counts = counts.withColumn("inside", F.sum("n").over(by_leaf.orderBy("d"))).withColumn("all", F.sum("n").over(by_leaf))
+        radius = materialise(counts.where("inside < all").groupBy("tree", "leaf").agg(F.min_by("d", F.struct(F.abs(2 * F.col("inside") - F.col("all")), F.col("d"))).alias("radius")), "radius")
+        met = _told(cut, radius)
+        near, here, there = F.col("d") <= F.col("radius"), F.lit(True), F.lit(False)
+        side = lambda when, right, own: F.when(when, F.struct(F.xxhash64("leaf", F.lit(right)).alias("leaf"), own.alias("home")))
+        sides = F.array_compact(
+            F.array(
+                side(F.col("home") & near, 0, here),
+                side(F.col("home") & ~near, 1, here),
+                side(F.col("home") & near & (F.col("d") > F.col("radius") - margin), 1, there),  # a pair is met once: only those on the left visit the right
+                side(~F.col("home") & (F.col("d") <= F.col("radius") + margin), 0, there),
+                side(~F.col("home") & (F.col("d") > F.col("radius") - margin), 1, there),
+            )
+        )
+        # a leaf whose points all share their segment is cut by all bits in the next round
+        same = met.where("radius is null").select("tree", "leaf", "fp", "home", F.lit(True).alias("wide"))
+        split = met.where("radius is not null").select("tree", F.explode(sides).alias("s"), "fp", "wide").select("tree", "s.leaf", "fp", "s.home", "wide")
+        rest, depth = materialise(split.unionByName(same), "split"), depth + 1
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _with_chunks(dealt: DataFrame, most: int) -> DataFrame:
+    """dealt with chunk: the visitors of a leaf that has more than most go to several chunks, each with all home points."""
+    crowded = dealt.groupBy("tree", "leaf").agg(F.count_if(~F.col("home")).alias("n")).where(F.col("n") > most)
+    crowded = materialise(crowded.select("tree", "leaf", F.ceil(F.col("n") / most).cast("int").alias("chunks")), "crowded")
+    if crowded.isEmpty():
+        return dealt.withColumn("chunk", F.lit(0))
+    every = F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)
+    one = F.array(F.pmod(F.xxhash64("fp"), F.coalesce("chunks", F.lit(1))).cast("int"))
+    return _told(dealt, crowded).withColumn("chunk", F.explode(F.when(F.col("home"), every).otherwise(one))).drop("chunks")
+
+
+def near_links(distinct: DataFrame, *, reach: int = 3, segments: int = 2, leaf_points: int = 3000, sample_points: int = 20_000) -> DataFrame:
     """Edges (u, v) of a forest that spans all links between distinct fingerprints fp.
 
     The trees are fitted on a bounded sample (sample_points, by hash order); every
-    fingerprint is dealt and searched. Leaves are few enough to hold about
-    leaf_points each.
+    fingerprint is dealt and searched. No leaf is home to more than four times
+    leaf_points, and no task sees more than four times as many visitors of it.
     """
     spark = distinct.sparkSession
     total = distinct.count()
@@ -215,20 +295,21 @@ def near_links(distinct: DataFrame, *, reach: int = 3, segments: int = 4, leaf_p
     drawn = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else distinct
     rows = drawn.orderBy(F.xxhash64("fp")).limit(sample_points).collect() if depth else []
     sample = np.array([r["fp"] for r in rows], np.int64).view(np.uint64)
-    trees = [vantage_tree(_segment(sample, k, segments), depth) for k in range(segments)] if depth else [None]
-    margin = reach // len(trees)
-    sharded = distinct.mapInArrow(_shards(spark.sparkContext.broadcast(trees), margin), "tree int, leaf int, fp long, home boolean")
-    return sharded.groupBy("tree", "leaf").applyInArrow(_edges(reach), "u long, v long").distinct()
+    segments = segments if depth else 1
+    trees = [vantage_tree(_segment(sample, k, segments), depth) for k in range(segments)]
+    sharded = distinct.mapInArrow(_shards(spark.sparkContext.broadcast(trees), reach // segments), "tree int, leaf long, fp long, home boolean")
+    leaves = split_leaves(materialise(sharded, "dealt"), reach=reach, segments=segments, most=4 * leaf_points) if depth else sharded
+    chunked = _with_chunks(leaves, 16 * leaf_points) if depth else leaves.withColumn("chunk", F.lit(0))
+    return chunked.groupBy("tree", "leaf", "chunk").applyInArrow(_edges(reach), "u long, v long").distinct()
 
 
 def _named(marked: DataFrame, reach: int) -> DataFrame:
-    """fp, component (a fingerprint) and component_id of each distinct fingerprint of marked (doc_id, fp)."""
-    distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    """fp, component (a fingerprint) and component_id of each distinct fingerprint of marked (doc_id, fp), and n, how many rows have it."""
+    distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     linked = components(near_links(distinct.select("fp"), reach=reach))
-    grouped = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    # a large component is one key here, but of distinct fingerprints only
-    return grouped.join(least, "component").select("fp", "component", "component_id")
+    grouped = materialise(distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component")), "grouped")
+    least = materialise(grouped.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "least")
+    return materialise(hot_join(grouped, least, "component", "members").select("fp", "component", "component_id", "n"), "named")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, reach: int = 3) -> DataFrame:
@@ -239,11 +320,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, reach: int = 3) -> Dat
     bits. Null and empty texts have fingerprint zero and link like any other.
     Repeated rows give repeated rows. A null doc_id keeps its row; it is no
     component's smallest id unless the component has no other. Only doc_id and
-    text are read; an empty table gives no rows.
+    text are read; an empty table gives no rows. A fingerprint that a third of all
+    rows share is met where its rows are, see hot_join.
     """
     marked = materialise(fingerprints(docs, shingle).drop("text_hash"), "fingerprints")
-    named = _named(marked, reach).select("fp", "component_id")
-    return marked.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = _named(marked, reach).select("fp", "component_id", "n")
+    return hot_join(marked, named, "fp", "n", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, *, shingle: int = 3, reach: int = 3) -> DataFrame:

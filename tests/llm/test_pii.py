@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from quorumframe.llm.pii import LABELS, Field, Node, base_spans, luhn, masked, nodes_of, personal_data
+from quorumframe.llm.pii import LABELS, Field, Node, _softmax, base_spans, links_of, luhn, masked, nodes_of, personal_data
 
 # Plain patterns, as the contract words them.
 PATTERNS = {
@@ -63,19 +63,69 @@ def test_repeated_tokens_take_the_label_of_their_full_form(spark):
     assert out[2].text == clean and out[3].text is None
 
 
-def test_messages_give_exact_marginals_on_a_tree():
+def _enumerated(nodes, field):
     import itertools
 
     import numpy as np
 
-    draw = np.random.default_rng(3)
-    nodes = [Node(10 * k, 10 * k + 5, 0, (f"f{k}",), ("n 1",) if k in (0, 3) else (f"k{k}",)) for k in range(4)]
-    nodes[3] = Node(900, 905, 0, ("f3",), ("n 1",))  # far off: linked by its key alone, so the field is a tree
-    field = Field({f"f{k}": [0.0, *draw.uniform(-2.9, -1.6, 4)] for k in range(4)}, draw.uniform(-1, 1, (5, 5)).tolist(), 1.5, 3.0, 40)
-    got = field.marginals([nodes])[0]
-    exact = np.zeros((4, 5))
-    for labels in itertools.product(range(len(LABELS)), repeat=4):
-        score = sum(field.unary[f"f{k}"][label] for k, label in enumerate(labels)) + field.pair[labels[0]][labels[1]] + field.pair[labels[1]][labels[2]] + field.agree * (labels[0] == labels[3])
+    chain, skip = links_of(nodes, field.near)
+    exact = np.zeros((len(nodes), len(LABELS)))
+    for labels in itertools.product(range(len(LABELS)), repeat=len(nodes)):
+        score = sum(field.bias[label] + sum(field.unary[f][label] for f in nodes[k].features) for k, label in enumerate(labels))
+        score += sum(field.chain[labels[a]][labels[b]] for a, b in chain) + sum(field.skip[labels[a]][labels[b]] for a, b in skip)
         for k, label in enumerate(labels):
             exact[k, label] += np.exp(score)
-    assert np.allclose(got, exact / exact.sum(axis=1, keepdims=True), atol=5e-3)
+    return exact / exact.sum(axis=1, keepdims=True)
+
+
+def _drawn_field(seed=3):
+    import numpy as np
+
+    draw = np.random.default_rng(seed)
+    symmetric = lambda: (lambda m: ((m + m.T) / 2).tolist())(draw.uniform(-1, 1, (5, 5)))
+    return Field({f"f{k}": draw.uniform(-2, 2, 5).tolist() for k in range(4)}, draw.uniform(-1, 1, 5).tolist(), symmetric(), symmetric(), 40)
+
+
+def test_messages_give_exact_marginals_on_a_tree():
+    import numpy as np
+
+    nodes = [Node(10 * k, 10 * k + 5, 0, (f"f{k}",), ("n 1",) if k in (0, 3) else (f"k{k}",)) for k in range(4)]
+    nodes[3] = Node(900, 905, 0, ("f3",), ("n 1",))  # far off: linked by its key alone, so the field is a tree
+    field = _drawn_field()
+    assert np.allclose(field.marginals([nodes])[0], _enumerated(nodes, field), atol=5e-3)
+
+
+def test_a_document_settles_by_itself():
+    import numpy as np
+
+    field = _drawn_field()
+    field.skip = (np.array(field.skip) * 6).tolist()  # slow to settle
+    slow = [Node(10 * k, 10 * k + 5, 0, (f"f{k % 4}",), (f"n {k % 2}",)) for k in range(12)]
+    quick = [Node(10 * k, 10 * k + 5, 0, (f"f{k}",), (f"k{k}",)) for k in range(3)]
+    alone = [field.marginals([d])[0] for d in (quick, slow, quick)]
+    assert all((a == b).all() for a, b in zip(alone, field.marginals([quick, slow, quick])))
+
+
+def test_shapes_speak_where_no_rule_accepts_them(spark):
+    """Numbers that always stand with their country code teach the shape of one that stands without; other numbers stay clean."""
+    draw = random.Random(4)
+    number = lambda: f"({draw.randrange(200, 999)}) {draw.randrange(200, 999)}-{draw.randrange(1000, 9999)}"
+    rows = [(k, f"Please call +1 {number()} today or write. Order {draw.randrange(10**7, 10**8)} was sent.") for k in range(200)]
+    alone = number()
+    rows += [(900, f"Please call {alone} today."), (901, "Order 12345678 was sent, and order 87654321 was not.")]
+    got = {r.doc_id: r.spans for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    start = len("Please call ")
+    assert got[900] == f"phone:{start + 1}:{start + len(alone)}" or got[900] == f"phone:{start}:{start + len(alone)}"
+    assert got[901] == "" and all("," not in got[k] and got[k].startswith("phone:12:") for k in range(200))
+
+
+def test_pseudo_likelihood_prefers_what_it_saw(spark):
+    import numpy as np
+
+    x = np.array([[1.0, 0.0], [0.0, 1.0], [1.0, 1.0]])
+    y, n = np.array([0, 1, 1]), np.array([50.0, 30.0, 20.0])
+    weights = _softmax(x, y, n, np.zeros((2, 2)), ridge=0.01)
+    p = np.exp(x @ weights) / np.exp(x @ weights).sum(axis=1, keepdims=True)
+    slope = x.T @ ((p - np.eye(2)[y]) * n[:, None]) + 0.01 * weights
+    assert np.abs(slope).max() < 0.3 and (p[[0, 1, 2], y] > 0.9).all()
+    assert (_softmax(np.zeros((0, 3)), np.zeros(0, int), np.zeros(0), np.ones((3, 2))) == 1).all()

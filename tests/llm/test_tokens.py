@@ -65,7 +65,8 @@ def test_pack_round_trip(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain, docs = Tokenizer.from_file(path), _docs(spark)
     pieces = pack(docs, path, length=64).collect()
-    whole = sorted((r.doc_id, _crc(plain.encode(r.text or "", add_special_tokens=False).ids + [1])) for r in docs.collect() if r.doc_id != 5)
+    whole = sorted((r.doc_id, _crc(plain.encode(r.text or "", add_special_tokens=False).ids + [1])) for r in docs.collect() if r.doc_id not in (5, None))
+    assert sum(p.length for p in pieces if p.doc_id is None) == sum(len(plain.encode(t, add_special_tokens=False).ids) + 1 for t in ("of nobody", ""))  # two rows
     by = {}
     for p in pieces:
         by.setdefault(p.sequence_id, []).append(p)
