@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,38 +37,78 @@ _WORD_BYTES = bytes(
 )
 
 
-def words_of(raw: bytes | None) -> list[bytes]:
-    """Words of UTF-8 text: letters and digits of ASCII, A-Z lower-cased, and everything beyond ASCII."""
-    return raw.translate(_WORD_BYTES).split() if raw else []
-
-
-def _binary(column: pa.Array) -> list[bytes | None]:
-    return column.cast(pa.large_binary()).to_pylist()
-
-
-class _Hashes(dict):
-    """Hashes of words, kept up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
+_TABLE = np.frombuffer(_WORD_BYTES, np.uint8)
+_MIX = np.uint64(0x9E3779B97F4A7C15)  # an odd number with mixed bits
+_LONG = 64  # words of more bytes are hashed one by one
+_SLICE_BYTES = 2 << 20
 
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)  # an odd number with mixed bits
+class Words:
+    """The words of several UTF-8 texts, as arrays: letters and digits of ASCII, A-Z lower-cased, and everything beyond ASCII.
 
+    text, starts, ends and hashes have an entry for each word; first is where the
+    words of each text begin, and one more entry where all end.
+    """
 
-def shingle_hashes(words: list[bytes], size: int, hashes: _Hashes) -> np.ndarray:
-    """A hash of each shingle of so many words, in order; other sizes have other hashes."""
-    if len(words) < size:
-        return np.zeros(0, np.uint64)
-    own = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    total = np.full(len(words) - size + 1, size, np.uint64)
-    for k in range(size):
-        total = (total ^ own[k : k + len(total)]) * _MIX
-        total ^= total >> np.uint64(29)
-    return total
+    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        self.data = np.concatenate([_TABLE[data], np.full(8, 32, np.uint8)])
+        inside = self.data != 32
+        opens = inside.copy()
+        opens[1:] &= ~inside[:-1]
+        begun = offsets[:-1][offsets[:-1] < offsets[1:]]  # a text ends the word before it
+        opens[begun] = inside[begun]
+        closes = inside.copy()
+        closes[:-1] &= ~inside[1:] | opens[1:]
+        self.starts, self.ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        self.first = np.searchsorted(self.starts, offsets)
+        self.text = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
+        self.hashes = self._hashed()
+
+    def _hashed(self) -> np.ndarray:
+        """Eight bytes at a time are mixed in, for all words at once."""
+        blocks = np.ndarray(max(0, len(self.data) - 7), "<u8", self.data, strides=(1,))
+        sizes = self.ends - self.starts
+        out, open_ = np.full(len(sizes), 1, np.uint64), np.flatnonzero(sizes <= _LONG)
+        for at in range(0, _LONG, 8):
+            left = np.minimum(sizes[open_] - at, 8).astype(np.uint64)
+            block = blocks[self.starts[open_] + at] & np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left)
+            mixed = (out[open_] ^ block) * _MIX
+            out[open_] = mixed ^ mixed >> np.uint64(29)
+            open_ = open_[sizes[open_] > at + 8]
+            if not len(open_):
+                break
+        for k in np.flatnonzero(sizes > _LONG).tolist():
+            out[k] = xxhash.xxh64_intdigest(self.data[self.starts[k] : self.ends[k]].tobytes())
+        return out
+
+    def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """A hash of each shingle of so many words of one text, and the word it begins with; other sizes have other hashes."""
+        at = np.flatnonzero(self.text[: max(0, len(self.text) - size + 1)] == self.text[size - 1 :])
+        total = np.full(len(at), size, np.uint64)
+        for k in range(size):
+            total = (total ^ self.hashes[at + k]) * _MIX
+            total ^= total >> np.uint64(29)
+        return total, at
+
+    def said(self, low: int, high: int) -> str:
+        """Words from low to before high, a space between each two; all of one text."""
+        return b" ".join(self.data[self.starts[low] : self.ends[high - 1]].tobytes().split()).decode()
+
+
+def cut(column: pa.Array) -> Iterator[tuple[int, Words]]:
+    """The words of a column of texts, in slices of a bounded size or of one text, each with the number of the text it begins with."""
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return
+    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    low = 0
+    while low < len(column):
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + _SLICE_BYTES, "right")) - 1)
+        yield low, Words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+        low = high
 
 
 def _places(values: np.ndarray, bits: int) -> np.ndarray:
@@ -96,21 +137,24 @@ class Bloom:
         return cls(words)
 
     def holds(self, values: np.ndarray) -> np.ndarray:
-        held = np.ones(len(values), bool)
-        for places in _places(values, self.bits):
-            held &= (self.words[(places >> np.uint64(6)).astype(np.int64)] >> (places & np.uint64(63)) & np.uint64(1)).astype(bool)
+        at = np.arange(len(values))
+        for k in range(3):  # each place is looked at only where those before are set
+            places = _places(values[at], self.bits)[k]
+            at = at[(self.words[(places >> np.uint64(6)).astype(np.int64)] >> (places & np.uint64(63)) & np.uint64(1)).astype(bool)]
+        held = np.zeros(len(values), bool)
+        held[at] = True
         return held
 
 
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = [], []
-            for item, raw in zip(batch["item_id"].to_pylist(), _binary(batch["text"])):
-                found = words_of(raw)
-                for text in {b" ".join(found[i : i + window]) for i in range(max(1, len(found) - window + 1))} - {b""}:
-                    ids.append(item)
-                    texts.append(text.decode())
+            owners, ids, texts = batch["item_id"].to_pylist(), [], []
+            for low, words in cut(batch["text"]):
+                for k, (begun, ended) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
+                    for text in {words.said(at, min(at + window, ended)) for at in range(begun, max(begun, ended - window) + 1)} if ended > begun else ():
+                        ids.append(owners[low + k])
+                        texts.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["item_id", "window"])
 
     return run
@@ -118,58 +162,69 @@ def _windows(window: int):
 
 def _cut(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
-            texts = _binary(batch["window"])
-            sizes = [min(shingle, t.count(b" ") + 1) for t in texts]
-            values = [shingle_hashes(t.split(), n, hashes).view(np.int64) for t, n in zip(texts, sizes)]
+            sizes, values = [], []
+            for _, words in cut(batch["window"]):
+                every = {n: words.shingles(n) for n in range(1, shingle + 1)}
+                for begun, ended in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+                    sizes.append(min(shingle, ended - begun))
+                    hashed, at = every[sizes[-1]]
+                    values.append(hashed[np.searchsorted(at, begun) : np.searchsorted(at, ended)].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch["window"], pa.array(sizes, pa.int32()), pa.array(values, pa.list_(pa.int64()))], ["window", "size", "shingles"])
 
     return run
 
 
 def _frequencies(bloom, sizes: tuple[int, ...]):
-    """How many documents of a batch hold each shingle that the filter lets through."""
+    """How many documents of a slice hold each shingle that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
-            met = [np.zeros(0, np.uint64)]
-            for raw in _binary(batch["text"]):
-                words = words_of(raw)
+            for _, words in cut(batch["text"]):
                 for size in sizes:
-                    values = shingle_hashes(words, size, hashes)
-                    met.append(np.unique(values[bloom.value.holds(values)]))
-            values, counts = np.unique(np.concatenate(met), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], ["shingle", "df"])
+                    values, at = words.shingles(size)
+                    held = bloom.value.holds(values)
+                    pairs = np.unique(np.stack([values[held], words.text[at[held]].astype(np.uint64)]), axis=1)
+                    values, counts = np.unique(pairs[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], ["shingle", "df"])
 
     return run
 
 
-_MET_ARROW = pa.list_(pa.struct([("shingle", pa.int64()), ("at", pa.int32()), ("first", pa.int32()), ("around", pa.string())]))
+_PLACE = pa.struct([("shingle", pa.int64()), ("at", pa.int32()), ("first", pa.int32()), ("around", pa.string())])
 _MET = "array<struct<shingle:long,at:int,first:int,around:string>>"
 
 
-def _met(words: list[bytes], bloom: Bloom, sizes: tuple[int, ...], window: int, hashes: _Hashes) -> list[dict]:
-    """Each shingle that the filter lets through: where it stands, and the words that a window with it can reach, from the word first on."""
-    out = []
-    for size in sizes:
-        values = shingle_hashes(words, size, hashes)
-        for at in np.flatnonzero(bloom.holds(values)).tolist():
-            first = max(0, at - window + 1)
-            out.append({"shingle": int(values[at].view(np.int64)), "at": at, "first": first, "around": b" ".join(words[first : at + window]).decode()})
-    return out
+def _met(words: Words, bloom: Bloom | None, sizes: tuple[int, ...], window: int) -> tuple[np.ndarray, list[dict]]:
+    """Shingles that the filter lets through, by text: where each stands, and the words that a window with it can reach, from the word first on."""
+    found = []
+    for size in sizes if bloom else ():
+        values, at = words.shingles(size)
+        held = bloom.holds(values)
+        found += zip(at[held].tolist(), values[held].view(np.int64).tolist())
+    found.sort()
+    owners = words.text[[at for at, _ in found]] if found else np.zeros(0, np.int64)
+    begun, ended, out = words.first[:-1].tolist(), words.first[1:].tolist(), []
+    for (at, value), k in zip(found, owners.tolist()):
+        low = max(begun[k], at - window + 1)
+        out.append({"shingle": value, "at": at - begun[k], "first": low - begun[k], "around": words.said(low, min(ended[k], at + window))})
+    return np.bincount(owners, minlength=len(begun)), out
 
 
 def _meeting(bloom, sizes: tuple[int, ...], window: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
-            cut = [words_of(raw) for raw in _binary(batch["text"])]
-            met = pa.array([_met(words, bloom.value, sizes, window, hashes) if bloom.value else [] for words in cut], _MET_ARROW)
-            more = [pa.array([len(words) for words in cut], pa.int64()), met]
+            counts, numbers, places = [], [], []
+            for _, words in cut(batch["text"]):
+                counts.append(np.diff(words.first))
+                of_text, found = _met(words, bloom.value, sizes, window)
+                numbers.append(of_text)
+                places += found
+            none = [np.zeros(0, np.int64)]
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(numbers or none))])
+            met = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(places, _PLACE))
             own = batch.columns if keep else [batch["doc_id"]]
-            yield pa.RecordBatch.from_arrays([*own, *more], [*(batch.schema.names if keep else ["doc_id"]), "_n_words", "_met"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate(counts or none), pa.int64()), met], [*(batch.schema.names if keep else ["doc_id"]), "_n_words", "_met"])
 
     return run
 

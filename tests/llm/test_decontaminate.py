@@ -3,7 +3,7 @@ import random
 import re
 
 from quorumframe.llm.common import hot_join
-from quorumframe.llm.decontaminate import Bloom, contamination, without_contaminated
+from quorumframe.llm.decontaminate import Bloom, contamination, cut, without_contaminated
 
 
 def brute(text, items, window):
@@ -62,3 +62,25 @@ def test_hot_keys_meet_their_facts_where_they_are(spark):
         plan = got._jdf.queryExecution().executedPlan().toString()
         expected = rows.join(facts.where("key is null or key <> 5").drop("n"), "key", how)
         assert sorted(map(str, got.select("id", "key", "twice").collect())) == sorted(map(str, expected.select("id", "key", "twice").collect())) and "BroadcastHashJoin" in plan
+
+
+def test_words_and_shingles():
+    import numpy as np
+    import pyarrow as pa
+
+    draw = random.Random(6)
+    parts = ["a", "Bc", " ", "\n", "é", "x-y", "0", "ÅNGSTRÖM", "w" * 70, "", "longerwordthaneight", "🎉", "\0"]
+    texts = [None, "", "!", *("".join(draw.choices(parts, k=draw.randrange(0, 20))) for _ in range(500)), "tail"]
+    expected = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    hashes, pairs = {}, {}
+    for low, words in [c for column in (pa.array(texts), pa.array(["x y", *texts])[1:]) for c in cut(column)]:
+        for k, (begun, ended) in enumerate(zip(words.first[:-1], words.first[1:])):
+            own = expected[low + k]
+            assert (words.said(begun, ended).split(" ") if ended > begun else []) == own
+            for w, h in zip(own, words.hashes[begun:ended].tolist()):
+                assert hashes.setdefault(w, h) == h
+        values, at = words.shingles(2)
+        for value, k in zip(values.tolist(), at.tolist()):
+            assert pairs.setdefault(words.said(k, k + 2), value) == value
+        assert len(at) == sum(max(0, len(w) - 1) for w in expected[low : low + len(words.first) - 1])
+    assert len(set(hashes.values())) == len(hashes) and len(set(pairs.values())) == len(pairs)
