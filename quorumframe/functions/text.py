@@ -65,7 +65,7 @@ def stem(word: Column | str) -> Column:
 
 def words(c: Column | str, least: int = 1) -> Column:
     """Runs of letters of a folded text that have the least length, repeats included."""
-    return F.filter(F.regexp_extract_all(folded(c), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) >= least)
+    return F.regexp_extract_all(F.lower(unmarked(c)), F.lit(f"[a-z]{{{least},}}"), F.lit(0))
 
 
 def keywords(c: Column | str, stop: tuple[str, ...], least: int = 4) -> Column:

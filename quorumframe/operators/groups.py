@@ -60,3 +60,31 @@ def verdicts(df: DataFrame, keys: Sequence[str], verdict: str, values: Sequence[
     """Share of each verdict and mean latency by keys; the values are given, so no pass finds them."""
     rates = [F.avg((F.col(verdict) == v).cast("double")).alias(f"share_{v}") for v in values]
     return df.groupBy(*keys).agg(F.count("*").alias("n"), *rates, F.avg(latency).alias("mean_latency"))
+
+
+def last_known(df: DataFrame, keys: Sequence[str], values: Sequence[str], order: str) -> DataFrame:
+    """keys with the last value of each column that is not null, in order."""
+    return df.groupBy(*keys).agg(*(F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(v) for v in values))
+
+
+def first_known(df: DataFrame, keys: Sequence[str], values: Sequence[str], order: str) -> DataFrame:
+    """keys with the first value of each column that is not null, in order."""
+    return df.groupBy(*keys).agg(*(F.min_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(v) for v in values))
+
+
+def fullest(df: DataFrame, keys: Sequence[str], values: Sequence[str], tie: str) -> DataFrame:
+    """Of each key the row with the most values that are not null; of equal ones the first by tie."""
+    known = sum((F.col(v).isNotNull().cast("int") for v in values), F.lit(0))
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(-known, F.col(tie))).alias("_row")).select(*keys, "_row.*")
+
+
+def solved_by_majority(runs: DataFrame, keys: Sequence[str], shape: str, question: str, ok: str) -> DataFrame:
+    """keys, shape, n and solved: how many questions of each shape there are, and how many most of their repetitions solve."""
+    each = runs.groupBy(*keys, shape, question).agg(F.avg(F.col(ok).cast("double")).alias("_share"))
+    return each.groupBy(*keys, shape).agg(F.count("*").alias("n"), F.count_if(F.col("_share") > 0.5).alias("solved"))
+
+
+def never_solved(runs: DataFrame, question: str, ok: str) -> DataFrame:
+    """Questions that no run solves."""
+    return runs.groupBy(question).agg(F.coalesce(F.bool_or(ok), F.lit(False)).alias("_any")).where("not _any").select(question)

@@ -94,6 +94,11 @@ def resume(source: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return source.join(done.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
 
 
+def with_ids(rows: DataFrame, ids: DataFrame, keys: Sequence[str], own: str, id_: str) -> DataFrame:
+    """rows with their own id, else the one that ids has for their keys, each once; null if there is none."""
+    return rows.join(ids, list(keys), "left").withColumn(id_, F.coalesce(own, id_)).drop(own)
+
+
 def patched(df: DataFrame, patches: DataFrame, key: str, order: str) -> DataFrame:
     """df with the values of the last patch of its key; a patch holds all its columns, null deletes."""
     columns = [c for c in patches.columns if c not in (key, order)]

@@ -5,8 +5,11 @@ Labels meet texts over equal runs of words.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,19 +20,29 @@ def _folded_words(c: Column | str) -> Column:
     return F.regexp_extract_all(folded(c), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def contained_labels(texts: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str) -> DataFrame:
+def contained_labels(texts: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str, *, most_heads: int = 200) -> DataFrame:
     """key, label_key, label of each label whose words stand in the text in order, as whole words.
 
     Texts are cut into runs of as many words as labels have, and equal runs meet, so
-    only short runs travel. The sizes of labels go to the driver, a number each.
+    only short runs travel. Runs that no label begins with the word of are dropped before
+    they leave their text; the first words of labels say which, as long as there
+    are at most most_heads of them; more only let more runs through. The sizes of labels go to the driver, a number each.
     """
     wanted = labels.select(label_key, F.array_join(_folded_words(label), " ").alias("label"), F.size(_folded_words(label)).alias("_size")).where("label <> ''")
     sizes = sorted(r[0] for r in wanted.select("_size").distinct().collect())
-    said = texts.select(key, _folded_words(text).alias("_words"))
-    held = F.array_distinct(F.flatten(F.array(*(_runs("_words", n) for n in sizes)))) if sizes else F.array().cast("array<string>")
+    if not sizes:
+        return texts.select(key, F.lit(None).cast(labels.schema[label_key].dataType).alias(label_key), F.lit("").alias("label")).limit(0)
+    heads = wanted.select(F.substring_index("label", " ", 1).alias("h")).distinct().limit(most_heads + 1).agg(F.collect_set("h").alias("_heads"))  # one row
+    said = texts.select(key, _folded_words(text).alias("_words")).join(F.broadcast(heads))
+    held = F.array_distinct(F.flatten(F.array(*(_begun(_runs("_words", n), most_heads) for n in sizes))))
     return said.select(key, F.explode(held).alias("label")).join(wanted.drop("_size"), "label").select(key, label_key, "label")
 
 
+def _begun(runs: Column, most: int) -> Column:
+    """Runs whose first word is one of _heads, or all if there are too many of those."""
+    return F.when(F.size("_heads") > most, runs).otherwise(F.filter(runs, lambda r: F.array_contains("_heads", F.substring_index(r, " ", 1))))
+
+
 def _runs(words: str, size: int) -> Column:
     """All runs of so many consecutive words, each joined by spaces; made from shifted arrays, so in linear time."""
     runs = F.col(words)
@@ -107,3 +120,71 @@ def rescued(df: DataFrame, scores: Sequence[str], most: int, key: str) -> DataFr
         placed = top.withColumn("place", F.row_number().over(Window.orderBy(F.desc(score), key))).select(key, "place")  # most rows
         parts = placed if parts is None else parts.unionByName(placed)
     return parts.groupBy(key).agg(F.min("place").alias("place"))
+
+
+def _sharing(bank, k: int | None, least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, sizes, postings = bank.value
+        none = np.zeros(0, np.int64)
+        for batch in batches:
+            rows = []
+            for row, own in enumerate(batch["words"].to_pylist()):
+                met = [postings[w] for w in own or () if w in postings]
+                common = np.bincount(np.concatenate(met) if met else none, minlength=len(names))
+                at = np.flatnonzero(common >= least)
+                if k is not None and len(at) > k:
+                    score = np.floor(common[at] / (len(own) + sizes[at] - common[at]) * 1e6 + 0.5)
+                    at = at[np.lexsort((names[at], -score))[:k]]
+                rows += [(row, names[i], common[i], len(own), sizes[i]) for i in at]
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            key = batch[0].take(pa.array(columns[0], pa.int64()))
+            yield pa.RecordBatch.from_arrays([key, *(pa.array(c, pa.int64()) for c in columns[1:])], [batch.schema.names[0], "bank_id", "common", "of_own", "of_bank"])
+
+    return run
+
+
+def sharing_words(rows: DataFrame, key: str, bank: DataFrame, bank_key: str, *, k: int | None = None, least: int = 1, block: int = 5000) -> DataFrame:
+    """key, bank_id, common, of_own, of_bank: entries of a bank that share at least so many words with a row.
+
+    Both have words, distinct ones. With k only the most similar by Jaccard to six
+    decimals, equal ones by bank_id. The bank goes to the tasks in blocks of so many
+    entries, as lists of entries by word, so no pair but those that are returned is ever
+    shuffled; each block reads rows once.
+    """
+    spark, parts = rows.sparkSession, None
+    blocks = max(1, -(-bank.count() // block))
+    for b in range(blocks):
+        own = bank.where(F.pmod(F.xxhash64(bank_key), F.lit(blocks)) == b).select(bank_key, "words").collect()  # one block
+        by_word: dict[str, list[int]] = defaultdict(list)
+        for at, row in enumerate(own):
+            for w in row["words"] or ():
+                by_word[w].append(at)
+        value = (np.array([r[bank_key] for r in own], np.int64), np.array([len(r["words"] or ()) for r in own], np.int64), {w: np.array(p) for w, p in by_word.items()})
+        schema = f"{key} {rows.schema[key].dataType.simpleString()}, bank_id long, common long, of_own long, of_bank long"
+        found = rows.select(key, "words").mapInArrow(_sharing(spark.sparkContext.broadcast(value), k, least), schema)
+        parts = found if parts is None else parts.unionByName(found)
+    if k is None or blocks == 1:
+        return parts
+    score = F.floor(F.col("common") / (F.col("of_own") + F.col("of_bank") - F.col("common")) * 1e6 + 0.5)
+    return parts.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), "bank_id"))).where(F.col("_rank") <= k).drop("_rank")
+
+
+def matched_once(pairs: DataFrame, group: str, left: str, right: str, score: str, *, least: float = 0.34) -> DataFrame:
+    """Pairs of a group, best first, such that each left and each right is used once; equal scores go by left, then right.
+
+    What is used depends on what was taken before, so a group is one task's; a group is
+    the sources and blocks of one answer.
+    """
+
+    def take(own: pa.Table) -> pa.Table:
+        lefts, rights, scores = (own[c].to_pylist() for c in (left, right, score))
+        used_left, used_right, kept = set(), set(), []
+        for at in sorted(range(len(scores)), key=lambda k: (-scores[k], lefts[k], rights[k])):
+            if lefts[at] not in used_left and rights[at] not in used_right:
+                used_left.add(lefts[at])
+                used_right.add(rights[at])
+                kept.append(at)
+        return own.take(kept)
+
+    own = pairs.where(F.col(score) >= least).select(group, left, right, score)
+    return own.groupBy(group).applyInArrow(take, own.schema)

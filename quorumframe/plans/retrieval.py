@@ -6,13 +6,14 @@ channel that does not exist is an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorumframe.functions.text import literal_pattern, searchable
-from quorumframe.operators.windows import char_budget, even_sample, first_seen, newest
+from quorumframe.functions.text import folded, literal_pattern, searchable
+from quorumframe.operators.windows import char_budget, even_sample, filter_unless_few, first_seen, newest
+from quorumframe.storage import materialise
 
 #: How many candidates of each channel take part, in this order.
 CAPS = {"semantic": 22, "thematic": 22, "keyword": 24, "proposals": None}
@@ -22,13 +23,16 @@ FILLER_SCORE, FLOOR = 0.02, 0.01
 def keyword_channel(fragments: DataFrame, phrases: list[str], *, rarest: int = 3, cap: int = 3000, per_phrase: int = 40) -> DataFrame:
     """frag_id, rank: fragments that hold the rarest phrases, taken from their lists in turns.
 
-    All phrases are counted in one pass; counts above cap are equal.
+    Texts are read once: which phrases a fragment holds is written down, and counted and
+    ranked from there. Counts above cap are equal.
     """
     text = searchable("text")
-    hits = fragments.select(*(F.count_if(text.rlike(literal_pattern(p))).alias(str(k)) for k, p in enumerate(phrases))).first()
-    chosen = sorted((k for k in range(len(phrases)) if hits[k]), key=lambda k: (min(hits[k], cap), -len(phrases[k]), phrases[k].lower()))[:rarest]
-    found = fragments.select("frag_id", "date", F.explode(F.array_compact(F.array(*(F.when(text.rlike(literal_pattern(phrases[k])), F.lit(i)) for i, k in enumerate(chosen))) if chosen else F.array().cast("array<int>"))).alias("list"))
-    top = newest(found, ["list"], [F.desc("date"), "frag_id"], per_phrase)
+    found = F.array_compact(F.array(*(F.when(text.rlike(literal_pattern(p)), F.lit(k)) for k, p in enumerate(phrases))) if phrases else F.array().cast("array<int>"))
+    hits = materialise(fragments.select("frag_id", "date", F.explode(found).alias("phrase")), "hits")
+    counts = {r["phrase"]: r["n"] for r in hits.groupBy("phrase").agg(F.count("*").alias("n")).collect()}  # a row a phrase
+    chosen = sorted(counts, key=lambda k: (min(counts[k], cap), -len(phrases[k]), phrases[k].lower()))[:rarest]
+    listed = hits.where(F.col("phrase").isin(*chosen)).withColumn("list", F.array_position(F.array(*map(F.lit, chosen)), F.col("phrase"))) if chosen else hits.withColumn("list", F.lit(0).cast("long")).limit(0)
+    top = newest(listed, ["list"], [F.desc("date"), "frag_id"], per_phrase)
     turn = Window.partitionBy("list").orderBy(F.desc("date"), "frag_id")
     ranked = first_seen(top.withColumn("turn", F.row_number().over(turn)), ["frag_id"], ["turn", "list"])
     return ranked.select("frag_id", F.row_number().over(Window.orderBy("turn", "list")).alias("rank"))  # per_phrase rows a phrase at most
@@ -88,10 +92,57 @@ def with_rescued(expanded: DataFrame, ranked: DataFrame, *, top: int = 8, keywor
     return expanded.select("frag_id", F.lit(True).alias("expanded")).unionByName(rescued.withColumn("expanded", F.lit(False)))
 
 
+def summaries(points: DataFrame, themes: DataFrame, *, most: int = 6) -> DataFrame:
+    """point_id and text of each point (point_id, title, group_id) that has themes (point_id, label): its title, group and first labels, to be found by."""
+    labels = themes.groupBy("point_id").agg(F.slice(F.array_sort(F.collect_set("label")), 1, most).alias("labels"))
+    return points.join(labels, "point_id").select("point_id", F.concat_ws(" ", "title", "group_id", F.array_join("labels", " ")).alias("text"))
+
+
+def about(fragments: DataFrame, *, themes: Sequence[str] = (), dates: DataFrame | None = None, party: str | None = None, topics_: Sequence[str] = (), least: int = 3) -> DataFrame:
+    """Fragments of one of the themes (main theme, or any of themes), of the dates (session_date), and of the party and topics as far as enough are left.
+
+    A filter by party that leaves fewer than least fragments, or one by topic prefixes
+    that leaves none, is not applied.
+    """
+    if themes:
+        fragments = fragments.where(F.col("theme").isin(*themes) | F.arrays_overlap("themes", F.array(*map(F.lit, themes))))
+    if dates is not None:
+        fragments = fragments.join(F.broadcast(dates.select(F.col("session_date").alias("_day")).distinct()), F.col("date") == F.col("_day"), "left_semi")  # distinct days
+    if party is not None:
+        fragments = filter_unless_few(fragments, F.coalesce(F.col("party") == party, F.lit(False)), least)
+    if topics_:
+        meant = F.lit(False)
+        for t in topics_:
+            meant = meant | folded("topic").startswith(t)
+        fragments = filter_unless_few(fragments, F.coalesce(meant, F.lit(False)), 1)
+    return fragments
+
+
+def debates(fragments: DataFrame, chosen: DataFrame, *, most: int = 15) -> DataFrame:
+    """frag_id of all fragments of the debates (date, topic, source) that the chosen fragments (frag_id, place) are from; the first chosen ones alone if they are of none."""
+    met = fragments.join(F.broadcast(chosen.select("frag_id")), "frag_id", "left_semi")  # chosen is cut to a budget
+    own = met.where("topic is not null").select("date", "topic", "source").distinct()
+    whole = fragments.join(F.broadcast(own), ["date", "topic", "source"], "left_semi").select("frag_id")
+    alone = met.where("topic is null").join(chosen, "frag_id").orderBy("place").limit(most).select("frag_id")
+    return whole.unionByName(alone).distinct()
+
+
+def citations(rows: DataFrame, sources: DataFrame, *, most: int = 15) -> DataFrame:
+    """point_id, date, page, file and title of the points that the rows (point_id, pos) name, in the order of their first row."""
+    first = rows.groupBy("point_id").agg(F.min("pos").alias("pos"))
+    return first.join(sources, "point_id").orderBy("pos", "point_id").limit(most).select("point_id", "date", "page", "file", "title")
+
+
 def context(fragments: DataFrame, chosen: DataFrame, *, budget: int = 20_000, cap: int = 3800) -> DataFrame:
-    """Blocks by date, topic and source: their texts in order, capped, oldest first, as far as the budget goes."""
+    """Blocks by date, topic and source: their texts in order, capped, as far as the budget goes.
+
+    Blocks that hold a leading fragment (chosen has frag_id, and lead if some lead) come
+    first, in the order of their leads; the others follow, oldest first.
+    """
+    lead = F.col("lead") if "lead" in chosen.columns else F.lit(None).cast("int")
+    own = fragments.join(F.broadcast(chosen.select("frag_id", lead.alias("_lead"))), "frag_id")  # as many as a question has candidates
     piece = F.struct("chunk_index", "text")
-    blocks = fragments.join(chosen.select("frag_id"), "frag_id", "left_semi").groupBy("date", "topic", "source").agg(F.array_sort(F.collect_list(piece)).alias("pieces"), F.min_by("vote_result", F.when(F.col("vote_result").isNotNull(), F.col("chunk_index"))).alias("vote_result"))
+    blocks = own.groupBy("date", "topic", "source").agg(F.min("_lead").alias("_lead"), F.array_sort(F.collect_list(piece)).alias("pieces"), F.min_by("vote_result", F.when(F.col("vote_result").isNotNull(), F.col("chunk_index"))).alias("vote_result"))
     text = F.substring(F.array_join(F.transform("pieces", lambda p: p["text"]), "\n"), 1, cap)
-    shown = blocks.select("date", "topic", "source", "vote_result", text.alias("text"), F.lit(0).alias("_all"))
-    return char_budget(shown, ["_all"], ["date", "topic", "source"], F.char_length("text"), budget).drop("_all")  # some tens of blocks
+    shown = blocks.select("date", "topic", "source", "vote_result", text.alias("text"), "_lead", F.lit(0).alias("_all"))
+    return char_budget(shown, ["_all"], [F.col("_lead").asc_nulls_last(), "date", "topic", "source"], F.char_length("text"), budget).drop("_all", "_lead")  # some tens of blocks

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quorumframe.functions import text as T
 from quorumframe.functions.chunks import chunks
 from quorumframe.functions.links import page_links
+from quorumframe.operators.matching import sharing_words
 from quorumframe.operators.windows import newest, rarest
 from quorumframe.registry import query, read
 
@@ -25,17 +26,12 @@ SELECT doc_id, w, df FROM t JOIN df USING (w) WHERE df <= 0.02 * (SELECT count(D
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY df, length(w) DESC, w) <= 20""",
 )
 def df_rarest_terms(spark, folder):
-    pairs = read(spark, folder, "documents").select("doc_id", F.explode(F.array_distinct(T.words("text", 5))).alias("w"))
-    return rarest(pairs, "w", "doc_id", most_share=0.02, per_owner=20).select("doc_id", "w", "df")
+    held = read(spark, folder, "documents").select("doc_id", F.array_distinct(T.words("text", 5)).alias("ws"))
+    return rarest(held, "ws", "doc_id", most_share=0.02, per_owner=20).select("doc_id", F.col("item").alias("w"), "df")
 
 
-def _shared(spark, folder):
-    """doc_id, item_id, common, of_doc, of_item over equal words; the bank's words decide what is joined."""
-    docs = read(spark, folder, "documents").select("doc_id", F.array_distinct(T.words("text")).alias("ws"))
-    items = read(spark, folder, "benchmark").select("item_id", F.array_distinct(T.words("text")).alias("ws"))
-    left = docs.select("doc_id", F.size("ws").alias("of_doc"), F.explode("ws").alias("w"))
-    right = items.select("item_id", F.size("ws").alias("of_item"), F.explode("ws").alias("w"))
-    return left.join(right, "w").groupBy("doc_id", "item_id").agg(F.count("*").alias("common"), F.first("of_doc").alias("of_doc"), F.first("of_item").alias("of_item"))
+def _worded(spark, folder, name: str, key: str, least: int = 1):
+    return read(spark, folder, name).select(key, F.array_distinct(T.words("text", least)).alias("words"))
 
 
 @query(
@@ -46,8 +42,8 @@ SELECT doc_id, item_id, round(k / (a + b - k), 6) AS score FROM c JOIN nd USING
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(k / (a + b - k), 6) DESC, item_id) <= 3""",
 )
 def jaccard_topk(spark, folder):
-    score = F.round(F.col("common") / (F.col("of_doc") + F.col("of_item") - F.col("common")), 6)
-    return newest(_shared(spark, folder).select("doc_id", "item_id", score.alias("score")), ["doc_id"], [F.desc("score"), "item_id"], 3)
+    met = sharing_words(_worded(spark, folder, "documents", "doc_id"), "doc_id", _worded(spark, folder, "benchmark", "item_id"), "item_id", k=3)
+    return met.select("doc_id", F.col("bank_id").alias("item_id"), F.round(F.col("common") / (F.col("of_own") + F.col("of_bank") - F.col("common")), 6).alias("score"))
 
 
 @query(
@@ -55,9 +51,8 @@ def jaccard_topk(spark, folder):
     f"WITH {_TOKENS} SELECT doc_id, item_id, count(*) AS common FROM tokens JOIN items USING (w) WHERE length(w) >= 4 GROUP BY 1, 2 HAVING count(*) >= 4",
 )
 def token_overlap_match(spark, folder):
-    left = read(spark, folder, "documents").select("doc_id", F.explode(F.array_distinct(T.words("text", 4))).alias("w"))
-    right = read(spark, folder, "benchmark").select("item_id", F.explode(F.array_distinct(T.words("text", 4))).alias("w"))
-    return left.join(right, "w").groupBy("doc_id", "item_id").agg(F.count("*").alias("common")).where("common >= 4")
+    met = sharing_words(_worded(spark, folder, "documents", "doc_id", 4), "doc_id", _worded(spark, folder, "benchmark", "item_id", 4), "item_id", least=4)
+    return met.select("doc_id", F.col("bank_id").alias("item_id"), "common")
 
 
 @query(
@@ -129,11 +124,31 @@ def lang_filter(spark, folder):
     return counts.where("eu = 0 or es > 2 * eu")
 
 
-@query("chunk_overlap")
+def _end(start: str) -> str:
+    """Where a chunk from start ends, in SQL: after the last of the first separator that its second half holds."""
+    window = f"substr(text, {start} + 601, 600)"
+    last = "".join(f" WHEN contains({window}, {sep}) THEN {start} + 1201 - instr(reverse({window}), reverse({sep}))" for sep in ("chr(10) || chr(10)", "chr(10)", "'. '", "' '"))
+    return f"CASE WHEN {start} + 1200 >= length(text) THEN length(text){last} ELSE {start} + 1200 END"
+
+
+@query(
+    "chunk_overlap",
+    f"""WITH RECURSIVE c AS (
+  SELECT doc_id, text, 0 AS k, 0::BIGINT AS s, {_end("0")} AS e FROM documents WHERE text <> ''
+  UNION ALL SELECT doc_id, text, k + 1, e - 200, {_end("(e - 200)")} FROM c WHERE e < length(text))
+SELECT doc_id, CAST(k AS INTEGER) AS chunk_index, s AS start, substr(text, s + 1, e - s) AS chunk FROM c""",
+)
 def chunk_overlap(spark, folder):
     return chunks(read(spark, folder, "documents"), "doc_id", "text", size=1200, overlap=200)
 
 
-@query("html_links")
+_LINK = r"""(?is)<a\s[^>]*?href\s*=\s*["'']?([^"''\s>]+)["'']?[^>]*>(.*?)</a>"""
+
+
+@query(
+    "html_links",
+    rf"""WITH l AS (SELECT page_id, regexp_extract_all(html, '{_LINK}', 1) AS href, regexp_extract_all(html, '{_LINK}', 2) AS label FROM pages)
+SELECT page_id, CAST(k - 1 AS INTEGER) AS place, href[k] AS href, trim(regexp_replace(label[k], '<[^>]*>|\s+', ' ', 'g')) AS label FROM l, unnest(range(1, len(href) + 1)) AS u(k)""",
+)
 def html_links(spark, folder):
     return page_links(read(spark, folder, "pages"))
