@@ -45,7 +45,8 @@ def spanish_sentences(c: Column | str) -> Column:
 def proper_phrases(c: Column | str) -> Column:
     """Names of two capitalised words or more, with the words that join them, distinct in text order."""
     name = r"\p{Lu}[\p{L}]+"
-    return F.array_distinct(F.regexp_extract_all(col(c), F.lit(rf"(?<![\p{{L}}])({name}(?: (?:{any_of(JOINING)} )*{name})+)"), F.lit(1)))
+    begun = rf"(?!{any_of(w.capitalize() for w in JOINING)}\b)"  # a joining word that only begins a sentence
+    return F.array_distinct(F.regexp_extract_all(col(c), F.lit(rf"(?<![\p{{L}}]){begun}({name}(?: (?:{any_of(JOINING)} )*{name})+)"), F.lit(2)))
 
 
 def named_phrases(c: Column | str) -> Column:
@@ -136,3 +137,35 @@ def amendment_result(c: Column | str) -> Column:
     """The canonical result of an amendment, by the longest wording that it holds; null if it holds none."""
     said = F.regexp_substr(folded(c), F.lit(rf"\b{any_of(w for ws in AMENDMENT_RESULTS.values() for w in ws)}\b"))
     return F.create_map(*(F.lit(x) for name, ws in AMENDMENT_RESULTS.items() for w in ws for x in (w, name)))[said]
+
+
+def is_heading(c: Column | str) -> Column:
+    """Whether a title is only the heading of a section: a word or two in capitals, or a number without a title."""
+    return col(c).rlike(r"^\W*(?:[IVXLC]+|\d+)?\W*$|^\W*\p{Lu}{4,}(?: \p{Lu}+)?\W*$")
+
+
+def explicit_result(c: Column | str) -> Column:
+    """The outcome of the first decision that settles a matter in a text; null if none does."""
+    from quorumframe.functions.decisions import decisions
+
+    return F.try_element_at(F.filter(decisions(c), lambda d: d["settled"] | (d["outcome"] == "decae")), F.lit(1))["outcome"]
+
+
+def without_scan_noise(c: Column | str) -> Column:
+    """A name as a scan should have read it: digits that look like letters are letters, signs inside words go, single letters join their word."""
+    spelled = F.translate(col(c), "0158|", "OISBI")
+    joined = F.regexp_replace(F.regexp_replace(spelled, r"(?<=\p{L})[._~^*]+(?=\p{L})", ""), r"(?<=\p{Lu}{2}) (?=\p{Lu}(?: |$))", "")
+    return F.btrim(F.regexp_replace(joined, r"\s+", " "), F.lit(" .,;:-"))
+
+
+def citizen_entity(c: Column | str) -> Column:
+    """Who of the citizens a title names: what stands in quotation marks, an organisation, a person; null if nobody."""
+    from quorumframe.functions.submitters import private_submitter
+
+    quoted = F.regexp_extract(col(c), r"[\"“«]([^\"”»]{3,90})[\"”»]", 1)
+    return F.coalesce(F.when(quoted != "", quoted), private_submitter(c)["name"])
+
+
+def relevant_source(shared: Column | str, single_date: Column | str, *, least: int = 4) -> Column:
+    """Whether a source is shown: so many shared keywords where all sources are of one date, as all else would be; any one otherwise."""
+    return F.when(col(single_date), col(shared) >= least).otherwise(col(shared) >= 1)

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorumframe.functions.text import folded
+
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, values: Sequence[str]) -> DataFrame:
     """left with the values of the last row of right whose at is not after its own; null if none is.
@@ -94,6 +96,12 @@ def resume(source: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return source.join(done.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
 
 
+def dated_key(date: Column | str, title: Column | str, most: int = 80) -> Column:
+    """A key of a date label and the beginning of a folded title."""
+    date = F.col(date) if isinstance(date, str) else date
+    return F.concat_ws("||", date, F.substring(folded(title), 1, most))
+
+
 def with_ids(rows: DataFrame, ids: DataFrame, keys: Sequence[str], own: str, id_: str) -> DataFrame:
     """rows with their own id, else the one that ids has for their keys, each once; null if there is none."""
     return rows.join(ids, list(keys), "left").withColumn(id_, F.coalesce(own, id_)).drop(own)

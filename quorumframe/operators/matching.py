@@ -43,6 +43,20 @@ def _begun(runs: Column, most: int) -> Column:
     return F.when(F.size("_heads") > most, runs).otherwise(F.filter(runs, lambda r: F.array_contains("_heads", F.substring_index(r, " ", 1))))
 
 
+def places_in(texts: DataFrame, key: str, text: str, places: DataFrame, *, capitals: Sequence[str] = ()) -> DataFrame:
+    """key and place_id of the places (place_id, name) that a text names.
+
+    Names in capitals (folded) are common words as well: they count only where the text
+    writes them with a capital that does not open a sentence.
+    """
+    held = contained_labels(texts, key, text, places, "place_id", "name")
+    if capitals:
+        shown = held.join(texts.select(key, F.col(text).alias("_text")), key).join(places.select("place_id", F.col("name").alias("_name")), "place_id")
+        written = F.regexp_like("_text", F.concat(F.lit(r"(?<=[\p{L}\p{N},;:)] )\Q"), F.col("_name"), F.lit(r"\E(?![\p{L}\p{N}])")))
+        held = shown.where(~F.col("label").isin(*capitals) | written)
+    return held.select(key, "place_id").distinct()
+
+
 def _runs(words: str, size: int) -> Column:
     """All runs of so many consecutive words, each joined by spaces; made from shifted arrays, so in linear time."""
     runs = F.col(words)

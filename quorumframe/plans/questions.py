@@ -99,6 +99,34 @@ def sessions_of(questions: DataFrame, sessions: DataFrame, *, first_year: int, l
     return met.join(hit, "question_id").where(~exact | (F.col("session_date") == F.col("_day"))).select("question_id", "session_date").distinct()
 
 
+def subject_fields(points: DataFrame, *, themes: DataFrame | None = None, entities: DataFrame | None = None, speeches: DataFrame | None = None) -> DataFrame:
+    """point_id, text and is_about of all that may name a point's subject: its title and the labels of its themes are about it; entities and what is said only mention it.
+
+    themes and entities have point_id and label, speeches has point_id and summary.
+    """
+    parts = [points.select("point_id", F.col("title").alias("text"), F.lit(True).alias("is_about"))]
+    for more, column, about in ((themes, "label", True), (entities, "label", False), (speeches, "summary", False)):
+        if more is not None:
+            parts.append(more.select("point_id", F.col(column).alias("text"), F.lit(about).alias("is_about")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.where("text is not null")
+
+
+def hits_or_themes(hits: DataFrame, treating: DataFrame) -> DataFrame:
+    """point_id and relation: points that hold the subject, and those that treat a theme that stands for it; one that does both treats it."""
+    both = hits.unionByName(treating.select("point_id", F.lit("treats").alias("relation")))
+    return both.groupBy("point_id").agg(F.max("relation").alias("relation"))  # treats comes after mentions
+
+
+def theme_labels(taxonomy: DataFrame) -> DataFrame:
+    """theme_id and label of each preferred and alternative label; of a label that several themes have the preferred one's, then the first theme, has it."""
+    every = taxonomy.select("theme_id", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("k"), F.col("label").alias("l"))), F.transform("alternatives", lambda a: F.struct(F.lit(1).alias("k"), a.alias("l"))))).alias("x"))
+    first = every.where("x.l is not null").groupBy(folded("x.l").alias("_folded")).agg(F.min(F.struct("x.k", "theme_id", "x.l")).alias("_first"))
+    return first.select("_first.theme_id", F.col("_first.l").alias("label"))
+
+
 def specific_words(asked: DataFrame, fields: DataFrame, *, most_share: float = 0.03) -> DataFrame:
     """question_id, word, df of the subject words (question_id, words) that few points use, or that hold a digit; the rarest first is up to the caller.
 

@@ -45,6 +45,7 @@ class QuerySpec:
     subject: bool = False  # points are those of the hits given to compiled
     limit: int | None = None
     criterion: str | None = None
+    speakers: tuple[str, ...] = ()  # keys of speakers, such as alcalde
 
     def conditions(self) -> set[str]:
         return {f.name for f in fields(self) if f.name not in ("form", "limit", "criterion") and getattr(self, f.name) not in (None, (), False)}
@@ -328,17 +329,21 @@ def _(spec, facts, hits):
     return ranked(pairs, "one", "other")
 
 
-@form("rank_speaker", limit=10, points=False)
+def _said(spec: QuerySpec, facts: Facts) -> DataFrame:
+    said = facts.speech.where(F.col("group_id").isin(*spec.voters)) if spec.voters else facts.speech
+    return said.where(F.col("speaker").isin(*spec.speakers)) if spec.speakers else said
+
+
+@form("rank_speaker", "voters", "speakers", limit=10, points=False)
 def _(spec, facts, hits):
-    return ranked(facts.speech.where("speaker is not null"), "speaker", of="speech_id")
+    return ranked(_said(spec, facts).where("speaker is not null"), "speaker", of="speech_id")
 
 
-@form("rank_group_speeches", limit=10, points=False)
+@form("rank_group_speeches", "speakers", limit=10, points=False)
 def _(spec, facts, hits):
-    return ranked(facts.speech.where("group_id is not null"), "group_id", of="speech_id")
+    return ranked(_said(spec, facts).where("group_id is not null"), "group_id", of="speech_id")
 
 
-@form("count_speeches", "voters", points=False)
+@form("count_speeches", "voters", "speakers", points=False)
 def _(spec, facts, hits):
-    said = facts.speech.where(F.col("group_id").isin(*spec.voters)) if spec.voters else facts.speech
-    return said.agg(F.count_distinct("speech_id").alias("n"))
+    return _said(spec, facts).agg(F.count_distinct("speech_id").alias("n"))

@@ -130,9 +130,9 @@ def majority_runs(spark, folder):
     return groups.solved_by_majority(runs, ["arm"], "shape", "question", "ok")
 
 
-@query("never_solved", "SELECT user_id FROM events GROUP BY 1 HAVING NOT coalesce(bool_or(event_type = 'error' AND value > 20), false)")
+@query("never_solved", "SELECT user_id FROM events GROUP BY 1 HAVING NOT coalesce(bool_or(event_type = 'error' AND value > 110), false)")
 def never_solved(spark, folder):
-    return groups.never_solved(read(spark, folder, "events").select("user_id", ((F.col("event_type") == "error") & (F.col("value") > 20)).alias("ok")), "user_id", "ok")
+    return groups.never_solved(read(spark, folder, "events").select("user_id", ((F.col("event_type") == "error") & (F.col("value") > 110)).alias("ok")), "user_id", "ok")
 
 
 @query(
@@ -207,3 +207,66 @@ def sources_to_blocks(spark, folder):
     line = read(spark, folder, "lineitem").join(read(spark, folder, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     pairs = line.groupBy(F.col("o_custkey").alias("answer"), F.col("l_orderkey").alias("block"), F.col("l_partkey").alias("source")).agg(F.max(F.round(F.col("l_quantity") % 10 / 10, 1)).alias("score"))
     return matching.matched_once(pairs, "answer", "block", "source", "score").drop("score")
+
+
+@query(
+    "subject_or_theme",
+    """WITH h AS (SELECT o_orderkey AS point_id, CASE WHEN o_orderkey % 10 = 7 THEN 'treats' ELSE 'mentions' END AS relation FROM orders WHERE o_orderkey % 10 = 7 OR o_orderpriority = '2-HIGH'),
+t AS (SELECT DISTINCT l_orderkey AS point_id FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey = 4)
+SELECT point_id, max(relation) AS relation FROM (SELECT * FROM h UNION ALL SELECT point_id, 'treats' FROM t) GROUP BY 1""",
+)
+def subject_or_theme(spark, folder):
+    """Points whose fields hold a subject, and those of a theme that stands for it."""
+    from quorumframe.plans.questions import hits_or_themes, subject_fields
+
+    facts = star_schema_facts(spark, folder)
+    key = F.col("point_id")
+    points = facts.point.select("point_id", F.when(key % 10 == 7, "obras en la calle").otherwise("otra cosa").alias("title"))
+    entities = facts.point.where("point_type = '2-HIGH'").select("point_id", F.lit("Calle Mayor").alias("label"))
+    hits = matching.subject_hits(subject_fields(points, entities=entities), [["calle"]])
+    return hits_or_themes(hits, facts.treating([4]))
+
+
+@query(
+    "ambiguous_places",
+    """WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'obras en San Pedro y en la Peña' WHEN 1 THEN 'una peña de amigos' WHEN 2 THEN 'Peña de San  PEDRO' ELSE 'nada' END AS k FROM part)
+SELECT p_partkey, place_id FROM t JOIN (VALUES ('obras en San Pedro y en la Peña', 1), ('obras en San Pedro y en la Peña', 2), ('Peña de San  PEDRO', 1)) AS v(k, place_id) USING (k)""",
+)
+def ambiguous_places(spark, folder):
+    """Places in texts, one of which has a common word for a name."""
+    text = F.when(F.col("p_partkey") % 4 == 0, "obras en San Pedro y en la Peña").when(F.col("p_partkey") % 4 == 1, "una peña de amigos").when(F.col("p_partkey") % 4 == 2, "Peña de San  PEDRO").otherwise("nada")
+    texts = read(spark, folder, "part").select("p_partkey", text.alias("text"))
+    places = spark.createDataFrame([(1, "San Pedro"), (2, "Peña")], "place_id int, name string")
+    return matching.places_in(texts, "p_partkey", "text", places, capitals=["pena"])
+
+
+@query(
+    "metadata_by_title",
+    """WITH m AS (SELECT strftime(o_orderdate, '%d-%m-%Y') || '||' || lower(o_orderpriority) AS k, max_by(o_orderstatus, o_orderkey) AS status FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1)
+SELECT o_orderkey, status FROM orders LEFT JOIN m ON k = strftime(o_orderdate, '%d-%m-%Y') || '||' || lower(o_orderpriority)""",
+)
+def metadata_by_title(spark, folder):
+    """Metadata that meets fragments by date and the beginning of the folded title; the last of equal keys counts."""
+    orders = read(spark, folder, "orders").select("o_orderkey", "o_orderstatus", joins.dated_key(F.date_format("o_orderdate", "dd-MM-yyyy"), "o_orderpriority").alias("key"))
+    patches = orders.where("o_orderkey % 2 = 0").select("key", F.col("o_orderkey").alias("at"), F.col("o_orderstatus").alias("status"))
+    return joins.patched(orders.select("o_orderkey", "key"), patches, "key", "at").select("o_orderkey", "status")
+
+
+@query("mayor_speeches", "SELECT count(DISTINCT conv_id * 1000 + turn) AS n FROM conversations WHERE role = 'system'")
+def mayor_speeches(spark, folder):
+    from quorumframe.plans.spec import QuerySpec
+
+    return compiled(QuerySpec("count_speeches", speakers=("system",)), star_schema_facts(spark, folder))
+
+
+@query(
+    "page_tables",
+    r"""WITH r AS (SELECT page_id, regexp_extract_all(html, '(?is)<li\b[^>]*>(.*?)</li>', 1) AS items FROM pages) SELECT page_id, len(items) AS n FROM r WHERE len(items) > 0""".replace("\\\\", "\\"),
+)
+def page_tables(spark, folder):
+    """Rows of tables, where the lists of the pages are written as tables."""
+    from quorumframe.functions.links import page_rows
+
+    pages = read(spark, folder, "pages")
+    tabled = pages.select("page_id", F.regexp_replace(F.regexp_replace("html", r"(?i)<li\b([^>]*)>", "<tr><td$1>"), r"(?i)</li>", "</td></tr>").alias("html"))
+    return page_rows(tabled).groupBy("page_id").agg(F.count("*").alias("n"))

@@ -2,8 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quorumframe.functions import passages as P
+from quorumframe.functions.links import form_fields, page_rows
 from quorumframe.operators import groups, matching
 from quorumframe.plans import retrieval
+from quorumframe.plans.questions import theme_labels
 
 
 @pytest.fixture(scope="module")
@@ -47,6 +49,20 @@ def test_values(value):
     assert value(P.amendment_result, "Enmienda no aceptada", "queda aceptada", "Transaccional", "?") == ["rechazada", "aprobada", "transaccionada", None]
 
 
+def test_titles_and_names(value, spark):
+    assert value(P.is_heading, "RUEGOS Y", "PARTE", "IV.", "12", "Moción sobre la ría", "PREGUNTAS ORALES") == [True, True, True, True, False, True]
+    assert value(P.explicit_result, "se aprueba la moción, y queda rechazada la enmienda", "se aprueba", "todo decae") == ["rechazada", None, "decae"]
+    assert value(P.without_scan_noise, "RUIZ BUJED O,", "G1L  P~EREZ") == ["RUIZ BUJEDO", "GIL PEREZ"]
+    assert value(P.citizen_entity, "Proposición de “Bilbo Zaharra Foroa” sobre x", "Proposición de la Asociación Vecinal Uno, para pedir", "presentada por don Juan Pérez mediante", "nada") == ["Bilbo Zaharra Foroa", "Asociación Vecinal Uno", "Juan Pérez", None]
+    rows = spark.createDataFrame([(3, True), (4, True), (1, False), (0, False)], "n int, one boolean").select(P.relevant_source("n", "one").alias("r")).collect()
+    assert [r.r for r in rows] == [False, True, True, False]
+    pages = spark.createDataFrame([(1, "<table><tr><th>A<td>b <b>c</b></tr><tr><td>d</td></table><form><input type='text' name='q' value=7><select name=\"s\"></form>")], "page_id int, html string")
+    assert [r.cells for r in page_rows(pages).orderBy("place").collect()] == [["A", "b c"], ["d"]]
+    assert [(r.name, r.value) for r in form_fields(pages).collect()] == [("q", "7"), ("s", "")]
+    taxonomy = spark.createDataFrame([("a", "Casa", ["Hogar", "Piso"]), ("b", "Piso", [])], "theme_id string, label string, alternatives array<string>")
+    assert {(r.theme_id, r.label) for r in theme_labels(taxonomy).collect()} == {("a", "Casa"), ("a", "Hogar"), ("b", "Piso")}
+
+
 def test_groups_of_rows(spark):
     rows = spark.createDataFrame([("a", 1, "x", None), ("a", 2, None, 5), ("a", 3, "y", None), ("b", 1, None, None)], "k string, o int, v string, w int")
     assert {tuple(r) for r in groups.last_known(rows, ["k"], ["v", "w"], "o").collect()} == {("a", "y", 5), ("b", None, None)}
