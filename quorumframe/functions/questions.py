@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quorumframe.functions.decisions import any_of
 from quorumframe.functions.minutes import MONTHS
-from quorumframe.functions.text import col, folded, stem, words
+from quorumframe.functions.text import bound, col, folded, stem, words
 
 #: The months that a season stands for.
 SEASONS = {"primavera": (3, 4, 5, 6), "verano": (6, 7, 8, 9), "otono": (9, 10, 11, 12), "invierno": (12, 1, 2, 3)}
@@ -40,7 +40,11 @@ def months_of(c: Column | str) -> Column:
 
 def years_of(c: Column | str, first: int, last: int) -> Column:
     """The years that a text names, in order; a number well outside the collection's years is part of a name."""
-    said = F.regexp_extract_all(folded(c), F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1))
+    return bound(folded(c), lambda text: _years(text, first, last))
+
+
+def _years(text: Column, first: int, last: int) -> Column:
+    said = F.regexp_extract_all(text, F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1))
     return F.filter(F.transform(said, lambda y: y.cast("int")), lambda y: y.between(first - 1, last + 1))
 
 
@@ -51,37 +55,45 @@ def period_of(c: Column | str, first: int, last: int, terms: Sequence[tuple[dt.d
     year it begins in, alone or with the one it ends in; "this term" is the last. A
     budget's year is that of the budget, not of its session, and is no period.
     """
-    text, years = folded(c), years_of(c, first, last)
+    return bound(folded(c), lambda text: _period(text, first, last, terms))
+
+
+def _period(text: Column, first: int, last: int, terms: Sequence[tuple[dt.date, dt.date | None]]) -> Column:
     number = lambda pattern, k=1: F.regexp_extract(text, pattern, k).try_cast("int")
-    office = any_of(("legislatura", "mandato", "corporacion"))
-    of_term, to_term = (number(rf"\b{office} (?:del? )?(\d{{4}})(?: ?[-/] ?(\d{{4}}))?\b", k) for k in (2, 3))
-    this = text.rlike(rf"\b{office}\b") & ~text.rlike(rf"\b(?:anterior|pasad[ao]|que|cual|cuales|cada|por|varias) {office}s?\b|{office}s? (?:anterior|pasad)|legislaturas|mandatos")
-    joined = r"\b(\d{4}) ?(?:y|a|hasta|-|/) ?(?:el )?(\d{4})\b"
-    one, other = number(joined), number(joined, 2)
-    apart = text.rlike(r"\b\d{4} y (?:el )?\d{4}\b") & ~text.rlike(r"\b(?:entre|desde|de)(?: el)? \d{4} y\b")
-    fiscal = number(r"\bpresupuestos?\b(?: [a-z]+){0,4}? (\d{4})\b")
-    now = text.rlike(r"\b(?:ahora|actualmente|en la actualidad|hoy en dia)\b")
-    null = F.lit(None)
+    office, joined = any_of(("legislatura", "mandato", "corporacion")), r"\b(\d{4}) ?(?:y|a|hasta|-|/) ?(?:el )?(\d{4})\b"
+    of_term = rf"\b{office} (?:del? )?(\d{{4}})(?: ?[-/] ?(\d{{4}}))?\b"
+    other_term = rf"\b(?:anterior|pasad[ao]|que|cual|cuales|cada|por|varias) {office}s?\b|{office}s? (?:anterior|pasad)|legislaturas|mandatos"
+    said = F.struct(
+        _years(text, first, last).alias("years"), number(of_term, 2).alias("term"), number(of_term, 3).alias("term_end"), number(joined).alias("one"), number(joined, 2).alias("other"), number(r"\bpresupuestos?\b(?: [a-z]+){0,4}? (\d{4})\b").alias("fiscal"),
+        (text.rlike(rf"\b{office}\b") & ~text.rlike(other_term)).alias("this_term"), (text.rlike(r"\b\d{4} y (?:el )?\d{4}\b") & ~text.rlike(r"\b(?:entre|desde|de)(?: el)? \d{4} y\b")).alias("apart"),
+        text.rlike(r"\bdesde (?:el )?\d{4}").alias("from"), text.rlike(r"\bhasta (?:el )?\d{4}").alias("up_to"), text.rlike(r"\b(?:ahora|actualmente|en la actualidad|hoy en dia)\b").alias("now"),
+    )
+    return bound(said, lambda x: _period_said(x, first, last, terms))
+
+
+def _period_said(said: Column, first: int, last: int, terms: Sequence[tuple[dt.date, dt.date | None]]) -> Column:
+    """The period that follows from what is said of years and terms."""
+    years, null, some = said["years"], F.lit(None), F.size(said["years"]) > 0
 
     def period(since, until, start=null, end=null, compared=F.lit(False)):
-        return F.struct(since.cast("int").alias("since"), until.cast("int").alias("until"), start.cast("date").alias("start"), end.cast("date").alias("end"), (compared | (now & (F.size(years) > 0))).alias("compared"))
+        return F.struct(since.cast("int").alias("since"), until.cast("int").alias("until"), start.cast("date").alias("start"), end.cast("date").alias("end"), (compared | (said["now"] & some)).alias("compared"), said["fiscal"].alias("fiscal"))
 
-    rules = [(fiscal.isNotNull(), period(null, null))]
+    rules = [(said["fiscal"].isNotNull(), period(null, null))]
     for begun, ended in terms:
-        named = (of_term == begun.year) & (to_term.isNull() | (to_term == begun.year + 4))
+        named = (said["term"] == begun.year) & (said["term_end"].isNull() | (said["term_end"] == begun.year + 4))
         rules.append((named, period(F.lit(begun.year), F.lit(begun.year + 4), F.lit(begun), F.lit(ended))))
     rules += [
-        (one.isNotNull() & other.isNotNull(), period(F.least(one, other), F.greatest(one, other), compared=apart)),
-        (text.rlike(r"\bdesde (?:el )?\d{4}") & (F.size(years) > 0), period(years[0], F.lit(last))),
-        (text.rlike(r"\bhasta (?:el )?\d{4}") & (F.size(years) > 0), period(F.lit(first), years[0])),
-        (F.size(years) > 0, period(F.array_min(years), F.array_max(years), compared=F.size(F.array_distinct(years)) > 1)),
+        (said["one"].isNotNull() & said["other"].isNotNull(), period(F.least(said["one"], said["other"]), F.greatest(said["one"], said["other"]), compared=said["apart"])),
+        (said["from"] & some, period(years[0], F.lit(last))),
+        (said["up_to"] & some, period(F.lit(first), years[0])),
+        (some, period(F.array_min(years), F.array_max(years), compared=F.size(F.array_distinct(years)) > 1)),
     ]
     if terms:
-        rules.append((this, period(F.lit(terms[-1][0].year), F.lit(last), F.lit(terms[-1][0]))))
+        rules.append((said["this_term"], period(F.lit(terms[-1][0].year), F.lit(last), F.lit(terms[-1][0]))))
     found = F.when(*rules[0])
     for rule in rules[1:]:
         found = found.when(*rule)
-    return found.otherwise(period(null, null)).withField("fiscal", fiscal)
+    return found.otherwise(period(null, null))
 
 
 def session_months(c: Column | str, first: int, last: int) -> Column:
@@ -137,18 +149,23 @@ def _line(c: Column | str) -> Column:
 
 def groups_of(c: Column | str) -> Column:
     """The groups that a question names, in the order of their names; common words count only as they are used for a group."""
-    line = _line(c)
-    each = [F.when(line.rlike(f" {any_of(said)} "), F.array(F.lit(name))) for name, said in GROUP_WORDS.items()]
-    each += [F.when(line.rlike(pattern), F.array(*map(F.lit, names))) for pattern, names in SHARED_WORDS.items()]
-    each.append(F.when(col(c).rlike(r"\b(?:Ciudadanos|Cs)\b"), F.array(F.lit("CIUDADANOS"))))
-    return F.array_sort(F.array_distinct(F.flatten(F.array_compact(F.array(*each)))))
+
+    def named(line: Column) -> Column:
+        each = [F.when(line.rlike(f" {any_of(said)} "), F.array(F.lit(name))) for name, said in GROUP_WORDS.items()]
+        each += [F.when(line.rlike(pattern), F.array(*map(F.lit, names))) for pattern, names in SHARED_WORDS.items()]
+        return F.flatten(F.array_compact(F.array(*each)))
+
+    capital = F.when(col(c).rlike(r"\b(?:Ciudadanos|Cs)\b"), F.array(F.lit("CIUDADANOS"))).otherwise(F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(F.concat(bound(_line(c), named), capital)))
 
 
 def submitters_of(c: Column | str) -> Column:
     """Those of the groups that a question names as submitting a motion; the others are those it asks the votes of."""
-    line = _line(c)
-    after = [F.when(line.rlike(rf"{_MOTION}{any_of(said)} "), F.lit(name)) for name, said in GROUP_WORDS.items()]
-    return F.array_sort(F.array_compact(F.array(*after)))
+
+    def after(line: Column) -> Column:
+        return F.array_compact(F.array(*(F.when(line.rlike(rf"{_MOTION}{any_of(said)} "), F.lit(name)) for name, said in GROUP_WORDS.items())))
+
+    return F.array_sort(bound(_line(c), after))
 
 
 #: What a question may show, as patterns over its folded words; "asks" is the noun that its question word asks for.
@@ -222,22 +239,24 @@ _PARTS = {"ratio": ("counts", "counts part")}
 
 def form_of(c: Column | str) -> Column:
     """The form of answer that a question asks for; null if it shows none."""
-    line = _line(c)
-    has = {name: line.rlike(pattern) for name, pattern in FEATURES.items()}
 
-    def fits(needs: Sequence[str]) -> Column:
-        every = has[needs[0]]
-        for name in needs[1:]:
-            every = every & has[name]
-        return every
+    def shown(line: Column) -> Column:
+        return F.array_compact(F.array(*(F.when(line.rlike(pattern), F.lit(name)) for name, pattern in FEATURES.items())))
 
-    meant = [F.when(fits(needs), F.struct(F.lit(len(needs)).alias("n"), F.lit(form).alias("form"))) for table in (NEEDS, _PARTS) for form, needs in table.items()]
-    return F.array_max(F.array_compact(F.array(*meant)))["form"]
+    def meant(features: Column) -> Column:
+        fits = lambda needs: F.size(F.array_intersect(features, F.array(*map(F.lit, needs)))) == len(needs)
+        forms = [F.when(fits(needs), F.struct(F.lit(len(needs)).alias("n"), F.lit(form).alias("form"))) for table in (NEEDS, _PARTS) for form, needs in table.items()]
+        return F.array_max(F.array_compact(F.array(*forms)))["form"]
+
+    return bound(bound(_line(c), shown), meant)
 
 
 def flags_of(c: Column | str) -> Column:
     """Further conditions of a question: latest, unanimous, opposition, by citizens, and what is out of scope (amounts, attendance)."""
-    line = _line(c)
+    return bound(_line(c), _flags)
+
+
+def _flags(line: Column) -> Column:
     attendance = line.rlike(" falt(?:ado|o|aron|an) | asistencia| ausen(?:cia|te)| no (?:acudio|asistio)")
     return F.struct(
         line.rlike(" ultim[oa]s? | mas reciente | recientemente ").alias("latest"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +17,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is computed once however often body uses it, also in branches."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def unmarked(c: Column | str) -> Column:
     """Without accents; case and white space as they are."""
     return F.translate(col(c), MARKED, PLAIN)
