@@ -56,3 +56,33 @@ def test_stages_one_by_one(spark):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     total = sum(len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in fourth.collect())
     assert sum(r.length for r in corpus_pipeline.run(spark, folder).collect()) == total
+
+
+def test_run_is_its_stages_in_order(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder)
+        if name != "packing":
+            assert docs.columns == list(corpus_pipeline.COLUMNS)
+    key = lambda r: tuple(r.asDict().items())
+    assert sorted(map(key, corpus_pipeline.run(spark, folder).collect())) == sorted(map(key, docs.collect()))
+
+
+def test_stages_take_nulls_repeats_and_clashing_names(spark):
+    rows = [(1, None), (1, None), (2, ""), (None, "of nobody"), (3, "mail a.b@c.dd now"), (3, "mail a.b@c.dd now"), (4, "x " * 50_000)]
+    clashing = "_met int, _row int, fp int, score int, text_hash string, spans string, key long"
+    docs = spark.createDataFrame([(i, t, None, None, None, 1, 2, 3, 4, "h", "s", 5) for i, t in rows], f"doc_id long, text string, lang string, source string, n_chars long, {clashing}")
+    folder = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        kept = out.collect()
+        if name == "near_duplicates":
+            assert sorted((r.doc_id for r in kept), key=str) == [1, 3, 4, None]
+        elif name == "personal_data":
+            assert sorted(str(r.text) for r in kept if r.doc_id == 3) == ["mail [email] now"] * 2 and len(kept) == len(rows)
+        elif name == "packing":
+            assert {r.doc_id for r in kept} == {1, 2, 3, 4, None}
+        else:
+            assert len(kept) == len(rows)
+        assert stage(spark, docs.where("false"), folder).count() == 0

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from quorumframe.llm.packing import hilbert_key, pack
+from quorumframe.llm.packing import hilbert_key, pack, projected
 from quorumframe.llm.records import frame, read_digests, unframe, write_records
 from quorumframe.llm.tokens import ChunkTokenizer
 
@@ -90,3 +90,20 @@ def test_hilbert_curve_visits_each_cell_once_and_moves_by_one():
     keys = hilbert_key(cells, bits=3)
     assert sorted(keys.tolist()) == list(range(512))
     assert (np.abs(np.diff(cells[np.argsort(keys)], axis=0)).sum(axis=1) == 1).all()
+
+
+def test_documents_lie_along_the_curve_and_neighbours_share_sequences(spark):
+    """The order is that of keys computed one by one; documents of one vocabulary fill sequences together far more often than by chance."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, draw = Tokenizer.from_file(path), random.Random(5)
+    topics = [[f"{a}{b}" for b in ("man", "tion", "ver", "lo", "ness", "able")] for a in ("car", "house", "green", "water", "stone")]
+    rows = [(k, " ".join(draw.choices(topics[k % 5], k=40))) for k in range(200)]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, key int").repartition(6)
+    pieces = pack(docs, path, length=512).collect()
+    at = {p.doc_id: (p.sequence_id, p.offset) for p in pieces if p.start == 0}
+    ids = {k: plain.encode(t, add_special_tokens=False).ids for k, t in rows}
+    keys = {k: int(hilbert_key(projected(np.array(i), plain.get_vocab_size())[None, :])[0]) for k, i in ids.items()}
+    ordered = sorted(at, key=at.get)
+    assert ordered == sorted(keys, key=lambda k: (keys[k], k))
+    alike = [a % 5 == b % 5 for a, b in zip(ordered, ordered[1:]) if at[a][0] == at[b][0]]
+    assert sum(alike) / len(alike) > 0.5  # a fifth by chance
