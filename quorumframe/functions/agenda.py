@@ -94,8 +94,7 @@ def topic_prefix(title: Column | str, most: int = 80) -> Column:
     return F.coalesce(agenda_number(title).cast("string"), F.substring(folded(title), 1, most))
 
 
-#: Titles of courtesy before names in lists of those present.
-COURTESY = ("D.", "Dª.", "Dña.", "Don", "Doña", "Sr.", "Sra.", "D.ª")
+# Titles of courtesy before names in lists of those present.
 _COURTESY = r"(?:\bD\.ª|\bDª\.?|\bDña\.?|\bDoña\b|\bDon\b|\bSra\.|\bSr\.|\bD\.)\s*"
 
 

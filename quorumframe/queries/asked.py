@@ -12,9 +12,6 @@ from quorumframe.plans.questions import analysed, sessions_of, spec_of, themes_o
 from quorumframe.plans.spec import compiled
 from quorumframe.registry import query, read
 
-#: Names of months.
-_MONTH = "['enero','febrero','marzo','abril','mayo','junio','julio','agosto','septiembre','octubre','noviembre','diciembre']"
-
 
 def _asked_orders(spark, folder):
     """A question for each order, of a kind that its key tells, about the day it was placed on."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quorumframe.functions import text as T
 from quorumframe.operators import matching
 from quorumframe.registry import query, read
+from quorumframe.storage import spread
 
 _SAID = f"' ' || array_to_string(regexp_extract_all(lower(translate(text, '{T.MARKED}', '{T.PLAIN}')), '[a-z0-9]+'), ' ') || ' '"
 _PLACES = ((1, "apache license"), (2, "Versión"), (3, "general public license"), (4, "the"), (5, "públic"), (6, "public license version"))
@@ -14,7 +15,7 @@ _VALUES = ", ".join(f"({k}, '{' '.join(x.lower().translate(str.maketrans(T.MARKE
 
 
 def _texts(spark, folder):
-    return read(spark, folder, "documents").select("doc_id", "text"), spark.createDataFrame(list(_PLACES), "place_id int, name string")
+    return spread(read(spark, folder, "documents").select("doc_id", "text")), spark.createDataFrame(list(_PLACES), "place_id int, name string")
 
 
 @query("gazetteer_hits", f"WITH p(place_id, label) AS (VALUES {_VALUES}) SELECT DISTINCT doc_id, place_id, label FROM (SELECT doc_id, {_SAID} AS said FROM documents) JOIN p ON contains(said, ' ' || label || ' ')")
@@ -40,7 +41,7 @@ h AS (SELECT point_id, is_about FROM f WHERE (regexp_matches(said, ' (licens(es|
 SELECT point_id, CASE WHEN bool_or(is_about) THEN 'treats' ELSE 'mentions' END AS relation FROM h GROUP BY 1""",
 )
 def subject_hits(spark, folder):
-    docs = read(spark, folder, "documents")
+    docs = spread(read(spark, folder, "documents").select("doc_id", "text"))
     about = docs.select(F.col("doc_id").alias("point_id"), F.substring("text", 1, 200).alias("text"), F.lit(True).alias("is_about"))
     fields = about.unionByName(docs.select(F.col("doc_id").alias("point_id"), "text", F.lit(False).alias("is_about")))
     return matching.subject_hits(fields, [["licens", "public"], ["apach"]])

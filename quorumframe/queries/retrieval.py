@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quorumframe.operators import vectors
 from quorumframe.plans import retrieval
 from quorumframe.registry import query, read
-from quorumframe.storage import materialise
+from quorumframe.storage import materialise, spread
 
 _PAIRS = """WITH p AS (
   SELECT q.vec_id AS query_id, v.vec_id, 1 - list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS distance
@@ -114,7 +114,7 @@ SELECT date, topic, source, NULL::VARCHAR AS vote_result, text FROM total WHERE
 )
 def retrieve_context(spark, folder):
     """A whole retrieval: three channels, fusion, scores, relevance, diversity over sources, and a context of blocks."""
-    docs = read(spark, folder, "documents")
+    docs = spread(read(spark, folder, "documents"))
     day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 1500).cast("int"))
     fragments = docs.select(F.col("doc_id").alias("frag_id"), day.alias("date"), F.year(day).alias("year"), "source", F.col("lang").alias("topic"), F.lit(0).alias("chunk_index"), "text", F.lit(None).cast("string").alias("vote_result"))
     every, asked = _queries(spark, folder)

@@ -10,12 +10,17 @@ from quorumframe.functions.links import page_links
 from quorumframe.operators.matching import sharing_words
 from quorumframe.operators.windows import newest, rarest
 from quorumframe.registry import query, read
+from quorumframe.storage import spread
 
 
 def _words(column: str = "text") -> str:
     return f"regexp_extract_all(lower(translate({column}, '{T.MARKED}', '{T.PLAIN}')), '[a-z]+')"
 
 
+def texts(spark, folder):
+    return spread(read(spark, folder, "documents"))
+
+
 _TOKENS = f"tokens AS (SELECT DISTINCT doc_id, unnest({_words()}) AS w FROM documents), items AS (SELECT DISTINCT item_id, unnest({_words()}) AS w FROM benchmark)"
 
 
@@ -26,12 +31,13 @@ SELECT doc_id, w, df FROM t JOIN df USING (w) WHERE df <= 0.02 * (SELECT count(D
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY df, length(w) DESC, w) <= 20""",
 )
 def df_rarest_terms(spark, folder):
-    held = read(spark, folder, "documents").select("doc_id", F.array_distinct(T.words("text", 5)).alias("ws"))
+    held = texts(spark, folder).select("doc_id", F.array_distinct(T.words("text", 5)).alias("ws"))
     return rarest(held, "ws", "doc_id", most_share=0.02, per_owner=20).select("doc_id", F.col("item").alias("w"), "df")
 
 
 def _worded(spark, folder, name: str, key: str, least: int = 1):
-    return read(spark, folder, name).select(key, F.array_distinct(T.words("text", least)).alias("words"))
+    rows = read(spark, folder, name)
+    return (spread(rows) if name == "documents" else rows).select(key, F.array_distinct(T.words("text", least)).alias("words"))
 
 
 @query(
@@ -62,7 +68,7 @@ SELECT item_id, w, least(hits, 3000) AS hits FROM h QUALIFY row_number() OVER (P
 )
 def keyword_rarity(spark, folder):
     asked = read(spark, folder, "benchmark").select("item_id", F.explode(F.array_distinct(T.words("text", 6))).alias("w"))
-    docs = read(spark, folder, "documents").select(F.explode(F.array_distinct(T.words("text", 6))).alias("w"))
+    docs = texts(spark, folder).select(F.explode(F.array_distinct(T.words("text", 6))).alias("w"))
     hits = docs.join(asked.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.least(F.count("*"), F.lit(3000)).alias("hits"))
     return newest(asked.join(hits, "w").select("item_id", "w", "hits"), ["item_id"], ["hits", F.desc(F.length("w")), "w"], 3)
 
@@ -79,13 +85,13 @@ SELECT lang, count(CASE WHEN regexp_matches(t, '(^|[^\pL\pN_])licensed\s+under(s
        count(CASE WHEN regexp_matches(t, '(^|[^\pL\pN_])a(n|ñ)o(s|es)?($|[^\pL\pN_])') THEN 1 END) AS hits_3 FROM d GROUP BY 1""",
 )
 def literal_hits(spark, folder):
-    docs = read(spark, folder, "documents").select("lang", T.searchable("text").alias("text"))
+    docs = texts(spark, folder).select("lang", T.searchable("text").alias("text"))
     return docs.groupBy("lang").agg(*(F.count_if(F.col("text").rlike(T.literal_pattern(p))).alias(f"hits_{k}") for k, p in enumerate(_PHRASES)))
 
 
 @query("point_id_md5", "SELECT doc_id, left(md5(source || '||' || left(text, 80)), 16) AS point_id, left(sha1(doc_id || '|' || lang), 16) AS speech_id FROM documents")
 def point_id_md5(spark, folder):
-    docs = read(spark, folder, "documents")
+    docs = texts(spark, folder)
     return docs.select("doc_id", T.short_id("source", F.substring("text", 1, 80)).alias("point_id"), T.short_id("doc_id", "lang", method="sha1").alias("speech_id"))
 
 
@@ -106,7 +112,7 @@ def slugs(spark, folder):
 
 @query("stems", f"SELECT DISTINCT w, CASE WHEN length(w) > 5 THEN regexp_replace(w, '(es|as|os|s|a|o|e)$', '') ELSE w END AS stem FROM (SELECT unnest({_words()}) AS w FROM documents)")
 def stems(spark, folder):
-    words = read(spark, folder, "documents").select(F.explode(T.words("text")).alias("w")).distinct()
+    words = texts(spark, folder).select(F.explode(T.words("text")).alias("w")).distinct()
     return words.select("w", T.stem("w").alias("stem"))
 
 
@@ -119,7 +125,7 @@ _ES, _EU = ("de", "la", "que", "el", "en", "y", "los", "las"), ("eta", "da", "ez
 SELECT doc_id, es, eu FROM c WHERE eu = 0 OR es > 2 * eu""",
 )
 def lang_filter(spark, folder):
-    docs = read(spark, folder, "documents").select("doc_id", T.words("text").alias("ws"))
+    docs = texts(spark, folder).select("doc_id", T.words("text").alias("ws"))
     counts = docs.select("doc_id", T.count_of("ws", _ES).alias("es"), T.count_of("ws", _EU).alias("eu"))
     return counts.where("eu = 0 or es > 2 * eu")
 
@@ -139,7 +145,7 @@ def _end(start: str) -> str:
 SELECT doc_id, CAST(k AS INTEGER) AS chunk_index, s AS start, substr(text, s + 1, e - s) AS chunk FROM c""",
 )
 def chunk_overlap(spark, folder):
-    return chunks(read(spark, folder, "documents"), "doc_id", "text", size=1200, overlap=200)
+    return chunks(texts(spark, folder), "doc_id", "text", size=1200, overlap=200)
 
 
 _LINK = r"""(?is)<a\s[^>]*?href\s*=\s*["'']?([^"''\s>]+)["'']?[^>]*>(.*?)</a>"""
@@ -151,4 +157,4 @@ _LINK = r"""(?is)<a\s[^>]*?href\s*=\s*["'']?([^"''\s>]+)["'']?[^>]*>(.*?)</a>"""
 SELECT page_id, CAST(k - 1 AS INTEGER) AS place, href[k] AS href, trim(regexp_replace(label[k], '<[^>]*>|\s+', ' ', 'g')) AS label FROM l, unnest(range(1, len(href) + 1)) AS u(k)""",
 )
 def html_links(spark, folder):
-    return page_links(read(spark, folder, "pages"))
+    return page_links(spread(read(spark, folder, "pages")))
