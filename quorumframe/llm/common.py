@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumframe.storage import materialise, new_path, shared_dir
+from quorumframe.storage import materialise, new_path, shared_dir, spread
 
 __all__ = ["hot_join", "materialise", "new_path", "session", "shared_dir", "spans_text", "table"]
 
@@ -22,7 +22,8 @@ def session(spark: SparkSession) -> SparkSession:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder; one of too few partitions for the cores there are is spread over them."""
+    return spread(session(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def spans_text(spans: Column) -> Column:
