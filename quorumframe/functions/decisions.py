@@ -15,10 +15,10 @@ from quorumframe.functions.text import col, folded, without_spaces
 
 #: Folded words that decide, by what they decide, the most final first.
 OUTCOMES = {
-    "retirada": ("retirada", "retirado"),
+    "retirada": ("retirada", "retirado", "retiradas", "retirados"),
     "decae": ("decae", "decaen"),
-    "rechazada": ("rechaza", "rechazan", "rechazada", "rechazado", "desestima", "desestiman", "desestimada", "desestimado", "deniega", "denegada"),
-    "aprobada": ("aprueba", "aprueban", "aprobada", "aprobado", "acepta", "aceptan", "aceptada", "aceptado"),
+    "rechazada": ("rechaza", "rechazan", "rechazada", "rechazado", "rechazadas", "rechazados", "desestima", "desestiman", "desestimada", "desestimado", "desestimadas", "desestimados", "deniega", "denegada", "denegadas"),
+    "aprobada": ("aprueba", "aprueban", "aprobada", "aprobado", "aprobadas", "aprobados", "acepta", "aceptan", "aceptada", "aceptado", "aceptadas", "aceptados"),
 }
 #: Folded words for what is decided on.
 OBJECTS = {

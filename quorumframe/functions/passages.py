@@ -153,9 +153,9 @@ def explicit_result(c: Column | str) -> Column:
 
 def without_scan_noise(c: Column | str) -> Column:
     """A name as a scan should have read it: digits that look like letters are letters, signs inside words go, single letters join their word."""
-    spelled = F.translate(col(c), "0158|", "OISBI")
+    spelled = F.btrim(F.translate(col(c), "0158|", "OISBI"), F.lit(" .,;:-"))
     joined = F.regexp_replace(F.regexp_replace(spelled, r"(?<=\p{L})[._~^*]+(?=\p{L})", ""), r"(?<=\p{Lu}{2}) (?=\p{Lu}(?: |$))", "")
-    return F.btrim(F.regexp_replace(joined, r"\s+", " "), F.lit(" .,;:-"))
+    return F.regexp_replace(joined, r"\s+", " ")
 
 
 def citizen_entity(c: Column | str) -> Column:

@@ -1,4 +1,4 @@
 """Queries over the generated tables, each with the SQL that checks it."""
 
-from quorumframe.queries import asked, matching, quality, questions, relations, retrieval, texts, windows  # noqa: F401
+from quorumframe.queries import asked, matching, quality, questions, readings, relations, retrieval, texts, windows  # noqa: F401
 from quorumframe.registry import ORACLE_SQL, QUERIES  # noqa: F401
