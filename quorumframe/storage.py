@@ -42,8 +42,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """df in as many partitions as there are cores, where it has fewer, as a small file is a single one.
 
-    For work that is dear for each row. Tables of more partitions stay as they are, so at
-    scale nothing is shuffled.
+    For scans whose rows are dear to work on. Tables of more partitions stay as they are,
+    so at scale nothing is shuffled. df is to be a scan: the partitions of a plan with
+    shuffles are only known once these have run.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
