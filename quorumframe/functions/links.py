@@ -20,7 +20,7 @@ def page_rows(pages: DataFrame) -> DataFrame:
     bodies = F.regexp_extract_all("html", F.lit(r"(?is)<tr\b[^>]*>(.*?)(?=</tr>|<tr\b|</table>|\z)"), F.lit(1))
     rows = pages.select("page_id", F.posexplode(bodies).alias("place", "row"))
     cells = F.regexp_extract_all("row", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)(?=</t[dh]>|<t[dh]\b|\z)"), F.lit(1))
-    return rows.select("page_id", "place", F.transform(cells, lambda c: F.trim(F.regexp_replace(c, "<[^>]*>|\\s+", " "))).alias("cells"))
+    return rows.select("page_id", "place", F.transform(cells, lambda c: F.trim(F.regexp_replace(c, r"(?:<[^>]*>|\s)+", " "))).alias("cells"))
 
 
 _FIELD = r"""(?is)<(?:input|select|textarea)\b([^>]*)>"""
