@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quorumframe.llm.chat import formatted_turns, read_back, turn_records
 from quorumframe.llm.common import table
+from quorumframe.llm.copies import exact_duplicates
 from quorumframe.llm.decontaminate import contamination
 from quorumframe.llm.html import extract
 from quorumframe.llm.packing import pack
@@ -64,6 +65,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(formatted_turns(turn_records(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash": op2_simhash,
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_packing": op9_packing,
     "op10_chat": op10_chat,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -121,5 +127,9 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, body, head)) AS loss_sha256,
        CAST(sum(12 + length(head) + 1 + length(body) + 10 + 1) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
+""",
+    "op13_exact_dedup": """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """,
 }
