@@ -16,6 +16,7 @@ from quorumframe.llm.html import extract
 from quorumframe.llm.packing import pack
 from quorumframe.llm.pii import personal_data
 from quorumframe.llm.records import read_digests, write_records
+from quorumframe.llm.resampling import resampling
 from quorumframe.llm.search import top_k
 from quorumframe.llm.secrets import secrets
 from quorumframe.llm.simhash import near_duplicates
@@ -65,6 +66,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(formatted_turns(turn_records(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_packing": op9_packing,
     "op10_chat": op10_chat,
+    "op12_resampling": op12_resampling,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
@@ -127,6 +133,31 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, body, head)) AS loss_sha256,
        CAST(sum(12 + length(head) + 1 + length(body) + 10 + 1) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
+""",
+    "op12_resampling": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), dw AS (SELECT row, unnest(w) AS word FROM d), iw AS (SELECT unnest(w) AS word FROM i),
+tbl AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t
+), bytes AS (
+  SELECT word, list_transform(range(1, length(hex(word)), 2), lambda p: ('0x' || substr(hex(word), p, 2))::BIGINT) AS b FROM (SELECT word FROM dw UNION SELECT word FROM iw)
+), buckets AS (
+  SELECT word, (4294967295 - list_reduce(list_concat([4294967295::BIGINT], b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) % 10000 AS bucket FROM bytes, tbl
+), s AS (SELECT bucket, count(*) AS s FROM dw JOIN buckets USING (word) GROUP BY bucket
+), t AS (SELECT bucket, count(*) AS t FROM iw JOIN buckets USING (word) GROUP BY bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE / ((s + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)
+), weights AS (SELECT row, sum(gain) AS weight FROM dw JOIN buckets USING (word) JOIN gains USING (bucket) GROUP BY row
+), scored AS (
+  SELECT row, doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN weights USING (row)
+), placed AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (row)
 """,
     "op13_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
