@@ -15,6 +15,7 @@ from quorumframe.llm.decontaminate import contamination
 from quorumframe.llm.html import extract
 from quorumframe.llm.packing import pack
 from quorumframe.llm.pii import personal_data
+from quorumframe.llm.ranking import ranked_search
 from quorumframe.llm.records import read_digests, write_records
 from quorumframe.llm.resampling import resampling
 from quorumframe.llm.search import top_k
@@ -66,6 +67,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(formatted_turns(turn_records(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_packing": op9_packing,
     "op10_chat": op10_chat,
+    "op11_ranked_search": op11_ranked_search,
     "op12_resampling": op12_resampling,
     "op13_exact_dedup": op13_exact_dedup,
 }
@@ -133,6 +139,21 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, body, head)) AS loss_sha256,
        CAST(sum(12 + length(head) + 1 + length(body) + 10 + 1) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
+""",
+    "op11_ranked_search": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: translate(x, '{_UPPER}', '{_LOWER}')) AS w FROM documents
+), totals AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_words FROM d WHERE len(w) > 0
+), i AS (
+  SELECT DISTINCT item_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: translate(x, '{_UPPER}', '{_LOWER}'))) AS term FROM benchmark
+), tf AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY row, term
+), weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM tf, totals GROUP BY term, n_docs
+), sizes AS (SELECT row, doc_id, 10 + (90 * len(w)::BIGINT * n_docs) // n_words AS m FROM d, totals WHERE len(w) > 0
+), scored AS (
+  SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM i JOIN tf USING (term) JOIN weights USING (term) JOIN sizes USING (row) GROUP BY item_id, row, doc_id
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
 """,
     "op12_resampling": rf"""
 WITH d AS (
