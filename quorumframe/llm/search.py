@@ -7,8 +7,10 @@ probed with all values within r bits, everything up to that distance has been
 verified. A query's radius grows until its k-th verified distance is covered.
 
 Equal codes meet first, and of each only the k smallest ids can be needed. Spark
-deals distinct codes to tasks, which index them in bounded chunks; queries come in
-bounded blocks. A chunk gives at most k rows for a query, and their best are exact.
+deals distinct codes to tasks, which index them in bounded chunks, each of which answers
+a whole block of queries. A block is bounded by its bytes, and as a code has a few, it
+holds millions of queries; all codes are read and indexed once for each block. A chunk
+gives at most k rows for a query, and their best are exact.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorumframe.llm.common import materialise
+from quorumframe.llm.common import hot_join, materialise
 
 _WIDTH = 16
 #: Parts that a code which very many vectors share is dealt to first.
 _SALTS = 128
+#: Queries whose answers leave a task together.
+_ANSWERS = 10_000
 _FLIPS = [np.array([sum(1 << b for b in bits) for bits in combinations(range(_WIDTH), r)], np.uint16) for r in range(_WIDTH + 1)]
 
 
@@ -54,9 +58,9 @@ def binary_codes(vectors: DataFrame, bits: int) -> DataFrame:
     return rows.mapInArrow(_coding(bits), "vec_id long, code binary")
 
 
-def _words(codes: list[bytes]) -> np.ndarray:
-    """A row of 64-bit words for each code."""
-    return np.frombuffer(b"".join(codes), np.uint64).reshape(len(codes), -1)
+def _words(codes: bytes, bits: int) -> np.ndarray:
+    """A row of 64-bit words for each code of so many bits."""
+    return np.frombuffer(codes, np.uint64).reshape(-1, bits // 64)
 
 
 class MultiIndex:
@@ -98,24 +102,26 @@ class MultiIndex:
         return sorted((int(distances[i]), m) for i in near for m in self.members[found[i]])[:k]
 
 
-def _searching(block, k: int, chunk: int):
+def _searching(block, bits: int, k: int, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answer(codes, members):
-            index = MultiIndex(_words(codes), members)
-            tops = [index.top(q, k) for q in _words(block.value)]
-            flat = [(q, d, i) for q, top in zip(block.value, tops) for d, i in top]
-            columns = list(zip(*flat)) if flat else [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int64()))], ["code", "distance", "vec_id"])
+        asked = _words(block.value, bits)
+
+        def answers(codes, members):
+            index = MultiIndex(_words(b"".join(codes), bits), members)
+            for low in range(0, len(asked), _ANSWERS):
+                flat = [(q.tobytes(), d, i) for q in asked[low : low + _ANSWERS] for d, i in index.top(q, k)]
+                columns = list(zip(*flat)) if flat else [[]] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int64()))], ["code", "distance", "vec_id"])
 
         codes, members = [], []
         for batch in batches:
             codes += batch["code"].to_pylist()
             members += batch["members"].to_pylist()
             if len(codes) >= chunk:
-                yield answer(codes, members)
+                yield from answers(codes, members)
                 codes, members = [], []
         if codes:
-            yield answer(codes, members)
+            yield from answers(codes, members)
 
     return run
 
@@ -124,13 +130,14 @@ def _smallest(codes: DataFrame, k: int, *keys: str) -> DataFrame:
     return codes.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("vec_id"))).where(F.col("n") <= k).drop("n")
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, chunk_codes: int = 500_000, block_queries: int = 20_000) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, chunk_codes: int = 500_000, block_bytes: int = 32 << 20) -> DataFrame:
     """The k vectors nearest to each query by the Hamming distance of their codes.
 
     Rows: query_id, rank (from 1), vec_id, distance; ties go by vec_id. The vector
     itself is among its neighbours. With fewer than k vectors all are returned.
     Rows without an id or vector take no part; repeated ids are separate vectors.
     Codes are as wide as the longest vector; what a shorter one lacks is not positive.
+    block_bytes bounds the codes of queries that are sent to all tasks at once.
     """
     spark = vectors.sparkSession
     bits = code_bits(vectors, queries)
@@ -138,13 +145,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, chunk_codes: i
     few = _smallest(_smallest(codes.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(_SALTS))), k, "code", "salt"), k, "code")
     index = materialise(few.groupBy("code").agg(F.sort_array(F.collect_list("vec_id")).alias("members")), "index")
     asked = materialise(binary_codes(queries, bits).withColumnRenamed("vec_id", "query_id"), "queries")
-    wanted = materialise(asked.select("code").distinct(), "wanted")
-    blocks = max(1, -(-wanted.count() // block_queries))
-    parts = None
+    wanted = materialise(asked.groupBy("code").agg(F.count("*").alias("n")), "wanted")
+    blocks = max(1, -(-wanted.count() * (bits // 8) // block_bytes))
+    parts = spark.createDataFrame([], "code binary, distance int, vec_id long")
     for b in range(blocks):
-        rows = wanted.where(F.pmod(F.xxhash64("code"), F.lit(blocks)) == b).collect()  # about block_queries of the stated queries
-        block = spark.sparkContext.broadcast([bytes(r["code"]) for r in rows])
-        found = index.mapInArrow(_searching(block, k, chunk_codes), "code binary, distance int, vec_id long")
-        parts = found if parts is None else parts.unionByName(found)
+        rows = wanted.where(F.pmod(F.xxhash64("code"), F.lit(blocks)) == b).select("code").collect()  # about block_bytes of the stated queries
+        if rows:  # hashes may leave a block empty
+            block = spark.sparkContext.broadcast(b"".join(bytes(r["code"]) for r in rows))
+            parts = parts.unionByName(index.mapInArrow(_searching(block, bits, k, chunk_codes), "code binary, distance int, vec_id long"))
     best = parts.withColumn("rank", F.row_number().over(Window.partitionBy("code").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
-    return asked.join(best, "code").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "distance")
+    tops = best.groupBy("code").agg(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "vec_id", "distance")).alias("tops"))
+    found = hot_join(asked, materialise(tops.join(wanted, "code"), "tops"), "code", "n")
+    return found.select("query_id", F.explode("tops").alias("top")).select("query_id", "top.*")
