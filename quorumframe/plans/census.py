@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quorumframe.functions.submitters import surname_variants
 from quorumframe.functions.text import col, folded
 from quorumframe.operators.joins import named_at
+from quorumframe.operators.similar import fused
 
 
 def person_key(c: Column | str) -> Column:
@@ -21,25 +22,9 @@ def best_name(name: Column | str) -> Column:
     return F.struct((F.size(F.split(name, r"\s+")) <= 12).alias("short"), F.length(person_key(name)).alias("long"), (name != F.upper(name)).alias("cased"), name.alias("name"))
 
 
-def fused_keys(names: DataFrame, *, near: int = 2, least: int = 10) -> DataFrame:
-    """key and person: spellings that differ in few letters are the one seen most often.
-
-    names has key and n. Keys meet only within a block, of those that share their first
-    or their last letters, so not all are compared; short keys stay as they are. A
-    spelling goes to the most frequent one near it, and that to its own, so chains end at
-    one that is more frequent than all near it.
-    """
-    sized = names.where(F.col("key") != "").groupBy("key").agg(F.sum("n").alias("n"))
-    blocks = F.array_distinct(F.array(F.concat(F.lit("a"), F.substring("key", 1, 5)), F.concat(F.lit("z"), F.right("key", F.lit(5)))))
-    each = sized.where(F.length("key") >= least).select("key", "n", F.explode(blocks).alias("block"))
-    other = each.select(F.col("key").alias("other"), F.col("n").alias("m"), "block")
-    like = (F.abs(F.length("key") - F.length("other")) <= near) & (F.levenshtein("key", "other", near) >= 0)
-    best = each.join(other, "block").where(like).groupBy("key").agg(F.max_by("other", F.struct("m", "other")).alias("person"))
-    once = sized.join(best, "key", "left").select("key", F.coalesce("person", "key").alias("person"))
-    again = once.select(F.col("key").alias("_key"), F.col("person").alias("_next"))
-    for _ in range(2):
-        once = once.join(again, F.col("person") == F.col("_key"), "left").select("key", F.coalesce("_next", "person").alias("person"))
-    return once
+def fused_keys(names: DataFrame, *, near: int = 2) -> DataFrame:
+    """key and person: spellings that lead to one another by at most near letters a step are one, named by the one seen most often; see similar.fused."""
+    return fused(names, edits=near)
 
 
 def census(seen: DataFrame, *, near: int = 2) -> DataFrame:
