@@ -18,8 +18,8 @@ from quorumframe.functions.text import folded
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, values: Sequence[str]) -> DataFrame:
     """left with the values of the last row of right whose at is not after its own; null if none is.
 
-    Of rows of right at one place the one with the largest values counts. Without
-    keys all rows form one order; give a key at scale.
+    Of rows of right at one place the one with the largest values counts. Rows of a key
+    meet in one task; ordered.asof is for keys that are too large for that, or none.
     """
     columns = left.columns
     one = left.select(*keys, at, F.struct(*columns).alias("_row"), F.lit(None).cast(_struct(right, values)).alias("_value"), F.lit(1).alias("_side"))
@@ -33,13 +33,26 @@ def _struct(df: DataFrame, values: Sequence[str]):
     return df.select(F.struct(*values).alias("v")).schema["v"].dataType
 
 
+def holds(at: Column | str, start: Column | str, end: Column | str, *, closed: bool = True) -> Column:
+    """Whether an interval, closed or open at its end, holds a date; a null start or end is open. Null for a null date."""
+    at, start, end = (F.col(c) if isinstance(c, str) else c for c in (at, start, end))
+    return (start.isNull() | (start <= at)) & (end.isNull() | ((at <= end) if closed else (at < end))) & at.isNotNull()
+
+
 def interval_join(left: DataFrame, right: DataFrame, at: str, start: str, end: str, *, bucket_days: int = 365, closed: bool = True, on: Column | None = None, how: str = "inner") -> DataFrame:
-    """Rows of left with the intervals of right that hold their date; closed, or open at the end."""
-    bucket = lambda c: F.floor(F.unix_date(F.col(c)) / F.lit(bucket_days))
-    cut = right.where(F.col(start) <= F.col(end)).withColumn("_bucket", F.explode(F.sequence(bucket(start), bucket(end))))
-    held = (F.col(start) <= F.col(at)) & ((F.col(at) <= F.col(end)) if closed else (F.col(at) < F.col(end)))
-    met = bucket(at) == F.col("_bucket")
-    return left.join(cut, met & held & on if on is not None else met & held, how).drop("_bucket")
+    """Rows of left with the intervals of right that hold their date; closed, or open at the end.
+
+    A null start or end is open, and intervals that end before they start hold nothing.
+    Intervals are cut into buckets from the first to the last date that left asks for, so
+    an open or very long one has no more of them than others.
+    """
+    bucket = lambda c: F.floor(F.unix_date(c) / F.lit(bucket_days))
+    asked = left.agg(F.min(at).alias("_from"), F.max(at).alias("_to"))  # one row
+    ends = [F.greatest(F.coalesce(start, "_from"), F.col("_from")), F.least(F.coalesce(end, "_to"), F.col("_to"))]
+    meant = F.coalesce(F.col(start) <= F.col(end), F.lit(True)) & (ends[0] <= ends[1])
+    cut = right.join(F.broadcast(asked)).where(meant).withColumn("_bucket", F.explode(F.sequence(bucket(ends[0]), bucket(ends[1])))).drop("_from", "_to")
+    met = (bucket(F.col(at)) == F.col("_bucket")) & holds(at, start, end, closed=closed)
+    return left.join(cut, met & on if on is not None else met, how).drop("_bucket")
 
 
 def nearest_before_after(dates: DataFrame, wanted: DataFrame, at: str, other: str) -> DataFrame:
@@ -62,10 +75,11 @@ def active_counts(dates: DataFrame, intervals: DataFrame, at: str, start: str, e
     """Each distinct date of dates with n, how many closed intervals hold it; n is never zero, other dates go.
 
     Intervals that began by a date less those that ended before it: both are counted by
-    day first, so no pair of a date and an interval is ever made.
+    day first, so no pair of a date and an interval is ever made. A null start or end is open.
     """
-    begun = intervals.where(F.col(start) <= F.col(end)).groupBy(F.col(start).alias("_d")).agg(F.count("*").alias("_n"))
-    ended = intervals.where(F.col(start) <= F.col(end)).groupBy(F.date_add(end, 1).alias("_d")).agg((-F.count("*")).alias("_n"))
+    meant = intervals.where(F.coalesce(F.col(start) <= F.col(end), F.lit(True)))
+    begun = meant.groupBy(F.coalesce(start, F.to_date(F.lit("0001-01-01"))).alias("_d")).agg(F.count("*").alias("_n"))
+    ended = meant.where(F.col(end).isNotNull()).groupBy(F.date_add(end, 1).alias("_d")).agg((-F.count("*")).alias("_n"))
     asked = dates.select(F.col(at).alias("_d"), F.lit(0).cast("long").alias("_n")).where("_d is not null").distinct().withColumn("_asked", F.lit(True))
     steps = begun.unionByName(ended).withColumn("_asked", F.lit(False)).unionByName(asked)
     by_day = Window.orderBy("_d").rangeBetween(Window.unboundedPreceding, 0)  # three rows a day of the calendar at most
@@ -78,12 +92,13 @@ def named_at(asked: DataFrame, people: DataFrame, name: str, at: str, person: st
     People of that name who are active then come before those who are not; where nobody
     is active all of that name are meant. With hint, a column of both tables, people
     whose hint agrees come before the others within that choice, and where none agrees
-    or the hint is null it says nothing. Names that nobody has go.
+    or the hint is null it says nothing. Names that nobody has go. Who has no end is
+    still active, who has no start always was.
     """
     keys = [name, at, *([hint] if hint else [])]
     own = people.select(F.col(name), F.col(person).alias("_person"), F.col(start).alias("_start"), F.col(end).alias("_end"), *([F.col(hint).alias("_hint")] if hint else []))
     met = asked.select(*keys).distinct().join(own, name)
-    level = F.col(at).between(F.col("_start"), F.col("_end")).cast("int") * 2
+    level = holds(at, "_start", "_end").cast("int") * 2
     level = F.coalesce(level, F.lit(0)) + (F.coalesce((F.col(hint) == F.col("_hint")).cast("int"), F.lit(0)) if hint else F.lit(0))
     # for each level how many different people reach it, and one of them
     by_level = met.groupBy(*keys, level.alias("_level")).agg(F.count_distinct("_person").alias("_n"), F.min("_person").alias("_one"))

@@ -1,6 +1,7 @@
 """Matching of texts, labels, keys and counts between tables, without comparing all with all.
 
-Labels meet texts over equal runs of words.
+Labels meet texts in an automaton, rows meet over equal keys whose facts are added up
+before they meet.
 """
 
 from __future__ import annotations
@@ -13,34 +14,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorumframe.functions.text import folded, stem
+from quorumframe.functions.text import stem
+from quorumframe.operators.automaton import folded_words, labels_in
+from quorumframe.operators.ordered import over_order
+from quorumframe.storage import materialise
 
 
-def _folded_words(c: Column | str) -> Column:
-    return F.regexp_extract_all(folded(c), F.lit("[a-z0-9]+"), F.lit(0))
-
-
-def contained_labels(texts: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str, *, most_heads: int = 200) -> DataFrame:
-    """key, label_key, label of each label whose words stand in the text in order, as whole words.
-
-    Texts are cut into runs of as many words as labels have, and equal runs meet, so
-    only short runs travel. Runs that no label begins with the word of are dropped before
-    they leave their text; the first words of labels say which, as long as there
-    are at most most_heads of them; more only let more runs through. The sizes of labels go to the driver, a number each.
-    """
-    wanted = labels.select(label_key, F.array_join(_folded_words(label), " ").alias("label"), F.size(_folded_words(label)).alias("_size")).where("label <> ''")
-    sizes = sorted(r[0] for r in wanted.select("_size").distinct().collect())
-    if not sizes:
-        return texts.select(key, F.lit(None).cast(labels.schema[label_key].dataType).alias(label_key), F.lit("").alias("label")).limit(0)
-    heads = wanted.select(F.substring_index("label", " ", 1).alias("h")).distinct().limit(most_heads + 1).agg(F.collect_set("h").alias("_heads"))  # one row
-    said = texts.select(key, _folded_words(text).alias("_words")).join(F.broadcast(heads))
-    held = F.array_distinct(F.flatten(F.array(*(_begun(_runs("_words", n), most_heads) for n in sizes))))
-    return said.select(key, F.explode(held).alias("label")).join(wanted.drop("_size"), "label").select(key, label_key, "label")
-
-
-def _begun(runs: Column, most: int) -> Column:
-    """Runs whose first word is one of _heads, or all if there are too many of those."""
-    return F.when(F.size("_heads") > most, runs).otherwise(F.filter(runs, lambda r: F.array_contains("_heads", F.substring_index(r, " ", 1))))
+def contained_labels(texts: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str) -> DataFrame:
+    """key, label_key, label of each label whose words stand in the text in order, as whole words; see automaton.labels_in. Keys of texts are unique."""
+    return labels_in(texts, key, text, labels, label_key, label)
 
 
 def places_in(texts: DataFrame, key: str, text: str, places: DataFrame, *, capitals: Sequence[str] = ()) -> DataFrame:
@@ -57,18 +39,10 @@ def places_in(texts: DataFrame, key: str, text: str, places: DataFrame, *, capit
     return held.select(key, "place_id").distinct()
 
 
-def _runs(words: str, size: int) -> Column:
-    """All runs of so many consecutive words, each joined by spaces; made from shifted arrays, so in linear time."""
-    runs = F.col(words)
-    for n in range(2, size + 1):
-        runs = F.array_compact(F.zip_with(runs, F.slice(words, F.lit(n), F.lit(1 << 30)), lambda a, b: F.concat(a, F.lit(" "), b)))
-    return runs
-
-
 def best_label(texts: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str, *, least: int = 5) -> DataFrame:
     """The label equal to the text, else the longest of at least so many letters that it holds; of equal ones the smallest key."""
     held = contained_labels(texts, key, text, labels, label_key, label)
-    whole = texts.select(key, F.array_join(_folded_words(text), " ").alias("_whole"))
+    whole = texts.select(key, F.array_join(folded_words(text), " ").alias("_whole"))
     judged = held.join(whole, key).where((F.col("label") == F.col("_whole")) | (F.length("label") >= least))
     return judged.groupBy(key).agg(F.max_by(F.struct(label_key, "label"), F.struct(F.length("label"), -F.col(label_key))).alias("_best")).select(key, f"_best.{label_key}", "_best.label")
 
@@ -78,7 +52,7 @@ def subject_hits(fields: DataFrame, alternatives: Sequence[Sequence[str]]) -> Da
 
     fields has point_id, text and is_about. No alternatives give no rows.
     """
-    said = F.transform(_folded_words("text"), stem)
+    said = F.transform(folded_words("text"), stem)
     wanted = [F.forall(F.array(*map(F.lit, words)), lambda w: F.array_contains(F.col("_stems"), w)) for words in alternatives if words]
     if not wanted:
         return fields.select("point_id", F.lit("").alias("relation")).limit(0)
@@ -90,17 +64,27 @@ def subject_hits(fields: DataFrame, alternatives: Sequence[Sequence[str]]) -> Da
 
 
 def contained_in_range(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str, first: str, last: str, target: str) -> DataFrame:
-    """points with the target of the range of their keys that holds at; of several the one that starts last; null if two do."""
-    met = points.join(ranges.select(*keys, first, last, target), list(keys)).where(F.col(at).between(F.col(first), F.col(last)))
-    latest = met.withColumn("_start", F.max(first).over(Window.partitionBy(*(points.columns)))).where(F.col(first) == F.col("_start"))
-    one = latest.groupBy(*points.columns).agg(F.count_distinct(target).alias("_n"), F.min(target).alias(target))
-    return one.withColumn(target, F.when(F.col("_n") == 1, F.col(target))).drop("_n")
+    """points with the target of the range of their keys that holds at; of several the one that starts last; null if two do.
+
+    Places are whole numbers, such as pages. What each place of a range means is settled
+    before points are met, so a point meets one row, however many ranges hold it. Points
+    that no range holds go; points that are alike are one.
+    """
+    each = ranges.where(F.col(first) <= F.col(last)).select(*keys, F.col(first).alias("_first"), F.col(target).alias("_target"), F.explode(F.sequence(first, last)).alias(at))
+    by_start = each.groupBy(*keys, at, "_first").agg(F.min("_target").alias("_one"), F.max("_target").alias("_other"))
+    latest = by_start.groupBy(*keys, at).agg(F.max_by(F.struct("_one", "_other"), "_first").alias("_best"))
+    met = points.distinct().join(latest, [*keys, at])
+    return met.select(*points.columns, F.when(F.col("_best._one") == F.col("_best._other"), F.col("_best._one")).alias(target))
 
 
 def matching_counts(lists: DataFrame, tallies: DataFrame, key: str, counts: Sequence[str], list_id: str, tally_id: str) -> DataFrame:
-    """list_id and tally_id that agree in all counts within their key, where exactly one tally does."""
-    met = lists.join(tallies, [key, *counts])
-    return met.groupBy(key, list_id).agg(F.count_distinct(tally_id).alias("_n"), F.min(tally_id).alias(tally_id)).where("_n = 1").drop("_n")
+    """list_id and tally_id that agree in all counts within their key, where exactly one tally does.
+
+    Tallies of the same counts are one row before lists meet them.
+    """
+    alike = tallies.groupBy(key, *counts).agg(F.min(tally_id).alias("_one"), F.max(tally_id).alias("_other"))
+    met = lists.join(alike, [key, *counts]).groupBy(key, list_id).agg(F.min("_one").alias("_one"), F.max("_other").alias("_other"))
+    return met.where(F.col("_one") == F.col("_other")).select(key, list_id, F.col("_one").alias(tally_id))
 
 
 def unified_keys(keys: DataFrame, key: str, *, least: int = 5, common: Sequence[str] = ()) -> DataFrame:
@@ -119,11 +103,17 @@ def redirected(df: DataFrame, column: str, aliases: DataFrame, old: str, new: st
 
 
 def interrupted(numbers: DataFrame, partition: Sequence[str], at: str, number: str, known: DataFrame) -> DataFrame:
-    """Rows between whose number and the next a known number of the same partition is missing."""
-    following = F.lead(number).over(Window.partitionBy(*partition).orderBy(at))
-    spans = numbers.withColumn("_next", following).where(F.col("_next") > F.col(number) + 1)
-    between = spans.join(known.select(*partition, F.col(number).alias("_known")), list(partition)).where((F.col("_known") > F.col(number)) & (F.col("_known") < F.col("_next")))
-    return between.select(*partition, at, number, F.col("_next").alias("next")).distinct()
+    """Rows between whose number and the next (by at) a known number of the same partition is missing.
+
+    Rows and known numbers are one order from the largest down, in which the last known
+    number before a row is the next above it; no row meets more than that one.
+    """
+    following = over_order(numbers.select(*partition, at, number), partition, [F.col(at).desc()], previous={"next": F.col(number)})
+    spans = following.where(F.col("next") > F.col(number) + 1).withColumn("_known", F.lit(None).cast(known.schema[number].dataType))
+    there = known.select(*partition, number, F.col(number).alias("_known"))
+    both = spans.withColumn("_side", F.lit(0)).unionByName(there.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    met = over_order(both, partition, [F.col(number).desc(), "_side"], last={"_above": F.col("_known")})
+    return met.where((F.col("_side") == 0) & (F.col("_above") < F.col("next"))).select(*partition, at, number, "next").distinct()
 
 
 def rescued(df: DataFrame, scores: Sequence[str], most: int, key: str) -> DataFrame:
@@ -183,15 +173,18 @@ def sharing_words(rows: DataFrame, key: str, bank: DataFrame, bank_key: str, *,
     return parts.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), "bank_id"))).where(F.col("_rank") <= k).drop("_rank")
 
 
-def matched_once(pairs: DataFrame, group: str, left: str, right: str, score: str, *, least: float = 0.34) -> DataFrame:
+def matched_once(pairs: DataFrame, group: str, left: str, right: str, score: str, *, least: float = 0.34, most_pairs: int = 100_000) -> DataFrame:
     """Pairs of a group, best first, such that each left and each right is used once; equal scores go by left, then right.
 
-    What is used depends on what was taken before, so a group is one task's; a group is
-    the sources and blocks of one answer.
+    A group of at most most_pairs pairs is settled in one task. In a larger one, pairs
+    that are the best of their left and of their right are taken, as whoever goes through
+    all pairs from the best on has to take them as well, and pairs of what they use go;
+    rounds of this leave the same matching, until what is left fits a task.
     """
+    columns = [group, left, right, score]
 
     def take(own: pa.Table) -> pa.Table:
-        lefts, rights, scores = (own[c].to_pylist() for c in (left, right, score))
+        lefts, rights, scores = (own[c].to_pylist() for c in columns[1:])
         used_left, used_right, kept = set(), set(), []
         for at in sorted(range(len(scores)), key=lambda k: (-scores[k], lefts[k], rights[k])):
             if lefts[at] not in used_left and rights[at] not in used_right:
@@ -200,5 +193,22 @@ def matched_once(pairs: DataFrame, group: str, left: str, right: str, score: str
                 kept.append(at)
         return own.take(kept)
 
-    own = pairs.where(F.col(score) >= least).select(group, left, right, score)
-    return own.groupBy(group).applyInArrow(take, own.schema)
+    own = pairs.where(F.col(score) >= least).select(*columns)
+    settled = own.limit(0)
+    sized = own.groupBy(group).count()
+    if not sized.where(F.col("count") > most_pairs).isEmpty():
+        own, rounds = materialise(own.withColumn("_key", F.struct(group)), "pairs"), []
+        order = F.struct((-F.col(score)).alias("s"), F.col(left).alias("l"), F.col(right).alias("r"))
+        while True:
+            large = own.groupBy("_key").count().where(F.col("count") > most_pairs).select("_key")
+            if large.isEmpty():
+                break
+            open_ = own.join(F.broadcast(large), "_key")  # fewer groups than pairs by most_pairs
+            best = [open_.groupBy("_key", side).agg(F.min(order).alias("_best")).select("_key", F.col("_best.l").alias(left), F.col("_best.r").alias(right)) for side in (left, right)]
+            taken = materialise(open_.join(best[0], ["_key", left, right], "left_semi").join(best[1], ["_key", left, right], "left_semi"), "taken")
+            rounds.append(taken)
+            own = materialise(own.join(taken.select("_key", left), ["_key", left], "left_anti").join(taken.select("_key", right), ["_key", right], "left_anti"), "pairs")
+        own = own.select(*columns)
+        for taken in rounds:
+            settled = settled.unionByName(taken.select(*columns))
+    return settled.unionByName(own.groupBy(group).applyInArrow(take, own.schema))

@@ -22,30 +22,38 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.when(norm > 0, dot(a, b) / norm)
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of the rows that have one of the common length, and where they stand."""
-    rows = [np.asarray(v, np.float64) if v is not None else np.zeros(0) for v in column.to_pylist()]
-    width = max((len(r) for r in rows), default=0)
-    at = np.array([k for k, r in enumerate(rows) if len(r) == width and width and np.linalg.norm(r) > 0], np.int64)
-    data = np.array([rows[k] / np.linalg.norm(rows[k]) for k in at]).reshape(len(at), width)
-    return data, at
+def _matrices(column: pa.Array | list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length, the unit vectors of the rows that have it, and where they stand; null, empty and zero vectors are left out."""
+    rows: dict[int, list[int]] = {}
+    vectors = column.to_pylist() if isinstance(column, pa.Array) else column
+    for k, v in enumerate(vectors):
+        if v:
+            rows.setdefault(len(v), []).append(k)
+    out = {}
+    for width, own in rows.items():
+        data = np.array([vectors[k] for k in own], np.float64)
+        norms = np.linalg.norm(data, axis=1)
+        if (norms > 0).any():
+            out[width] = data[norms > 0] / norms[norms > 0, None], np.array(own, np.int64)[norms > 0]
+    return out
 
 
 def _scanning(block, k: int, at_most: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries = block.value
+        ids, asked = block.value
         kept: list[list[tuple[float, int]]] = [[] for _ in ids]
         for batch in batches:
-            data, at = _matrix(batch["embedding"])
-            if not len(at) or data.shape[1] != queries.shape[1]:  # no query has this length
-                continue
-            own = batch["vec_id"].to_numpy(zero_copy_only=False)[at]
-            distances = 1.0 - queries @ data.T
-            for q in range(len(ids)):
-                near = np.lexsort((own, distances[q]))[:k]
-                if at_most is not None:
-                    near = near[distances[q][near] < at_most]
-                kept[q] = sorted([*kept[q], *zip(distances[q][near].tolist(), own[near].tolist())])[:k]
+            every = batch["vec_id"].to_numpy(zero_copy_only=False)
+            for width, (data, at) in _matrices(batch["embedding"]).items():
+                if width not in asked:  # no query has this length
+                    continue
+                queries, numbers = asked[width]
+                own, distances = every[at], 1.0 - queries @ data.T
+                for q, row in zip(numbers.tolist(), distances):
+                    near = np.lexsort((own, row))[:k]
+                    if at_most is not None:
+                        near = near[row[near] < at_most]
+                    kept[q] = sorted([*kept[q], *zip(row[near].tolist(), own[near].tolist())])[:k]
         rows = [(int(i), int(v), d) for i, top in zip(ids, kept) for d, v in top]
         columns = list(zip(*rows)) if rows else [[]] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "distance"])
@@ -57,13 +65,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int, at_most: float |
     """query_id, vec_id, distance (one minus cosine) and rank of the k nearest to each query; ties go by vec_id.
 
     Both have vec_id and embedding. With at_most only rows below this distance count.
+    A query meets the vectors that are as long as it is; null, empty and zero vectors are
+    near nothing.
     """
     spark, parts = vectors.sparkSession, None
     blocks = max(1, -(-queries.count() // block_queries))
     for b in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select("vec_id", "embedding").orderBy("vec_id").collect()  # one block
-        data, at = _matrix(pa.array([r["embedding"] for r in rows], pa.list_(pa.float64())))
-        block = spark.sparkContext.broadcast(([rows[k]["vec_id"] for k in at], data))
+        block = spark.sparkContext.broadcast(([r["vec_id"] for r in rows], _matrices([r["embedding"] for r in rows])))
         found = vectors.select("vec_id", "embedding").mapInArrow(_scanning(block, k, at_most), "query_id long, vec_id long, distance double")
         parts = found if parts is None else parts.unionByName(found)
     best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
@@ -74,22 +83,25 @@ def _assigning(block, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, prototypes = block.value
         for batch in batches:
-            data, at = _matrix(batch["embedding"])
-            scores = data @ prototypes.T if len(at) and len(names) else np.zeros((len(at), 0))
             labels, values = [None] * batch.num_rows, [None] * batch.num_rows
-            for row, own in zip(at.tolist(), scores):
-                if len(own) and own.max() >= least:
-                    labels[row], values[row] = names[int(own.argmax())], float(own.max())
+            for width, (data, at) in _matrices(batch["embedding"]).items():
+                if width not in prototypes:
+                    continue
+                own, numbers = prototypes[width]
+                scores = data @ own.T
+                best = scores.argmax(axis=1)
+                for row, k, score in zip(at.tolist(), best.tolist(), scores[np.arange(len(at)), best].tolist()):
+                    if score >= least:
+                        labels[row], values[row] = names[numbers[k]], score
             yield pa.RecordBatch.from_arrays([batch["vec_id"], pa.array(labels, pa.string()), pa.array(values, pa.float64())], ["vec_id", "prototype", "score"])
 
     return run
 
 
 def assign_prototypes(vectors: DataFrame, prototypes: DataFrame, *, least: float = 0.55, most_prototypes: int = 10_000) -> DataFrame:
-    """vec_id with the name of its most similar prototype (name, embedding) and the score; null below least."""
+    """vec_id with the name of its most similar prototype (name, embedding) and the score; null below least, or where no prototype is as long."""
     rows = prototypes.select("name", "embedding").orderBy("name").limit(most_prototypes + 1).collect()
     if len(rows) > most_prototypes:
         raise ValueError(f"more than {most_prototypes} prototypes")
-    data, at = _matrix(pa.array([r["embedding"] for r in rows], pa.list_(pa.float64())))
-    block = vectors.sparkSession.sparkContext.broadcast(([str(rows[k]["name"]) for k in at], data))
+    block = vectors.sparkSession.sparkContext.broadcast(([str(r["name"]) for r in rows], _matrices([r["embedding"] for r in rows])))
     return vectors.select("vec_id", "embedding").mapInArrow(_assigning(block, least), "vec_id long, prototype string, score double")

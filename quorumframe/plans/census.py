@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quorumframe.functions.submitters import surname_variants
 from quorumframe.functions.text import col, folded
-from quorumframe.operators.joins import named_at
+from quorumframe.operators.joins import holds, named_at
 from quorumframe.operators.similar import fused
 
 
@@ -56,7 +56,7 @@ def groups_named(asked: DataFrame, people: DataFrame) -> DataFrame:
     """asked (surname, date) with the one group of all who may be meant; dates count only where several groups are left."""
     own = surname_index(people).where("group is not null")
     met = asked.select(F.upper(folded("surname")).alias("surname"), "date").distinct().join(own, "surname")
-    active = F.col("date").between(F.col("first"), F.col("last"))
+    active = holds("date", "first", "last")
     one = met.groupBy("surname", "date").agg(F.count_distinct("group").alias("_all"), F.min("group").alias("_any"), F.count_distinct(F.when(active, F.col("group"))).alias("_n"), F.min(F.when(active, F.col("group"))).alias("_one"))
     return one.select("surname", "date", F.when(F.col("_all") == 1, F.col("_any")).when(F.col("_n") == 1, F.col("_one")).alias("group"))
 
