@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -116,6 +117,23 @@ def literal_pattern(phrase: str) -> str:
     return r"(?:^|[^\pL\pN_])" + r"\s+".join(spelled) + ending + r"(?:$|[^\pL\pN_])"
 
 
+def literal_variants(phrase: str) -> list[list[str]]:
+    """For each word of a phrase the words that literal_pattern takes for it; a phrase is of words only."""
+    keep = str.maketrans({m: p for m, p in zip(MARKED, PLAIN) if m not in "ñÑ"})
+    words_ = phrase.lower().translate(keep).split()
+    if not words_ or not all(re.fullmatch(r"\w+", w) for w in words_):
+        raise ValueError(f"a phrase of words was asked for, not {phrase!r}")
+    last = words_[-1]
+    if last.endswith("es") and len(last) > 5:
+        ended = [last[:-2] + e for e in ("", "e", "es")]
+    elif last.endswith("s") and len(last) > 4:
+        ended = [last[:-1], last]
+    else:
+        ended = [last + e for e in ("", "s", "es")]
+    lost = lambda w: ["".join(x) for x in product(*(("ñ", "n") if c == "ñ" else (c,) for c in w))]
+    return [[v for f in forms for v in lost(f)] for forms in [*([w] for w in words_[:-1]), ended]]
+
+
 def short_id(*parts: Column | str, method: str = "md5") -> Column:
     """The first 16 hex digits of the digest of the parts; md5 joins them with two bars, sha1 with one."""
     joined = F.concat_ws("||" if method == "md5" else "|", *(col(p).cast("string") for p in parts))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumframe.functions.text import folded, literal_pattern, searchable
+from quorumframe.operators.postings import PostingsIndex
 from quorumframe.operators.windows import char_budget, even_sample, filter_unless_few, first_seen, newest
 from quorumframe.storage import materialise
 
@@ -20,15 +21,20 @@ CAPS = {"semantic": 22, "thematic": 22, "keyword": 24, "proposals": None}
 FILLER_SCORE, FLOOR = 0.02, 0.01
 
 
-def keyword_channel(fragments: DataFrame, phrases: list[str], *, rarest: int = 3, cap: int = 3000, per_phrase: int = 40) -> DataFrame:
+def keyword_channel(fragments: DataFrame, phrases: list[str], *, index: PostingsIndex | None = None, rarest: int = 3, cap: int = 3000, per_phrase: int = 40) -> DataFrame:
     """frag_id, rank: fragments that hold the rarest phrases, taken from their lists in turns.
 
-    Texts are read once: which phrases a fragment holds is written down, and counted and
-    ranked from there. Counts above cap are equal.
+    With an index of the fragments only its rows of the phrases' words are read. Without
+    one, texts are read once: which phrases a fragment holds is written down, and
+    counted and ranked from there. Counts above cap are equal.
     """
-    text = searchable("text")
-    found = F.array_compact(F.array(*(F.when(text.rlike(literal_pattern(p)), F.lit(k)) for k, p in enumerate(phrases))) if phrases else F.array().cast("array<int>"))
-    hits = materialise(fragments.select("frag_id", "date", F.explode(found).alias("phrase")), "hits")
+    if index is not None:
+        held = index.phrases(phrases).withColumnRenamed("doc", "frag_id")
+        hits = materialise(fragments.select("frag_id", "date").join(held, "frag_id"), "hits")
+    else:
+        text = searchable("text")
+        found = F.array_compact(F.array(*(F.when(text.rlike(literal_pattern(p)), F.lit(k)) for k, p in enumerate(phrases))) if phrases else F.array().cast("array<int>"))
+        hits = materialise(fragments.select("frag_id", "date", F.explode(found).alias("phrase")), "hits")
     counts = {r["phrase"]: r["n"] for r in hits.groupBy("phrase").agg(F.count("*").alias("n")).collect()}  # a row a phrase
     chosen = sorted(counts, key=lambda k: (min(counts[k], cap), -len(phrases[k]), phrases[k].lower()))[:rarest]
     listed = hits.where(F.col("phrase").isin(*chosen)).withColumn("list", F.array_position(F.array(*map(F.lit, chosen)), F.col("phrase"))) if chosen else hits.withColumn("list", F.lit(0).cast("long")).limit(0)

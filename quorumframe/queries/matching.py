@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quorumframe.functions import text as T
 from quorumframe.operators import matching
+from quorumframe.operators.automaton import folded_words, labels_in
 from quorumframe.registry import query, read
 from quorumframe.storage import spread
 
-_SAID = f"' ' || array_to_string(regexp_extract_all(lower(translate(text, '{T.MARKED}', '{T.PLAIN}')), '[a-z0-9]+'), ' ') || ' '"
+_FOLDED = "lower(translate(text, 'áàâäãåçéèêëíìîïñóòôöõúùûüýÿÁÀÂÄÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝŸ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUYY'))"
+_SAID = f"' ' || array_to_string(regexp_extract_all({_FOLDED}, '[a-z0-9]+'), ' ') || ' '"
 _PLACES = ((1, "apache license"), (2, "Versión"), (3, "general public license"), (4, "the"), (5, "públic"), (6, "public license version"))
-_VALUES = ", ".join(f"({k}, '{' '.join(x.lower().translate(str.maketrans(T.MARKED, T.PLAIN)).split())}')" for k, x in _PLACES)
+_VALUES = "(1, 'apache license'), (2, 'version'), (3, 'general public license'), (4, 'the'), (5, 'public'), (6, 'public license version')"
 
 
 def _texts(spark, folder):
@@ -24,6 +25,21 @@ def gazetteer_hits(spark, folder):
     return matching.contained_labels(texts, "doc_id", "text", places, "place_id", "name")
 
 
+@query(
+    "labels_from_texts",
+    f"""WITH w AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '[a-z0-9]+') AS w FROM documents), t AS (SELECT doc_id, ' ' || array_to_string(w, ' ') || ' ' AS said FROM w),
+l AS (SELECT DISTINCT unnest([array_to_string(w[1:3], ' '), array_to_string(w[-4:], ' '), array_to_string(w[5:6], ' ')]) AS label FROM w)
+SELECT label, count(*) AS n, min(doc_id) AS first FROM l JOIN t ON label <> '' AND contains(said, ' ' || label || ' ') GROUP BY 1""",
+)
+def labels_from_texts(spark, folder):
+    """Three labels from each document, looked for in all: labels grow with the texts."""
+    docs = spread(read(spark, folder, "documents").select("doc_id", "text"))
+    words = folded_words("text")
+    own = F.array(F.slice(words, 1, 3), F.slice(words, F.greatest(F.size(words) - 3, F.lit(1)), F.lit(4)), F.slice(words, 5, 2))
+    labels = docs.select(F.explode(F.transform(own, lambda w: F.array_join(w, " "))).alias("name")).distinct().withColumn("id", F.col("name"))
+    return labels_in(docs, "doc_id", "text", labels, "id", "name").groupBy("label").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+
+
 @query(
     "theme_of_label",
     f"""WITH p(place_id, label) AS (VALUES {_VALUES}), h AS (SELECT DISTINCT doc_id, place_id, label FROM (SELECT doc_id, {_SAID} AS said FROM documents) JOIN p ON contains(said, ' ' || label || ' ') WHERE length(label) >= 5)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quorumframe.operators import vectors
 from quorumframe.plans import retrieval
+from quorumframe.queries.texts import document_index
 from quorumframe.registry import query, read
 from quorumframe.storage import materialise, spread
 
@@ -122,7 +123,7 @@ def retrieve_context(spark, folder):
     channels = {
         "semantic": near.select(F.col("vec_id").alias("frag_id"), "rank"),
         "thematic": retrieval.thematic_channel(fragments, F.col("topic") == "es"),
-        "keyword": retrieval.keyword_channel(fragments, ["licensed under", "version", "public license"]),
+        "keyword": retrieval.keyword_channel(fragments, ["licensed under", "version", "public license"], index=document_index(spark, folder)),
     }
     scored = near.select(F.col("vec_id").alias("frag_id"), (1 - F.col("distance")).alias("score"))
     # a few tens of candidates, which all that follows reads several times

@@ -8,19 +8,33 @@ from quorumframe.functions import text as T
 from quorumframe.functions.chunks import chunks
 from quorumframe.functions.links import page_links
 from quorumframe.operators.matching import sharing_words
+from quorumframe.operators.postings import PostingsIndex
 from quorumframe.operators.windows import newest, rarest
 from quorumframe.registry import query, read
-from quorumframe.storage import spread
+from quorumframe.storage import new_path, spread
 
 
 def _words(column: str = "text") -> str:
-    return f"regexp_extract_all(lower(translate({column}, '{T.MARKED}', '{T.PLAIN}')), '[a-z]+')"
+    return f"regexp_extract_all(lower(translate({column}, 'áàâäãåçéèêëíìîïñóòôöõúùûüýÿÁÀÂÄÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝŸ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUYY')), '[a-z]+')"
 
 
 def texts(spark, folder):
     return spread(read(spark, folder, "documents"))
 
 
+#: The index of each session and folder; what is in it already is not read again.
+_INDEXES: dict[tuple[str, str], PostingsIndex] = {}
+
+
+def document_index(spark, folder) -> PostingsIndex:
+    """The index of the documents of a folder, with those added that it lacks."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _INDEXES:
+        _INDEXES[key] = PostingsIndex(spark, new_path(spark, "document-index"))
+    _INDEXES[key].append(texts(spark, folder), "doc_id", "text")
+    return _INDEXES[key]
+
+
 _TOKENS = f"tokens AS (SELECT DISTINCT doc_id, unnest({_words()}) AS w FROM documents), items AS (SELECT DISTINCT item_id, unnest({_words()}) AS w FROM benchmark)"
 
 
@@ -85,8 +99,42 @@ SELECT lang, count(CASE WHEN regexp_matches(t, '(^|[^\pL\pN_])licensed\s+under(s
        count(CASE WHEN regexp_matches(t, '(^|[^\pL\pN_])a(n|ñ)o(s|es)?($|[^\pL\pN_])') THEN 1 END) AS hits_3 FROM d GROUP BY 1""",
 )
 def literal_hits(spark, folder):
-    docs = texts(spark, folder).select("lang", T.searchable("text").alias("text"))
-    return docs.groupBy("lang").agg(*(F.count_if(F.col("text").rlike(T.literal_pattern(p))).alias(f"hits_{k}") for k, p in enumerate(_PHRASES)))
+    """From the index: documents are met by number and language, not by text."""
+    hits = document_index(spark, folder).phrases(_PHRASES).groupBy("doc").agg(F.collect_set("phrase").alias("held"))
+    docs = read(spark, folder, "documents").select("doc_id", "lang").join(hits, F.col("doc_id") == F.col("doc"), "left")
+    return docs.groupBy("lang").agg(*(F.count_if(F.array_contains("held", k)).alias(f"hits_{k}") for k in range(len(_PHRASES))))
+
+
+@query(
+    "literal_hits_by_scan",
+    r"""WITH d AS (SELECT doc_id, translate(lower(text), 'áàâäãåçéèêëíìîïóòôöõúùûüýÿ', 'aaaaaaceeeeiiiiooooouuuuyy') AS t FROM documents)
+SELECT doc_id, regexp_matches(t, '(^|[^\pL\pN_])public\s+license(s|es)?($|[^\pL\pN_])') AS license, regexp_matches(t, '(^|[^\pL\pN_])a(n|ñ)o(s|es)?($|[^\pL\pN_])') AS ano FROM d""",
+)
+def literal_hits_by_scan(spark, folder):
+    """The same patterns over texts that no index has."""
+    said = T.searchable("text")
+    return texts(spark, folder).select("doc_id", said.rlike(T.literal_pattern("public license")).alias("license"), said.rlike(T.literal_pattern("año")).alias("ano"))
+
+
+@query(
+    "opening_phrases",
+    r"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(lower(text), 'áàâäãåçéèêëíìîïóòôöõúùûüýÿ', 'aaaaaaceeeeiiiiooooouuuuyy'), '[\pL\pN_]+|[^\pL\pN_\s]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(lower(text), 'áàâäãåçéèêëíìîïóòôöõúùûüýÿ', 'aaaaaaceeeeiiiiooooouuuuyy'), '[\pL\pN_]+') AS w FROM benchmark),
+p AS (SELECT item_id, array_to_string(w[1:3], ' ') AS phrase FROM i WHERE len(w) >= 3),
+t AS (SELECT doc_id, ' ' || array_to_string(w, ' ') || ' ' AS t FROM d)
+SELECT item_id, count(doc_id) AS n FROM p LEFT JOIN t ON regexp_matches(t, ' ' || CASE
+    WHEN length(regexp_extract(phrase, '\S+$')) > 5 AND phrase LIKE '%es' THEN replace(left(phrase, length(phrase) - 2), 'ñ', '(n|ñ)') || '(e|es)?'
+    WHEN length(regexp_extract(phrase, '\S+$')) > 4 AND phrase LIKE '%s' THEN replace(left(phrase, length(phrase) - 1), 'ñ', '(n|ñ)') || 's?'
+    ELSE replace(phrase, 'ñ', '(n|ñ)') || '(s|es)?' END || ' ') GROUP BY item_id""",
+)
+def opening_phrases(spark, folder):
+    """In how many documents the first three words of each benchmark item stand side by side."""
+    words = F.regexp_extract_all(T.searchable("text"), F.lit(r"[\pL\pN_]+"), F.lit(0))
+    items = read(spark, folder, "benchmark").select("item_id", words.alias("w")).where("size(w) >= 3").select("item_id", F.array_join(F.slice("w", 1, 3), " ").alias("p")).collect()  # the stated phrases
+    index = document_index(spark, folder)
+    hits = index.phrases([r["p"] for r in items]).groupBy("phrase").agg(F.count("*").alias("n"))
+    asked = spark.createDataFrame([(r["item_id"], k) for k, r in enumerate(items)], "item_id long, phrase int")
+    return asked.join(hits, "phrase", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("point_id_md5", "SELECT doc_id, left(md5(source || '||' || left(text, 80)), 16) AS point_id, left(sha1(doc_id || '|' || lang), 16) AS speech_id FROM documents")
@@ -103,7 +151,7 @@ def json_props(spark, folder):
 
 @query(
     "slugs",
-    f"""WITH s AS (SELECT p_partkey, left(trim(regexp_replace(lower(translate(p_name, '{T.MARKED}', '{T.PLAIN}')), '[^a-z0-9]+', '_', 'g'), '_'), 60) AS slug FROM part)
+    f"""WITH s AS (SELECT p_partkey, left(trim(regexp_replace(lower(translate(p_name, 'áàâäãåçéèêëíìîïñóòôöõúùûüýÿÁÀÂÄÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝŸ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUYY')), '[^a-z0-9]+', '_', 'g'), '_'), 60) AS slug FROM part)
 SELECT p_partkey, CASE WHEN slug = '' THEN 'x' ELSE slug END AS slug FROM s""",
 )
 def slugs(spark, folder):
