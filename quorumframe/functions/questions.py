@@ -48,79 +48,129 @@ def _years(text: Column, first: int, last: int) -> Column:
     return F.filter(F.transform(said, lambda y: y.cast("int")), lambda y: y.between(first - 1, last + 1))
 
 
+#: Words before a year that say what it bounds, folded.
+CUES = {
+    "term": ("legislatura", "mandato", "corporacion"),
+    "budget": ("presupuesto", "presupuestos"),
+    "from": ("desde",),
+    "to": ("hasta",),
+    "between": ("entre", "de"),
+}
+#: What joins two years, and words that point at the present.
+LINKS = ("y", "a", "hasta", "-", "/")
+PRESENT = ("ahora", "actualmente", "actualidad", "hoy")
+#: What a term of office is called that is the present one, before and after the noun.
+THIS, NOT_THIS = ("esta", "este", "la", "el", "del", "actual", "presente"), ("anterior", "pasada", "pasado", "previa", "previo")
+#: How far from its cue a year may stand, in words.
+_REACH = {"budget": 4, "term": 1, "from": 1, "to": 1, "between": 1}
+#: Kinds of mentions, the least telling first.
+_KINDS = ("plain", "open", "span", "term", "budget")
+
+
+def _mentions(text: Column) -> Column:
+    """Years in text order: cue (what the word before says), year, link and other (the year that is joined to it, if any)."""
+    cued = "|".join(rf"\b{any_of(words_)} (?:[a-z]+ ){{0,{_REACH[cue]}}}?" for cue, words_ in CUES.items())
+    each = rf"(?:{cued})?\b(\d{{4}})\b(?:(?= ?{any_of(LINKS)} ?(?:el )?(\d{{4}})\b))?"
+    groups = len(CUES)
+    found = [F.regexp_extract_all(text, F.lit(each), F.lit(k)) for k in range(1, groups + 4)]
+    zipped = F.arrays_zip(*(x.alias(f"g{k}") for k, x in enumerate(found)))
+
+    def mention(m: Column) -> Column:
+        cue = F.coalesce(*(F.when(m[f"g{k}"] != "", F.lit(name)) for k, name in enumerate(CUES)))
+        return F.struct(cue.alias("cue"), m[f"g{groups}"].cast("int").alias("year"), m[f"g{groups + 1}"].alias("link"), m[f"g{groups + 2}"].try_cast("int").alias("other"))
+
+    return F.transform(zipped, mention)
+
+
 def period_of(c: Column | str, first: int, last: int, terms: Sequence[tuple[dt.date, dt.date | None]] = ()) -> Column:
     """since, until (years, inclusive), start, end (dates, half-open), compared and fiscal.
 
-    terms are the terms of office in order, the last one open. A term is named by the
-    year it begins in, alone or with the one it ends in; "this term" is the last. A
-    budget's year is that of the budget, not of its session, and is no period.
+    Each year that a text mentions spans some time: itself, all up to or from it, all
+    between it and the one joined to it, or a term of office. The most telling kind of
+    mention counts, and plain years are taken together. Several single years, two that
+    "and" joins, or a year and the present are compared. terms are in order, the last one
+    open; a term is named by the year it begins in, alone or with the one it ends in, and
+    without a year the present one is meant. A budget's year is not that of its session,
+    so it is no period.
     """
-    return bound(folded(c), lambda text: _period(text, first, last, terms))
-
-
-def _period(text: Column, first: int, last: int, terms: Sequence[tuple[dt.date, dt.date | None]]) -> Column:
-    number = lambda pattern, k=1: F.regexp_extract(text, pattern, k).try_cast("int")
-    office, joined = any_of(("legislatura", "mandato", "corporacion")), r"\b(\d{4}) ?(?:y|a|hasta|-|/) ?(?:el )?(\d{4})\b"
-    of_term = rf"\b{office} (?:del? )?(\d{{4}})(?: ?[-/] ?(\d{{4}}))?\b"
-    other_term = rf"\b(?:anterior|pasad[ao]|que|cual|cuales|cada|por|varias) {office}s?\b|{office}s? (?:anterior|pasad)|legislaturas|mandatos"
-    said = F.struct(
-        _years(text, first, last).alias("years"), number(of_term, 2).alias("term"), number(of_term, 3).alias("term_end"), number(joined).alias("one"), number(joined, 2).alias("other"), number(r"\bpresupuestos?\b(?: [a-z]+){0,4}? (\d{4})\b").alias("fiscal"),
-        (text.rlike(rf"\b{office}\b") & ~text.rlike(other_term)).alias("this_term"), (text.rlike(r"\b\d{4} y (?:el )?\d{4}\b") & ~text.rlike(r"\b(?:entre|desde|de)(?: el)? \d{4} y\b")).alias("apart"),
-        text.rlike(r"\bdesde (?:el )?\d{4}").alias("from"), text.rlike(r"\bhasta (?:el )?\d{4}").alias("up_to"), text.rlike(r"\b(?:ahora|actualmente|en la actualidad|hoy en dia)\b").alias("now"),
-    )
-    return bound(said, lambda x: _period_said(x, first, last, terms))
-
-
-def _period_said(said: Column, first: int, last: int, terms: Sequence[tuple[dt.date, dt.date | None]]) -> Column:
-    """The period that follows from what is said of years and terms."""
-    years, null, some = said["years"], F.lit(None), F.size(said["years"]) > 0
-
-    def period(since, until, start=null, end=null, compared=F.lit(False)):
-        return F.struct(since.cast("int").alias("since"), until.cast("int").alias("until"), start.cast("date").alias("start"), end.cast("date").alias("end"), (compared | (said["now"] & some)).alias("compared"), said["fiscal"].alias("fiscal"))
-
-    rules = [(said["fiscal"].isNotNull(), period(null, null))]
-    for begun, ended in terms:
-        named = (said["term"] == begun.year) & (said["term_end"].isNull() | (said["term_end"] == begun.year + 4))
-        rules.append((named, period(F.lit(begun.year), F.lit(begun.year + 4), F.lit(begun), F.lit(ended))))
-    rules += [
-        (said["one"].isNotNull() & said["other"].isNotNull(), period(F.least(said["one"], said["other"]), F.greatest(said["one"], said["other"]), compared=said["apart"])),
-        (said["from"] & some, period(years[0], F.lit(last))),
-        (said["up_to"] & some, period(F.lit(first), years[0])),
-        (some, period(F.array_min(years), F.array_max(years), compared=F.size(F.array_distinct(years)) > 1)),
-    ]
-    if terms:
-        rules.append((said["this_term"], period(F.lit(terms[-1][0].year), F.lit(last), F.lit(terms[-1][0]))))
-    found = F.when(*rules[0])
-    for rule in rules[1:]:
-        found = found.when(*rule)
-    return found.otherwise(period(null, null))
+    return bound(folded(c), lambda text: bound(F.struct(_mentions(text).alias("m"), text.alias("t")), lambda x: _period(x["m"], x["t"], first, last, terms)))
+
+
+def _period(mentions: Column, text: Column, first: int, last: int, terms: Sequence[tuple[dt.date, dt.date | None]]) -> Column:
+    within = lambda m: m["year"].between(first - 1, last + 1)
+    known = {begun.year: (begun, ended) for begun, ended in terms}
+    of_term = lambda m: (m["cue"] == "term") & m["year"].isin(*known) & (m["other"].isNull() | (m["other"] == m["year"] + 4)) if known else F.lit(False)
+    kind = lambda m: (
+        F.when(m["cue"] == "budget", "budget").when(of_term(m), "term").when(m["other"].isNotNull(), "span").when(within(m) & m["cue"].isin("from", "to"), "open").when(within(m), "plain")
+    )
+    rank = F.create_map(*(F.lit(x) for k, name in enumerate(_KINDS) for x in (name, k)))
+    low = lambda m, k: F.when(k == "span", F.least(m["year"], m["other"])).when((k == "open") & (m["cue"] == "to"), F.lit(first)).otherwise(m["year"])
+    high = lambda m, k: F.when(k == "span", F.greatest(m["year"], m["other"])).when((k == "open") & (m["cue"] == "from"), F.lit(last)).when(k == "term", m["year"] + 4).otherwise(m["year"])
+    spans = F.filter(F.transform(mentions, lambda m: bound(kind(m), lambda k: F.struct(rank[k].alias("rank"), k.alias("kind"), low(m, k).alias("low"), high(m, k).alias("high"), m["year"].alias("year"), ((k == "span") & (m["link"] == "y") & m["cue"].isNull()).alias("apart")))), lambda x: x["kind"].isNotNull())
+    office, now = any_of(CUES["term"]), text.rlike(rf"\b{any_of(PRESENT)}\b")
+    present = text.rlike(rf"\b{any_of(THIS)} {office}\b(?! {any_of(NOT_THIS)})")
+
+    def date_of(year: Column, which: int) -> Column:
+        dates = [F.when(year == y, F.lit(pair[which])) for y, pair in known.items() if pair[which] is not None]
+        return F.coalesce(F.lit(None).cast("date"), *dates)
+
+    def told(own: Column) -> Column:
+        best = F.array_max(F.transform(own, lambda x: x["rank"]))
+        chosen = F.filter(own, lambda x: x["rank"] == best)
+        plain, head = chosen[0]["kind"] == "plain", chosen[0]
+        since = F.when(plain, F.array_min(F.transform(chosen, lambda x: x["low"]))).otherwise(head["low"])
+        until = F.when(plain, F.array_max(F.transform(chosen, lambda x: x["high"]))).otherwise(head["high"])
+        several = (plain & (F.size(F.array_distinct(F.transform(chosen, lambda x: x["year"]))) > 1)) | head["apart"]
+        budget, term = head["kind"] == "budget", head["kind"] == "term"
+        return F.struct(
+            F.when(~budget, since).alias("since"), F.when(~budget, until).alias("until"),
+            F.when(term, date_of(head["year"], 0)).alias("start"), F.when(term, date_of(head["year"], 1)).alias("end"),
+            (~budget & (several | now)).alias("compared"), F.when(budget, head["year"]).alias("fiscal"),
+        )
+
+    null = lambda kind_: F.lit(None).cast(kind_)
+    begun = F.lit(terms[-1][0]) if terms else null("date")
+    holds = present & F.lit(bool(terms))
+    otherwise = F.struct(F.when(holds, F.year(begun)).alias("since"), F.when(holds, F.lit(last)).alias("until"), F.when(holds, begun).alias("start"), null("date").alias("end"), F.lit(False).alias("compared"), null("int").alias("fiscal"))
+    return bound(spans, lambda own: F.when(F.size(own) > 0, told(own)).otherwise(otherwise))
+
+
+#: Openings of words that ask for a year's budget, and how many months before the year it is voted in.
+BUDGET_STEMS, BUDGET_MONTHS = ("presupuest", "ejercicio"), 3
 
 
 def session_months(c: Column | str, first: int, last: int) -> Column:
     """year and month of all sessions that a question may mean; empty if it names no year.
 
-    A day means its month, should there have been no session on it. A year whose budget
-    is asked for begins with the October before, when budgets are voted.
+    Months are counted through from year to year. A day means its month, should there
+    have been no session on it; a year means those of its months that are named, or all
+    of them, then from as many months before as its budget is voted ahead, if that is
+    asked for.
     """
     text, day, months = folded(c), day_of(c), months_of(c)
     year = F.try_element_at(years_of(c, first, last), F.lit(1))
-    own = F.when(F.size(months) > 0, months).otherwise(F.sequence(F.lit(1), F.lit(12)))
-    pair = lambda y: lambda m: F.struct(y.cast("int").alias("year"), m.cast("int").alias("month"))
-    of_year = F.transform(own, pair(year))
-    before = F.when(text.rlike("presupuest|ejercicio") & (F.size(months) == 0), F.transform(F.array(F.lit(10), F.lit(11), F.lit(12)), pair(year - 1))).otherwise(F.array().cast("array<struct<year:int,month:int>>"))
-    return F.when(day.isNotNull(), F.array(pair(F.year(day))(F.month(day)))).when(year.isNotNull(), F.concat(of_year, before)).otherwise(F.array().cast("array<struct<year:int,month:int>>"))
+    every = F.size(months) == 0
+    ahead = F.when(every & text.rlike(any_of(BUDGET_STEMS)), F.lit(BUDGET_MONTHS)).otherwise(F.lit(0))
+    of_day = F.year(day) * 12 + F.month(day) - 1
+    begin, end = F.coalesce(of_day, year * 12 - ahead), F.coalesce(of_day, year * 12 + 11)
+    through = F.coalesce(F.sequence(begin, end), F.array().cast("array<int>"))
+    meant_ = F.filter(through, lambda n: day.isNotNull() | every | F.array_contains(months, n % 12 + 1))
+    return F.transform(meant_, lambda n: F.struct(F.floor(n / 12).cast("int").alias("year"), (n % 12 + 1).cast("int").alias("month")))
 
 
-#: Openings of folded words that ask for a result; two that contradict each other ask what the result was.
-RESULT_STEMS = {"decae": ("decae", "decaid", "decayer"), "retirada": ("retirad",), "rechazada": ("rechaz",), "aprobada": ("aprob",)}
+#: Openings of folded words that ask for a result: those that end a point without a vote, and those of votes.
+RESULT_STEMS = ({"decae": ("decae", "decaid", "decayer"), "retirada": ("retirad",)}, {"rechazada": ("rechaz",), "aprobada": ("aprob",)})
 
 
 def result_asked(c: Column | str) -> Column:
-    """The result that a question filters by; null if it asks for none, or for which of two it was."""
+    """The result that a question filters by; null if it asks for none, or which of two it was.
+
+    What ends a point without a vote says more than what its vote was.
+    """
     text = folded(c)
-    has = {name: text.rlike(rf"\b{any_of(stems)}") for name, stems in RESULT_STEMS.items()}
-    found = F.when(has["decae"], "decae").when(has["retirada"], "retirada")
-    return found.when(has["rechazada"] & has["aprobada"], F.lit(None)).when(has["rechazada"], "rechazada").when(has["aprobada"], "aprobada")
+    said = [F.array_compact(F.array(*(F.when(text.rlike(rf"\b{any_of(stems)}"), F.lit(name)) for name, stems in kind.items()))) for kind in RESULT_STEMS]
+    told = F.try_element_at(F.filter(F.array(*said), lambda names: F.size(names) > 0), F.lit(1))
+    return F.when(F.size(told) == 1, told[0])
 
 
 #: How questions call the groups, as words of folded text.
@@ -251,19 +301,30 @@ def form_of(c: Column | str) -> Column:
     return bound(bound(_line(c), shown), meant)
 
 
+#: Folded words that set a condition, and openings of words that tell of attendance.
+CONDITIONS = {"latest": ("ultima", "ultimo", "ultimas", "ultimos", "reciente", "recientemente"), "unanimous": ("unanimidad", "unanime", "unanimes"), "opposition": ("oposicion",)}
+ATTENDANCE = ("falt", "ausen", "asisten", "acudi")
+CITIZENS = ("vecinal", "vecinales", "ciudadana", "ciudadanas", "vecino", "vecinos", "vecina", "vecinas", "vecindario", "asociacion", "asociaciones", "ciudadanos", "ciudadania")
+_INITIATIVES = ("proposicion", "proposiciones", "iniciativa", "iniciativas", "presentada", "presentadas", "presentado", "presentados")
+
+
+def _any_word(said: Column, table: Sequence[str]) -> Column:
+    return F.arrays_overlap(said, F.array(*map(F.lit, table)))
+
+
 def flags_of(c: Column | str) -> Column:
     """Further conditions of a question: latest, unanimous, opposition, by citizens, and what is out of scope (amounts, attendance)."""
-    return bound(_line(c), _flags)
+    return bound(_line(c), lambda line: bound(F.split(F.btrim(line), " "), lambda said: _flags(line, said)))
 
 
-def _flags(line: Column) -> Column:
-    attendance = line.rlike(" falt(?:ado|o|aron|an) | asistencia| ausen(?:cia|te)| no (?:acudio|asistio)")
+def _flags(line: Column, said: Column) -> Column:
+    """An initiative is of citizens if one of the next two words beside articles and "por" says so."""
+    bare = F.filter(said, lambda w: ~w.isin("por", "el", "la", "los", "las", "de", "una", "un"))
+    of_citizens = F.exists(F.transform(bare, lambda w, k: w.isin(*_INITIATIVES) & _any_word(F.slice(bare, k + 2, F.lit(1)), CITIZENS)), lambda x: x)
     return F.struct(
-        line.rlike(" ultim[oa]s? | mas reciente | recientemente ").alias("latest"),
-        line.rlike(" unanimidad | unanimes? ").alias("unanimous"),
-        line.rlike(" oposicion ").alias("opposition"),
-        line.rlike(" (?:proposicion|proposiciones|iniciativa|iniciativas) (?:vecinal|vecinales|ciudadana|ciudadanas) | presentad[oa]s? por (?:la |las |los )?(?:vecin|asociaci|ciudadan)").alias("by_citizens"),
-        F.when(line.rlike(FEATURES["asks amount"]), "importes").when(attendance, "asistencia").alias("out_of_scope"),
+        *(_any_word(said, table).alias(name) for name, table in CONDITIONS.items()),
+        of_citizens.alias("by_citizens"),
+        F.when(line.rlike(FEATURES["asks amount"]), "importes").when(F.exists(said, lambda w: w.rlike(f"^{any_of(ATTENDANCE)}")), "asistencia").alias("out_of_scope"),
     )
 
 

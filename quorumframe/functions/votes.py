@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumframe.functions.decisions import AGREED, OBJECTS, OUTCOMES, SETTLED, any_of, counts, decisions, meant
+from quorumframe.functions.decisions import AGREED, OBJECTS, OUTCOMES, SETTLED, any_of, count_labels, counts, decisions, meant
 from quorumframe.functions.text import col, folded
 
 #: What stands where a result has ended: rules, footers, the hour.
@@ -48,24 +50,39 @@ def vote_object(c: Column | str) -> Column:
     return F.coalesce(meant(noun, OBJECTS), F.lit("otro"))
 
 
-_PUT_TO_VOTE = r"(?i)se\s+someten?\s+a\s+votaci[óo]n(?:\s+nominal)?\s"
-_OUTCOME_FOLLOWS = r"(?i),?\s*\b(?:siendo|con)\s+el\s+(?:siguiente\s+)?(?:c[óo]mputo|resultado)|:\s*votos"
-_HENCE = r"(?i)en\s+su\s+virt\s?ud,?\s"
+#: Folded words of putting something to the vote, of telling how it went, and of concluding from it.
+PUTTING, VOTING = ("somete", "someten", "sometida", "sometido", "sometidas", "sometidos"), ("votacion", "votaciones")
+TELLING, CONCLUDING = ("computo", "resultado", "votos", "emitidos"), ("virtud", "consecuencia", "consiguiente")
+_VOWELS = {"a": "[aá]", "e": "[eé]", "i": "[ií]", "o": "[oó]", "u": "[uúü]", "n": "[nñ]"}
+
+
+def _spelled(words: Iterable[str]) -> str:
+    """A pattern for any of the folded words in text as it is written."""
+    return any_of("".join(_VOWELS.get(c, c) for c in w) for w in words).replace("(", "(?:", 1)
+
+
+#: A clause that puts something to the vote, as far as the noun, and an adjective of it.
+_PUT = rf"(?i)(?:\bse )?\b{_spelled(PUTTING)} (?:\p{{L}}+ ){{0,3}}?{_spelled(VOTING)}(?: nominal(?:es)?)?\b"
+#: The clause that tells how it went: all from the last stop or comma before its noun.
+_TELLS = rf"(?i)[,;:.]?[^,;:.]*\b{_spelled(TELLING)}\b"
 
 
 def vote_events(df: DataFrame, key: str, text: str, *, most: int = 400) -> DataFrame:
     """key, ord (from 1), object, description, cast, favour, against, abstain, decision of each vote taken in the text.
 
-    A text is cut where something is put to the vote; a piece that tells no outcome is
-    no vote. Where the votes cast are stated, a figure that is not is zero. Descriptions
-    and decisions are shown up to so many characters.
+    A text is cut where something is put to the vote. What is voted on stands before the
+    clause that tells how it went; a piece without such a clause, or without any figure,
+    is no vote. The decision is what follows from it: the rest of the sentence that
+    concludes. Where the votes cast are stated, a figure that is not is zero.
+    Descriptions and decisions are shown up to so many characters.
     """
     flat = F.regexp_replace(F.coalesce(col(text), F.lit("")), r"\s+", " ")
-    pieces = F.split(flat, _PUT_TO_VOTE, -1)
-    taken = F.filter(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: p.rlike(_OUTCOME_FOLLOWS))
+    pieces = F.split(flat, _PUT, -1)
+    taken = F.filter(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: p.rlike(_TELLS) & (F.size(count_labels(p)) > 0))
     each = df.select(key, F.posexplode(taken).alias("_at", "_piece"))
-    told = F.split("_piece", _OUTCOME_FOLLOWS, 2)
-    each = each.select(key, (F.col("_at") + 1).alias("ord"), F.btrim(F.element_at(told, 1)).alias("_on"), F.split(F.element_at(told, 2), _HENCE, 2).alias("_then"), counts("_piece").alias("_n"))
+    told = F.split("_piece", _TELLS, 2)
+    concluded = rf"(?i)\b{_spelled(CONCLUDING)}\b,? ([^.]*)"
+    each = each.select(key, (F.col("_at") + 1).alias("ord"), F.btrim(F.element_at(told, 1)).alias("_on"), F.regexp_extract(F.element_at(told, 2), concluded, 1).alias("_then"), counts("_piece").alias("_n"))
     zero = lambda k: F.coalesce(F.col(f"_n.{k}"), F.when(F.col("_n.cast").isNotNull(), F.lit(0)))
-    decision = F.substring(F.btrim(F.regexp_extract(F.coalesce(F.try_element_at("_then", F.lit(2)), F.lit("")), r"^[^.]*", 0)), 1, most)
+    decision = F.substring(F.btrim(F.coalesce("_then", F.lit(""))), 1, most)
     return each.select(key, "ord", vote_object("_on").alias("object"), F.substring("_on", 1, most).alias("description"), F.col("_n.cast").alias("cast"), *(zero(k).alias(k) for k in ("favour", "against", "abstain")), decision.alias("decision"))

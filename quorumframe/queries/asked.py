@@ -48,16 +48,17 @@ def question_periods(spark, folder):
 
 @query(
     "question_sessions",
-    """WITH o AS (SELECT o_orderkey AS question_id, CAST(o_orderdate AS DATE) AS d, o_orderkey % 8 AS k, year(o_orderdate) AS y FROM orders WHERE o_orderkey % 8 IN (0, 1, 2, 5)),
-s AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS session_date FROM orders WHERE day(o_orderdate) <= 10),
-m AS (SELECT question_id, session_date, d, k FROM o JOIN s ON (k IN (0, 1, 2) AND year(session_date) = y AND month(session_date) = month(d)) OR (k = 5 AND (year(session_date) = y OR (year(session_date) = y - 1 AND month(session_date) >= 10))))
-SELECT question_id, session_date FROM m QUALIFY k NOT IN (0, 1) OR session_date = d OR NOT bool_or(session_date = d) OVER (PARTITION BY question_id)""",
+    """WITH o AS (SELECT o_orderkey AS question_id, CAST(o_orderdate AS DATE) AS d, o_orderkey % 8 AS k, year(o_orderdate) AS y FROM orders),
+s AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS session_date FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'),
+m AS (SELECT question_id, session_date, d, k FROM o JOIN s ON (k IN (0, 1, 2) AND year(session_date) = y AND month(session_date) = month(d)) OR (k IN (3, 4, 5, 6) AND year(session_date) = y) OR (k = 5 AND year(session_date) = y - 1 AND month(session_date) >= 10)),
+e AS (SELECT * FROM m QUALIFY k NOT IN (0, 1) OR session_date = d OR NOT bool_or(session_date = d) OVER (PARTITION BY question_id))
+SELECT question_id, count(*) AS n, min(session_date) AS first, max(session_date) AS last FROM e GROUP BY 1""",
 )
 def question_sessions(spark, folder):
-    """The sessions that questions mean, where sessions are held in the first ten days of a month: a day without one means its month."""
-    sessions = read(spark, folder, "orders").select(F.to_date("o_orderdate").alias("session_date")).where(F.dayofmonth("session_date") <= 10)
-    asked = _asked_orders(spark, folder).where("question_id % 8 in (0, 1, 2, 5)")
-    return sessions_of(asked, sessions, first_year=1995, last_year=2001)
+    """The sessions that all questions mean, where the days of urgent pending orders are sessions: a day without one means its month."""
+    sessions = read(spark, folder, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'").select(F.to_date("o_orderdate").alias("session_date"))
+    met = sessions_of(_asked_orders(spark, folder), sessions, first_year=1995, last_year=2001)
+    return met.groupBy("question_id").agg(F.count("*").alias("n"), F.min("session_date").alias("first"), F.max("session_date").alias("last"))
 
 
 _QUESTIONS = (
@@ -106,15 +107,16 @@ def last_known_values(spark, folder):
 
 @query(
     "fullest_tally",
-    """WITH t AS (SELECT l_suppkey AS point, l_orderkey AS vote, CASE WHEN l_returnflag <> 'N' THEN l_quantity END AS favour, CASE WHEN l_linestatus = 'F' THEN l_tax END AS against, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k FROM lineitem),
-u AS (SELECT point, max_by(favour, k) AS favour, max_by(against, k) AS against, vote FROM t GROUP BY point, vote HAVING count(*) = 1)
-SELECT point, vote, favour, against FROM u QUALIFY row_number() OVER (PARTITION BY point ORDER BY (favour IS NOT NULL)::INT + (against IS NOT NULL)::INT DESC, vote) = 1""",
+    """WITH t AS (SELECT l_suppkey AS point, l_orderkey * 10 + l_linenumber AS tally, CASE WHEN l_returnflag <> 'N' THEN l_quantity END AS favour, CASE WHEN l_linestatus = 'F' THEN l_tax END AS against, CASE WHEN l_discount > 0.05 THEN l_discount END AS abstain FROM lineitem)
+SELECT point, tally, favour, against, abstain FROM t QUALIFY row_number() OVER (PARTITION BY point ORDER BY (favour IS NOT NULL)::INT + (against IS NOT NULL)::INT + (abstain IS NOT NULL)::INT DESC, tally) = 1""",
 )
 def fullest_tally(spark, folder):
-    """Of the tallies of a point the one that says most; votes with a single line are taken as tallies."""
-    lines = read(spark, folder, "lineitem").select(F.col("l_suppkey").alias("point"), F.col("l_orderkey").alias("vote"), F.when(F.col("l_returnflag") != "N", F.col("l_quantity")).alias("favour"), F.when(F.col("l_linestatus") == "F", F.col("l_tax")).alias("against"))
-    single = lines.groupBy("point", "vote").agg(F.count("*").alias("n"), F.max("favour").alias("favour"), F.max("against").alias("against")).where("n = 1").drop("n")
-    return groups.fullest(single, ["point"], ["favour", "against"], "vote").select("point", "vote", "favour", "against")
+    """Each line is a tally of its point: of all of them the one that says most, the first of equal ones."""
+    lines = read(spark, folder, "lineitem").select(
+        F.col("l_suppkey").alias("point"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("tally"),
+        F.when(F.col("l_returnflag") != "N", F.col("l_quantity")).alias("favour"), F.when(F.col("l_linestatus") == "F", F.col("l_tax")).alias("against"), F.when(F.col("l_discount") > 0.05, F.col("l_discount")).alias("abstain"),
+    )
+    return groups.fullest(lines, ["point"], ["favour", "against", "abstain"], "tally")
 
 
 @query(
