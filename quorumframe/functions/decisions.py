@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quorumframe.functions.text import col, folded, without_spaces
+from quorumframe.functions.text import bound, col, folded, without_spaces
 
 #: Folded words that decide, by what they decide, the most final first.
 OUTCOMES = {
@@ -76,8 +76,13 @@ def count_labels(c: Column | str) -> Column:
 
 def counts(c: Column | str) -> Column:
     """cast, favour, against, abstain of the last count that states the votes cast, or of any; null where the text does not say."""
-    every = count_labels(c)
-    last = F.array_position(F.reverse(F.transform(every, lambda x: x["label"])), F.lit("cast"))
-    own = F.when(last > 0, F.slice(every, F.size(every) - last.cast("int") + 1, last.cast("int"))).otherwise(every)
-    first = lambda label: F.try_element_at(F.filter(own, lambda x: x["label"] == label), F.lit(1))["number"]
-    return F.struct(*(first(label).alias(label) for label in LABELS))
+
+    def of_last(every: Column) -> Column:
+        last = F.array_position(F.reverse(F.transform(every, lambda x: x["label"])), F.lit("cast"))
+        return F.when(last > 0, F.slice(every, F.size(every) - last.cast("int") + 1, last.cast("int"))).otherwise(every)
+
+    def told(own: Column) -> Column:
+        first = lambda label: F.try_element_at(F.filter(own, lambda x: x["label"] == label), F.lit(1))["number"]
+        return F.struct(*(first(label).alias(label) for label in LABELS))
+
+    return bound(bound(count_labels(c), of_last), told)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumframe.functions.decisions import AGREED, OBJECTS, OUTCOMES, SETTLED, any_of, count_labels, counts, decisions, meant
-from quorumframe.functions.text import col, folded
+from quorumframe.functions.text import bound, col, folded
 
 #: What stands where a result has ended: rules, footers, the hour.
 ENDINGS = (r"-{3,}", r" - ", "https?://", "Egiaztatzeko", "Verificaci", "Siendo las ")
@@ -34,14 +34,19 @@ def result_text(c: Column | str) -> Column:
     words that do; without figures only if it settles the matter, as a decision that is
     only quoted in the debate does not. Else the last sentence that tells of unanimity.
     """
-    sentences = F.regexp_extract_all(F.regexp_replace(col(c), r"\s+", " "), F.lit("[^.]+"), F.lit(0))
-    deciding = F.filter(F.transform(sentences, lambda s: _told(F.regexp_extract(s, _DECIDES, 0))), lambda s: s != "")
-    phrase, figures = _last(deciding), counts(c)
-    shown = F.concat_ws(", ", *(F.concat(F.lit(f"{label}: "), figures[k]) for label, k in (("a favor", "favour"), ("en contra", "against"), ("abstenciones", "abstain"))))
-    told = F.when(figures["cast"].isNotNull() & figures["favour"].isNotNull(), F.concat(F.lit("Votos emitidos: "), figures["cast"], F.lit(" | "), shown))
-    settled = F.exists(decisions(phrase), lambda d: d["settled"] | (d["outcome"] == "decae")) | folded(phrase).rlike(any_of(AGREED))
-    agreed = F.filter(sentences, lambda s: folded(s).rlike(rf"\b{any_of(AGREED)}\b") & folded(s).rlike(rf"\b{any_of(AGREEING)}\b"))
-    return F.coalesce(F.when(phrase.isNotNull() & told.isNotNull(), F.concat(phrase, F.lit(" ("), told, F.lit(")"))), told, F.when(settled, phrase), _told(_last(agreed)))
+    def told(x: Column) -> Column:
+        phrase, figures = x["phrase"], x["figures"]
+        shown = F.concat_ws(", ", *(F.concat(F.lit(f"{label}: "), figures[k]) for label, k in (("a favor", "favour"), ("en contra", "against"), ("abstenciones", "abstain"))))
+        tally = F.when(figures["cast"].isNotNull() & figures["favour"].isNotNull(), F.concat(F.lit("Votos emitidos: "), figures["cast"], F.lit(" | "), shown))
+        settled = F.exists(decisions(phrase), lambda d: d["settled"] | (d["outcome"] == "decae")) | folded(phrase).rlike(any_of(AGREED))
+        return F.coalesce(F.when(phrase.isNotNull() & tally.isNotNull(), F.concat(phrase, F.lit(" ("), tally, F.lit(")"))), tally, F.when(settled, phrase), x["agreed"])
+
+    def read(sentences: Column) -> Column:
+        deciding = F.filter(F.transform(sentences, lambda s: _told(F.regexp_extract(s, _DECIDES, 0))), lambda s: s != "")
+        agreed = F.filter(sentences, lambda s: folded(s).rlike(rf"\b{any_of(AGREED)}\b") & folded(s).rlike(rf"\b{any_of(AGREEING)}\b"))
+        return F.struct(_last(deciding).alias("phrase"), counts(c).alias("figures"), _told(_last(agreed)).alias("agreed"))
+
+    return bound(bound(F.regexp_extract_all(F.regexp_replace(col(c), r"\s+", " "), F.lit("[^.]+"), F.lit(0)), read), told)
 
 
 def vote_object(c: Column | str) -> Column:
