@@ -2,7 +2,10 @@
 
 Records come as JSON in unlike layouts. The sorted paths of those of their nested
 fields that any layout knows are hashed, and the hash selects a declarative mapping to
-canonical turns; fields that no layout knows, such as an id, say nothing. Turns
+canonical turns; fields that no layout knows, such as an id, say nothing, and those by
+which only another layout says a turn are further turns at the end. A system turn is
+there if its field is not null, and an entry of a list that is no object is a turn
+without a role, so nothing that is said is lost. Turns
 are rendered one by one with a template that escapes control strings reversibly
 and says where loss is taken; what is read back comes from the rendered text alone.
 """
@@ -62,12 +65,12 @@ class Layout:
     def turns(self, record: dict) -> list[tuple[str, str]]:
         if self.turn:
             return [(_text(record[self.turn[0]]), _text(record[self.turn[1]]))]
-        out = [(role, "\n\n".join(t for t in (_text(record[n]) for n in names) if t)) for role, names in self.fields]
-        out = [t for t in out if t[1] or t[0] != "system"]
+        out = [(role, "\n\n".join(t for t in (_text(record[n]) for n in names) if t)) for role, names in self.fields if role != "system" or any(record[n] is not None for n in names)]
         if self.messages:
             items, role, text = self.messages
-            out += [(ROLES.get(_text(m.get(role)), _text(m.get(role))), _text(m.get(text))) for m in record[items] if isinstance(m, dict)]
-        return out
+            out += [(ROLES.get(_text(m.get(role)), _text(m.get(role))), _text(m.get(text))) if isinstance(m, dict) else ("", _text(m)) for m in record[items]]
+        own = {name for _, names in self.fields for name in names}
+        return out + [(SPOKEN[name], _text(value)) for name, value in record.items() if name in SPOKEN and name not in own and value is not None]
 
 
 #: Names that other layouts give to the canonical roles.
@@ -84,6 +87,8 @@ LAYOUTS = (
     Layout("system_messages", (("system", ("system",)),), ("messages", "role", "content")),
     Layout("conversations", messages=("conversations", "from", "value")),
 )
+#: Fields by which any layout says a turn, and whose turn it is.
+SPOKEN = {name: role for layout in LAYOUTS for role, names in layout.fields for name in names}
 BY_FINGERPRINT = {fingerprint(layout.paths()): layout for layout in LAYOUTS}
 _KNOWN = frozenset().union(*(layout.paths() for layout in LAYOUTS))
 

@@ -77,6 +77,7 @@ def parse(page: str) -> list[Node]:
     """
     nodes, open_at, links, run = [Node("root", -1)], [ROOT], 0, None
     tags, muted = _Tags(page), False
+    standing: Counter = Counter()  # open elements by tag, so an end tag without a beginning looks through none
 
     def text(piece: str) -> None:
         nonlocal run
@@ -92,13 +93,15 @@ def parse(page: str) -> list[Node]:
 
     def close(upto: int) -> None:
         nonlocal run
+        for k in open_at[upto:]:
+            standing[nodes[k].kind] -= 1
         del open_at[upto:]
         run = None
 
     def closed_by(tag: str) -> None:
         if tag in BLOCK and nodes[open_at[-1]].kind == "p":
             close(len(open_at) - 1)
-        for at in range(len(open_at) - 1, 0, -1):
+        for at in range(len(open_at) - 1, 0, -1) if any(standing[kind] for kind in _CLOSES.get(tag, ())) else ():
             kind = nodes[open_at[at]].kind
             if kind in _CLOSES.get(tag, ()):
                 return close(at)
@@ -129,7 +132,7 @@ def parse(page: str) -> list[Node]:
             text(" " if run is not None else "")
         elif tag in BLOCK and ending:
             muted = False
-            for depth in range(len(open_at) - 1, 0, -1):
+            for depth in range(len(open_at) - 1, 0, -1) if standing[tag] else ():
                 if nodes[open_at[depth]].kind == tag:
                     close(depth)
                     break
@@ -141,6 +144,7 @@ def parse(page: str) -> list[Node]:
             words = {w for m in _ATTRIBUTE.finditer(rest) for w in _WORD.findall(m[2].lower())}
             nodes.append(Node(tag, open_at[-1], [f"tag {tag}", *(f"word {w}" for w in sorted(words))]))
             open_at.append(len(nodes) - 1)
+            standing[tag] += 1
     text(page[at:])
     for node in nodes:
         if node.kind == "text":

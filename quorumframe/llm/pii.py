@@ -295,25 +295,43 @@ def _nodes(raw: list[dict]) -> list[Node]:
     return [Node(n["start"], n["end"], n["base"], tuple(n["features"]), tuple(n["keys"])) for n in raw]
 
 
-def fitted_field(found: DataFrame, *, sample_nodes: int = 30_000, most_features: int = 500, least_nodes: int = 3, near: int = 40, seldom: float = 2.0, agree: float = 6.0) -> Field:
+class Sparse:
+    """A matrix of rows that have ones in a few of their first columns (width of them) and any numbers in those after."""
+
+    def __init__(self, ones: list[list[int]], width: int, rest: np.ndarray, transposed: bool = False) -> None:
+        self.ones, self.width, self.rest, self.transposed = ones, width, rest, transposed
+        self.row = np.repeat(np.arange(len(ones)), [len(o) for o in ones])
+        self.at = np.array([k for o in ones for k in o], np.int64)
+
+    def __len__(self) -> int:
+        return len(self.rest)
+
+    @property
+    def T(self) -> Sparse:  # noqa: N802
+        return Sparse(self.ones, self.width, self.rest, not self.transposed)
+
+    def __matmul__(self, other: np.ndarray) -> np.ndarray:
+        into, from_, size = (self.at, self.row, self.width) if self.transposed else (self.row, self.at, len(self.rest))
+        sums = np.stack([np.bincount(into, other[from_, k], size) for k in range(other.shape[1])], axis=1)
+        return np.concatenate([sums, self.rest.T @ other]) if self.transposed else sums + self.rest @ other[self.width :]
+
+
+def fitted_field(found: DataFrame, *, sample_nodes: int = 30_000, least_nodes: int = 3, near: int = 40, seldom: float = 2.0, agree: float = 6.0) -> Field:
     """The field fitted by pseudo-likelihood on at most sample_nodes nodes, drawn by hash.
 
     seldom and agree are the priors: how much less likely each kind is than none, and how
     much likelier equal labels are on a skip link. Features that fewer than least_nodes
-    nodes have are not learned.
+    nodes have are not learned; all others of these nodes are.
     """
     rows = found.where(F.size("nodes") > 0).mapInArrow(_examples(near), _TRAINING).orderBy("place", F.xxhash64("features", "label")).limit(sample_nodes).collect()
     seen = Counter((tuple(r["features"]), r["label"], tuple(r["chain"]), tuple(r["skip"])) for r in rows)
     often = Counter(f for r in rows for f in r["features"])
-    names = [f for f, n in sorted(often.items(), key=lambda i: (-i[1], i[0])) if n >= least_nodes][:most_features]
+    names = [f for f, n in sorted(often.items(), key=lambda i: (-i[1], i[0])) if n >= least_nodes]
     size, at = len(LABELS), {f: k for k, f in enumerate(names)}
-    x = np.zeros((len(seen), len(names) + 1 + 2 * size))
-    y, n = np.zeros(len(seen), np.int64), np.zeros(len(seen))
-    for k, ((features, label, chain, skip), count) in enumerate(sorted(seen.items())):
-        x[k, [at[f] for f in features if f in at]] = 1
-        x[k, len(names) :] = (1, *chain, *skip)
-        y[k], n[k] = label, count
-    prior = np.zeros((x.shape[1], size))
+    kinds = sorted(seen.items())
+    x = Sparse([[at[f] for f in features if f in at] for (features, *_), _ in kinds], len(names), np.array([(1, *chain, *skip) for (_, _, chain, skip), _ in kinds]).reshape(len(kinds), 1 + 2 * size))
+    y, n = np.array([label for (_, label, *_), _ in kinds], np.int64), np.array([count for _, count in kinds], float)
+    prior = np.zeros((len(names) + 1 + 2 * size, size))
     prior[len(names), 1:] = -seldom
     prior[len(names) + 1 + size :] = agree * np.eye(size)
     weights = _softmax(x, y, n, prior)
@@ -322,16 +340,16 @@ def fitted_field(found: DataFrame, *, sample_nodes: int = 30_000, most_features:
     return Field({f: weights[k].tolist() for f, k in at.items()}, weights[len(names)].tolist(), chain.tolist(), skip.tolist(), near)
 
 
-def _softmax(x: np.ndarray, y: np.ndarray, n: np.ndarray, prior: np.ndarray, ridge: float = 1.0, rounds: int = 400, pace: float = 0.1) -> np.ndarray:
+def _softmax(x: np.ndarray | Sparse, y: np.ndarray, n: np.ndarray, prior: np.ndarray, ridge: float = 1.0, rounds: int = 400, pace: float = 0.1) -> np.ndarray:
     """Weights of a softmax model near their prior, by steps of adaptive length."""
     weights, mean, spread = prior.copy(), np.zeros_like(prior), np.zeros_like(prior)
     if not len(x):
         return weights
-    truth = np.eye(prior.shape[1])[y]
+    truth, turned = np.eye(prior.shape[1])[y], x.T
     for k in range(1, rounds + 1):
         logits = x @ weights
         p = np.exp(logits - _log_sum(logits, 1)[:, None])
-        slope = x.T @ ((p - truth) * n[:, None]) + ridge * (weights - prior)
+        slope = turned @ ((p - truth) * n[:, None]) + ridge * (weights - prior)
         mean, spread = 0.9 * mean + 0.1 * slope, 0.999 * spread + 0.001 * slope**2
         weights -= pace * (1 - k / (rounds + 1)) * (mean / (1 - 0.9**k)) / (np.sqrt(spread / (1 - 0.999**k)) + 1e-8)
     return weights
@@ -376,7 +394,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     doc_id keeps its row. Only doc_id and text are read; an empty table gives no rows.
     """
     found = materialise(found_nodes(docs), "pii-nodes")
-    field = docs.sparkSession.sparkContext.broadcast(fitted_field(found))  # most_features rows
+    field = docs.sparkSession.sparkContext.broadcast(fitted_field(found))  # features of sample_nodes nodes at most
     return found.mapInArrow(_labelling(field), _RESULT)
 
 

@@ -272,9 +272,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30
     return weights
 
 
-def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = 20_000, least_docs: int = 4, least_weight: float = 2.0, most_terms: int = 20_000, sample_files: int = 32) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = 20_000, least_docs: int = 4, least_weight: float = 2.0, sample_files: int = 32) -> Model:
     """Learn from at most most_rows labelled documents, drawn by hash, none of them held out.
 
+    All terms are known that at least least_docs of their toxic ones have and that weigh
+    at least least_weight; so many documents bound how many there are.
+
     Labels that are null or neither 0 nor 1 take no part. Without labelled documents of
     both kinds the model knows no terms and gives every text the share of toxic labels (a
     half if there are none).
@@ -292,7 +295,7 @@ def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = 20_000, least_
         return Model({}, {}, PRIOR, [0.0] * width, [1.0] * width, [math.log(share / (1 - share))] + [0.0] * width)
     by = rows.mapInArrow(_counts, "term binary, opening boolean, n long, toxic boolean").groupBy("term", "opening").agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("df1"), F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("df0"))
     weight = F.log((F.col("df1") + 0.5) / (n1 + 1)) - F.log((F.col("df0") + 0.5) / (n0 + 1))
-    terms = by.where(F.col("df1") >= least_docs).withColumn("weight", weight).where(F.col("weight") >= least_weight).orderBy(F.desc(F.col("weight") * F.sqrt("df1")), "term", "opening").limit(most_terms).collect()
+    terms = by.where(F.col("df1") >= least_docs).withColumn("weight", weight).where(F.col("weight") >= least_weight).orderBy(F.desc(F.col("weight") * F.sqrt("df1")), "term", "opening").collect()  # of most_rows documents
     known = ({bytes(r["term"]): r["weight"] for r in terms if not r["opening"]}, {bytes(r["term"]): r["weight"] for r in terms if r["opening"]})
 
     def sample(arcs: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
@@ -327,7 +330,7 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame
     Null and empty texts get the score of a text without matches. Only doc_id and
     text are read. An empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by most_terms
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # terms of most_rows documents
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scoring(shared, threshold), "doc_id long, held_out boolean, score double, predicted int")
 
 

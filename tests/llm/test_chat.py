@@ -43,3 +43,12 @@ def test_conversations(spark):
     assert got[1].loss_sha256 == hashlib.sha256("two<|im_end|>é😀".encode()).hexdigest() and got[1].loss_chars == 15
     assert set(got) == {1, 2, 3, None} and got[3].n_turns == 1
     assert read_back(formatted_turns(turn_records(table.where("false")))).count() == 0
+
+
+def test_nothing_said_is_lost(spark):
+    records = [{"system": "", "prompt": "Q", "response": "A"}, {"system": None, "prompt": "Q", "response": "A"}, {"messages": ["hello", {"role": "user", "content": "Q"}, None]}, {"prompt": "Q", "response": "A", "completion": "B"}, {"messages": [{"role": "user", "content": "Q"}], "answer": "A"}]
+    turns = formatted_turns(spark.createDataFrame([(k, 0, json.dumps(r)) for k, r in enumerate(records)], "conv_id long, place long, payload string"))
+    got = {}
+    for r in turns.orderBy("conv_id", "place", "step").collect():
+        got.setdefault(r.conv_id, []).append(read_turn(r.formatted))
+    assert got == {0: [("system", ""), ("user", "Q"), ("assistant", "A")], 1: [("user", "Q"), ("assistant", "A")], 2: [("", "hello"), ("user", "Q"), ("", "")], 3: [("user", "Q"), ("assistant", "A"), ("assistant", "B")], 4: [("user", "Q"), ("assistant", "A")]}

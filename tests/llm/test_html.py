@@ -77,3 +77,13 @@ def test_table(spark):
         assert got[r.page_id].text == "\n".join(b for b in blocks if b) and got[r.page_id].n_chars == len(got[r.page_id].text)
     edge = spark.createDataFrame([(1, "u", None, 0), (1, "u", None, 0), (None, None, PAGE, 0), (2, "v", "<div>" * 3000 + "deep" + "<p>x" * 20000, 0)], "page_id long, url string, html string, text int")
     assert extract(edge).count() == 4 and extract(edge.where("false")).count() == 0
+
+
+def test_stray_end_tags_take_linear_time():
+    import time
+
+    from quorumframe.llm.html import parse
+
+    page = "<div>" * 20_000 + "</p></section>" * 20_000 + "<li>x</li>" * 100 + "text"
+    began = time.perf_counter()
+    assert len(parse(page)) > 20_000 and time.perf_counter() - began < 8

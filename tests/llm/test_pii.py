@@ -129,3 +129,17 @@ def test_pseudo_likelihood_prefers_what_it_saw(spark):
     slope = x.T @ ((p - np.eye(2)[y]) * n[:, None]) + 0.01 * weights
     assert np.abs(slope).max() < 0.3 and (p[[0, 1, 2], y] > 0.9).all()
     assert (_softmax(np.zeros((0, 3)), np.zeros(0, int), np.zeros(0), np.ones((3, 2))) == 1).all()
+
+
+def test_sparse_rows_are_the_dense_matrix():
+    import numpy as np
+
+    from quorumframe.llm.pii import Sparse
+
+    draw = np.random.default_rng(3)
+    ones = [sorted(draw.choice(6, draw.integers(0, 4), replace=False).tolist()) for _ in range(9)]
+    rest, weights, slopes = draw.normal(size=(9, 3)), draw.normal(size=(9, 2)), draw.normal(size=(9, 2))
+    dense = np.concatenate([[[float(k in o) for k in range(6)] for o in ones], rest], axis=1)
+    own = Sparse(ones, 6, rest)
+    assert np.allclose(own @ weights, dense @ weights) and np.allclose(own.T @ slopes, dense.T @ slopes)
+    assert (Sparse([], 2, np.zeros((0, 3))) @ np.ones((5, 2))).shape == (0, 2)
