@@ -97,11 +97,11 @@ def test_shared_words_in_blocks(spark):
         assert matching.sharing_words(df, "id", entries, "item", least=2, block=block).count() == sum(len(set(a or ()) & set(b)) >= 2 for _, a in rows for _, b in bank)
 
 
-def test_labels_with_more_heads_than_the_bound(spark):
+def test_labels_of_more_letters_than_a_shard_holds(spark):
     texts = spark.createDataFrame([(1, "the red house and a dog"), (2, "Blue"), (3, None)], "id int, t string")
     labels = spark.createDataFrame([(1, "Red House"), (2, "dog"), (3, "blue"), (4, "house red")], "k int, label string")
-    for most in (200, 1):
-        assert {(r.id, r.k) for r in matching.contained_labels(texts, "id", "t", labels, "k", "label", most_heads=most).collect()} == {(1, 1), (1, 2), (2, 3)}
+    for letters in (20_000_000, 5):
+        assert {(r.id, r.k) for r in matching.contained_labels(texts, "id", "t", labels, "k", "label", shard_letters=letters).collect()} == {(1, 1), (1, 2), (2, 3)}
     assert matching.contained_labels(texts, "id", "t", labels.where("k > 9"), "k", "label").columns == ["id", "k", "label"]
 
 
