@@ -72,6 +72,14 @@ _PUT = rf"(?i)(?:\bse )?\b{_spelled(PUTTING)} (?:\p{{L}}+ ){{0,3}}?{_spelled(VOT
 _TELLS = rf"(?i)[,;:.]?[^,;:.]*\b{_spelled(TELLING)}\b"
 
 
+def vote_pieces(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, ord (from 1) and piece: the text after each place where something is put to the vote, as far as it tells how it went."""
+    flat = F.regexp_replace(F.coalesce(col(text), F.lit("")), r"\s+", " ")
+    pieces = F.split(flat, _PUT, -1)
+    taken = F.filter(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: p.rlike(_TELLS) & (F.size(count_labels(p)) > 0))
+    return df.select(key, F.posexplode(taken).alias("_at", "piece")).select(key, (F.col("_at") + 1).alias("ord"), "piece")
+
+
 def vote_events(df: DataFrame, key: str, text: str, *, most: int = 400) -> DataFrame:
     """key, ord (from 1), object, description, cast, favour, against, abstain, decision of each vote taken in the text.
 
@@ -81,13 +89,10 @@ def vote_events(df: DataFrame, key: str, text: str, *, most: int = 400) -> DataF
     concludes. Where the votes cast are stated, a figure that is not is zero.
     Descriptions and decisions are shown up to so many characters.
     """
-    flat = F.regexp_replace(F.coalesce(col(text), F.lit("")), r"\s+", " ")
-    pieces = F.split(flat, _PUT, -1)
-    taken = F.filter(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: p.rlike(_TELLS) & (F.size(count_labels(p)) > 0))
-    each = df.select(key, F.posexplode(taken).alias("_at", "_piece"))
+    each = vote_pieces(df, key, text).withColumnRenamed("piece", "_piece")
     told = F.split("_piece", _TELLS, 2)
     concluded = rf"(?i)\b{_spelled(CONCLUDING)}\b,? ([^.]*)"
-    each = each.select(key, (F.col("_at") + 1).alias("ord"), F.btrim(F.element_at(told, 1)).alias("_on"), F.regexp_extract(F.element_at(told, 2), concluded, 1).alias("_then"), counts("_piece").alias("_n"))
+    each = each.select(key, "ord", F.btrim(F.element_at(told, 1)).alias("_on"), F.regexp_extract(F.element_at(told, 2), concluded, 1).alias("_then"), counts("_piece").alias("_n"))
     zero = lambda k: F.coalesce(F.col(f"_n.{k}"), F.when(F.col("_n.cast").isNotNull(), F.lit(0)))
     decision = F.substring(F.btrim(F.coalesce("_then", F.lit(""))), 1, most)
     return each.select(key, "ord", vote_object("_on").alias("object"), F.substring("_on", 1, most).alias("description"), F.col("_n.cast").alias("cast"), *(zero(k).alias(k) for k in ("favour", "against", "abstain")), decision.alias("decision"))

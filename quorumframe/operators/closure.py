@@ -61,6 +61,51 @@ def _composed(first: DataFrame, second: DataFrame) -> DataFrame:
     return joined.select(F.col("a.child").alias("child"), F.col("b.parent").alias("parent")).where("child <> parent").distinct()
 
 
+def closure_change(closure: DataFrame, links: DataFrame, *, added: DataFrame | None = None, removed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new, gone): the pairs (child, parent) by which the closure of links changes when links are added and removed.
+
+    closure is that of links, as transitive_closure gives it; a link in both added and
+    removed stays or comes. What a removed link may have carried is suspected: pairs from
+    below its child to above its parent. Suspects that the other links still carry come
+    back, step by step from those whose next step is beyond suspicion; the rest is gone.
+    An added link carries all from below its child to above its parent, and several of
+    these follow each other. Only suspects and such pairs are joined and written, so the
+    work follows the change; the closure is looked up, never made again.
+    """
+    spark, schema = closure.sparkSession, closure.schema
+    none = spark.createDataFrame([], schema)
+    clean = lambda df: none if df is None else df.where("child is not null and parent is not null and child <> parent").select("child", "parent").distinct()
+    coming = materialise(clean(added), "added")
+    going = materialise(clean(removed).join(coming, ["child", "parent"], "left_anti").join(clean(links), ["child", "parent"], "left_semi"), "removed")
+    kept = clean(links).join(going, ["child", "parent"], "left_anti")
+    suspects = materialise(_carried(going, closure), "suspects")
+    gone = none
+    if not suspects.isEmpty():
+        sure = closure.join(suspects, ["child", "parent"], "left_anti")
+        steps = materialise(kept.alias("k").join(suspects.select("child").distinct(), "child", "left_semi"), "steps")  # links that lead on from suspects
+        onward = materialise(suspects.select("child", F.col("parent").alias("end")).join(steps, "child").select("child", F.col("parent").alias("via"), "end"), "onward")
+        beyond = sure.select(F.col("child").alias("via"), F.col("parent").alias("end"))
+        back = onward.where("via = end").select("child", "end").unionByName(onward.join(beyond, ["via", "end"], "left_semi").select("child", "end")).distinct()
+        back = fresh = materialise(back, "back")
+        while not fresh.isEmpty():
+            reached = onward.join(fresh.select(F.col("child").alias("via"), "end"), ["via", "end"], "left_semi").select("child", "end").distinct()
+            fresh = materialise(reached.join(back, ["child", "end"], "left_anti"), "fresh")
+            back = materialise(back.unionByName(fresh), "back")
+        gone = materialise(suspects.join(back.withColumnRenamed("end", "parent"), ["child", "parent"], "left_anti"), "gone")
+    left = closure.join(gone, ["child", "parent"], "left_anti")
+    carried = materialise(_carried(coming, left), "carried")
+    new = none if carried.isEmpty() else materialise(_closure_by_rounds(carried).join(left, ["child", "parent"], "left_anti"), "new")
+    # what goes and comes back by way of another link has not changed
+    return new.join(gone, ["child", "parent"], "left_anti"), gone.join(new, ["child", "parent"], "left_anti")
+
+
+def _carried(links: DataFrame, closure: DataFrame) -> DataFrame:
+    """Pairs from a link's child, or what is below it, to its parent, or what is above it."""
+    below = links.unionByName(closure.select(F.col("child").alias("_x"), F.col("parent").alias("child")).join(links, "child").select(F.col("_x").alias("child"), "parent")).distinct()
+    above = below.unionByName(below.join(closure.select(F.col("child").alias("parent"), F.col("parent").alias("_y")), "parent").select("child", F.col("_y").alias("parent")))
+    return above.where("child <> parent").distinct()
+
+
 def chained(first: DataFrame, second: DataFrame, by: str) -> DataFrame:
     """The composition of two relations (a, by) and (by, c), each pair once."""
     return first.join(second, by).drop(by).distinct()

@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from quorumframe.functions import agenda as A
 from quorumframe.functions import minutes as M
 from quorumframe.functions.submitters import submitting_group
-from quorumframe.functions.text import short_id
+from quorumframe.functions.text import folded, short_id
 from quorumframe.functions.votes import result_text, vote_events
 from quorumframe.operators.groups import decisive
 from quorumframe.operators.joins import patched
+from quorumframe.operators.matching import places_in
+from quorumframe.plans.census import groups_named
 from quorumframe.plans.facts import Facts
+from quorumframe.plans.nominal import group_votes, person_votes
+from quorumframe.storage import materialise
 
 
 def sessions(texts: DataFrame) -> DataFrame:
@@ -51,18 +55,46 @@ def votes(points: DataFrame) -> DataFrame:
 
 
 def speeches(points: DataFrame) -> DataFrame:
-    """speech_id, point_id, ord, speaker (a key) and text of each speech on a point."""
+    """speech_id, point_id, ord, speaker (a key), surname (as the label has it, null for an office) and text of each speech on a point."""
     said = M.speeches(points, "point_id", "text")
-    return said.select(short_id("point_id", "ord", method="sha1").alias("speech_id"), "point_id", "ord", M.speaker_key("speaker").alias("speaker"), "text")
-
-
-def facts_of(texts: DataFrame, corrections: DataFrame | None = None) -> Facts:
-    """The typed tables of raw minutes (file, text), for questions to be asked of; tables that need other sources are not there."""
-    read = typed_points(agenda_points(texts), corrections)
-    held = read.select("point_id", "session_date", "year", "month", "title", "point_type", "group_id", F.lit(None).cast("string").alias("person_id"), F.lit(None).cast("string").alias("place_id"), "result", "amount")
-    return Facts(
-        point=held,
-        vote=lambda: votes(read).select("point_id", "ord", F.lit(None).cast("string").alias("group_id"), F.col("decision").alias("direction"), "is_decisive"),
-        speech=lambda: speeches(read).select("speech_id", "point_id", "ord", "speaker", F.lit(None).cast("string").alias("group_id"), F.col("text").alias("summary")),
-        session=lambda: sessions(texts).select("session_date", "type"),
-    )
+    bare = F.btrim(F.regexp_replace("speaker", r"^(?:SRES?\.|SRA\.|SR\.) | (?:AND|JN)\.?$", ""))
+    key = M.speaker_key("speaker")
+    return said.select(short_id("point_id", "ord", method="sha1").alias("speech_id"), "point_id", "ord", key.alias("speaker"), F.when(~key.isin("alcalde", "secretario"), bare).alias("surname"), "text")
+
+
+def facts_of(texts: DataFrame, corrections: DataFrame | None = None, *, people: DataFrame | None = None, places: DataFrame | None = None) -> Facts:
+    """The typed tables of raw minutes (file, text), for questions to be asked of.
+
+    With people, a census, votes have a row for each group whose members voted by name,
+    and speeches the group of their speaker at the date. With places (place_id, name)
+    points have the first place that their title names. Without them these are null.
+    """
+    points = agenda_points(texts)
+    read = typed_points(points, corrections)
+    own = ["point_id", "session_date", "year", "month", "title", "point_type", "group_id"]
+    if places is None:
+        placed = read.withColumn("place_id", F.lit(None).cast("string"))
+    else:
+        found = places_in(read.dropDuplicates(["point_id"]), "point_id", "title", places).groupBy("point_id").agg(F.min("place_id").cast("string").alias("place_id"))
+        placed = read.join(found, "point_id", "left")
+    held = placed.select(*own, F.lit(None).cast("string").alias("person_id"), "place_id", "result", "amount")
+
+    def vote_rows() -> DataFrame:
+        taken = votes(read)
+        nobody = taken.select("point_id", "ord", F.lit(None).cast("string").alias("group_id"), F.col("decision").alias("direction"), "is_decisive")
+        if people is None:
+            return nobody
+        taken = materialise(taken, "votes")
+        by_group = group_votes(person_votes(read, taken, people)).select("point_id", "ord", F.col("group").alias("group_id"), "direction")
+        named = by_group.join(taken.select("point_id", "ord", "is_decisive"), ["point_id", "ord"]).select("point_id", "ord", "group_id", "direction", "is_decisive")
+        return named.unionByName(nobody.join(by_group.select("point_id", "ord").distinct(), ["point_id", "ord"], "left_anti"))
+
+    def speech_rows() -> DataFrame:
+        said = speeches(read)
+        if people is None:
+            return said.select("speech_id", "point_id", "ord", "speaker", F.lit(None).cast("string").alias("group_id"), F.col("text").alias("summary"))
+        dated = said.join(read.groupBy("point_id").agg(F.min("session_date").alias("date")), "point_id").withColumn("_name", F.upper(folded("surname")))
+        groups = groups_named(dated.where("surname is not null").select("surname", "date"), people).select(F.col("surname").alias("_name"), "date", F.col("group").alias("group_id"))
+        return dated.join(groups, ["_name", "date"], "left").select("speech_id", "point_id", "ord", "speaker", "group_id", F.col("text").alias("summary"))
+
+    return Facts(point=held, vote=vote_rows, speech=speech_rows, session=lambda: sessions(texts).select("session_date", "type"))
