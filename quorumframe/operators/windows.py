@@ -129,17 +129,18 @@ def common_cap(df: DataFrame, partition: Keys, length: str, budget: int, low: in
     return part.select(*partition, F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce("cap", F.lit(high)))).cast("long").alias("cap"))
 
 
-def rarest(df: DataFrame, items: str, owner: str, *, most_share: float, per_owner: int) -> DataFrame:
+def rarest(df: DataFrame, items: str, owner: str, *, most_share: float, per_owner: int, most_common_items: int = 200_000) -> DataFrame:
     """owner, item, df: of each owner the rarest of its items (an array of distinct ones) that at most most_share of all owners have.
 
     Owners are unique and few of their items are common, so the arrays are written down
     once: counting, and looking the counts up, read them and not the texts they are from.
-    Items that more owners have never leave their row for the join; there are at most as
-    many of them as an owner has items on average, divided by most_share.
+    Items that more owners have never leave their row for the join, as long as there are
+    at most most_common_items of them.
     """
     held = materialise(df.select(owner, F.col(items).alias("_items")), "items")
     owners = held.where(F.size("_items") > 0).count()
     counts = materialise(held.select(F.explode("_items").alias("item")).groupBy("item").agg(F.count("*").alias("df")), "counts")
     common = counts.where(F.col("df") > most_share * owners).select("item")
-    pairs = held.select(owner, F.explode("_items").alias("item")).join(F.broadcast(common), "item", "left_anti")
+    few = common.limit(most_common_items + 1).count() <= most_common_items
+    pairs = held.select(owner, F.explode("_items").alias("item")).join(F.broadcast(common) if few else common, "item", "left_anti")
     return newest(pairs.join(counts, "item"), [owner], ["df", F.desc(F.length("item")), "item"], per_owner)

@@ -26,7 +26,7 @@ _ARTICLES = ("el", "la", "los", "las", "lo", "un", "una", "en", "con", "sobre")
 
 def subject_phrase(question: Column | str) -> Column:
     """The words of a question that say what it is about, folded; null if it says so of nothing."""
-    told = F.regexp_extract(folded(question), rf"\b{any_of(INTRODUCING)} ([^?.,;:]+)", 2)
+    told = F.regexp_extract(folded(question), rf"\b{any_of(INTRODUCING)}l? ([^?.,;:]+)", 2)  # "del", "al"
     said = F.split(F.btrim(told), " ")
     # up to the first word that ends it, or a year with what leads to it
     stops = F.transform(said, lambda w, k: F.when(w.isin(*ENDING) | w.rlike(r"^(19|20)\d\d$"), k))

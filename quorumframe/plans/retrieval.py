@@ -113,7 +113,7 @@ def about(fragments: DataFrame, *, themes: Sequence[str] = (), dates: DataFrame
     if themes:
         fragments = fragments.where(F.col("theme").isin(*themes) | F.arrays_overlap("themes", F.array(*map(F.lit, themes))))
     if dates is not None:
-        fragments = fragments.join(F.broadcast(dates.select(F.col("session_date").alias("_day")).distinct()), F.col("date") == F.col("_day"), "left_semi")  # distinct days
+        fragments = fragments.join(dates.select(F.col("session_date").alias("_day")).distinct(), F.col("date") == F.col("_day"), "left_semi")
     if party is not None:
         fragments = filter_unless_few(fragments, F.coalesce(F.col("party") == party, F.lit(False)), least)
     if topics_:
@@ -126,9 +126,9 @@ def about(fragments: DataFrame, *, themes: Sequence[str] = (), dates: DataFrame
 
 def debates(fragments: DataFrame, chosen: DataFrame, *, most: int = 15) -> DataFrame:
     """frag_id of all fragments of the debates (date, topic, source) that the chosen fragments (frag_id, place) are from; the first chosen ones alone if they are of none."""
-    met = fragments.join(F.broadcast(chosen.select("frag_id")), "frag_id", "left_semi")  # chosen is cut to a budget
+    met = fragments.join(chosen.select("frag_id"), "frag_id", "left_semi")
     own = met.where("topic is not null").select("date", "topic", "source").distinct()
-    whole = fragments.join(F.broadcast(own), ["date", "topic", "source"], "left_semi").select("frag_id")
+    whole = fragments.join(own, ["date", "topic", "source"], "left_semi").select("frag_id")
     alone = met.where("topic is null").join(chosen, "frag_id").orderBy("place").limit(most).select("frag_id")
     return whole.unionByName(alone).distinct()
 
@@ -146,7 +146,7 @@ def context(fragments: DataFrame, chosen: DataFrame, *, budget: int = 20_000, ca
     first, in the order of their leads; the others follow, oldest first.
     """
     lead = F.col("lead") if "lead" in chosen.columns else F.lit(None).cast("int")
-    own = fragments.join(F.broadcast(chosen.select("frag_id", lead.alias("_lead"))), "frag_id")  # as many as a question has candidates
+    own = fragments.join(chosen.select("frag_id", lead.alias("_lead")), "frag_id")
     piece = F.struct("chunk_index", "text")
     blocks = own.groupBy("date", "topic", "source").agg(F.min("_lead").alias("_lead"), F.array_sort(F.collect_list(piece)).alias("pieces"), F.min_by("vote_result", F.when(F.col("vote_result").isNotNull(), F.col("chunk_index"))).alias("vote_result"))
     text = F.substring(F.array_join(F.transform("pieces", lambda p: p["text"]), "\n"), 1, cap)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quorumframe.functions import passages, questions
@@ -228,15 +229,25 @@ def subject_or_theme(spark, folder):
 
 @query(
     "ambiguous_places",
-    """WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'obras en San Pedro y en la Peña' WHEN 1 THEN 'una peña de amigos' WHEN 2 THEN 'Peña de San  PEDRO' ELSE 'nada' END AS k FROM part)
-SELECT p_partkey, place_id FROM t JOIN (VALUES ('obras en San Pedro y en la Peña', 1), ('obras en San Pedro y en la Peña', 2), ('Peña de San  PEDRO', 1)) AS v(k, place_id) USING (k)""",
+    """WITH p AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, p_size % 3 AS k FROM part),
+place AS (SELECT row_number() OVER (ORDER BY name) AS place_id, name FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part)),
+held AS (
+  SELECT p_partkey, a AS name, k = 0 AS written FROM p UNION ALL
+  SELECT p_partkey, b, k = 1 FROM p)
+SELECT DISTINCT p_partkey, place_id FROM held JOIN place USING (name) WHERE written OR name NOT IN ('red', 'blue', 'new', 'bolt', 'ring', 'rod')""",
 )
 def ambiguous_places(spark, folder):
-    """Places in texts, one of which has a common word for a name."""
-    text = F.when(F.col("p_partkey") % 4 == 0, "obras en San Pedro y en la Peña").when(F.col("p_partkey") % 4 == 1, "una peña de amigos").when(F.col("p_partkey") % 4 == 2, "Peña de San  PEDRO").otherwise("nada")
-    texts = read(spark, folder, "part").select("p_partkey", text.alias("text"))
-    places = spark.createDataFrame([(1, "San Pedro"), (2, "Peña")], "place_id int, name string")
-    return matching.places_in(texts, "p_partkey", "text", places, capitals=["pena"])
+    """The words of all names of parts are places; some are common words as well, and count where a text writes them with a capital within a sentence."""
+    a, b, kind = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2)), F.col("p_size") % 3
+    text = (
+        F.when(kind == 0, F.concat(F.lit("Obras en "), F.initcap(a), F.lit(" y en la "), b))
+        .when(kind == 1, F.concat(F.initcap(a), F.lit(" es, según "), F.initcap(b), F.lit(", lo mismo")))  # a capital that opens the sentence
+        .otherwise(F.concat(F.lit("una "), a, F.lit(" de "), b))
+    )
+    parts = read(spark, folder, "part")
+    names = parts.select(F.explode(F.split("p_name", " ")).alias("name")).distinct()
+    places = names.select(F.row_number().over(Window.orderBy("name")).cast("long").alias("place_id"), F.initcap("name").alias("name"))  # words of names
+    return matching.places_in(parts.select("p_partkey", text.alias("text")), "p_partkey", "text", places, capitals=["red", "blue", "new", "bolt", "ring", "rod"])
 
 
 @query(
