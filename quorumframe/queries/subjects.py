@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quorumframe.functions.text import stem, words
+from quorumframe.operators.alignment import aligned
 from quorumframe.plans import relaxation
 from quorumframe.registry import query, read
 from quorumframe.storage import spread
@@ -75,3 +76,15 @@ def subject_alternatives(spark, folder):
     )
     asked = read(spark, folder, "part").select(F.col("p_partkey").alias("question_id"), relaxation.alternatives(relaxation.subject_phrase(text)).alias("x"))
     return asked.select("question_id", F.array_join(F.transform("x", lambda ws: F.array_join(ws, " ")), "|").alias("said"))
+
+
+@query(
+    "aligned_turns",
+    """WITH t AS (SELECT conv_id, turn, len(regexp_extract_all(lower(translate(text, 'áéíóúñ', 'aeioun')), '[a-z]+')) > 0 AS worded FROM conversations)
+SELECT conv_id, count(CASE WHEN worded AND turn % 3 <> 1 THEN 1 END) AS matched, count(*) - count(CASE WHEN worded AND turn % 3 <> 1 THEN 1 END) AS recovered, CAST(count(CASE WHEN worded AND turn % 3 <> 1 THEN 1 END) AS DOUBLE) AS score FROM t GROUP BY 1""",
+)
+def aligned_turns(spark, folder):
+    """Conversations against themselves without every third turn: what is there is matched whole, the rest is placed between."""
+    turns = spread(read(spark, folder, "conversations").select("conv_id", F.col("turn").alias("at"), F.array_distinct(words("text")).alias("words")))
+    met = aligned(turns, turns.where("at % 3 <> 1"), "conv_id")
+    return met.groupBy("conv_id").agg(F.count("other").alias("matched"), F.count_if(F.col("other").isNull()).alias("recovered"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("score"))

@@ -25,7 +25,7 @@ def test_counts_of_all_points_read_keys_only(spark):
 
 def test_relational_queries_run_without_python(spark):
     with_python = {name for name in own.QUERIES if re.search("Python|Arrow|Pandas", _plan(spark, name))}
-    assert with_python <= {"knn_topk", "knn_threshold", "prototype_match", "retrieve_context", "chunk_overlap", "jaccard_topk", "token_overlap_match", "sources_to_blocks", "gazetteer_hits", "theme_of_label", "labels_from_texts", "question_themes", "ambiguous_places"}
+    assert with_python <= {"knn_topk", "knn_threshold", "prototype_match", "retrieve_context", "chunk_overlap", "jaccard_topk", "token_overlap_match", "sources_to_blocks", "gazetteer_hits", "theme_of_label", "labels_from_texts", "question_themes", "ambiguous_places", "aligned_turns"}
 
 
 def test_ratios_take_one_pass(spark):
