@@ -31,8 +31,10 @@ def document_index(spark, folder) -> PostingsIndex:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _INDEXES:
         _INDEXES[key] = PostingsIndex(spark, new_path(spark, "document-index"))
-    _INDEXES[key].append(texts(spark, folder), "doc_id", "text")
-    return _INDEXES[key]
+    index = _INDEXES[key]
+    if not read(spark, folder, "documents").select(F.col("doc_id").alias("doc")).join(index.docs.select("doc"), "doc", "left_anti").isEmpty():  # numbers only
+        index.append(texts(spark, folder), "doc_id", "text")
+    return index
 
 
 _TOKENS = f"tokens AS (SELECT DISTINCT doc_id, unnest({_words()}) AS w FROM documents), items AS (SELECT DISTINCT item_id, unnest({_words()}) AS w FROM benchmark)"
