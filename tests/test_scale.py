@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quorumframe.operators import automaton, joins, matching, similar, vectors
+from quorumframe.operators import automaton, joins, matching, similar, skew, vectors
 from quorumframe.plans.census import census
 
 
@@ -126,3 +126,17 @@ def test_labels_that_many_texts_hold(spark):
     texts = spark.range(2000).select(F.col("id").alias("doc"), F.lit("the same words in each text").alias("text"))
     labels = spark.createDataFrame([(1, "same words"), (2, "each"), (3, "words the")], "place int, name string")
     assert {(r.place, r["count"]) for r in automaton.labels_in(texts, "doc", "text", labels, "place", "name").groupBy("place").count().collect()} == {(1, 2000), (2, 2000)}
+
+
+def test_rows_of_hot_keys_are_dealt_over_tasks(spark):
+    draw = random.Random(4)
+    rows = [(draw.choice([7, 7, 7, None, *range(40)]), k) for k in range(4000)]
+    facts = [(k, f"f{k}{c}") for k in range(30) for c in "ab"]  # two facts a key, some keys without
+    table = spark.createDataFrame(rows, "key int, id int")
+    hot = skew.hot_keys(table, "key", most=100)
+    assert {r.key for r in hot.collect()} == {7, *(k for k in (None, *range(40)) if sum(r[0] == k for r in rows) > 100)}
+    got = skew.salted_join(table, spark.createDataFrame(facts, "key int, fact string"), "key", hot, ["id"])
+    assert sorted((r.key, r.id, r.fact) for r in got.collect()) == sorted((k, i, f) for k, i in rows for g, f in facts if g == k)
+    most = max(r["salts"] for r in hot.collect())
+    assert most >= 2 and skew.hot_keys(table, "key", most=4000) is None
+    assert skew.salted_join(table, spark.createDataFrame(facts, "key int, fact string"), "key", None, ["id"]).count() == got.count()
