@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,8 +133,13 @@ def safe_name(c: Column | str) -> Column:
     return F.btrim(F.regexp_replace(F.col(c) if isinstance(c, str) else c, r'[\\/*?:"<>|]+', ""))
 
 
-def triples(table: DataFrame, subject: str, kind: str, base: str) -> DataFrame:
-    """One N-Triples line for the class of each row and for each of its values that is not null."""
+def triples(table: DataFrame, subject: str, kind: str, base: str, links: Mapping[str, str] | None = None) -> DataFrame:
+    """One N-Triples line, which is Turtle too, for the class of each row and for each of its values that is not null.
+
+    links names the columns that hold keys of other rows, with the kind of those rows:
+    such a value is written as what it leads to, an array of keys as one line for each.
+    """
+    links = dict(links or {})
     uri = lambda c: F.concat(F.lit(f"<{base}{kind}/"), F.col(c).cast("string"), F.lit(">"))
 
     def literal(field: StructField) -> Column:
@@ -144,13 +150,25 @@ def triples(table: DataFrame, subject: str, kind: str, base: str) -> DataFrame:
         return F.concat(F.lit('"'), escaped, F.lit('"' if name is None else f'"^^<http://www.w3.org/2001/XMLSchema#{name}>'))
 
     lines = [F.concat(uri(subject), F.lit(f" <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <{base}{kind}> ."))]
-    lines += [F.when(F.col(f.name).isNotNull(), F.concat(uri(subject), F.lit(f" <{base}{f.name}> "), literal(f), F.lit(" ."))) for f in table.schema if f.name != subject]
-    return table.select(F.explode(F.array_compact(F.array(*lines))).alias("value"))
+    said = lambda c, value: F.concat(uri(subject), F.lit(f" <{base}{c}> "), value, F.lit(" ."))
+    lines += [F.when(F.col(f.name).isNotNull(), said(f.name, literal(f))) for f in table.schema if f.name != subject and f.name not in links]
+    arrays = [F.array(*lines)]
+    for c, other in links.items():
+        keys = F.col(c) if table.schema[c].dataType.typeName() == "array" else F.array(c)
+        led = F.transform(keys, lambda k: said(c, F.concat(F.lit(f"<{base}{other}/"), k.cast("string"), F.lit(">"))))  # noqa: B023
+        arrays.append(F.coalesce(led, F.array().cast("array<string>")))
+    return table.select(F.explode(F.array_compact(F.concat(*arrays))).alias("value"))
 
 
 _TRIPLE = r"""^\s*<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z-]+)|\^\^<([^>]*)>)?)\s*\.\s*$"""
 
 
+def _unescaped(c: Column) -> Column:
+    for written, meant in (("\\\\", "\0"), ('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\0", "\\")):
+        c = F.replace(c, F.lit(written), F.lit(meant))
+    return c
+
+
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
     """subject, predicate, object (a URI) or literal with lang and type, one row per line of N-Triples; comments and blank lines go.
 
@@ -159,11 +177,85 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#|$)"))
     part = lambda k: F.regexp_extract("value", _TRIPLE, k)
     given = lambda k: F.when(part(k) != "", part(k))
-    raw = F.replace(F.replace(F.replace(F.replace(F.replace(part(4), F.lit("\\\\"), F.lit("\0")), F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")), F.lit("\0"), F.lit("\\"))
+    raw = _unescaped(part(4))
     fits = F.col("value").rlike(_TRIPLE)
     return lines.select(given(1).alias("subject"), given(2).alias("predicate"), given(3).alias("object"), F.when(fits & (part(3) == ""), raw).alias("literal"), given(5).alias("lang"), given(6).alias("type"), F.when(~fits, F.col("value")).alias("malformed"))
 
 
+# What a Turtle statement is made of: URIs, literals with a language or type, numbers and truth values, short names, "a", and signs, comments.
+_URI, _SHORT = r"<[^<>\s]*>", r"(?:[\pL\pN_-][\pL\pN_.-]*)?:(?:[\pL\pN_:%-](?:[\pL\pN_:%.-]*[\pL\pN_:%-])?)?"
+_QUOTED = rf"""(?:\"\"\"(?s:.*?)(?<!\\)\"\"\"|"(?:[^"\\\n]|\\.)*")(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^(?:{_URI}|{_SHORT}))?"""
+_TOKEN = rf"""{_QUOTED}|{_URI}|@?(?i:prefix|base)(?=\s)|{_SHORT}|[+-]?[0-9]+(?:\.[0-9]+)?(?![\pL\pN])|\b(?:a|true|false)(?![\pL\pN:_-])|[;,.]|#[^\n]*"""
+
+
+def read_turtle(spark: SparkSession, path: str, *, line_end: str = "\n") -> DataFrame:
+    """subject, predicate, object (a URI) or literal with lang and type, as read_triples gives them, from Turtle.
+
+    Statements, not lines, are the records, so a large file is read in parts: it is cut
+    where a dot ends a line. A literal that goes on over such an end, blank nodes, lists and
+    a base are not read; what holds them is kept whole in malformed. Short names take the
+    prefixes of all files of the path (some rows, brought to the driver), which must agree;
+    one without a prefix that is declared is malformed too.
+    """
+    cut = spark.read.option("lineSep", "." + line_end).text(path)
+    tokens = F.filter(F.regexp_extract_all("value", F.lit(_TOKEN), 0), lambda t: ~t.startswith("#"))
+    whole = F.regexp_replace(F.regexp_replace("value", _TOKEN, ""), r"\s+", "") == ""
+    records = cut.select("value", tokens.alias("t"), whole.alias("whole")).where((F.size("t") > 0) | ~F.col("whole"))
+    # a declaration of its own: its word, a prefix, a URI, and the dot if it was not cut off
+    declares = F.lower(F.try_element_at("t", F.lit(1))).isin("@prefix", "prefix") & F.col("whole") & F.col("t")[2].startswith("<") & ((F.size("t") == 3) | ((F.size("t") == 4) & (F.element_at("t", -1) == ".")))
+    declares = F.coalesce(declares, F.lit(False))
+    found = records.where(declares).select(F.col("t")[1].alias("prefix"), F.regexp_extract(F.col("t")[2], "^<(.*)>$", 1).alias("uri")).distinct().collect()
+    known = dict(sorted(map(tuple, found)))
+    if len(known) < len(found):
+        raise ValueError("a prefix has several meanings in these files: read them one by one")
+    prefixes = F.create_map(*(F.lit(x) for pair in known.items() for x in pair)) if known else F.create_map().cast("map<string,string>")
+
+    def long(token: Column) -> Column:
+        """The URI of a token; null if it is none, or a short name without a known prefix."""
+        head = F.concat(F.substring_index(token, ":", 1), F.lit(":"))
+        rest = F.substring(token, F.length(head) + 1, F.length(token))
+        named = F.concat(F.try_element_at(prefixes, head), rest)
+        return F.when(token == "a", F.lit("http://www.w3.org/1999/02/22-rdf-syntax-ns#type")).when(token.startswith("<"), F.regexp_extract(token, "^<(.*)>$", 1)).when(token.rlike(f"^{_SHORT}$"), named)
+
+    # one pass over the tokens of a statement: s and p are what is being said of what, out what has been said
+    empty = F.lit(None).cast("string")
+    start = F.struct(empty.alias("s"), empty.alias("p"), F.array().cast("array<struct<s:string,p:string,o:string>>").alias("out"))
+
+    def step(state: Column, token: Column) -> Column:
+        more = F.concat(state["out"], F.array(F.struct(state["s"].alias("s"), state["p"].alias("p"), token.alias("o"))))
+        of = lambda s, p, out: F.struct(s.alias("s"), p.alias("p"), out.alias("out"))
+        return (
+            F.when(token == ".", of(empty, empty, state["out"]))
+            .when(token == ";", of(state["s"], empty, state["out"]))
+            .when(token == ",", state)
+            .when(state["s"].isNull(), of(token, empty, state["out"]))
+            .when(state["p"].isNull(), of(state["s"], token, state["out"]))
+            .otherwise(of(state["s"], state["p"], more))
+        )
+
+    directive = F.col("t")[0].rlike("^@|^(?i:prefix|base)$")  # left over: one that is not read
+    said = F.aggregate(F.when(F.col("whole") & ~directive, F.col("t")).otherwise(F.array().cast("array<string>")), start, step)["out"]
+    rows = records.where(~declares).select("value", said.alias("out"))
+    each = rows.select("value", F.explode_outer("out").alias("e")).select("value", long(F.col("e.s")).alias("subject"), long(F.col("e.p")).alias("predicate"), F.col("e.o").alias("o"))
+    quoted = F.col("o").startswith('"')
+    body = F.when(F.col("o").startswith('"""'), F.regexp_extract("o", r'^"""((?s:.*?))(?<!\\)"""', 1)).otherwise(F.regexp_extract("o", r'^"((?:[^"\\]|\\.)*)"', 1))
+    kind = F.regexp_extract("o", r'"\^\^([^"]+)$', 1)
+    plain = F.col("o").rlike(r"^(?:[+-]?[0-9][0-9.]*|true|false)$")
+    # Names of types of XML Schema.
+    own = F.concat(F.lit("http://www.w3.org/2001/XMLSchema#"), F.when(F.col("o").isin("true", "false"), "boolean").when(F.col("o").contains("."), "decimal").otherwise("integer"))
+    lang = F.regexp_extract("o", r'"@([A-Za-z0-9-]+)$', 1)
+    made = each.select(
+        "value", "subject", "predicate",
+        F.when(~quoted & ~plain, long(F.col("o"))).alias("object"),
+        F.when(quoted, _unescaped(body)).when(plain, F.col("o")).alias("literal"),
+        F.when(quoted & (lang != ""), lang).alias("lang"),
+        F.when(plain, own).when(quoted & (kind != ""), long(kind)).alias("type"),
+    )
+    fits = F.col("subject").isNotNull() & F.col("predicate").isNotNull() & (F.col("object").isNotNull() | F.col("literal").isNotNull())
+    given = [F.when(fits, F.col(c)).alias(c) for c in ("subject", "predicate", "object", "literal", "lang", "type")]
+    return made.select(*given, F.when(~fits, F.col("value")).alias("malformed"))
+
+
 def read_taxonomy(triples_: DataFrame) -> DataFrame:
     """theme_id, label, parent_id and alternatives of the concepts of a SKOS vocabulary; a concept with several broader ones has a row for each.
 
