@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quorumframe.functions.minutes import entity
 from quorumframe.operators import similar
 from quorumframe.registry import query, read
 
@@ -43,3 +44,29 @@ def fused_names(spark, folder):
         for where, key, n in forms:
             spelled = spelled.unionByName(base.where(where).select("id", key.alias("key"), F.lit(n).alias("n")))
     return similar.fused(spelled)
+
+
+@query(
+    "entities_named",
+    """WITH m AS (SELECT p_partkey % 6 AS m, p_name, p_size FROM part),
+e AS (SELECT CASE m WHEN 0 THEN upper(p_name) || ' ' || p_size || ', S.A.' WHEN 2 THEN 'Dona  ' || p_name WHEN 3 THEN p_name || ', S. Coop., S.L.' ELSE p_name END AS said,
+  CASE m WHEN 0 THEN 'organizacion' WHEN 2 THEN 'persona' WHEN 3 THEN 'organizacion' ELSE 'entidad' END AS kind,
+  CASE m WHEN 0 THEN replace(p_name, ' ', '_') || '_' || p_size WHEN 2 THEN 'dona_' || replace(p_name, ' ', '_') ELSE replace(p_name, ' ', '_') END AS key FROM m WHERE m IN (0, 2, 3, 4))
+SELECT key, kind, replace(min(said), '  ', ' ') AS label, count(*) AS n FROM e GROUP BY 1, 2""",
+)
+def entities_named(spark, folder):
+    """Part names as companies, people, institutions, plans and junk: one row for each that is an entity, whatever its legal form or accents."""
+    name, turn = F.col("p_name"), F.col("p_partkey") % 6
+    forms = [
+        (F.concat(F.upper(name), F.lit(" "), F.col("p_size"), F.lit(", S.A.")), "Empresa"),
+        (F.concat(F.lit("El Sr. "), F.substring_index(name, " ", 1)), "Concejal"),  # a speaker
+        (F.concat(F.lit("Doña  "), name), " Persona "),
+        (F.concat(name, F.lit(", S. Coop., S.L.")), "institución"),
+        (name, None),
+        (F.lit("el Grupo"), "organización"),
+    ]
+    said, kind = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, (form, called) in enumerate(forms):
+        said, kind = F.when(turn == k, form).otherwise(said), F.when(turn == k, F.lit(called)).otherwise(kind)
+    found = read(spark, folder, "part").select(said.alias("said"), kind.alias("called")).select(entity("said", "called").alias("e")).where("e is not null").select("e.*")
+    return found.groupBy("key", "kind").agg(F.min("label").alias("label"), F.count("*").alias("n"))

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quorumframe.functions import minutes as M
 from quorumframe.functions import submitters as S
 from quorumframe.functions import votes as V
 
@@ -47,3 +48,14 @@ def test_vote_events(spark):
     rows = V.vote_events(spark.createDataFrame([("a", text), ("b", "nada"), ("c", None)], "k string, t string"), "k", "t").orderBy("ord").collect()
     assert [(r.k, r.ord, r.object, r.cast, r.favour, r.against, r.abstain) for r in rows] == [("a", 1, "enmienda", 28, 21, 7, 0), ("a", 2, "punto", 3, 0, 0, 0)]
     assert rows[0].decision == "queda aceptada la enmienda" and rows[1].description == "la proposición presentada por Y"
+
+
+def test_entities_with_their_kind(spark):
+    rows = [
+        ("Bilbao Kirolak,  S.A.U.", "EMPRESA", ("Bilbao Kirolak, S.A.U.", "organizacion", "bilbao_kirolak")), ("Ría", "barrio", None), ("Rekalde", " Barrio", ("Rekalde", "lugar", "rekalde")),
+        ("Sr. Basagoiti", "persona", None), ("La señora Gil Paz", "Concejala", ("La senora Gil Paz", "persona", "la_senora_gil_paz")), ("Dolores Ibarruri", "persona", ("Dolores Ibarruri", "persona", "dolores_ibarruri")),
+        ("los servicios", "x", None), ("Plan General", None, ("Plan General", "entidad", "plan_general")), (None, "persona", None), ("", None, None), ("A. B.", "lugar", None),
+    ]
+    df = spark.createDataFrame([(k, n, t) for k, (n, t, _) in enumerate(rows)], "k int, name string, kind string")
+    got = {r.k: r.e and tuple(r.e) for r in df.select("k", M.entity("name", "kind").alias("e")).collect()}
+    assert got == {k: e for k, (_, _, e) in enumerate(rows)}
