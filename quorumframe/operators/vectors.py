@@ -104,4 +104,5 @@ def assign_prototypes(vectors: DataFrame, prototypes: DataFrame, *, least: float
     if len(rows) > most_prototypes:
         raise ValueError(f"more than {most_prototypes} prototypes")
     block = vectors.sparkSession.sparkContext.broadcast(([str(r["name"]) for r in rows], _matrices([r["embedding"] for r in rows])))
-    return vectors.select("vec_id", "embedding").mapInArrow(_assigning(block, least), "vec_id long, prototype string, score double")
+    schema = vectors.select("vec_id").schema.add("prototype", "string").add("score", "double")
+    return vectors.select("vec_id", "embedding").mapInArrow(_assigning(block, least), schema)

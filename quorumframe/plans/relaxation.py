@@ -15,6 +15,7 @@ from quorumframe.functions.decisions import any_of
 from quorumframe.functions.questions import QUESTION_WORDS
 from quorumframe.functions.text import bound, col, folded, stem, words
 from quorumframe.operators.skew import hot_join
+from quorumframe.operators.vectors import assign_prototypes
 from quorumframe.storage import materialise
 
 #: Folded words that a subject follows, what ends it, and what joins its alternatives.
@@ -128,3 +129,35 @@ def subject_exists(subjects: DataFrame, fields: DataFrame) -> DataFrame:
     """question_id, step: whether anything is found by all words (0) or by the specific ones (1); null if not."""
     found = relaxed_hits(subjects, fields, last_step=1).select("question_id", "step").distinct()
     return subjects.select("question_id").distinct().join(found, "question_id", "left")
+
+
+def known_themes(asked: DataFrame, themes: DataFrame, *, vectors: DataFrame | None = None, prototypes: DataFrame | None = None, least: float = 0.70, most_themes: int = 10_000) -> DataFrame:
+    """slug, theme_id and by ("text", "meaning" or null) for each slug of asked: the theme that a name which is none may mean.
+
+    By text: the longest slug of themes (theme_id, slug) that stands within the name, or
+    else that the name begins, separators apart; of equally long ones the first. What text
+    leaves open goes by meaning, where vectors (slug, embedding) has one: to the theme of
+    the most similar of prototypes (theme_id, embedding) from least on, or to none. A slug
+    is asked once however often it comes; a null or empty one means nothing. themes are
+    a vocabulary of at most most_themes, one row that all names meet.
+    """
+    bare = lambda c: F.regexp_replace(c, "[-_ ]", "")
+    own = themes.select(bare("slug").alias("s"), "theme_id").where("s <> ''").distinct()
+    if (n := own.count()) > most_themes:
+        raise ValueError(f"{n} themes are more than {most_themes}")
+    every = own.agg(F.collect_list(F.struct("s", "theme_id")).alias("_themes"))  # one row
+    said = asked.select("slug").distinct().withColumn("_s", bare("slug")).join(F.broadcast(every))
+    named = F.filter("_themes", lambda t: (F.col("_s") != "") & (F.contains(F.col("_s"), t["s"]) | F.startswith(t["s"], F.col("_s"))))
+    # the longest first: within the name it is long, and what the name begins is longer still
+    first = F.array_min(F.transform(named, lambda t: F.struct((~F.contains(F.col("_s"), t["s"])).alias("begun"), (-F.length(t["s"])).alias("size"), t["s"].alias("s"), t["theme_id"].alias("theme_id"))))
+    found = said.select("slug", first["theme_id"].alias("_text"))
+    if vectors is None or prototypes is None:
+        return found.select("slug", F.col("_text").alias("theme_id"), F.when(F.col("_text").isNotNull(), F.lit("text")).alias("by"))
+    # one vector a slug; only slugs that are still open are compared
+    open_ = found.where("_text is null and slug is not null").select("slug")
+    meant = vectors.join(open_, "slug").groupBy("slug").agg(F.min("embedding").alias("embedding")).withColumnRenamed("slug", "vec_id")
+    near = assign_prototypes(meant, prototypes.select(F.col("theme_id").cast("string").alias("name"), "embedding"), least=least)
+    by_meaning = near.select(F.col("vec_id").alias("slug"), F.col("prototype").alias("_meant"))
+    met = found.join(by_meaning, "slug", "left")
+    theme = F.coalesce(F.col("_text").cast("string"), "_meant")
+    return met.select("slug", theme.alias("theme_id"), F.when(F.col("_text").isNotNull(), "text").when(F.col("_meant").isNotNull(), "meaning").alias("by"))

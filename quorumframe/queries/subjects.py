@@ -88,3 +88,28 @@ def aligned_turns(spark, folder):
     turns = spread(read(spark, folder, "conversations").select("conv_id", F.col("turn").alias("at"), F.array_distinct(words("text")).alias("words")))
     met = aligned(turns, turns.where("at % 3 <> 1"), "conv_id")
     return met.groupBy("conv_id").agg(F.count("other").alias("matched"), F.count_if(F.col("other").isNull()).alias("recovered"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("score"))
+
+
+@query(
+    "known_themes",
+    """WITH theme AS (SELECT p_name AS theme_id, replace(p_name, ' ', '') AS s FROM part WHERE p_partkey % 3 = 0 GROUP BY 1),
+asked AS (SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN 't_' || replace(p_name, ' ', '_') || '-' || p_partkey WHEN 1 THEN left(replace(p_name, ' ', '_'), 4) WHEN 2 THEN reverse(p_name) || p_partkey WHEN 3 THEN 'other_' || p_partkey ELSE '' END AS slug FROM part),
+one AS (SELECT slug, min(embedding) AS e FROM asked LEFT JOIN embeddings ON vec_id = k GROUP BY slug),
+bare AS (SELECT *, replace(replace(replace(slug, '_', ''), '-', ''), ' ', '') AS b FROM one),
+near AS (SELECT slug, theme_id FROM bare JOIN theme ON b <> '' AND (contains(b, s) OR starts_with(s, b)) QUALIFY row_number() OVER (PARTITION BY slug ORDER BY NOT contains(b, s), length(s) DESC, s, theme_id) = 1),
+proto AS (SELECT label, min_by(embedding, vec_id) AS e FROM embeddings GROUP BY 1),
+like_ AS (SELECT slug, label, list_cosine_similarity(one.e::DOUBLE[], proto.e::DOUBLE[]) AS score FROM one, proto WHERE one.e IS NOT NULL),
+best AS (SELECT slug, label FROM like_ QUALIFY row_number() OVER (PARTITION BY slug ORDER BY score DESC, CAST(label AS VARCHAR)) = 1 AND score >= 0.7)
+SELECT slug, coalesce(theme_id, 'm' || label) AS theme_id, CASE WHEN theme_id IS NOT NULL THEN 'text' WHEN label IS NOT NULL THEN 'meaning' END AS by FROM one LEFT JOIN near USING (slug) LEFT JOIN best USING (slug)""",
+)
+def known_themes(spark, folder):
+    """Names of parts with something before and after them, cut off, or turned round, as themes that somebody made up: by text, else by the vector of their number."""
+    parts = read(spark, folder, "part").select("p_partkey", "p_name")
+    themes = parts.where("p_partkey % 3 = 0").select(F.col("p_name").alias("theme_id"), F.col("p_name").alias("slug"))
+    name, turn = F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_partkey") % 5
+    made = F.when(turn == 0, F.concat(F.lit("t_"), name, F.lit("-"), "p_partkey")).when(turn == 1, F.substring(name, 1, 4)).when(turn == 2, F.concat(F.reverse("p_name"), "p_partkey")).when(turn == 3, F.concat(F.lit("other_"), "p_partkey")).otherwise("")
+    asked = parts.select(made.alias("slug"), "p_partkey")
+    every = read(spark, folder, "embeddings")
+    vectors = asked.join(every, F.col("p_partkey") == F.col("vec_id")).select("slug", "embedding")
+    prototypes = every.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding")).select(F.concat(F.lit("m"), "label").alias("theme_id"), "embedding")
+    return relaxation.known_themes(asked, themes, vectors=vectors, prototypes=prototypes)

@@ -1,5 +1,6 @@
 """Subjects: their phrase, their alternatives, the themes that stand for them, and the steps of their ladder."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from quorumframe.plans import relaxation as R
@@ -38,3 +39,17 @@ def test_the_first_step_with_hits_counts(spark):
     exists = {r.question_id: r.step for r in R.subject_exists(asked, fields).collect()}
     assert exists[1] == 0 and exists[4] is None and exists[5] is None
     assert R.relaxed_hits(asked.where("false"), fields).count() == 0 and R.relaxed_hits(asked, fields.where("false")).count() == 0
+
+
+def test_themes_that_somebody_made_up(spark):
+    themes = spark.createDataFrame([("T1", "presupuestos"), ("T2", "vivienda"), ("T3", "vivienda_social"), ("T4", "")], "theme_id string, slug string")
+    asked = spark.createDataFrame([(s,) for s in ("presupuestos_fiscalidad", "mi-vivienda", "la_vivienda_social", "viv", "hogares", "nada", "", None, "nada")], "slug string")
+    by_text = {r.slug: (r.theme_id, r.by) for r in R.known_themes(asked, themes).collect()}
+    assert by_text == {"presupuestos_fiscalidad": ("T1", "text"), "mi-vivienda": ("T2", "text"), "la_vivienda_social": ("T3", "text"), "viv": ("T3", "text"), "hogares": (None, None), "nada": (None, None), "": (None, None), None: (None, None)}
+    vectors = spark.createDataFrame([("hogares", [1.0, 0.1]), ("nada", [-1.0, 0.2]), ("viv", [0.0, 1.0])], "slug string, embedding array<float>")
+    prototypes = spark.createDataFrame([("T2", [1.0, 0.0]), ("T1", [0.0, 1.0])], "theme_id string, embedding array<float>")
+    got = {r.slug: (r.theme_id, r.by) for r in R.known_themes(asked, themes, vectors=vectors, prototypes=prototypes).collect()}
+    assert got == by_text | {"hogares": ("T2", "meaning")}
+    assert R.known_themes(asked, themes.where("false")).where("theme_id is not null").count() == 0
+    with pytest.raises(ValueError):
+        R.known_themes(asked, themes, most_themes=2)
