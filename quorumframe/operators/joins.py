@@ -94,16 +94,46 @@ def named_at(asked: DataFrame, people: DataFrame, name: str, at: str, person: st
     whose hint agrees come before the others within that choice, and where none agrees
     or the hint is null it says nothing. Names that nobody has go. Who has no end is
     still active, who has no start always was.
+
+    No pair of a date and a person is ever made: starts, dates and ends are one ordered
+    stream per name (and hint), in which those active are counted and their numbers
+    added up, so that the number of one who is active alone is that sum. Rows without a
+    person name nobody.
     """
     keys = [name, at, *([hint] if hint else [])]
-    own = people.select(F.col(name), F.col(person).alias("_person"), F.col(start).alias("_start"), F.col(end).alias("_end"), *([F.col(hint).alias("_hint")] if hint else []))
-    met = asked.select(*keys).distinct().join(own, name)
-    level = holds(at, "_start", "_end").cast("int") * 2
-    level = F.coalesce(level, F.lit(0)) + (F.coalesce((F.col(hint) == F.col("_hint")).cast("int"), F.lit(0)) if hint else F.lit(0))
-    # for each level how many different people reach it, and one of them
-    by_level = met.groupBy(*keys, level.alias("_level")).agg(F.count_distinct("_person").alias("_n"), F.min("_person").alias("_one"))
-    best = by_level.groupBy(*keys).agg(F.max_by(F.struct("_n", "_one"), "_level").alias("_best"))
-    return best.select(*keys, F.when(F.col("_best._n") == 1, F.col("_best._one")).alias(person))
+    own = people.where(F.col(name).isNotNull() & F.col(person).isNotNull()).select(F.col(name), F.col(person).alias("_person"), F.col(start).alias("_start"), F.col(end).alias("_end"), *([F.col(hint).alias("_hint")] if hint else []))
+    numbers = own.select(name, "_person").distinct().withColumn("_number", F.row_number().over(Window.partitionBy(name).orderBy("_person")).cast("long"))
+    own = own.join(numbers, [name, "_person"])
+    said = asked.select(*keys, *([F.col(hint).alias("_hint")] if hint else [])).where(F.col(name).isNotNull()).distinct()
+    told = said.join(_held(own, [name], "_all"), name)
+    told = told.join(_active(own, said, [name], at, "_now"), [name, at], "left")
+    order = ["_now", "_all"]
+    if hint:  # a null date or hint meets nothing here, as it says nothing
+        told = told.join(_held(own, [name, "_hint"], "_all_hinted"), [name, "_hint"], "left").join(_active(own, said, [name, "_hint"], at, "_now_hinted"), [name, "_hint", at], "left")
+        order = ["_now_hinted", "_now", "_all_hinted", "_all"]
+    best = F.coalesce(*(F.when(F.col(f"{c}.n") > 0, F.col(c)) for c in order))
+    met = told.select(*keys, best.alias("_best")).select(*keys, F.when(F.col("_best.n") == 1, F.col("_best.number")).alias("_number"))
+    return met.join(numbers, [name, "_number"], "left").select(*keys, F.col("_person").alias(person))
+
+
+def _held(own: DataFrame, by: list[str], told: str) -> DataFrame:
+    """For each name (and hint) how many people have it, and the sum of their numbers."""
+    each = own.select(*by, "_number").distinct().groupBy(*by)
+    return each.agg(F.struct(F.count("*").alias("n"), F.sum("_number").alias("number")).alias(told))
+
+
+def _active(own: DataFrame, asked: DataFrame, by: list[str], at: str, told: str) -> DataFrame:
+    """The same for those active at each date asked for: who began by it and did not end before it."""
+    meant = own.where(F.coalesce(F.col("_start") <= F.col("_end"), F.lit(True)))
+    step = lambda rows, place, side, n: rows.select(*by, "_number", F.col(place).alias(at), F.lit(side).alias("_side"), F.lit(n).cast("long").alias("_n"))
+    ends = step(meant, "_start", 0, 1).unionByName(step(meant.where("_end is not null"), "_end", 2, -1))  # at one date first who begins, then who is asked for, then who ends
+    # intervals of one person may overlap: only where the first begins and the last ends
+    depth = F.sum("_n").over(Window.partitionBy(*by, "_number").orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0))
+    outer = ends.withColumn("_depth", depth).where("(_n = 1 and _depth = 1) or _depth = 0").drop("_depth")
+    dates = asked.where(F.col(at).isNotNull()).select(*by, at).distinct().select(*by, F.lit(0).cast("long").alias("_number"), at, F.lit(1).alias("_side"), F.lit(0).cast("long").alias("_n"))
+    order = Window.partitionBy(*by).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    counted = F.struct(F.sum("_n").over(order).alias("n"), F.sum(F.col("_n") * F.col("_number")).over(order).alias("number"))
+    return outer.unionByName(dates).withColumn(told, counted).where("_side = 1").select(*by, at, told)
 
 
 def resume(source: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -140,3 +140,45 @@ def test_rows_of_hot_keys_are_dealt_over_tasks(spark):
     most = max(r["salts"] for r in hot.collect())
     assert most >= 2 and skew.hot_keys(table, "key", most=4000) is None
     assert skew.salted_join(table, spark.createDataFrame(facts, "key int, fact string"), "key", None, ["id"]).count() == got.count()
+
+
+def _most_rows(plan) -> int:
+    """The most rows that a node of an executed plan gave."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return _most_rows(plan.finalPhysicalPlan())
+    if name.endswith("QueryStage"):
+        return _most_rows(plan.plan())
+    metric = plan.metrics().get("numOutputRows")
+    own = metric.get().value() if metric.isDefined() else 0
+    children = plan.children()
+    return max([own, *(_most_rows(children.apply(k)) for k in range(children.size()))])
+
+
+@pytest.mark.parametrize("hint", [None, "party"])
+def test_names_at_dates_meet_no_pairs(spark, hint):
+    draw = random.Random(4)
+    at = lambda n: dt.date(2010, 1, 1) + dt.timedelta(days=n)
+    maybe = lambda value, share: None if draw.random() < share else value
+    people, asked = [], []
+    for _ in range(400):  # some people in several rows, whose intervals may overlap or end before they start
+        start = draw.randrange(300)
+        people.append(("xy"[draw.random() < 0.02], draw.randrange(300), maybe(at(start), 0.01), maybe(at(start + draw.randrange(-1, 4)), 0.01), maybe(draw.choice("abc"), 0.1)))
+    people += [("z", 7, at(0), at(9), "a"), ("z", 7, at(5), at(20), "a"), ("z", 8, at(15), None, "b")]
+    for name in "xyzw":
+        asked += [(name, maybe(at(k), 0.05), maybe(draw.choice("abcd"), 0.2)) for k in range(-5, 310)]
+    columns = ["name", "day"] + ([hint] if hint else [])
+    df = joins.named_at(spark.createDataFrame(asked, "name string, day date, party string"), spark.createDataFrame(people, "name string, person int, a date, b date, party string"), "name", "day", "person", "a", "b", hint=hint)
+    found = {tuple(r[c] for c in columns): r.person for r in df.collect()}
+    expected = {}
+    for name, day, party in asked:
+        levels = {}
+        for own, person, a, b, group in people:
+            if own == name:
+                active = day is not None and (a is None or a <= day) and (b is None or day <= b)
+                levels.setdefault(active * 2 + bool(hint and party is not None and party == group), set()).add(person)
+        if levels:
+            best = levels[max(levels)]
+            expected[(name, day, party) if hint else (name, day)] = min(best) if len(best) == 1 else None
+    assert found == expected and any(v is not None for v in found.values())
+    assert _most_rows(df._jdf.queryExecution().executedPlan()) <= 3 * (len(people) + len(asked))
