@@ -10,7 +10,8 @@ from quorumframe.registry import query, read
 from quorumframe.storage import spread
 
 _FOLDED = "lower(translate(text, 'áàâäãåçéèêëíìîïñóòôöõúùûüýÿÁÀÂÄÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝŸ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUYY'))"
-_SAID = f"' ' || array_to_string(regexp_extract_all({_FOLDED}, '[a-z0-9]+'), ' ') || ' '"
+_WORDS = f"regexp_extract_all({_FOLDED}, '[a-z0-9]+')"
+_SAID = f"' ' || array_to_string({_WORDS}, ' ') || ' '"
 _PLACES = ((1, "apache license"), (2, "Versión"), (3, "general public license"), (4, "the"), (5, "públic"), (6, "public license version"))
 _VALUES = "(1, 'apache license'), (2, 'version'), (3, 'general public license'), (4, 'the'), (5, 'public'), (6, 'public license version')"
 
@@ -42,7 +43,7 @@ def labels_from_texts(spark, folder):
 
 @query(
     "theme_of_label",
-    f"""WITH p(place_id, label) AS (VALUES {_VALUES}), h AS (SELECT DISTINCT doc_id, place_id, label FROM (SELECT doc_id, {_SAID} AS said FROM documents) JOIN p ON contains(said, ' ' || label || ' ') WHERE length(label) >= 5)
+    f"""WITH p(place_id, label) AS (VALUES {_VALUES}), h AS (SELECT DISTINCT doc_id, place_id, label FROM (SELECT doc_id, {_SAID} AS said FROM documents) JOIN p ON contains(said, ' ' || label || ' ') WHERE length(label) >= 5 OR said = ' ' || label || ' ')
 SELECT doc_id, place_id, label FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(label) DESC, place_id) = 1""",
 )
 def theme_of_label(spark, folder):
@@ -52,8 +53,9 @@ def theme_of_label(spark, folder):
 
 @query(
     "subject_hits",
-    f"""WITH f AS (SELECT doc_id AS point_id, {_SAID.replace("text", "left(text, 200)")} AS said, true AS is_about FROM documents UNION ALL SELECT doc_id, {_SAID}, false FROM documents),
-h AS (SELECT point_id, is_about FROM f WHERE (regexp_matches(said, ' (licens(es|as|os|s|a|o|e)?) ') AND regexp_matches(said, ' (public) ')) OR regexp_matches(said, ' (apach(es|as|os|s|a|o|e)?) '))
+    f"""WITH f AS (SELECT doc_id AS point_id, {_WORDS.replace("text", "left(text, 200)")} AS w, true AS is_about FROM documents UNION ALL SELECT doc_id, {_WORDS}, false FROM documents),
+s AS (SELECT point_id, is_about, list_transform(w, lambda x: CASE WHEN length(x) > 5 THEN regexp_replace(x, '(es|as|os|s|a|o|e)$', '') ELSE x END) AS stems FROM f),
+h AS (SELECT point_id, is_about FROM s WHERE (list_contains(stems, 'licens') AND list_contains(stems, 'public')) OR list_contains(stems, 'apach'))
 SELECT point_id, CASE WHEN bool_or(is_about) THEN 'treats' ELSE 'mentions' END AS relation FROM h GROUP BY 1""",
 )
 def subject_hits(spark, folder):
