@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+import quorumframe.queries as own
 from quorumframe.functions import questions as Q
 from quorumframe.plans import questions as P
 from quorumframe.plans.facts import star_schema_facts
@@ -145,3 +146,10 @@ def test_subjects_are_relaxed_step_by_step(spark):
     assert [subject_hits(fields, step).count() for step in ladder] == [0, 2]
     hit = spark.createDataFrame([("Carril bici", "los carriles bicis"), ("Huerta", "huerto")], "label string, t string").select(F.expr("t").rlike("x").alias("x"), F.regexp_like("t", P.label_pattern("label")).alias("hit")).collect()
     assert [r.hit for r in hit] == [True, False]
+
+
+def test_pairs_of_questions_and_sessions_are_whole_and_not_shuffled(spark):
+    df = own.QUERIES["question_sessions"](spark, "/root/testdata/sf0.001")
+    assert df.columns == ["question_id", "session_date"]  # each pair, not a count of them
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode(") < plan.index("Exchange")  # nothing is dealt again once a question has its sessions
