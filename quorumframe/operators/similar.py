@@ -1,60 +1,86 @@
 """Names that differ in few letters, found without comparing all with all.
 
-An edit changes at most q of a string's q-grams. Strings within e edits of each other
-therefore share one of their first q * e + 1 q-grams in any order that is the same for
-all; the rarest come first, so few strings meet (a prefix filter). Their lengths differ
-by at most e, and a shared q-gram has moved by at most e places. Where a q-gram is still
-so common that too many strings would meet, two are asked for: strings within e edits
-share two of their first q * e + 2. What meets is compared letter by letter.
+A string cut into e + 1 pieces keeps one of them whole under e edits, at a place that has
+moved by no more than the edits before it, while those after it make up for the rest of
+the difference in length. Pieces are as long as the string allows, so few strings meet.
+Where a piece is so common that too many would, two are asked for: of e + 2 pieces two
+stay whole. What meets is compared letter by letter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from itertools import combinations, product
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumframe.operators.components import components
 from quorumframe.storage import materialise
 
 
-def _grams(q: int):
-    """The q-grams of key with their places; one that comes again is another gram each time."""
-    own = F.transform(F.sequence(F.lit(1), F.length("key") - q + 1), lambda k: F.substring(F.col("key"), k, F.lit(q)))
-    return F.transform(own, lambda g, k: F.struct(F.concat(g, F.size(F.filter(F.slice(own, F.lit(1), k), lambda x: x == g)).cast("string")).alias("gram"), k.alias("at")))
+def _pieces(count: int, size: Column) -> list[tuple[Column, Column]]:
+    """First place and length of each of so many pieces of a string of that size."""
+    cuts = [F.floor(size * k / count).cast("int") for k in range(count + 1)]
+    return [(a + 1, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def _shifts(held: int, edits: int) -> list[tuple[int, tuple[int, ...]]]:
+    """By how much longer a string may be than another, and how far so many pieces may then have moved in it."""
+    found = []
+    for more in range(edits + 1):
+        for moved in product(range(-edits, edits + 1), repeat=held):
+            ends = (0, *moved, more)
+            if sum(abs(b - a) for a, b in zip(ends, ends[1:])) <= edits:
+                found.append((more, moved))
+    return found
+
+
+def _blocks(keys: DataFrame, edits: int, held: int) -> tuple[DataFrame, DataFrame]:
+    """Strings by their own pieces (other, block), and by what may be pieces of one that is as long or shorter (one, block).
+
+    held is how many pieces, of edits + held, a block has.
+    """
+    count = edits + held
+
+    def block(size, which, moved):
+        at = _pieces(count, size)
+        places = [(at[k][0] + m, at[k][1]) for k, m in zip(which, moved)]
+        inside = [(p >= 1) & (p + n - 1 <= F.length("key")) for p, n in places]
+        made = F.struct(size.alias("size"), F.lit("-".join(map(str, which))).alias("which"), F.concat(*(F.substring("key", p, n) for p, n in places)).alias("said"))
+        return F.when(reduce(and_, inside), made)
+
+    every = list(combinations(range(count), held))
+    size = F.length("key")
+    own = F.array(*(block(size, which, (0,) * held) for which in every))
+    asked = F.array(*(block(size - more, which, moved) for more, moved in _shifts(held, edits) for which in every))
+    return keys.select(F.col("key").alias("other"), F.explode(own).alias("block")), keys.select(F.col("key").alias("one"), F.explode(F.array_distinct(F.array_compact(asked))).alias("block"))
 
 
 def close_pairs(keys: DataFrame, *, edits: int = 2, q: int = 3, most_block: int = 200) -> DataFrame:
     """one, other (one < other): distinct strings of the column key that are at most so many edits apart.
 
-    Strings need q * (edits + 1) + 1 letters at least, so that edits leave grams alone;
+    Strings need q * (edits + 1) + 1 letters at least, so that pieces have about q;
     shorter ones, and null, have no pairs. Blocks of more than most_block strings ask
-    for two common grams instead of one.
+    for two common pieces instead of one.
     """
-    least = q * (edits + 1) + 1
-    own = keys.select("key").where(F.length("key") >= least).distinct()
-    each = materialise(own.select("key", F.length("key").alias("size"), F.explode(_grams(q)).alias("g")).select("key", "size", "g.*"), "grams")
-    df = each.groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = each.join(df, "gram").groupBy("key", "size").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "gram", "at"))), 1, q * edits + 2).alias("first"))
-    ranked = materialise(ranked, "prefixes")
-
-    # single grams: one side says its length, the other each length that it may meet
-    single = ranked.select("key", "size", F.explode(F.slice("first", 1, q * edits + 1)).alias("g")).select("key", "size", "g.gram", "g.at")
-    blocks = materialise(single.groupBy("gram").agg(F.count("*").alias("n")), "blocks")
-    small, large = blocks.where(F.col("n") <= most_block).select("gram"), blocks.where(F.col("n") > most_block).select("gram")
-    met = _met(single.join(small, "gram").withColumn("block", F.struct("gram")), edits)
-    if not large.isEmpty():
-        held = ranked.select("key", F.explode("first").alias("g")).select("key", F.col("g.gram").alias("gram")).join(large, "gram").groupBy("key").agg(F.collect_set("gram").alias("large"))
-        pairs = F.flatten(F.transform("first", lambda a: F.transform(F.filter("first", lambda b: a["gram"] < b["gram"]), lambda b: F.struct(a["gram"].alias("a"), b["gram"].alias("b"), a["at"].alias("at")))))
-        double = ranked.join(held, "key").select("key", "size", "large", F.explode(pairs).alias("p")).where(F.array_contains("large", F.col("p.a")) | F.array_contains("large", F.col("p.b")))
-        met = met.unionByName(_met(double.select("key", "size", F.struct("p.a", "p.b").alias("block"), F.col("p.at").alias("at")), edits))
-    return met.distinct().where(F.levenshtein("one", "other", edits) >= 0)
-
-
-def _met(rows: DataFrame, edits: int) -> DataFrame:
-    """one < other of the strings (key, size, block, at) that share a block, with lengths and places at most edits apart."""
-    left = rows.select(F.col("key").alias("one"), "block", F.col("at").alias("_at"), F.explode(F.sequence(F.col("size") - edits, F.col("size") + edits)).alias("size"))
-    right = rows.select(F.col("key").alias("other"), "block", "size", "at")
-    return left.join(right, ["block", "size"]).where((F.col("one") < F.col("other")) & (F.abs(F.col("at") - F.col("_at")) <= edits)).select("one", "other").distinct()
+    own = keys.select("key").where(F.length("key") >= q * (edits + 1) + 1).distinct().repartition(2 * keys.sparkSession.sparkContext.defaultParallelism)
+    own = materialise(own, "keys")
+    held, asked = _blocks(own, edits, 1)
+    large = materialise(held.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > most_block).select("block"), "blocks")
+    if large.isEmpty():
+        return _met(held, asked, edits).distinct()
+    met = _met(held.join(large, "block", "left_anti"), asked, edits)
+    # strings of large blocks, as those that have the piece and as those that ask for it
+    again, asking = (rows.join(large, "block", "left_semi").select(F.col(c).alias("key")).distinct() for rows, c in ((held, "other"), (asked, "one")))
+    return met.unionByName(_met(_blocks(again, edits, 2)[0], _blocks(asking, edits, 2)[1], edits)).distinct()
+
+
+def _met(held: DataFrame, asked: DataFrame, edits: int) -> DataFrame:
+    """one < other of the strings that meet in a block and are so close."""
+    close = asked.join(held, "block").where((F.col("one") != F.col("other")) & (F.levenshtein("one", "other", edits) >= 0))
+    return close.select(F.least("one", "other").alias("one"), F.greatest("one", "other").alias("other"))
 
 
 def fused(names: DataFrame, *, edits: int = 2, q: int = 3, most_block: int = 200) -> DataFrame:

@@ -182,3 +182,15 @@ def test_names_at_dates_meet_no_pairs(spark, hint):
             expected[(name, day, party) if hint else (name, day)] = min(best) if len(best) == 1 else None
     assert found == expected and any(v is not None for v in found.values())
     assert _most_rows(df._jdf.queryExecution().executedPlan()) <= 3 * (len(people) + len(asked))
+
+
+def test_close_names_that_repeat_a_gram_far_away(spark):
+    # an edit spoils the first of the grams of one letter, and those that are left are far from where the other name has as many
+    names = ["aaaaaaaxeeaaaaaaaaar", "aazzaaaxeeaaaaaaaaar"]
+    # so that these grams are the rarest
+    names += [f"{x}{rest}{k:02d}" for k in range(12) for x, rest in (("q", "aazzaaabxeeabraarbzzaax"), ("w", "zzaxeaazxxeebaarzzaea"))]
+    keys = sorted(set(names))
+    expected = {(a, b) for k, a in enumerate(keys) for b in keys[k + 1 :] if edits(a, b) <= 2}
+    for most_block in (5, 10_000):
+        got = similar.close_pairs(spark.createDataFrame([(n,) for n in names], "key string"), most_block=most_block).collect()
+        assert {tuple(r) for r in got} == expected
