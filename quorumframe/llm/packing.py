@@ -26,6 +26,7 @@ from quorumframe.llm.common import materialise
 from quorumframe.llm.tokens import grouped, tokenizer
 
 _DIMENSIONS, _BITS = 4, 15
+_ONES = np.ones(1 << 12)
 
 
 def hilbert_key(points: np.ndarray, bits: int = _BITS) -> np.ndarray:
@@ -61,14 +62,15 @@ def hilbert_key(points: np.ndarray, bits: int = _BITS) -> np.ndarray:
 def _directions(ids: int) -> np.ndarray:
     """A fixed direction for each token id, by a multiplicative hash."""
     hashed = (np.arange(1, ids * _DIMENSIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-    return (hashed.astype(np.float32) / np.float32(1 << 23) - 1).reshape(ids, _DIMENSIONS)
+    return (hashed.astype(np.float64) / (1 << 23) - 1).reshape(ids, _DIMENSIONS)
 
 
 def projected(ids: np.ndarray, vocabulary: int) -> np.ndarray:
     """The document's direction, quantised to _BITS bits a dimension; the middle if it is empty."""
-    total = np.zeros(_DIMENSIONS)
-    for at in range(0, len(ids), 1 << 16):
-        total += _directions(vocabulary)[ids[at : at + (1 << 16)]].sum(axis=0, dtype=np.float64)
+    total, directions = np.zeros(_DIMENSIONS), _directions(vocabulary)
+    for at in range(0, len(ids), 1 << 12):  # directions are multiples of 2**-23, so sums are exact in any order
+        part = ids[at : at + (1 << 12)]
+        total += _ONES[: len(part)] @ directions.take(part, axis=0)
     norm = np.linalg.norm(total)
     unit = total / norm if norm else total
     return np.minimum((unit + 1) / 2 * (1 << _BITS), (1 << _BITS) - 1).astype(np.uint64)

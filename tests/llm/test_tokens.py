@@ -31,6 +31,24 @@ def test_chunks_give_the_ids_of_whole_texts(name):
         assert np.frombuffer(got, chunked.dtype).tolist() == plain.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
+def test_a_word_is_looked_up_once_for_many_texts():
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, word):
+            Counted.asked += 1
+            return super().__getitem__(word)
+
+        def get(self, word):
+            Counted.asked += 1
+            return super().get(word)
+
+    chunked = ChunkTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    chunked.kept = Counted()
+    assert len(set(chunked.encode(["one two three"] * 1000))) == 1 and Counted.asked < 20
+    assert chunked.encode([]) == []
+
+
 def _docs(spark):
     rows = [(k * 7 % 23, t) for k, t in enumerate(TEXTS)] + [(5, "again"), (5, "again"), (None, "of nobody"), (None, None)]
     return spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n int").repartition(5)
