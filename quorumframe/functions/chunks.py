@@ -35,12 +35,25 @@ def joined(chunks: list[str], least: int = 20, most: int = 400) -> str:
     return out
 
 
-def _cutting(key: str, size: int, overlap: int):
+def _cutting(key: str, size: int, overlap: int, most_chars: int = 1 << 20):
+    """Chunks leave whenever about most_chars of them are held, so a task holds a batch of texts and little else."""
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.string())
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, types)], [key, "chunk_index", "start", "chunk"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, k, s, c) for i, text in zip(batch[0].to_pylist(), batch[1].to_pylist()) for k, (s, c) in enumerate(cut(text or "", size, overlap))]
-            columns = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.string()))], [key, "chunk_index", "start", "chunk"])
+            rows, held = [], 0
+            for i, text in zip(batch[0], batch[1]):  # one text at a time becomes a Python string
+                number = i.as_py()
+                for k, (start, chunk) in enumerate(cut(text.as_py() or "", size, overlap)):
+                    rows.append((number, k, start, chunk))
+                    held += len(chunk)
+                    if held >= most_chars:
+                        yield table(rows)
+                        rows, held = [], 0
+            yield table(rows)
 
     return run
 

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +195,12 @@ def test_close_names_that_repeat_a_gram_far_away(spark):
     for most_block in (5, 10_000):
         got = similar.close_pairs(spark.createDataFrame([(n,) for n in names], "key string"), most_block=most_block).collect()
         assert {tuple(r) for r in got} == expected
+
+
+def test_chunks_leave_a_task_in_small_batches():
+    from quorumframe.functions.chunks import _cutting
+
+    batch = pa.RecordBatch.from_pydict({"k": [*range(60), None], "t": ["word " * 10_000] * 60 + [None]})
+    parts = list(_cutting("k", 1200, 200, 100_000)(iter([batch])))
+    assert all(sum(map(len, p["chunk"].to_pylist())) <= 101_200 for p in parts)
+    assert [p["k"].to_pylist() for p in parts][0][0] == 0 and {k for p in parts for k in p["k"].to_pylist()} == set(range(60))
