@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 import re
+from types import SimpleNamespace
 
 import pyarrow as pa
 import pytest
@@ -204,3 +205,14 @@ def test_chunks_leave_a_task_in_small_batches():
     parts = list(_cutting("k", 1200, 200, 100_000)(iter([batch])))
     assert all(sum(map(len, p["chunk"].to_pylist())) <= 101_200 for p in parts)
     assert [p["k"].to_pylist() for p in parts][0][0] == 0 and {k for p in parts for k in p["k"].to_pylist()} == set(range(60))
+
+
+def test_vectors_are_compared_a_slice_at_a_time(monkeypatch):
+    sizes, plain = [], vectors._matrices
+    monkeypatch.setattr(vectors, "_matrices", lambda column: sizes.append(len(column)) or plain(column))
+    every = [[float(k % 7), float(k % 11), 1.0] for k in range(3000)]
+    batch = pa.RecordBatch.from_pydict({"vec_id": range(3000), "embedding": every})
+    block = SimpleNamespace(value=([0, 5], plain([every[0], every[5]])))
+    (found,) = vectors._scanning(block, 3, None)(iter([batch]))
+    assert max(sizes) <= 512 and sum(sizes) == 3000
+    assert found["vec_id"].to_pylist() == [0, 77, 154, 5, 82, 159]
