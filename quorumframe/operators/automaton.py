@@ -1,8 +1,10 @@
-"""Very many labels in very many texts: one automaton over all labels passes once over each text.
+"""Very many labels in very many texts.
 
-Labels go to the tasks in shards of a bounded number of letters, so any number of them
-can be asked for; each shard reads the texts once. No run of words of a text is ever
-shuffled: what leaves a task is hits.
+Labels that fit a task go there as one automaton, which passes once over each text. More
+labels than that leave a mark each in a filter of a fixed size; runs of words of a text
+that are as long as a label and bear a mark, hits and a few others, meet the labels in a
+join. Either way the texts are read once, whatever the number of labels, and no other run
+of words leaves a task.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,24 +54,81 @@ def _finding(shard: Broadcast):
     return run
 
 
-def labels_in(texts: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str, *, shard_letters: int = 20_000_000) -> DataFrame:
+def _hashes(words: list[str], size: int, log_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in the filter of each run of size words."""
+    each = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
+    own = np.fromiter((each[w] for w in words), np.uint64, len(words))
+    runs = np.full(max(0, len(words) - size + 1), size, np.uint64)
+    for k in range(size):
+        runs = runs * np.uint64(0x9E3779B97F4A7C15) + own[k : k + len(runs)]
+        runs ^= runs >> np.uint64(31)
+    runs *= np.uint64(0xBF58476D1CE4E5B9)
+    return (runs >> np.uint64(64 - log_bits)).astype(np.int64), (runs & np.uint64((1 << log_bits) - 1)).astype(np.int64)
+
+
+def _marking(log_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places: list[int] = []
+            for label in batch[0].to_pylist():
+                words = label.split(" ")
+                places += [int(h[0]) for h in _hashes(words, len(words), log_bits)]
+            found = np.unique(np.array(places, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(found >> 6), pa.array(np.int64(1) << (found & 63))], ["cell", "bits"])
+
+    return run
+
+
+def _meeting(marks: Broadcast, sizes: list[int], log_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = marks.value
+        marked = lambda places: bits[places >> 6] >> (places & 63) & 1
+        for batch in batches:
+            rows, labels = [], []
+            table = lambda: pa.RecordBatch.from_arrays([batch[0].take(pa.array(rows, pa.int64())), pa.array(labels, pa.string())], [batch.schema.names[0], "label"])  # noqa: B023, E731
+            for row, text in enumerate(batch["said"]):
+                words = (text.as_py() or "").split()
+                held = set()
+                for size in sizes:
+                    one, other = _hashes(words, size, log_bits)
+                    held.update(" ".join(words[k : k + size]) for k in np.flatnonzero(marked(one) & marked(other)).tolist())
+                rows += [row] * len(held)
+                labels += sorted(held)
+                if len(rows) >= 10_000:
+                    yield table()
+                    rows, labels = [], []
+            yield table()
+
+    return run
+
+
+def _runs_with_marks(said: DataFrame, labels: DataFrame, schema: str, log_bits: int) -> DataFrame:
+    """Runs of words of the texts that may be labels; every one that is a label is among them."""
+    spark = said.sparkSession
+    sizes = sorted(r["n"] for r in labels.select(F.size(F.split("label", " ")).alias("n")).distinct().collect())
+    marks = np.zeros(1 << log_bits - 6, np.int64)
+    cells = labels.mapInArrow(_marking(log_bits), "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()  # as many as the filter has, at most
+    marks[cells["cell"].to_numpy()] = cells["bits"].to_numpy()
+    return said.mapInArrow(_meeting(spark.sparkContext.broadcast(marks), sizes, log_bits), schema)
+
+
+def labels_in(texts: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str, *, shard_letters: int = 1_000_000, log_bits: int = 27) -> DataFrame:
     """key, label_key, label of each label whose words stand in the text in order, as whole words; folded on both sides.
 
     Labels of the same words are found alike, each with its own label_key; a label
     without words is never found, a null text holds none. A text gives a label once,
-    rows of texts that share a key each their own. shard_letters bounds the letters of
-    the labels that a task holds at once.
+    rows of texts that share a key each their own. Labels of more than shard_letters in all
+    are found by a filter of 2**log_bits bits (16 MB) and a join.
     """
     spark = texts.sparkSession
     wanted = labels.select(label_key, F.array_join(folded_words(label), " ").alias("label")).where("label <> ''")
     distinct = wanted.select("label").distinct()
     letters = distinct.agg(F.sum(F.length("label"))).first()[0] or 0
-    shards = max(1, -(-letters // shard_letters))
     said = texts.select(key, F.array_join(folded_words(text), " ").alias("said"))
     schema = f"`{key}` {texts.schema[key].dataType.simpleString()}, label string"
-    found = spark.createDataFrame([], schema)
-    for s in range(shards):
-        own = [r["label"] for r in distinct.where(F.pmod(F.xxhash64("label"), F.lit(shards)) == s).collect()]  # about shard_letters letters
-        if own:
-            found = found.unionByName(said.mapInArrow(_finding(spark.sparkContext.broadcast(sorted(own))), schema))
+    if letters > shard_letters:
+        found = _runs_with_marks(said, distinct, schema, log_bits)
+    else:
+        own = [r["label"] for r in distinct.collect()]  # at most shard_letters letters
+        found = said.mapInArrow(_finding(spark.sparkContext.broadcast(sorted(own))), schema) if own else spark.createDataFrame([], schema)
     return found.join(wanted, "label").select(key, label_key, "label")

@@ -20,7 +20,7 @@ from quorumframe.operators.ordered import over_order
 from quorumframe.storage import materialise
 
 
-def contained_labels(texts: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str, *, shard_letters: int = 20_000_000) -> DataFrame:
+def contained_labels(texts: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str, *, shard_letters: int = 1_000_000) -> DataFrame:
     """key, label_key, label of each label whose words stand in the text in order, as whole words; see automaton.labels_in. Keys of texts are unique."""
     return labels_in(texts, key, text, labels, label_key, label, shard_letters=shard_letters)
 

@@ -216,3 +216,15 @@ def test_vectors_are_compared_a_slice_at_a_time(monkeypatch):
     (found,) = vectors._scanning(block, 3, None)(iter([batch]))
     assert max(sizes) <= 512 and sum(sizes) == 3000
     assert found["vec_id"].to_pylist() == [0, 77, 154, 5, 82, 159]
+
+
+def test_many_labels_are_no_automaton(spark, monkeypatch):
+    def refused(shard):
+        raise AssertionError("all labels in one worker")
+
+    monkeypatch.setattr(automaton, "_finding", refused)
+    texts = spark.createDataFrame([(k, f"Calle {k} de la Villa, número {k + 1}") for k in range(300)] + [(300, None), (301, "de la")], "doc int, text string")
+    labels = spark.createDataFrame([(k, f"calle {k} de") for k in range(300)] + [(500, "Villa numero"), (501, "calle villa"), (502, "la"), (503, "")], "place int, name string")
+    found = automaton.labels_in(texts, "doc", "text", labels, "place", "name", shard_letters=100).collect()
+    assert {(r.doc, r.place) for r in found if r.place < 500} == {(k, k) for k in range(300)}
+    assert {r.place for r in found} == {*range(300), 500, 502} and len(found) == 901
