@@ -34,3 +34,15 @@ def test_ratios_take_one_pass(spark):
 
 def test_rankings_keep_only_the_top(spark):
     assert "TakeOrderedAndProject" in _plan(spark, "rank_submitter")
+
+
+def test_groups_that_amend_a_point_are_paired_where_they_are(spark):
+    from quorumframe.plans.facts import Facts
+    from quorumframe.plans.spec import QuerySpec, compiled
+
+    point = spark.createDataFrame([(1, "x"), (2, None), (3, "pregunta"), (4, "x"), (None, "x")], "point_id long, point_type string")
+    amendment = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (1, None), (2, "a"), (2, "b"), (2, "c"), (3, "a"), (3, "b"), (4, "a"), (9, "a"), (9, "b"), (None, "a"), (None, "b")], "point_id long, group_id string")
+    found = compiled(QuerySpec("coauthors"), Facts(point=point, amendment=amendment))
+    assert [tuple(r) for r in found.collect()] == [("a", "b", 2), ("a", "c", 1), ("b", "c", 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan and plan.count("Join") == 1  # with the points only
