@@ -173,31 +173,36 @@ def sharing_words(rows: DataFrame, key: str, bank: DataFrame, bank_key: str, *,
     return parts.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), "bank_id"))).where(F.col("_rank") <= k).drop("_rank")
 
 
+def _first_uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (group, left, right, ...) whose left and right no row before them in their group has; groups follow each other."""
+    last, used_left, used_right = None, set(), set()
+    for batch in batches:
+        kept = []
+        for at, (group, left, right) in enumerate(zip(*(batch[k].to_pylist() for k in range(3)))):
+            if group != last and (group == group or last == last):  # NaN is a group as well
+                last, used_left, used_right = group, set(), set()
+            if left not in used_left and right not in used_right:
+                used_left.add(left)
+                used_right.add(right)
+                kept.append(at)
+        yield batch.take(pa.array(kept, pa.int64()))
+
+
 def matched_once(pairs: DataFrame, group: str, left: str, right: str, score: str, *, least: float = 0.34, most_pairs: int = 100_000) -> DataFrame:
     """Pairs of a group, best first, such that each left and each right is used once; equal scores go by left, then right.
 
-    A group of at most most_pairs pairs is settled in one task. In a larger one, pairs
+    Groups of at most most_pairs pairs are sorted, and gone through as they pass by; a task
+    holds what the group at hand has used. In a larger one, pairs
     that are the best of their left and of their right are taken, as whoever goes through
     all pairs from the best on has to take them as well, and pairs of what they use go;
-    rounds of this leave the same matching, until what is left fits a task.
+    rounds of this leave the same matching, until no group is larger.
     """
     columns = [group, left, right, score]
-
-    def take(own: pa.Table) -> pa.Table:
-        lefts, rights, scores = (own[c].to_pylist() for c in columns[1:])
-        used_left, used_right, kept = set(), set(), []
-        for at in sorted(range(len(scores)), key=lambda k: (-scores[k], lefts[k], rights[k])):
-            if lefts[at] not in used_left and rights[at] not in used_right:
-                used_left.add(lefts[at])
-                used_right.add(rights[at])
-                kept.append(at)
-        return own.take(kept)
-
-    own = pairs.where(F.col(score) >= least).select(*columns)
+    own = materialise(pairs.where(F.col(score) >= least).select(*columns), "pairs")  # read to count groups, and again
     settled = own.limit(0)
     sized = own.groupBy(group).count()
     if not sized.where(F.col("count") > most_pairs).isEmpty():
-        own, rounds = materialise(own.withColumn("_key", F.struct(group)), "pairs"), []
+        own, rounds = own.withColumn("_key", F.struct(group)), []
         order = F.struct((-F.col(score)).alias("s"), F.col(left).alias("l"), F.col(right).alias("r"))
         while True:
             large = own.groupBy("_key").count().where(F.col("count") > most_pairs).select("_key")
@@ -211,4 +216,5 @@ def matched_once(pairs: DataFrame, group: str, left: str, right: str, score: str
         own = own.select(*columns)
         for taken in rounds:
             settled = settled.unionByName(taken.select(*columns))
-    return settled.unionByName(own.groupBy(group).applyInArrow(take, own.schema))
+    best_first = own.repartition(group).sortWithinPartitions(group, F.desc(score), left, right)
+    return settled.unionByName(best_first.mapInArrow(_first_uses, own.schema))

@@ -228,3 +228,14 @@ def test_many_labels_are_no_automaton(spark, monkeypatch):
     found = automaton.labels_in(texts, "doc", "text", labels, "place", "name", shard_letters=100).collect()
     assert {(r.doc, r.place) for r in found if r.place < 500} == {(k, k) for k in range(300)}
     assert {r.place for r in found} == {*range(300), 500, 502} and len(found) == 901
+
+
+def test_matching_goes_through_groups_as_they_pass_by(spark):
+    import pyarrow as pa
+
+    rows = [(None, 1, 1), (None, 1, 2), (None, 2, 2), (1, 1, 1), (1, 2, 1), (1, 2, 3), (2, 1, 1)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip("glr", row)) for row in rows[k : k + 2]], pa.schema([(c, pa.int64()) for c in "glr"])) for k in range(0, len(rows), 2)]
+    kept = [tuple(r.values()) for b in matching._first_uses(iter(batches)) for r in b.to_pylist()]
+    assert kept == [(None, 1, 1), (None, 2, 2), (1, 1, 1), (1, 2, 3), (2, 1, 1)]
+    pairs = spark.createDataFrame([(k % 7, k % 11, k % 13, (k % 17) / 17) for k in range(500)], "g int, l int, r int, s double")
+    assert "FlatMapGroups" not in matching.matched_once(pairs, "g", "l", "r", "s")._jdf.queryExecution().executedPlan().toString()
