@@ -60,15 +60,17 @@ def in_reading_order(words: DataFrame, page: Sequence[str], *, tolerance: float
     across = sides.where(F.col("_over") | (F.col("_right") - F.col("_left") < gutter)).select("_page", "line").distinct().withColumn("_across", F.lit(True))
     cuts = between.groupBy("_page").agg(F.collect_list("_cut").alias("_cuts"))
 
-    met = lined.join(cuts, "_page", "left").join(across, ["_page", "line"], "left").withColumn("_across", F.coalesce("_across", F.lit(False)))
-    beyond = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= middle)), F.lit(0))
-    column = F.when(F.col("_across") | F.col("_cuts").isNull(), 0).otherwise(beyond)
-    # a line across begins a band, and so does the line after it
-    by_line = met.groupBy("_page", "line").agg(F.bool_or("_across").alias("_own"))
+    # a line across begins a band, and so does the line after it; what a page's words need to know of it is one row, its lines by their number
+    own = lined.select("_page", "line").distinct().join(across, ["_page", "line"], "left").withColumn("_across", F.coalesce("_across", F.lit(False)))
     downward = Window.partitionBy("_page").orderBy("line")
-    first = F.col("_own") | F.coalesce(F.lag("_own").over(downward), F.lit(False))
-    bands = by_line.withColumn("_first", (first & (F.col("line") > 0)).cast("int")).select("_page", "line", F.sum("_first").over(downward).alias("band"))
-    ordered = met.withColumn("column", column).join(bands, ["_page", "line"])
+    first = F.col("_across") | F.coalesce(F.lag("_across").over(downward), F.lit(False))
+    bands = own.withColumn("_first", (first & (F.col("line") > 0)).cast("int")).withColumn("band", F.sum("_first").over(downward))
+    facts = bands.groupBy("_page").agg(F.array_sort(F.collect_list(F.struct("line", "band", "_across"))).alias("_lines")).join(cuts, "_page", "left")
+
+    met = lined.join(facts, "_page").withColumn("_line", F.get("_lines", F.col("line").cast("int")))
+    beyond = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= middle)), F.lit(0))
+    column = F.when(F.col("_line._across") | F.col("_cuts").isNull(), 0).otherwise(beyond)
+    ordered = met.withColumns({"column": column, "band": F.col("_line.band")}).drop("_lines", "_cuts", "_line")
     order = Window.partitionBy("_page").orderBy("band", "column", "line", "x", "width", "word")
     return ordered.select(*words.columns, *(F.col(c).cast("int").alias(c) for c in ("line", "band", "column")), (F.row_number().over(order) - 1).alias("place"))
 

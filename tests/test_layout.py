@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -93,3 +94,11 @@ def test_gutters_equal_those_of_counted_units(spark):
         busy = [u for u in range(700) if sum(r[2] <= u and r[2] + r[4] >= u + 1 for r in own) > allowed]
         want |= {(page, a + 1.0, float(b)) for a, b in zip(busy, busy[1:]) if b - a - 1 >= 15}
     assert got == want and len(want) > 5
+
+
+def test_words_meet_what_a_page_knows_of_its_lines_once(spark):
+    words = spark.createDataFrame([(1, 0.0, 700.0, 10.0, "a"), (None, 0.0, 700.0, 10.0, "b")], "page int, x double, y double, width double, word string")
+    ordered = layout.in_reading_order(words, ["page"])
+    plan = ordered._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Join .*\(line#", plan)) == 1  # lines with those across; words meet one row a page
+    assert sorted((r.page, r.line, r.place) for r in ordered.where("page is not null").collect()) == [(1, 0, 0)] and ordered.count() == 2
