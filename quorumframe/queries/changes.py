@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quorumframe.operators.closure import closure_change, transitive_closure
+from quorumframe.operators.closure import closure_change
 from quorumframe.plans import nominal
 from quorumframe.registry import query, read
 
@@ -25,7 +25,7 @@ def closure_of_changed_links(spark, folder):
     links = orders.where("o_orderkey > 0").select(child, half)
     removed = orders.where("o_orderstatus = 'P' and o_orderpriority = '5-LOW' and o_orderkey > 0").select(child, half)
     added = orders.where("o_orderstatus = 'P' and o_orderpriority = '1-URGENT' and o_custkey < o_orderkey").select(child, F.col("o_custkey").alias("parent"))
-    new, gone = closure_change(transitive_closure(links), links, added=added, removed=removed)
+    new, gone = closure_change(None, links, added=added, removed=removed)
     return gone.select(F.lit("gone").alias("kind"), "child", "parent").unionByName(new.select(F.lit("new").alias("kind"), "child", "parent"))
 
 
