@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quorumframe.functions.decisions import any_of
 from quorumframe.functions.minutes import UNKNOWN, group_mark, group_name, known_group, title_letters, title_phrase
-from quorumframe.functions.text import col, folded, without_spaces
+from quorumframe.functions.text import bound, col, folded, without_spaces
 
 EXECUTIVE = "EQUIPO DE GOBIERNO"
 
@@ -72,12 +72,15 @@ def private_submitter(title: Column | str) -> Column:
     An organisation's name goes from its kind to the next words that end it; a person's
     is made of the capitalised words after the title of courtesy.
     """
-    flat = F.regexp_replace(F.coalesce(col(title), F.lit("")), r"\s+", " ")
-    cut = lambda c: F.btrim(F.element_at(F.split(c, "|".join(NAME_ENDS), 2), 1))
-    organisation = cut(F.regexp_extract(flat, rf"((?i:\b{any_of(ORGANISATIONS)} (?:de )?)[\p{{Lu}}0-9].*)", 1))
-    person = F.regexp_extract(cut(F.regexp_extract(flat, rf"(?i:\b{any_of(PERSONS)} )(\p{{Lu}}.*)", 2)), _CAPITAL_WORDS, 0)
-    each = [(organisation, "organizacion"), (person, "persona")]
-    return F.coalesce(*(F.when((name != "") & (F.length(name) <= 90) & ~name.contains("#"), F.struct(name.alias("name"), F.lit(kind).alias("kind"))) for name, kind in each))
+    cut = lambda c: F.btrim(F.regexp_replace(c, rf"(?s)(?:{'|'.join(NAME_ENDS)}).*", ""))
+    named = lambda name, kind: bound(name, lambda n: F.when((n != "") & (F.length(n) <= 90) & ~n.contains("#"), F.struct(n.alias("name"), F.lit(kind).alias("kind"))))
+
+    def either(flat: Column) -> Column:
+        organisation = cut(F.regexp_extract(flat, rf"((?i:\b{any_of(ORGANISATIONS)} (?:de )?)[\p{{Lu}}0-9].*)", 1))
+        person = F.regexp_extract(cut(F.regexp_extract(flat, rf"(?i:\b{any_of(PERSONS)} )(\p{{Lu}}.*)", 2)), _CAPITAL_WORDS, 0)
+        return F.coalesce(named(organisation, "organizacion"), named(person, "persona"))
+
+    return bound(F.regexp_replace(F.coalesce(col(title), F.lit("")), r"\s+", " "), either)
 
 
 def group_in_disguise(name: Column | str) -> Column:

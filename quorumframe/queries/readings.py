@@ -87,7 +87,7 @@ def _joined(c: Column, separator: str = "|") -> Column:
 
 def _fields(*names: str) -> Callable[[Column], Column]:
     """Fields of a struct as a string, a dash for each null."""
-    return lambda c: F.concat_ws("|", *(F.coalesce(c[n].cast("string"), F.lit("-")) for n in names))
+    return lambda c: T.bound(c, lambda x: F.concat_ws("|", *(F.coalesce(x[n].cast("string"), F.lit("-")) for n in names)))
 
 
 reading("read_groups", M.group_name, [("GANEMOS ({cosa})", "GOAZEN BILBAO"), ("Grupo BIL DU", "EH BILDU"), ("Grupo Municipal P P", "PP"), ("Sozialista Abertzaleak", "PSE-EE"), ("Udalberri - Bilbao en Común", "UDALBERRI"), ("Vecinos {who}", "Vecinos {who}"), (" ", "Desconocido"), (None, "Desconocido"), ("Izquierda  Unida", "EZKER BATUA-IU")])
@@ -111,7 +111,7 @@ reading("read_name_lists", lambda c: _joined(M.named_list(c)), [("Ana Ruiz, {who
 reading("read_declared_lists", lambda c: F.concat(_joined(M.declared_list(c, "Votos a favor")["names"]), F.lit("|"), M.declared_list(c, "Votos a favor")["agrees"].cast("string")), [("Votos a favor: 3: Ana Ruiz, {who} y Jon Sáez. Otros {k}", "Ana Ruiz|{who}|Jon Sáez|true"), ("Votos a favor: 5: Ana Ruiz y Luis Gil. x", "Ana Ruiz|Luis Gil|false"), ("Votos a favor: 1: Ana Ruiz, Luis Gil y Jon Sáez. x", "Ana Ruiz|true")])
 reading("read_submitting_groups", lambda c: S.submitting_group(c, F.lit("")), [("{k}. Proposición que presenta el Grupo Municipal EH BIL DU, cuya parte", "EH BILDU"), ("Proposición que p resenta el g rupo municipal Partido Popular. x", "PP"), ("4. Proposición vecinal de {who}", "Desconocido"), ("-5- Se da cuenta de la resolución de Alcaldía", "EQUIPO DE GOBIERNO"), ("-5- Se da cuenta de otra cosa", "Desconocido"), ("Propuesta de aprobación de {cosa}", "EQUIPO DE GOBIERNO"), ("EAJ-PNV udal taldeak aurkezten duen proposizioa", "EAJ-PNV"), ("Moción de VOX sobre {cosa}", "VOX"), ("los ciudadanos piden", "Desconocido"), ("Moción de Ciudadanos sobre el empleo", "CIUDADANOS"), (None, "Desconocido")])
 reading("read_submitters_of_texts", lambda c: S.submitting_group(F.lit("Proposición"), c), [("que presenta el Grupo Municipal Socialista, por {cosa}", "PSE-EE"), ("de nadie, {cosa}", "Desconocido")])
-reading("read_private_submitters", lambda c: F.when(S.private_submitter(c).isNotNull(), _fields("name", "kind")(S.private_submitter(c))), [("Proposición de la Asociación Vecinal {who}, para pedir", "Asociación Vecinal {who}|organizacion"), ("presentada por don Juan {who} mediante escrito", "Juan {who}|persona"), ("presentada por doña ##### , x", None), ("nada", None)])
+reading("read_private_submitters", lambda c: T.bound(S.private_submitter(c), lambda x: F.when(x.isNotNull(), _fields("name", "kind")(x))), [("Proposición de la Asociación Vecinal {who}, para pedir", "Asociación Vecinal {who}|organizacion"), ("presentada por don Juan {who} mediante escrito", "Juan {who}|persona"), ("presentada por doña ##### , x", None), ("nada", None)])
 reading("read_disguised_groups", lambda c: S.group_in_disguise(c).cast("string"), [("Grupo PARTIDO POPULAR", "true"), ("Asociación de amigos del partido popular de aquí", "false"), ("Ría {who}", "false")])
 reading("read_surnames", lambda c: _joined(S.surname_variants(c)), [("Ana Ruiz Bujedo", "BUJEDO|RUIZ|RUIZ BUJEDO"), ("María Luisa Gil De Sáez", "GIL|GIL DE|GIL DE SAEZ|SAEZ"), ("Ana", "ANA")])
 reading("read_torn_words", lambda c: c.rlike(S.torn_pattern("proposición")).cast("string"), [("la propo sición de {cosa}", "true"), ("la p roposició n del {dmy}", "true"), ("la proposi-ción de {cosa}", "false")])

@@ -34,6 +34,17 @@ def test_private_submitters(value):
     assert value(S.surname_variants, "Ana Ruiz Bujedo", "María Luisa Gil De Sáez", "Ana") == [["BUJEDO", "RUIZ", "RUIZ BUJEDO"], ["GIL", "GIL DE", "GIL DE SAEZ", "SAEZ"], ["ANA"]]
 
 
+def test_a_private_submitters_patterns_run_once(spark):
+    plan = spark.createDataFrame([("a",)], "x string").select(S.private_submitter("x").alias("v"))._jdf.queryExecution().analyzed().toString()
+    assert [plan.count(word) for word in ("propietarios", "doña", "representación")] == [1, 1, 2]
+
+
+def test_a_private_submitters_name_ends_at_the_first_end(value):
+    got = value(S.private_submitter, "Asociación A B relativa a C, D. E", "AMPA 1. 2 mediante x", "don , Ana", "don Ana\u2028Gil, x", "Asociación " + "A" * 91 + " de don Luis Gil.")
+    assert [r and tuple(r) for r in got] == [("Asociación A B", "organizacion"), ("AMPA 1", "organizacion"), None, ("Ana", "persona"), ("Luis Gil", "persona")]
+
+
+
 def test_result_texts(value):
     got = value(
         V.result_text,
