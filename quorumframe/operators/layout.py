@@ -2,7 +2,8 @@
 
 A row is a word with the keys of its page, x (its left edge), y (its base line, growing
 upward) and width. Everything is a window or a group over the keys of a page, and a page
-of paper holds some thousand words.
+of paper holds some thousand words. Where a row is a page with all its words, these are
+read in the row (`pages_in_order`, `lines_of_pages`) and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorumframe.functions.text import bound
 from quorumframe.operators.ordered import over_order
 from quorumframe.storage import materialise
 
@@ -75,6 +77,92 @@ def in_reading_order(words: DataFrame, page: Sequence[str], *, tolerance: float
     return ordered.select(*words.columns, *(F.col(c).cast("int").alias(c) for c in ("line", "band", "column")), (F.row_number().over(order) - 1).alias("place"))
 
 
+def pages_in_order(pages: DataFrame, *, words: str = "words", tolerance: float = 3.0, gutter: float = 20.0, share: float = 0.1) -> DataFrame:
+    """As in_reading_order where a row is a page: pages with its words in reading order, each with line, band and column, and given, where it stood before.
+
+    words is an array of structs with x, y, width, word and others, all of types with an
+    order; those without a place are left out, and an array that is null stays null.
+    """
+    rest = [f for f in pages.schema[words].dataType.elementType.names if f not in ("x", "width", "word", "line", "band", "column", "given")]
+    known = F.filter(words, lambda w: w["x"].isNotNull() & w["y"].isNotNull() & w["width"].isNotNull())
+
+    def own(w: Column, *names: str) -> list[Column]:
+        return [w[n].alias(n) for n in names]
+
+    def measured(w: Column, i: Column) -> Column:
+        end, middle = w["x"] + w["width"], w["x"] + w["width"] / 2
+        return F.struct((-w["y"]).alias("down"), i.alias("given"), *own(w, "x", "width", "word"), F.struct(*own(w, *rest)).alias("rest"), end.alias("end"), middle.alias("middle"))
+
+    def lined(down: Column) -> Column:
+        starts = _indexes(F.transform(down, lambda w, i: (i == 0) | (w["down"] - F.get(down, i - 1)["down"] > tolerance)))
+        return bound(starts, lambda s: bound(F.struct(_slices(down, s).alias("lines"), _cuts(down, F.floor(F.lit(share) * F.size(s)).cast("int"), gutter).alias("cuts")), banded))
+
+    def banded(facts: Column) -> Column:
+        across = F.transform(facts["lines"], lambda line: F.exists(facts["cuts"], lambda c: _closed(line, c, gutter)))
+        return bound(across, lambda a: bound(_indexes(F.transform(a, lambda own, j: (j > 0) & (own | F.get(a, j - 1)))), lambda breaks: placed(facts, a, breaks)))
+
+    def placed(facts: Column, across: Column, breaks: Column) -> Column:
+        def key(w: Column, j: Column, f: Column) -> Column:
+            column = F.when(f["across"], 0).otherwise(F.size(F.filter(facts["cuts"], lambda c: c <= w["middle"])))
+            return F.struct(f["band"].alias("band"), column.alias("column"), j.alias("line"), *own(w, "x", "width", "word", "given"), *own(w["rest"], *rest))
+
+        def keys(line: Column, j: Column) -> Column:
+            return bound(F.struct(F.size(F.filter(breaks, lambda b: b <= j)).alias("band"), F.get(across, j).alias("across")), lambda f: F.transform(line, lambda w: key(w, j, f)))
+
+        return F.sort_array(F.flatten(F.transform(facts["lines"], keys)))
+
+    return pages.withColumn(words, bound(F.sort_array(F.transform(known, measured)), lined))
+
+
+def _indexes(marks: Column) -> Column:
+    """Where an array of booleans is true, from 0."""
+    return F.filter(F.transform(marks, lambda m, i: F.when(m, i)), lambda i: i.isNotNull())
+
+
+def _slices(array: Column, starts: Column) -> Column:
+    """An array of arrays: the pieces of array that begin at starts (from 0, ascending), each up to the next."""
+    return F.transform(starts, lambda s, j: F.slice(array, s + 1, F.coalesce(F.get(starts, j + 1), F.size(array)) - s))
+
+
+def _cuts(words: Column, allowed: Column, gutter: float) -> Column:
+    """The middles of the stretches that gutters finds.
+
+    More than allowed words cover what lies from the start number i + allowed on and before
+    the end number i, both counted in their own order, whatever i.
+    """
+    starts, ends = F.sort_array(F.transform(words, lambda w: w["x"])), F.sort_array(F.transform(words, lambda w: w["end"]))
+    pieces = bound(starts, lambda s: F.transform(ends, lambda e, i: F.struct(F.get(s, i + allowed).alias("start"), e.alias("end"))))
+
+    def middle(busy: Column, piece: Column, i: Column) -> Column:
+        before = F.get(busy, i - 1)["end"]
+        return F.when((piece["start"] > before) & (piece["start"] - before >= gutter), (before + piece["start"]) / 2)
+
+    between = bound(F.filter(pieces, lambda p: p["start"] < p["end"]), lambda busy: F.transform(busy, lambda p, i: middle(busy, p, i)))
+    return F.filter(between, lambda c: c.isNotNull())
+
+
+def _closed(line: Column, cut: Column, gutter: float) -> Column:
+    """Whether the words of a line lie over a cut, or leave less than a gutter at it."""
+    over = F.exists(line, lambda w: (w["x"] < cut) & (w["end"] > cut))
+    left = F.array_max(F.transform(F.filter(line, lambda w: w["middle"] < cut), lambda w: w["end"]))
+    right = F.array_min(F.transform(F.filter(line, lambda w: w["middle"] >= cut), lambda w: w["x"]))
+    return over | F.coalesce(right - left < gutter, F.lit(False))
+
+
+def lines_of_pages(ordered: DataFrame, *, words: str = "words") -> DataFrame:
+    """As lines_in_order for what pages_in_order gives: all columns but words, and at (from 0) and text of each line of a column."""
+
+    def texts(own: Column) -> Column:
+        def opens(w: Column, i: Column) -> Column:
+            return (i == 0) | bound(F.get(own, i - 1), lambda b: (w["line"] != b["line"]) | (w["column"] != b["column"]) | (w["band"] != b["band"]))
+
+        said = bound(_indexes(F.transform(own, opens)), lambda s: _slices(own, s))
+        return F.transform(said, lambda line: F.array_join(F.transform(line, lambda w: w["word"]), " "))
+
+    others = [c for c in ordered.columns if c != words]
+    return ordered.select(*others, F.posexplode(bound(F.col(words), texts)).alias("at", "text"))
+
+
 def lines_in_order(ordered: DataFrame, page: Sequence[str]) -> DataFrame:
     """page keys, at (from 0) and text of the lines of each column, in reading order; ordered is what in_reading_order gives."""
     lines = ordered.groupBy(*page, "band", "column", "line").agg(F.min("place").alias("_first"), F.array_sort(F.collect_list(F.struct("place", "word"))).alias("_words"))
@@ -82,16 +170,21 @@ def lines_in_order(ordered: DataFrame, page: Sequence[str]) -> DataFrame:
     return lines.select(*page, (F.row_number().over(Window.partitionBy(*page).orderBy("_first")) - 1).alias("at"), text.alias("text"))
 
 
-def under_headings(lines: DataFrame, keys: Sequence[str], order: Sequence[str], *, heading: Column, stop: Column, entry: Column) -> DataFrame:
+def under_headings(lines: DataFrame, keys: Sequence[str], order: Sequence[str], *, heading: Column, stop: Column, entry: Column, small: bool = False) -> DataFrame:
     """Entries with the heading they stand under: all columns of lines, with heading and entry.
 
     heading and entry are null for lines that are neither; a heading is no entry. It holds
     until the next one, over columns and pages, or until a line where stop is true. Entries
-    under none are left out, so prose between the lists must end them.
+    under none are left out, so prose between the lists must end them. Where all lines of
+    each key are known to be few (small), one window moves them, once at most.
     """
     stops = F.coalesce(stop, F.lit(False))
     said = F.when(stops, F.struct(F.lit(None).cast("string").alias("h"))).when(heading.isNotNull(), F.struct(heading.cast("string").alias("h")))
     columns = [c for c in lines.columns if c not in ("heading", "entry")]
-    marked = lines.withColumns({"_said": said, "_entry": F.when(~stops & heading.isNull(), entry)})
-    met = over_order(marked, keys, order, last={"_held": F.col("_said")})
+    marked = lines.withColumns({"_said": said, "_entry": F.when(~stops & heading.isNull(), entry)}).where(F.col("_said").isNotNull() | F.col("_entry").isNotNull())
+    if small:
+        so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        met = marked.withColumn("_held", F.last("_said", ignorenulls=True).over(so_far))
+    else:
+        met = over_order(marked, keys, order, last={"_held": F.col("_said")})
     return met.where(F.col("_held.h").isNotNull() & F.col("_entry").isNotNull()).select(*columns, F.col("_held.h").alias("heading"), F.col("_entry").alias("entry"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quorumframe.functions.text import bound
 from quorumframe.operators import layout
 from quorumframe.registry import query, read
 from quorumframe.storage import spread
@@ -36,20 +37,33 @@ read_at AS (SELECT page_id, sheet, word, x, y, line, own, above, CAST(CASE WHEN
 
 
 def _read(spark, folder):
-    """The words of all pages in reading order."""
+    """The words of all pages in reading order, a row a sheet.
+
+    Words are shuffled as texts, once and by page: rows of one page may be many, and sheets
+    and lines of a page stay together from there on.
+    """
     plain = F.regexp_replace("html", "<[^>]*>", " ")
-    found = spread(read(spark, folder, "pages")).select("page_id", F.posexplode(F.regexp_extract_all(plain, F.lit("[A-Za-z]{1,12}"), 0)).alias("k", "word"))
-    size, row, slot = F.length("word"), F.floor(F.col("k") % 240 / 6), F.col("k") % 6
+    found = spread(read(spark, folder, "pages")).select("page_id", F.regexp_extract_all(plain, F.lit("[A-Za-z]{1,12}"), 0).alias("found"))
+    cut = bound(F.col("found"), lambda f: F.when(F.size(f) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(f) - 1) / 240).cast("int")), lambda s: F.array_join(F.slice(f, s * 240 + 1, F.lit(240)), " "))))
+    sheets = found.select("page_id", F.posexplode(cut).alias("sheet", "text")).repartition("page_id")
+    texts = sheets.groupBy("page_id", F.col("sheet").cast("long").alias("sheet")).agg(F.collect_list("text").alias("texts"))
+    words = F.flatten(F.transform("texts", lambda t: F.transform(F.split(t, " "), _set)))
+    return layout.pages_in_order(texts.select("page_id", "sheet", words.alias("words")))
+
+
+def _set(word, k):
+    """The k-th word of a sheet in its place."""
+    size, row, slot = F.length(word), F.floor(k / 6), k % 6
     inside = F.floor(slot / 3) * 260 + slot % 3 * 70 + size % 5
-    words = found.select("page_id", F.floor(F.col("k") / 240).alias("sheet"), "word", (5 * size).alias("width"), F.when(row % 13 == 5, slot * 70).otherwise(inside).alias("x"), (800 - 15 * row + slot % 3).alias("y"))
-    return layout.in_reading_order(words, ["page_id", "sheet"])
+    return F.struct(word.alias("word"), (5 * size).alias("width"), F.when(row % 13 == 5, slot * 70).otherwise(inside).alias("x"), (800 - 15 * row + slot % 3).alias("y"))
 
 
 @query("page_columns", _SET + _PLACED + 'SELECT page_id, sheet, word, x, y, line, "column", place FROM read_at')
 def page_columns(spark, folder):
     """Where each word of a page is read: those above a line across both columns come first, the left column before the right."""
-    numbers = [F.col(c).cast("long").alias(c) for c in ("sheet", "x", "y", "line", "column", "place")]
-    return _read(spark, folder).select("page_id", "word", *numbers)
+    words = _read(spark, folder).select("page_id", "sheet", F.posexplode("words").alias("place", "w"))
+    numbers = [F.col(f"w.{c}").cast("long").alias(c) for c in ("x", "y", "line", "column")]
+    return words.select("page_id", "w.word", "sheet", *numbers, F.col("place").cast("long").alias("place"))
 
 
 @query(
@@ -63,8 +77,8 @@ SELECT page_id, sheet, "at", heading, text AS entry FROM held WHERE heading <> '
 )
 def page_lists(spark, folder):
     """Lines of pages under the heading above them, over columns and sheets; what is heading, entry or end is told by the length of a line."""
-    lines = layout.lines_in_order(_read(spark, folder), ["page_id", "sheet"])
+    lines = layout.lines_of_pages(_read(spark, folder))
     size = F.length("text")
     heading = F.when(size % 7 == 0, F.substring_index("text", " ", 1))
-    met = layout.under_headings(lines, ["page_id"], ["sheet", "at"], heading=heading, stop=size % 11 == 0, entry=F.when(size % 2 == 1, F.col("text")))
+    met = layout.under_headings(lines, ["page_id"], ["sheet", "at"], heading=heading, stop=size % 11 == 0, entry=F.when(size % 2 == 1, F.col("text")), small=True)
     return met.select("page_id", "sheet", F.col("at").cast("long").alias("at"), "heading", "entry")

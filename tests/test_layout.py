@@ -1,10 +1,12 @@
 import random
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from quorumframe.operators import layout
 from quorumframe.plans.census import census
+from quorumframe.queries import ORACLE_SQL, QUERIES
 
 WORDS = "file string, page int, x double, y double, width double, word string"
 
@@ -102,3 +104,60 @@ def test_words_meet_what_a_page_knows_of_its_lines_once(spark):
     plan = ordered._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"Join .*\(line#", plan)) == 1  # lines with those across; words meet one row a page
     assert sorted((r.page, r.line, r.place) for r in ordered.where("page is not null").collect()) == [(1, 0, 0)] and ordered.count() == 2
+
+
+def test_words_of_a_page_in_one_row_are_read_as_words_in_rows(spark):
+    draw = random.Random(7)
+    rows = [(None, 0, 1.0, 5.0, 2.0, "a"), ("b", 1, 4.0, None, 1.0, "b"), ("b", 1, 0.0, 0.0, 0.0, ""), ("b", 1, 0.0, 0.0, 0.0, None), ("b", 1, 9.0, 0.0, -3.0, "c")]
+    for page in range(40):
+        starts = sorted(draw.sample(range(0, 500, 20), draw.randrange(1, 5)))
+        for line in range(draw.randrange(1, 30)):
+            across = draw.random() < 0.1
+            for x in [0, 150, 300] if across else starts:
+                for k in range(draw.randrange(3)):
+                    rows.append(("a", page, x + draw.randrange(9) + 40.0 * k, 800.0 - 8 * line + draw.randrange(4), float(draw.randrange(0, 180 if across else 70)), draw.choice("uvw")))
+    words = spark.createDataFrame(rows, WORDS)
+    pages = words.groupBy("file", "page").agg(F.collect_list(F.struct("word", "y", "x", "width")).alias("words"))
+    bands = 0
+    for options in ({}, {"gutter": 8.0, "share": 0.2}, {"tolerance": 1.0, "share": 0.0}):
+        ordered = layout.in_reading_order(words, ["file", "page"], **options)
+        read = layout.pages_in_order(pages, **options)
+        flat = read.select("file", "page", F.posexplode("words").alias("place", "w")).select("file", "page", "place", "w.*")
+        columns = ["file", "page", "place", "line", "band", "column", "x", "width", "word"]
+        want, got = (sorted(map(str, f.select(columns).collect())) for f in (ordered, flat))
+        assert got == want and len(got) > 1000
+        bands += max(r.band for r in flat.collect()) > 0 and max(r.column for r in flat.collect()) > 1
+        said = [sorted(map(str, f.select("file", "page", "at", "text").collect())) for f in (layout.lines_of_pages(read), layout.lines_in_order(ordered, ["file", "page"]))]
+        assert said[0] == said[1]
+    assert bands > 0
+    odd = pages.limit(1).select(F.lit(None).cast(pages.schema["words"].dataType).alias("words")).unionByName(pages.limit(1).select(F.slice("words", 1, 0).alias("words")))
+    assert sorted(map(str, (r.words for r in layout.pages_in_order(odd).collect()))) == ["None", "[]"] and layout.lines_of_pages(layout.pages_in_order(odd)).count() == 0
+
+
+def test_headings_of_few_lines_are_those_of_many(spark):
+    draw = random.Random(5)
+    lines = spark.createDataFrame([(k % 7 or None, k, draw.choice(["h:", "i:", "x", "y", "stop", None])) for k in range(300)], "page int, at int, text string")
+    text = F.col("text")
+    marks = {"heading": F.when(text.endswith(":"), text), "stop": text == "stop", "entry": F.when(text == "x", text)}
+    want, got = (sorted(map(str, layout.under_headings(lines, ["page"], ["at"], small=small, **marks).collect())) for small in (False, True))
+    assert got == want and len(got) > 10
+
+
+def test_pages_are_shuffled_once_as_texts(spark):
+    for name in ("page_columns", "page_lists"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert re.findall(r"Exchange (\w+)\(page_id", plan) == ["hashpartitioning"] and plan.count("hashpartitioning") == 1
+        assert "rangepartitioning" not in plan and plan.count("FileScan") == plan.count("pages.parquet") == 1
+
+
+def test_rows_of_one_page_share_its_sheets(spark, tmp_path):
+    draw = random.Random(2)
+    said = [" ".join("".join(draw.choices("abcdefg", k=draw.randrange(1, 15))) for _ in range(n)) for n in (700, 240, 500, 1, 0, 481)]
+    rows = [(k // 2, "u", f"<p>{t}</p>") for k, t in enumerate(said)] + [(9, "u", None), (9, "u", ""), (8, "u", "<a b> 1 2 é")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("page_columns", "page_lists"):
+        got = QUERIES[name](spark, str(tmp_path))
+        found = duck.execute(f'SELECT {", ".join(chr(34) + c + chr(34) for c in got.columns)} FROM ({ORACLE_SQL[name]})').fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(found) and len(found) > 50
